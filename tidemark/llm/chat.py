@@ -200,3 +200,22 @@ def _summary(rows: list[list]) -> pd.DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     return summaries(formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)))
+
+
+_CONTROLS_SQL = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROLS)
+
+#: formatted_chars: the template's own characters, two for each broken control string, one for each doubled mark.
+OP10_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(text) + 2 * ({_CONTROLS_SQL}) + length(text) - length(replace(text, chr(26), '')) AS body FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(body + CASE role WHEN 'user' THEN {len(OPEN_USER) + len(CLOSE_USER)} WHEN 'assistant' THEN {1 + len(CLOSE_ASSISTANT)}
+                ELSE {len(OPEN_OTHER) + len(MIDDLE_OTHER) + len(CLOSE_OTHER)} + length(role) END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -1,10 +1,15 @@
 """The queries of this subpackage, and SQL for those that have it."""
 
-from . import chat, exact_dedup, mixing, packing, token_files
+from . import chat, exact_dedup, langid, lm, media, mixing, near_dedup, packing, pii, token_files
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_pack_sequences": packing.op3_pack_sequences,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_media_columns": media.op5_media_columns,
+    "op6_lm_score": lm.op6_lm_score,
+    "op7_language_id": langid.op7_language_id,
     "op8_token_files": token_files.op8_token_files,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat.op10_chat_format,
@@ -13,4 +18,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_chat_format": chat.OP10_SQL,
 }
