@@ -30,7 +30,7 @@ DIMENSIONS = 12
 SAMPLE_DOCS = 4000
 TRAIN_CHARS = 20_000
 SNIPPET_BYTES, SNIPPETS = 200, 6
-EPOCHS, BATCH, RATE = 4, 128, 8.0
+EPOCHS, BATCH, RATE = 4, 128, 2.0
 KEEP = 0.999
 SEED = 7
 UNKNOWN = "und"
