@@ -28,7 +28,7 @@ from .words import SPACE, blocks
 BUCKETS = 1 << 16
 DIMENSIONS = 12
 SAMPLE_DOCS = 4000
-TRAIN_CHARS = 20_000
+TRAIN_CHARS = 8_000
 SNIPPET_BYTES, SNIPPETS = 200, 6
 EPOCHS, BATCH, RATE = 4, 128, 2.0
 KEEP = 0.999
@@ -158,9 +158,10 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     if learn is not None:
         labelled = labelled.where(learn)
-    # Ids are ranked first, so that only the texts of the sample are carried.
     short = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, TRAIN_CHARS).alias("text"), F.col(label_col).alias("label"))
-    rows = short.orderBy("h", "id", "label", "text").limit(SAMPLE_DOCS).collect()
+    # Hashes are ranked first, so that few texts but the sample's reach the driver.
+    last = short.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    rows = short.where(F.col("h") <= last).orderBy("h", "id", "label", "text").limit(SAMPLE_DOCS).collect() if last is not None else []
     return train([(r["text"], r["label"]) for r in rows])
 
 
