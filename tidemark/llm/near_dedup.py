@@ -8,10 +8,10 @@ documents take a step at once.
 Documents with equal sets are one class, which its smallest id stands for. Signatures are cut into bands; classes that share
 a band meet in a bucket. Enough bands are used that a pair at the threshold is missed with a probability of MISS at most.
 
-In a bucket nobody is compared with everybody at first: each class is compared with the bucket's smallest one (its hub),
-the most alike hub first, and only classes that are not yet in one component with a hub are compared with it too. What then
-still shares a bucket without sharing a component is compared in blocks, and pairs come out of these only where sketches of the
-signatures can't rule them out. So the links that are left out join what is joined anyway. Every link is confirmed on the full
+In a bucket nobody is compared with everybody at first: each class is compared with one bucket's smallest one (its hub),
+that which it meets most often in a few bands. Then, in all bands, classes that are not yet in one component with a
+bucket's hub are compared with it. What then still shares a bucket without sharing a component is compared in blocks, and pairs
+come out of these only where sketches of the signatures can't rule them out. So the links that are left out join what is joined anyway. Every link is confirmed on the full
 sets; components come from those links.
 
 Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id count as one document with several
@@ -40,6 +40,8 @@ MISS = 1e-6
 #: An estimate from sketches counts as hopeless when it is this many standard errors below the threshold.
 ERRORS = 5.0
 BLOCK_ROWS = 256
+#: Bands that the first comparisons come from.
+FIRST_BANDS = 6
 STEP_ELEMENTS = 1 << 15
 
 
@@ -283,32 +285,37 @@ def grouped(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     # One row for each class. Its key holds the id, so that no class, however large, meets in one task.
     heads = full.join(sets.select("set_key", F.col("first").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
     classes = stored(heads.select("doc_id", "n_shingles", "bands", "sketch"), "heads")
-    members = classes.select("doc_id", F.explode("bands").alias("key"))
-    buckets = stored(members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    met = stored(members.join(buckets, "key"), "met")
-    # Each class with the hubs of its buckets.
-    pairs = met.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     seen = classes.select("doc_id", "n_shingles", "sketch")
-    left, right = seen.toDF("a", "n_a", "sketch_a"), seen.toDF("b", "n_b", "sketch_b")
-    near = pairs.join(right, "b").join(left, "a").where(_sizes_fit("n_a", "n_b", rule)).withColumn("alike", _alike(rule)("sketch_a", "sketch_b"))
-    near = stored(near.where(F.col("alike") >= rule.hopeless).select("a", "b", "alike"), "near")
-    first = stored(near.groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a")).select("a", "b"), "first")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """a, b, less those that sizes or sketches rule out."""
+        left, right = seen.toDF("a", "n_a", "sketch_a"), seen.toDF("b", "n_b", "sketch_b")
+        near = pairs.join(right, "b").join(left, "a").where(_sizes_fit("n_a", "n_b", rule))
+        return near.where(_alike(rule)("sketch_a", "sketch_b") >= rule.hopeless).select("a", "b")
+
+    # First each class with the hub that it meets most often in a few bands.
+    few = classes.select("doc_id", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("key"))
+    hubs = few.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    met = few.join(hubs, "key").where("doc_id <> hub").groupBy(F.col("doc_id").alias("b"), "hub").agg(F.count("*").alias("times"))
+    first = stored(plausible(met.groupBy("b").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("a"))), "first")
     links = _links(first, docs, rule, id_col, text_col)
     parts = components(links)
-    # Other hubs, where they aren't in one component yet.
-    other = near.join(first, ["a", "b"], "left_anti").select("a", "b")
-    other = _labels(_labels(other.withColumnRenamed("a", "doc_id"), parts).toDF("a", "b", "comp_a").withColumnRenamed("b", "doc_id"), parts).toDF("b", "a", "comp_a", "comp_b")
-    second = stored(other.where("comp_a <> comp_b").select("a", "b"), "second")
+    # Then, in all bands, only buckets in which components meet: each class with a hub of another component.
+    members = _labels(classes, parts).select("doc_id", "comp", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
+    open_ = stored(_labels(buckets.withColumnRenamed("hub", "doc_id").select("key", "doc_id", "n"), parts).toDF("doc_id", "key", "n", "hub_comp").withColumnRenamed("doc_id", "hub"), "open")
+    pairs = members.join(open_, "key").where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    second = stored(plausible(pairs.join(first, ["a", "b"], "left_anti")), "second")
     if second.head(1):
         links = links.unionByName(_links(second, docs, rule, id_col, text_col))
         parts = components(links)
-    # Classes that share a bucket, but neither a component nor a comparison with each other.
-    placed = stored(_labels(met.where("n > 2"), parts), "placed")
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_ = placed.join(split, "key", "left_semi").join(seen, "doc_id")
-    blocks_of = open_.withColumn("g", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
-    dealt = blocks_of.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k"), "side": (F.col("own") > F.col("k")).cast("int")})
-    rest = stored(_rest_pairs(dealt, rule).join(near, ["a", "b"], "left_anti"), "rest")
+    # Last, classes that still share a bucket, but neither a component nor a comparison with each other.
+    again = _labels(classes, parts).select("doc_id", "comp", F.explode("bands").alias("key"))
+    split = again.join(open_.where("n > 2").select("key", "n"), "key", "left_semi").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
+    meeting = again.join(split.select("key", "n"), "key").join(seen, "doc_id")
+    dealt = meeting.withColumn("g", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k"), "side": (F.col("own") > F.col("k")).cast("int")})
+    rest = stored(_rest_pairs(dealt, rule).join(first.unionByName(second), ["a", "b"], "left_anti"), "rest")
     if rest.head(1):
         links = links.unionByName(_links(rest, docs, rule, id_col, text_col))
         parts = components(links)
