@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import has_bits
+from ..functions.reuse import reused
 from ..params import DEFAULT
 from .intervals import merge, overlap_join
 
@@ -42,6 +43,7 @@ def window_depth(reads: DataFrame, windows: DataFrame, samples: list[str] | None
     Depth is the mean over the window's bases; no table of single bases is made. merge_mates: bases that both mates of a
     template cover count once. decimals: round the depth, as depth files do. samples: those of the reads, if not given.
     """
+    windows = reused(windows)
     blocks = aligned_blocks(usable_reads(reads, min_mapq, mask)).select("sample", "qname", "chrom", "start", "end")
     if merge_mates:
         blocks = merge(blocks, ["sample", "qname", "chrom"])

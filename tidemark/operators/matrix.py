@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column, is_autosome
+from ..functions.reuse import reused
 from ..params import DEFAULT
 from .smooth import corrected, interpolated, lowess_fit
 
@@ -46,6 +47,7 @@ def normalized(rows: DataFrame, value: str = "depth") -> DataFrame:
 
     A sample whose median is 0 keeps its raw values, with status "skipped".
     """
+    rows = reused(rows)
     m = medians(rows, value, "middle")
     ok = F.col("middle") != 0
     out = rows.join(F.broadcast(m), "sample", "left")
@@ -57,8 +59,9 @@ def gc_corrected(rows: DataFrame, train: Column, value: str = "norm", min_points
 
     training: other rows to fit the curve to (sample, gc, y).
     """
+    rows = reused(rows)
     points = rows.where(train).select("sample", F.col(gc).alias("gc"), F.col(value).alias("y")) if training is None else training
-    curve = lowess_fit(points)
+    curve = reused(lowess_fit(points))
     usable = curve.where(F.col("points") >= min_points)
     fitted = interpolated(rows.withColumn("gc", F.col(gc)), usable.select("sample", "gc", "fit"))
     enough = F.broadcast(usable.select("sample").distinct().withColumn("enough", F.lit(True)))
@@ -72,5 +75,6 @@ def normal_training() -> Column:
 
 def recentred(rows: DataFrame, value: str = "corrected") -> DataFrame:
     """rows with centred: value over the sample's autosomal median of it. Nulls are left out of the median."""
+    rows = reused(rows)
     m = medians(rows, value, "middle")
     return rows.join(F.broadcast(m), "sample", "left").withColumn("centred", F.try_divide(F.col(value), F.col("middle"))).drop("middle")

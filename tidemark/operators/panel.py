@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.reuse import reused
 from ..params import DEFAULT
 
 #: Variances below this are rounding noise.
@@ -51,7 +52,7 @@ def projection(g: DataFrame, k: int) -> tuple[list[str], np.ndarray, float]:
 
 def explained_variance(rows: DataFrame, k: int = DEFAULT.components, value: str = "depth") -> float:
     """Per cent of the columns' variance that the scores on the removed components have."""
-    centred = row_centred(rows, value)
+    centred = reused(row_centred(rows, value))
     samples, project, _ = projection(gram(centred), k)
     values, vectors = np.linalg.eigh(project)
     basis = vectors[:, values > 0.5]
@@ -66,7 +67,7 @@ def explained_variance(rows: DataFrame, k: int = DEFAULT.components, value: str
 
 def denoised(rows: DataFrame, k: int = DEFAULT.components, value: str = "depth") -> DataFrame:
     """sample, window_id, depth, row_mean and denoised, the depth without its share in the top k components."""
-    centred = row_centred(rows, value)
+    centred = reused(row_centred(rows, value))
     samples, project, _ = projection(gram(centred), k)
     cells = [(samples[i], samples[j], float(project[i, j])) for i in range(len(samples)) for j in range(len(samples))]
     spark = rows.sparkSession
@@ -83,6 +84,7 @@ def panel_stats(rows: DataFrame, value: str = "denoised") -> DataFrame:
 
 def with_high_variance(panel: DataFrame, percentile: float = DEFAULT.variance_percentile) -> DataFrame:
     """panel with is_high_variance: 1 where the variance is above (not at) the exact percentile over all windows."""
+    panel = reused(panel)
     limit = panel.agg(F.percentile("pon_variance", F.lit(percentile)).alias("limit"))
     return panel.join(F.broadcast(limit)).withColumn("is_high_variance", F.coalesce(F.col("pon_variance") > F.col("limit"), F.lit(False)).cast("int")).drop("limit")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, flag
+from ..functions.reuse import reused
 from ..params import DEFAULT
 from .matrix import gc_corrected, medians, with_autosomes
 
@@ -61,6 +62,7 @@ def extreme_by_panel(ratio: str = "depth_scaled_ratio") -> Column:
 
 def joined_with_panel(depths: DataFrame, panel: DataFrame) -> DataFrame:
     """depths (sample, window_id, depth) of the samples that match the panel's windows, with its columns."""
+    depths, panel = reused(depths), reused(panel)
     own = depths.join(F.broadcast(matching_samples(depths, panel)), "sample", "left_semi")
     return own.select("sample", "window_id", F.col("depth").alias("raw_wes_depth")).join(panel, "window_id")
 
@@ -83,7 +85,8 @@ def library_scale(on_target: DataFrame) -> DataFrame:
 
 def target_ratio(depths: DataFrame, on_target: DataFrame, panel: DataFrame) -> DataFrame:
     """depths over library scale, over the on-target curve, over the panel. on_target: sample, chrom, depth, gc_pct."""
-    scale = F.broadcast(library_scale(on_target))
+    on_target = reused(on_target)
+    scale = F.broadcast(reused(library_scale(on_target)))
     rows = joined_with_panel(depths, panel).join(scale, "sample").withColumn("norm", F.col("raw_wes_depth") / F.col("library"))
     points = on_target.join(scale, "sample").where("depth > 0 and gc_pct is not null").select("sample", F.col("gc_pct").alias("gc"), (F.col("depth") / F.col("library")).alias("y"))
     fixed = gc_corrected(rows, F.lit(True), "norm", DEFAULT.min_points_track, training=points)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, has_bits, hash_uniform
+from ..functions.reuse import reused
 from ..params import DEFAULT
 from .intervals import point_lookup
 
@@ -73,7 +74,7 @@ def upscaled(reads: DataFrame, track: DataFrame, keys: list[str] | None = None,
     """
     keys = keys or ["qname"]
     aside = reads.where(passes_through()).withColumns({"kind": F.lit("passthrough"), "copy": F.lit(0), "mate": F.lit(None).cast("int")})
-    pairs = with_scale(paired(reads.where(~passes_through()), keys), track, keys)
+    pairs = reused(with_scale(paired(reads.where(~passes_through()), keys), track, keys))
     names = [*reads.columns, "kind", "copy", "mate"]
     orphans = pairs.where("not complete").withColumns({"kind": F.lit("orphan"), "copy": F.lit(0), "mate": F.lit(None).cast("int")}).select(names)
     key = F.concat_ws(":", *keys, "pair_no")
