@@ -1,9 +1,36 @@
 """Tables that a plan reads more than once."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by spark.checkpoint.dir; a local one of our own only where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local["):
+        root = f"file://{os.path.join(tempfile.gettempdir(), 'tidemark-scratch')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """df, kept in memory or on disk once computed. Blocks that an executor loses are computed again from their lineage."""
-    return df if df.storageLevel != StorageLevel.NONE else df.persist(StorageLevel.MEMORY_AND_DISK)
+    """df, computed once: written to the shared folder and read back, which also cuts its lineage short.
+
+    Without a shared folder it is kept in memory or on disk, where blocks that an executor loses are computed again.
+    """
+    if getattr(df, "_reused", False):
+        return df
+    spark = df.sparkSession
+    if (root := shared_folder(spark)) is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._reused = True
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
+from ..functions.reuse import reused
 from ..params import DEFAULT
 
 KEYS = ["chrom", "start", "end"]
@@ -67,7 +68,8 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = DEFAULT.wind
 
 def subtract(windows: DataFrame, mask: DataFrame, bin_size: int = DEFAULT.window_size) -> DataFrame:
     """What of each window (a window per row, repeated ones too) no interval of mask covers. mask: merged."""
-    rows = windows.select(*KEYS, F.monotonically_increasing_id().alias("row")).where("end > start")
+    rows = reused(windows.select(*KEYS, F.monotonically_increasing_id().alias("row")).where("end > start"))
+    mask = reused(mask)
     cuts = overlap_join(rows, mask.select(KEYS), bin_size).groupBy(*KEYS, "row").agg(F.sort_array(F.collect_list(F.struct("r_start", "r_end"))).alias("cuts"))
     # The pieces lie between one cut's end and the next one's start.
     starts = F.concat(F.array("start"), F.col("cuts.r_end"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_autosome, sample_name, track_sample_name
+from ..functions.reuse import reused
 from ..operators import coverage, intervals, matrix, panel, scaling, smooth, upscale
 from . import fixtures as fx
 from . import pipelines
@@ -16,11 +17,29 @@ from .sql import query
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Shared tables of the query that is being built.
+_MADE: dict[tuple, DataFrame] = {}
+
+
+def _once(make):
+    """Within one query a shared table is made once."""
+
+    def run(*args) -> DataFrame:
+        key = (make.__name__, *map(str, args))
+        if key not in _MADE:
+            _MADE[key] = reused(make(*args))
+        return _MADE[key]
+
+    return run
 
 
 def _registered(sql: str | None):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _MADE.clear()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLE_SQL[f.__name__] = query(sql)
         return f
@@ -35,64 +54,78 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # --- the tables that the queries share
 
 
+@_once
 def _mask(spark: SparkSession, d: str) -> DataFrame:
     return intervals.merge(intervals.concatenated(intervals.widen(fx.targets(spark, d), fx.sizes(spark)), fx.centromeres(spark, d)))
 
 
+@_once
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     named = pipelines.define_windows(fx.access(spark, d), fx.targets(spark, d), fx.centromeres(spark, d), fx.sizes(spark))
     return named.withColumnRenamed("name", "window_id").withColumn("gc_pct", fx.gc())
 
 
+@_once
 def _depth(spark: SparkSession, d: str, samples: list[str]) -> DataFrame:
     reads = fx.reads(spark, d).where(F.col("sample").isin(samples))
     return coverage.window_depth(reads, _windows(spark, d), samples)
 
 
+@_once
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
     windows = _windows(spark, d).select("window_id", "gc_pct")
     return matrix.with_autosomes(windows).join(_depth(spark, d, fx.NORMALS), "window_id")
 
 
+@_once
 def _corrected(spark: SparkSession, d: str) -> DataFrame:
     norm = matrix.normalized(_matrix(spark, d))
     return matrix.gc_corrected(norm.where("status = 'ok'"), matrix.normal_training())
 
 
+@_once
 def _centred(spark: SparkSession, d: str) -> DataFrame:
     return matrix.recentred(_corrected(spark, d))
 
 
+@_once
 def _panel(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.build_panel(_centred(spark, d), _windows(spark, d), 1)
 
 
+@_once
 def _tumour(spark: SparkSession, d: str) -> DataFrame:
     return scaling.panel_ratio(scaling.joined_with_panel(_depth(spark, d, [fx.TUMOUR]), _panel(spark, d)))
 
 
+@_once
 def _tumour_reads(spark: SparkSession, d: str) -> DataFrame:
     return fx.reads(spark, d).where(F.col("sample") == fx.TUMOUR)
 
 
+@_once
 def _scales(spark: SparkSession, d: str) -> DataFrame:
     return _track_b(spark, d).select("chrom", "start", "end", upscale.conditioned_scale().alias("own_scale"))
 
 
+@_once
 def _track_b(spark: SparkSession, d: str) -> DataFrame:
     return scaling.track_by_panel(_depth(spark, d, [fx.TUMOUR]), _panel(spark, d))
 
 
+@_once
 def _track_a(spark: SparkSession, d: str) -> DataFrame:
     reads = fx.reads(spark, d).where(F.col("sample") == fx.TUMOUR)
     return pipelines.track_a(reads, fx.on_target(spark, d), _panel(spark, d), [fx.TUMOUR])
 
 
+@_once
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
     pairs = upscale.paired(_tumour_reads(spark, d).where(~upscale.passes_through()))
     return upscale.with_scale(pairs, _scales(spark, d)).withColumn("mate", F.when(F.col("complete"), upscale.mate_order()).cast("int"))
 
 
+@_once
 def _output(spark: SparkSession, d: str) -> DataFrame:
     return upscale.upscaled(_tumour_reads(spark, d), _scales(spark, d))
 
