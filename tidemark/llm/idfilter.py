@@ -20,8 +20,8 @@ HASHES = 4
 CHUNK = 1 << 16
 
 
-def _positions(ids: pd.Series, bits: int) -> np.ndarray:
-    x = mix(ids.to_numpy(np.int64).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+def _positions(ids: np.ndarray, bits: int) -> np.ndarray:
+    x = mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     step = mix(x) | np.uint64(1)
     return np.stack([(x + np.uint64(k) * step) & np.uint64(bits - 1) for k in range(HASHES)], axis=1).astype(np.int64)
 
@@ -33,7 +33,7 @@ def bloom(ids: DataFrame) -> bytes:
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(bits, bool)
         for batch in batches:
-            seen[_positions(batch[name], bits).ravel()] = True
+            seen[_positions(batch[name].to_numpy(np.int64), bits).ravel()] = True
         packed = np.packbits(seen).reshape(-1, CHUNK // 8)
         for k in np.flatnonzero(packed.any(axis=1)):
             yield pd.DataFrame({"chunk": [k], "part": [packed[k].tobytes()]})
@@ -44,6 +44,13 @@ def bloom(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def maybe(ids: np.ndarray, bitmap: bytes) -> np.ndarray:
+    """Which of the ids a filter doesn't exclude."""
+    bits = np.frombuffer(bitmap, np.uint8)
+    at = _positions(ids, len(bits) * 8)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1)
+
+
 def maybe_in(ids: DataFrame):
     shared = ids.sparkSession.sparkContext.broadcast(bloom(ids))
 
@@ -51,9 +58,7 @@ def maybe_in(ids: DataFrame):
     def test(values: pd.Series) -> pd.Series:
         if not len(values):
             return pd.Series([], dtype=bool)
-        bitmap = np.frombuffer(shared.value, np.uint8)
-        at = _positions(values, len(bitmap) * 8)
-        return pd.Series((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1))
+        return pd.Series(maybe(values.to_numpy(np.int64), shared.value))
 
     return test
 

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import join_groups, small_batches, stored, table, text_of
 from .components import components
-from .idfilter import only, without
-from .words import Words, blocks, mix
+from .idfilter import bloom, maybe, without
+from .words import Words, blocks, mix, trim
 
 NULL_ID = -(1 << 63)
 MISS = 1e-6
@@ -171,6 +171,7 @@ def signed(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
                     bands[k], sketch[k] = b, s.tobytes()
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+        trim()
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
@@ -197,9 +198,12 @@ def _links(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col:
     ids = stored(pairs.select("a").union(pairs.select("b")).distinct(), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in batches:
+            batch = batch.filter(pa.array(maybe(batch.column(0).to_numpy(), bitmap)))
             sets = shingle_sets(batch.column(1).to_pylist(), rule.words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "elements"])
+        trim()
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -212,8 +216,10 @@ def _links(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col:
 
     small_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    sets = only(own, ids, "doc_id").mapInArrow(run, "doc_id long, elements binary").where("length(elements) > 0")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids.toDF("doc_id")))
+    sets = own.mapInArrow(run, "doc_id long, elements binary").where("length(elements) > 0").join(ids.toDF("doc_id"), "doc_id", "left_semi")
     sets = stored(sets, "sets")
+    shared.destroy()
     left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
     found = pairs.select("a", "b").join(right, "b").join(left, "a").where(linked("set_a", "set_b"))
     out = stored(found.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "links")

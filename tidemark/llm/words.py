@@ -6,11 +6,13 @@ mixed in). Among ten million different words the chance of any collision is belo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SPACES = b"\t\n\v\f\r "
@@ -37,6 +39,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: idle Python workers share an executor's memory with those at work."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words:
     """Of consecutive texts: the bytes, where each word starts and ends, its hash, and the first word of each text."""
 
