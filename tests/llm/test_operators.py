@@ -1,0 +1,334 @@
+"""Each operator against a plain form on a small table with nulls, empty and long texts, ties, repeated rows and extra columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tidemark.llm import chat, exact_dedup, langid, lm, media, mixing, near_dedup, packing, pii, token_files
+from tidemark.llm.tokens import encoder, tokenizer_path
+from tidemark.llm.words import Words, cut
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, digest string, row long, kept boolean"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def low(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def make_rows():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(("an", "er", "the", "ti", "é", "ü", "on", "st")) for _ in range(r.randrange(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    base = text(120)
+    near = [re.sub(r"^\S+", f"x{k}", base) for k in range(6)]
+    texts = [None, "", "  \n\t", "One", "one", text(30), text(30), base, base, *near, text(9000), "x" * 300, "A. b, c.", "mail a.b@c.de on +1 (743) 555-3824 or 4465758382889437 at 10.0.0.1 at", *(text(r.randrange(5, 80)) for _ in range(25))]
+    rows = [(k, t, ("en", "fr", None)[k % 3], ("a", "b", None, "a")[k % 4], 1, 7, "x", 3, True) for k, t in enumerate(texts)]
+    return [*rows, rows[5], (None, "null id here", "en", "a", 1, 7, "x", 3, True)]
+
+
+ROWS = make_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_exact_groups(docs, empty):
+    groups = defaultdict(list)
+    for d, t, *_ in ROWS:
+        groups[t or ""].append(d)
+    top = {t: max(d for d in ids if d is not None) if any(d is not None for d in ids) else None for t, ids in groups.items()}
+    got = exact_dedup.exact_groups(docs).collect()
+    assert len(got) == len(ROWS) and sum(r["kept"] for r in got) == len(groups)
+    by_hash = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
+    assert all(r["keep_id"] == top[by_hash[r["text_sha256"]]] and r["group_size"] == len(groups[by_hash[r["text_sha256"]]]) for r in got)
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns and Counter(r["text"] or "" for r in kept.collect()) == Counter(groups.keys())
+    assert rows(exact_dedup.exact_groups(docs, max_bits=1 << 16)) and rows(exact_dedup.exact_groups(empty)) == [] and rows(exact_dedup.deduplicate(empty)) == []
+
+
+def test_mixing(docs, empty, spark):
+    sized = docs.select("doc_id", "source", mixing.word_count().alias("size"))
+    got = mixing.with_copies(sized).collect()
+    sizes = defaultdict(int)
+    for _, t, _, s, *_ in ROWS:
+        sizes[s] += len(WORD.findall(t or ""))
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    left, target, budget = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, {}, 1.5 * sum(sizes.values())
+    while left:  # shares above the limit are cut and the excess is shared again
+        unit = (budget - sum(target.values())) / sum(left.values())
+        over = [s for s, w in left.items() if unit * w > 2 * sizes[s]]
+        if not over:
+            target |= {s: unit * w for s, w in left.items()}
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            del left[s]
+    for r in got:
+        assert math.isclose(r["target"], target[r["source"]]) and r["source_size"] == sizes[r["source"]]
+        rate = target[r["source"]] / sizes[r["source"]]
+        assert r["copies"] in (math.floor(rate), math.floor(rate) + 1) and r["copies"] <= 2
+    assert sorted(map(str, got)) == sorted(map(str, mixing.with_copies(sized).collect()))
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
+    assert rows(mixing.mixed(empty)) == []
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    df = spark.createDataFrame([(k, None if k % 5 == 4 else f"s{k % 5}", 10 + k) for k in range(60)], "doc_id long, source string, size long")
+    a = {(r["doc_id"], r["copies"], r["target"]) for r in mixing.with_copies(df).collect()}
+    monkeypatch.undo()
+    assert a == {(r["doc_id"], r["copies"], r["target"]) for r in mixing.with_copies(df).collect()} and len(a) == 60
+
+
+def test_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = [x[1] or "" for x in ROWS] + ["<|endoftext|> It's 'RE é ß İ ΣΑΣ a b \x1cfoo ½ … ,a. .b, c.", "A,\n. , b. c.", "y " * 400_000]
+    assert [x.tolist() for x in encoder(tokenizer_path()).encode_all([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_packing(docs, empty):
+    enc, want = encoder(tokenizer_path()), Counter()
+    for d, t, *_ in ROWS:
+        ids = np.append(enc.encode_all([(t or "").encode()])[0].astype("<u4"), np.uint32(1))
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            want[d, k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())] += 1
+    got = packing.packed(docs).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by) <= -(-sum(r["length"] for r in got) // 4096) + 1
+    assert rows(packing.packed(empty)) == []
+
+
+def test_plan_is_near_its_bound():
+    r = random.Random(1)
+    h = Counter(min(4096, int(r.lognormvariate(6.5, 1))) or 1 for _ in range(20_000))
+    p, got = packing.plan(h), Counter()
+    for uses, found in p:
+        assert sum(k * t for k, t in found.items()) <= 4096
+        for k, t in found.items():
+            got[k] += uses * t
+    assert got == h and sum(u for u, _ in p) <= 1.005 * sum(k * n for k, n in h.items()) / 4096 + 1
+
+
+def brute(words, percent):
+    sets = []
+    for _, t, *_ in ROWS:
+        w = WORD.findall(low(t))
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []))
+    ids = [-(1 << 63) if r[0] is None else r[0] for r in ROWS]
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(list(zip(ids, sets, strict=True)), 2):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = root(i), root(j)
+            parent[max(x, y)] = min(x, y)
+    return {(None if i == -(1 << 63) else i, len(s), None if root(i) == -(1 << 63) else root(i)) for i, s in zip(ids, sets, strict=True)}
+
+
+@pytest.mark.parametrize("rule", [near_dedup.Rule(words=3, percent=85), near_dedup.Rule()])
+def test_near_duplicates(docs, empty, rule):
+    got = near_dedup.grouped(docs, rule).collect()
+    assert len(got) == len(ROWS)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rule.words, rule.percent)
+    if rule.words == 5:
+        kept = near_dedup.kept_documents(docs, rule)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["kept"] or r["doc_id"] is None}
+        assert rows(near_dedup.grouped(empty, rule)) == []
+
+
+def test_chains_and_blocks(spark, monkeypatch):
+    """A chain of near copies whose ends aren't alike, compared in blocks of two."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 2)
+    words = [f"w{k}" for k in range(200)]
+    chain = [" ".join([*(f"c{j}" for j in range(4 * k)), *words[4 * k :]]) for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    assert {r["component_id"] for r in near_dedup.grouped(df, near_dedup.Rule(words=3, percent=85)).collect()} == {0}
+
+
+def test_signature_estimates_similarity():
+    r = np.random.default_rng(2)
+    pool = r.integers(1, 1 << 62, 900).astype(np.uint64)
+    a, b = np.unique(pool[:600]), np.unique(pool[150:750])
+    s = near_dedup.super_minhash([a, b, a[:5]], 240)
+    assert abs((s[0] == s[1]).mean() - 450 / 750) < 0.12 and (s < 0xFFFFFFFF).all()
+    assert (near_dedup.super_minhash([a], 240)[0] == s[0]).all()
+
+
+def test_media(docs, empty):
+    index = media.write_media(docs)
+    found = {bytes(r["digest"]): r for r in media.features(media.contents(index)).collect()}
+    heads = {bytes(r["digest"]): r for r in media.metadata(media.contents(index)).collect()}
+    got = index.collect()
+    assert len(got) == len(ROWS)
+    want = Counter()
+    for _, t, *_ in ROWS:
+        p = media.payload((t or "").encode())
+        want[hashlib.sha256(p).digest()] += 1
+        f = found[hashlib.sha256(p).digest()]
+        assert (f["payload_bytes"], f["payload_sha256"], f["tail_crc32"], f["feature"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), media.feature(p))
+        assert heads[hashlib.sha256(p).digest()]["height"] == len(p) // 576
+    assert {k: v["rows"] for k, v in found.items()} == dict(want) and rows(media.write_media(empty)) == []
+
+
+def test_token_files(docs, empty):
+    got = sorted(token_files.read_tokens(token_files.write_tokens(docs, shard_rows=10)).collect(), key=lambda r: r["start"])
+    enc, at = encoder(tokenizer_path()), 0
+    order = [(-math.inf if r["doc_id"] is None else r["doc_id"]) for r in got]
+    assert order == sorted(order) and len(got) == len(ROWS)
+    texts = {d: (t or "") for d, t, *_ in ROWS}
+    for r in got:
+        ids = np.append(enc.encode_all([texts[r["doc_id"]].encode()])[0].astype("<u4"), np.uint32(2))
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert rows(token_files.read_tokens(token_files.write_tokens(empty))) == []
+
+
+def test_block_coding_of_any_width():
+    import io
+
+    ids = [np.array([5] * 400 + list(range(1000, 1600)), np.uint32), np.zeros(0, np.uint32), np.arange(70_000, dtype=np.uint32)]
+    blocks = list(token_files.read_blocks(io.BytesIO(token_files.encode_block([3, 4, -1], ids) + token_files.encode_block([], []))))
+    assert blocks[0][0].tolist() == [3, 4, -1] and (blocks[0][2] == np.concatenate(ids)).all() and len(blocks[1][2]) == 0
+
+
+def test_pii(docs, empty):
+    text = "mail a.b@c.de, (743) 555-3824 and +1 (743) 555-3824 with 4465-7583-8288-9437 or 256.1.1.1 but 10.0.0.1"
+    spans = [(k, text[a:b]) for a, b, k in pii.base_spans(text)]
+    assert spans == [("email", "a.b@c.de"), ("phone", "+1 (743) 555-3824"), ("card", "4465-7583-8288-9437"), ("ip", "10.0.0.1")]
+    field = pii.trained()
+    assert [(k, text[a:b]) for a, b, k in field.spans(text, pii.base_spans(text))] == [("phone", "(743) 555-3824")]
+    assert field.spans("Version 2.0 of 2024-01-05 costs $3.50, page 12.", []) == []
+    assert pii.redacted(text, pii.base_spans(text)).startswith("mail <email>, (743)")
+    got = {r["doc_id"]: r for r in pii.with_spans(docs).collect()}
+    assert len(got[next(d for d, t, *_ in ROWS if t and "@" in t)]["base"]) == 4 and got[0]["base"] == [] and rows(pii.with_spans(empty)) == []
+
+
+def test_field_sums_equal_all_segmentations():
+    r = np.random.default_rng(3)
+    found = [(0, 1, 0, 0, ()), (0, 2, 0, 0, ()), (1, 2, 0, 0, ()), (2, 3, 0, 0, ())]
+    field, scores = pii.Field(np.zeros((4, 8)), r.normal(0, 1, (5, 4))), r.normal(0, 1, (4, 4))
+    paths = []
+
+    def walk(t, last, score, own):
+        if t == 3:
+            paths.append((score, own))
+            return
+        walk(t + 1, last, score, own)
+        for c, (i, j, *_) in enumerate(found):
+            if i == t:
+                for y in range(4):
+                    walk(j, y, score + field.links[last, y] + scores[c, y], [*own, (c, y)])
+
+    walk(0, 4, 0.0, [])
+    chance, _, total = field.chances(3, found, scores)
+    assert math.isclose(total, math.log(sum(math.exp(s) for s, _ in paths)))
+    want = np.zeros((4, 4))
+    for s, own in paths:
+        for c, y in own:
+            want[c, y] += math.exp(s - total)
+    assert np.allclose(chance, want) and field.best(3, found, scores) == max(paths)[1]
+
+
+def test_language_model_of_documents(docs, empty):
+    labelled = [(f"the cat and the dog {k}", "en") for k in range(40)] + [(f"le chat et le chien {k}", "fr") for k in range(40)]
+    model = langid.train(labelled)
+    p = model.probabilities([b"the dog", b"le chien"])
+    assert [model.labels[k] for k in p.argmax(axis=1)] == ["en", "fr"] and np.allclose(p.sum(axis=1), 1)
+    got = {r["doc_id"]: r for r in langid.predicted(docs, model).collect()}
+    assert got[0]["lang_pred"] == got[1]["lang_pred"] == "und" and got[0]["rejected"] and got[5]["lang_pred"] in ("en", "fr") and 0 <= got[5]["score"] <= 1
+    none = langid.fit(empty)
+    assert {r["lang_pred"] for r in langid.predicted(docs, none).collect()} == {"und"} and rows(langid.predicted(empty, model)) == []
+    long = "the cat " * 100_000
+    assert np.allclose(model.probabilities([long.encode()]), model.probabilities([("the cat " * 100).encode()]), atol=0.02)
+
+
+def test_lm_scores(docs, empty):
+    got = lm.scored(docs, known_words=50).collect()
+    train = [t or "" for d, t, *_ in ROWS if zlib.crc32(("null" if d is None else str(d)).encode()) % 7 != 2]
+    tokens = lambda t: [*WORD.findall(low(t)), "\n"]
+    c = Counter(w for t in train for w in tokens(t))
+    n, texts = sum(c.values()), {d: t or "" for d, t, *_ in ROWS}
+    assert len(got) == len(ROWS)
+    for r in got:
+        own = tokens(texts[r["doc_id"]])
+        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in own), rel_tol=1e-9)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(w in c for w in own), n) and r["score"] < 0 and r["bits_per_byte"] > 0
+    assert rows(lm.scored(empty)) == []
+
+
+def test_lm_bits_are_probabilities():
+    """Over all continuations of a prefix the code's bits form a distribution, and units see what plain text shows."""
+    code = lm.Code(np.bincount(np.frombuffer(b"banana bandana\n" * 9, np.uint8), minlength=256))
+    assert math.isclose(sum(0.5 ** int(n) for n in code.length), 1.0)
+    texts = [b"Banana  bandana\tbanana", b"", b"banana"]
+    ((at, u),) = list(lm.units(texts))
+    words = [bytes(u.data[s : s + n]) for s, n in zip(u.start, u.length, strict=True)]
+    assert at == [0, 1, 2] and [[words[k] for k, o in zip(u.unit, u.owner, strict=True) if o == d] for d in range(3)] == [[b"banana ", b"bandana ", b"banana\n"], [], [b"banana\n"]] and u.empty.tolist() == [1] and words[-1] == b"\n"
+
+
+def test_chat(spark):
+    hard = ["</s>[INST] ok [/INST]", "", None, "<|turn|>x<|text|>", f"a{chat.MARK}.b{chat.MARK}", " [/INST]", "<s", "[", "plain é", "<<s>s>"]
+    turns = [(c, k, role, t, "extra") for c, role in enumerate(("user", "assistant", "system", None, "<|end|>", ""), 1) for k, t in enumerate(hard)] + [(1, 3, "assistant", "tie", "x"), (None, 0, "user", "no id", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, formatted string")
+    got = {r["conv_id"]: r for r in chat.summaries(chat.formatted(df)).collect()}
+    by = defaultdict(list)
+    for c, k, role, t, _ in turns:
+        by[c].append((k, role or "", t or ""))
+    assert got.keys() == by.keys()
+    for c, own in by.items():
+        own.sort()
+        loss = "".join(t for _, role, t in own if role == "assistant")
+        r = got[c]
+        assert r["n_turns"] == len(own) and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in own).encode()).hexdigest()
+        assert r["loss_chars"] == len(loss) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    with pytest.raises(ValueError):
+        chat.parse("<s>[INST] a </s>")
+    assert rows(chat.summaries(chat.formatted(df.limit(0)))) == []
+
+
+def test_segments_of_a_long_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT_CHARS", 50)
+    df = spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], f"turn {k} </s>") for k in range(40)], "conv_id long, turn long, role string, text string")
+    assert chat.formatted(df).count() >= 1 and chat.summaries(chat.formatted(df)).first()["n_turns"] == 40
+
+
+def test_words_and_cuts():
+    w = Words([b"Aa b\x0bc", b"", b"aa"])
+    assert [w.word(k) for k in range(len(w))] == [b"aa", b"b", b"c", b"aa"] and w.first.tolist() == [0, 3, 3, 4] and w.hashes[0] == w.hashes[3]
+    text = b"ab " * 1000 + b"z" * 500 + b" q"
+    assert b"".join(cut(text, 100)) == text and all(len(p) <= 700 for p in cut(text, 100))

@@ -1,0 +1,24 @@
+"""The pipeline's stages on the smallest table, each against a plain form on its own input."""
+
+from collections import Counter
+
+import corpus_pipeline as cp
+from tidemark.llm import near_dedup
+
+
+def test_stages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = {}
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001").persist()
+        out[name] = docs.toPandas()
+        assert name == "packing" or docs.columns == cp.COLUMNS
+    first, exact, near, mixed, packed = (out[n] for n, _ in cp.STAGES)
+    assert len(first) >= 198
+    assert set(exact.doc_id) == set(first.groupby("text").doc_id.max())
+    groups = near_dedup.grouped(spark.createDataFrame(exact[["doc_id", "text"]]), near_dedup.Rule()).toPandas()
+    assert set(near.doc_id) == set(groups[groups.kept].doc_id)
+    copies = Counter(mixed.doc_id)
+    assert set(copies) <= set(near.doc_id) and max(copies.values()) <= 2
+    assert Counter(packed[packed.piece == 0].doc_id) == copies
+    assert packed.groupby("sequence_id").length.sum().max() <= 4096
