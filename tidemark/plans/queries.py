@@ -385,9 +385,9 @@ def pair_mates(spark, d):
     return pairs.select("qname", "ord", F.col("pair_no").cast("long"), F.col("nth").cast("long"), "complete")
 
 
-@_registered("SELECT qname, ord, round(scale, 6) AS scale, CASE WHEN complete THEN CAST(mate AS INT) END AS mate FROM scaled")
+@_registered("SELECT qname, ord, round(scale, 6) AS scale, CASE WHEN complete THEN CAST(mate AS INT) ELSE 0 END AS mate FROM scaled")
 def pair_scale(spark, d):
-    return _rounded(_scaled(spark, d).select("qname", "ord", "scale", "mate"))
+    return _rounded(_scaled(spark, d).select("qname", "ord", "scale", F.coalesce("mate", F.lit(0)).alias("mate")))
 
 
 @_registered("SELECT qname, ord, copies FROM copied")
