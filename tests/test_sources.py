@@ -65,8 +65,9 @@ def test_file_resolution(spark):
 def test_stream_pairs(spark, tmp_path):
     spark.createDataFrame([("a", 0), ("b", 1), ("a", 2), ("a", 3)], "qname string, ord long").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("qname string, ord long").parquet(str(tmp_path / "in"))
-    q = pair_stream(stream, 3_600_000).writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = pair_stream(stream, 3_600_000).writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).start()
+    q.awaitTermination(60)
+    q.stop()
     assert [tuple(r) for r in spark.table("pairs").collect()] == [("a", 0, 2, "pair")]
 
 
