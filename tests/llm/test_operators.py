@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, exact_dedup, langid, lm, media, mixing, near_dedup, packing, pii, token_files
 from tidemark.llm.tokens import encoder, tokenizer_path
@@ -301,6 +302,62 @@ def test_lm_bits_are_probabilities():
     assert at == [0, 1, 2] and [[words[k] for k, o in zip(u.unit, u.owner, strict=True) if o == d] for d in range(3)] == [[b"banana ", b"bandana ", b"banana\n"], [], [b"banana\n"]] and u.empty.tolist() == [1] and words[-1] == b"\n"
 
 
+def test_lm_counts_of_every_context_are_its_own(spark):
+    """Tables hold as many contexts as the texts have, each with exact counts."""
+    texts = [" ".join(f"{a}{b}{k}" for b in "xyz") for a in ("ab", "abc", "q") for k in range(300)]
+    data = np.frombuffer("\n".join(texts).encode() + b"\n", np.uint8)
+    code = lm.Code(np.bincount(data, minlength=256))
+    rows_ = spark.createDataFrame([(bytearray(t, "utf8"), k % 5 == 4) for k, t in enumerate(texts)], "text binary, held_out boolean")
+    units = lm.all_units(rows_)
+    last, far, start = lm.short_tables(units, code)
+    words = Counter(w for k, t in enumerate(texts) if k % 5 != 4 for w in [x + " " for x in t.split()[:-1]] + [t.split()[-1] + "\n"])
+    counts = defaultdict(lambda: [0, 0])
+    path = {b: (lambda x: list(zip(x[1].tolist(), x[2].tolist(), strict=True)))(code.bits(np.array([b], np.uint8))) for b in set(data.tolist())}
+    for w, c in words.items():
+        for k, b in enumerate(w.encode()):
+            for node, bit in path[b]:
+                counts[w[:k], node][bit] += c
+    spelled = {r["word"]: bytes(r["spelled"]).decode() for r in units.collect()}
+    got = {spelled[r["word"]]: np.frombuffer(r["cells"], np.uint16) for r in lm.word_cells(units, code, start).collect()}
+    assert len(got) == 2700
+    for w, cells in got.items():
+        zero, one = np.array([counts[w[:k], node] for k, b in enumerate(w.encode()) for node, _ in path[b]], float).T
+        assert (cells[: len(zero)] == lm.to_cells(zero, one)).all()
+
+
+def test_lm_sees_the_whole_word_before(spark):
+    """What follows depends on each single word before: far more of these than classes of words."""
+    follows = {f"w{zlib.crc32(str(k).encode())}": ("alpha", "omega")[zlib.crc32(b"%d" % (k * 7)) >> 5 & 1] for k in range(400)}
+    other = {"alpha": "omega", "omega": "alpha"}
+    text = lambda swap: " ".join(f"{w} {other[x] if swap else x}" for w, x in follows.items())
+    docs = spark.createDataFrame([*((k, text(False)) for k in range(12)), (100, text(False)), (101, text(True))], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in lm.scored(docs, training=F.col("doc_id") < 100).collect()}
+    assert score[100] - score[101] > 400 * math.log10(4)  # two bits a pair at least
+    # The first byte of a word is predicted from the bytes of the word before.
+    ((_, u),) = list(lm.units([b"ab c"]))
+    seen = {bytes(u.data[s : s + n]): t for s, n, t in zip(u.start, u.length, u.tail, strict=True)}
+    assert lm.three(np.frombuffer(b"c\n", np.uint8), np.array([2]), np.array([seen[b"c\n"]])).tolist() == [int.from_bytes(b"ab ", "big"), int.from_bytes(b"b c", "big")]
+
+
+def test_lm_mix_learns_from_all_training_documents(spark, monkeypatch):
+    texts = [f"doc {k} has word{k % 17} and word{k * 7 % 13}" for k in range(400)]
+    seen, averaged = [], lm.averaged
+
+    def noted(parts):
+        parts = list(parts)
+        seen.extend(p[1].sum() for p in parts)
+        return averaged(parts)
+
+    monkeypatch.setattr(lm, "averaged", noted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lm.scored(docs, training=F.lit(True)).collect()
+    data = np.frombuffer("".join(t + "\n" for t in texts).encode(), np.uint8)
+    assert sum(seen) == lm.Code(np.bincount(data, minlength=256)).length[data].sum()
+    # A unit is predicted from counts without its own occurrence.
+    zero, one, bit = np.array([0.0, 3]), np.array([1.0, 0]), np.array([1, 0])
+    assert (lm.without_one(zero, one, bit) == lm.to_cells(np.array([0.0, 2]), np.array([0.0, 0]))).all()
+
+
 def test_chat(spark):
     hard = ["</s>[INST] ok [/INST]", "", None, "<|turn|>x<|text|>", f"a{chat.MARK}.b{chat.MARK}", " [/INST]", "<s", "[", "plain é", "<<s>s>"]
     turns = [(c, k, role, t, "extra") for c, role in enumerate(("user", "assistant", "system", None, "<|end|>", ""), 1) for k, t in enumerate(hard)] + [(1, 3, "assistant", "tie", "x"), (None, 0, "user", "no id", "x")]

@@ -1,35 +1,36 @@
 """Language-model scoring by logistic context mixing.
 
 A text becomes its lower-cased (A-Z) words with one blank between them and a line end behind. Each byte is coded by a Huffman code of
-the training bytes, and each bit of that code is predicted from hashed contexts: the word's last three bytes, the word so far, and
-the word so far with a class of the word before (BEFORE_BITS of its hash). So a word's bits depend on nothing but the word and
-that class, and each pair is coded once in a block of texts, however often it occurs. Every context has counts of both bits in a table of 2**SLOT_BITS slots, gathered
-from all training documents (each task counts its own, and tables are added up in groups of FAN). The predictions' logits are added
-with weights that a gate chooses by how much each context has been seen, and an adaptive map from gate and logit to
-probability refines the sum; half of each is the result.
-
-Weights and map are fitted on the driver by online gradient descent on MIX_DOCS training documents at most (a tenth of them if they
-are few), which the counts leave out, so that weights see contexts as new as a new text's. All else covers all
-training documents, and whole texts.
+the training bytes, and each bit of that code is predicted from four contexts: the last byte and the last three bytes (both reach
+over word bounds), the word so far, and the word so far with the whole word before. All of these follow from a word, the word before,
+and what ends it, so that the distinct ones of these units, with their training counts, hold all that the corpus has to say.
+Counts of both bits are exact for every context that occurs, and no two contexts share a count (but for equal 64-bit hashes): those of
+the bytes are in tables that hold the contexts seen, those of words and pairs of words in partitioned tables (words by their first
+three bytes, units by the word before). All grow with the corpus. The predictions' logits are added with weights that a gate chooses by how much each
+context has been seen, and an adaptive map from gate and logit to probability refines the sum; half of each is the result.
+
+Weights and map are learned from all training documents: every training unit is predicted from counts that leave that one
+occurrence out, and counts as often as it occurs. Each task learns by online gradient descent over its units; weights are averaged by what each
+gate has seen, and the map's counts added up. They don't change while a text is scored, so that a unit is scored once for all texts.
 
 The base score is that of an add-one unigram model over all training tokens. Counts of the KNOWN_WORDS most frequent words at most
 are broadcast; all other words are looked up by a shuffle join with the table of counts, so that the base score is exact.
 
 Null texts count as empty: one token, the end. Without training documents all counts are 0. Rows that repeat an id have scores of
-their own. A null id counts as the text "null" in choosing training documents.
+their own. A null id counts as the text "null" in choosing training documents. Texts above 2 * BLOCK_BYTES are cut at white space, and the
+first word behind a cut has no word before.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,16 +38,14 @@ from .common import small_batches, stored, table, text_of
 from .words import _VALUES, Numbers, Words, _powers, blocks, mix
 
 KNOWN_WORDS = 500_000
-SLOT_BITS = 22
-PREDICTORS = 3
-CHUNK_BITS = 16
-FAN = 32
-MIX_DOCS, MIX_BATCH, MIX_EPOCHS, MIX_RATE = 150, 2048, 3, 0.02
-STREAM_BYTES, BLOCK_BYTES = 1 << 14, 1 << 20
-BEFORE_BITS = 5
+PREDICTORS = 4
+MIX_BATCH, MIX_RATE = 2048, 0.02
+CHUNK_UNITS, BLOCK_BYTES = 30_000, 1 << 20
 MAP_STEPS = 33
 HELD_OUT = (7, 2)
 _TOP = 7.9  # the largest logit
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_BLANKS = 0x202020
 
 
 def stream(text: bytes) -> bytes:
@@ -54,32 +53,34 @@ def stream(text: bytes) -> bytes:
 
 
 class Units:
-    """The different words of some texts, each with the class of the word before and the byte behind it.
+    """The different words of some texts, each with the word before and the byte behind it.
 
-    A word's bits have no other context, so that each unit is coded once, however often it occurs. texts: pieces of texts in
-    order; last: whether the text ends there. data holds the units end to end; the last unit is an empty text's line end.
+    A word's bits have no other context. texts: pieces of texts in order; last: whether the text ends there. data holds
+    the units end to end; the last unit is an empty text's line end.
     """
 
-    def __init__(self, texts: list[bytes], last: list[bool], distinct: bool = True):
+    def __init__(self, texts: list[bytes], last: list[bool]):
         w = Words(texts)
         n, sizes = len(w), np.diff(w.first)
-        before = np.zeros(n, np.uint64)
-        before[1:] = (w.hashes[:-1] >> np.uint64(64 - BEFORE_BITS)) + np.uint64(1)
+        source = np.frombuffer(w.buffer + b"\n", np.uint8)
+        before, tail = np.zeros(n, np.uint64), np.full(n, _BLANKS, np.int32)
+        before[1:] = np.maximum(w.hashes[:-1], np.uint64(1))
+        end = w.ends[:-1] - 1
+        tail[1:] = np.where(w.starts[:-1] < end, source[end - 1], 32).astype(np.int32) << 16 | source[end].astype(np.int32) << 8 | 32
         full = sizes > 0
         before[w.first[:-1][full]] = 0
+        tail[w.first[:-1][full]] = _BLANKS
         final = np.zeros(n, np.uint64)
         final[(w.first[1:] - 1)[full & np.array(last, bool)]] = 1
         self.owner = np.repeat(np.arange(len(texts)), sizes)
-        key = mix(w.hashes + (before * np.uint64(2) + final) * np.uint64(0x9E3779B97F4A7C15))
-        if distinct:
-            _, first, self.unit, self.times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        else:
-            first = self.unit = np.arange(n)
-            self.times = np.ones(n, np.int64)
+        key = mix(w.hashes + mix(before + np.uint64(3)) + final * _GOLD)
+        own, first, self.unit, self.times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        #: Hashes of the unit, of the word before (0: none) and of the word with its end, and the three bytes before.
+        self.key = np.append(own, np.uint64(1))
+        self.before, self.tail = np.append(before[first], np.uint64(0)), np.append(tail[first], np.int32(_BLANKS))
+        self.word = np.append(mix(w.hashes[first] + final[first] * _GOLD), np.uint64(1))
         self.length = np.append((w.ends - w.starts)[first], 0) + 1
         self.start = np.cumsum(self.length) - self.length
-        self.before = np.append(before[first], np.uint64(0))
-        source = np.frombuffer(w.buffer + b"\n", np.uint8)
         at = np.repeat(np.append(w.starts[first], 0) - self.start, self.length) + np.arange(self.length.sum())
         self.data = source[at]
         self.data[self.start + self.length - 1] = np.where(np.append(final[first], 1) == 1, 10, 32)
@@ -87,32 +88,31 @@ class Units:
         self.empty = np.flatnonzero(~full & np.array(last, bool))
         self.times = np.append(self.times, len(self.empty))
 
-    def part(self, a: int, b: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Bytes and contexts of units a to b."""
-        start, length = self.start[a:b], self.length[a:b]
-        data = self.data[start[0] : start[-1] + length[-1]]
-        return data, contexts(data, start - start[0], length, self.before[a:b])
+    def rows(self, counted: bool) -> pa.RecordBatch:
+        used = len(self.key) - (len(self.empty) == 0)
+        offsets = np.append(self.start, len(self.data)).astype(np.int32)[: used + 1]
+        spelled = pa.Array.from_buffers(pa.binary(), used, [None, pa.py_buffer(offsets), pa.py_buffer(self.data.tobytes())])
+        columns = [*(x[:used].view(np.int64) for x in (self.key, self.before, self.word)), self.tail[:used], spelled, self.times[:used] * counted]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["key", "before", "word", "tail", "spelled", "c"])
 
-    def slices(self) -> Iterator[tuple[int, int]]:
-        """Runs of units of about STREAM_BYTES bytes."""
-        a = 0
-        while a < len(self.length):
-            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + STREAM_BYTES)))
-            yield a, b
-            a = b
 
-
-def units(texts: list[bytes], distinct: bool = True) -> Iterator[tuple[list[int], Units]]:
+def units(texts: list[bytes]) -> Iterator[tuple[list[int], Units]]:
     """Units of blocks of the texts, with the number of the text that each piece comes from."""
     parts = list(blocks(texts, BLOCK_BYTES))
     order = [k for at, _ in parts for k in at]
     ends = [k + 1 == len(order) or order[k + 1] != order[k] for k in range(len(order))]
     done = 0
     for at, some in parts:
-        yield at, Units(some, ends[done : done + len(at)], distinct)
+        yield at, Units(some, ends[done : done + len(at)])
         done += len(at)
 
 
+def spelled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of binary values end to end, and their lengths."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], np.int64)
+
+
 # --- codes and contexts
 
 
@@ -145,28 +145,68 @@ class Code:
         return at, self.node[entry], self.bit[entry]
 
 
-def contexts(data: np.ndarray, start: np.ndarray, length: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-    """A 32-bit hash per byte for each predictor, of what stands before it in its unit, and for the last one the class before."""
-    n = len(data)
-    place = np.arange(n) - np.repeat(start, length)
-    last = np.zeros(n + 3, np.uint32)
-    last[3:] = data
-    three = np.where(place > 0, last[2 : n + 2], 0) | np.where(place > 1, last[1 : n + 1] << np.uint32(8), 0) | np.where(place > 2, last[:n] << np.uint32(16), 0)
+def prefixes(data: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each byte a hash of what stands before it in its word, and of the word's group."""
+    n, start = len(data), np.cumsum(length) - length
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
-    so_far = mix((sums[:n] - np.repeat(sums[start], length)) * np.repeat(down[start], length) + np.uint64(1))
-    both = so_far + np.repeat(mix(before + np.uint64(3)), length)
-    return [three.astype(np.uint32) * np.uint32(0x85EBCA6B) + np.uint32(2), so_far.astype(np.uint32), (both ^ both >> np.uint64(32)).astype(np.uint32)]
+    so_far = (sums[:n] - np.repeat(sums[start], length)) * np.repeat(down[start], length)
+    place = (np.arange(n) - np.repeat(start, length)).astype(np.uint64)
+    return mix(so_far + place * _GOLD) + np.repeat(mix(group + np.uint64(3)), length)
+
+
+def three(data: np.ndarray, length: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """For each byte the three bytes before it. tail: those before each word."""
+    start = np.cumsum(length) - length
+    place = np.arange(len(data)) - np.repeat(start, length)
+    padded = np.concatenate([np.zeros(3, np.int64), data.astype(np.int64)])
+    first, n = np.repeat(tail.astype(np.int64), length), len(data)
+    one = np.where(place > 0, padded[2 : n + 2], first & 255)
+    two = np.where(place > 1, padded[1 : n + 1], np.where(place == 1, first & 255, first >> 8 & 255))
+    far = np.where(place > 2, padded[:n], np.where(place == 2, first & 255, np.where(place == 1, first >> 8 & 255, first >> 16)))
+    return far << 16 | two << 8 | one
 
 
-def slots(context: np.ndarray, at: np.ndarray, node: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
-    """context: mixed hashes; node: mixed too (see Code)."""
-    x = context[at] + node
-    x *= np.uint32(0x2C1B3C6D)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x297A2D39)
-    return x >> np.uint32(32 - bits)
+def spread(starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at starts, end to end."""
+    return np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def bit_counts(context: np.ndarray, data: np.ndarray, times: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bit of each byte was 0 and 1 in the byte's context, with that byte's bits before it.
+
+    context: a 64-bit hash per byte. All bytes of a context must be given, each so many times.
+    """
+    if not len(data):
+        return np.zeros(0), np.zeros(0)
+    _, first, entry = np.unique(mix(context + data.astype(np.uint64) * _GOLD), return_index=True, return_inverse=True)
+    counts, byte = np.bincount(entry, times), data[first]
+    at, node, bit = code.bits(byte)
+    _, place = np.unique(mix(context[first][at] + (node.astype(np.uint64) + np.uint64(1)) * _GOLD), return_inverse=True)
+    seen, ones = np.bincount(place, counts[at]), np.bincount(place, counts[at] * bit)
+    length = code.length[byte].astype(np.int64)
+    own = spread((np.cumsum(length) - length)[entry], length[entry])
+    place = place[own]
+    return seen[place] - ones[place], ones[place]
+
+
+class Short:
+    """Counts of bits in contexts of up to three bytes, for the contexts and bytes that occur. keys: 256 * context + byte, distinct."""
+
+    def __init__(self, keys: np.ndarray, times: np.ndarray, code: Code):
+        order = np.argsort(keys)
+        self.keys = keys[order].astype(np.int64)
+        byte = (self.keys & 255).astype(np.uint8)
+        zero, one = bit_counts(mix((self.keys >> 8).astype(np.uint64)), byte, times[order], code)
+        self.zero, self.one = zero.astype(np.uint32), one.astype(np.uint32)
+        self.length = code.length[byte].astype(np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def counts(self, context: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, context << 8 | data)
+        own = spread(self.start[at], self.length[at])
+        return self.zero[own].astype(np.float64), self.one[own].astype(np.float64)
 
 
 # --- what is gathered from the corpus
@@ -206,63 +246,106 @@ def token_counts(training: DataFrame) -> DataFrame:
     return stored(training.mapInArrow(count, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c")), "counts")
 
 
-def _packed(table_: np.ndarray) -> bytes:
-    return zlib.compress(table_.tobytes(), 1)
+def to_cells(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """High 13 bits: the logit times 256, and 4096; low two bits: 0 nothing seen, 1 one bit alone, 2 both, 3 both and often."""
+    logit = np.clip(np.log((one + 0.15) / (zero + 0.15)), -_TOP, _TOP)
+    both = np.minimum(zero, one) > 0
+    seen = (zero + one > 0).astype(np.uint16) + both + (both & (zero + one > 30))
+    return (np.round(logit * 256) + 4096).astype(np.uint16) << np.uint16(2) | seen
 
 
-def _chunk(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint32)
+def without_one(zero: np.ndarray, one: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Cells of the counts less the occurrence that is predicted."""
+    return to_cells(np.maximum(zero - (bit == 0), 0), np.maximum(one - bit, 0))
 
 
-def bit_tables(training: DataFrame, code: Code) -> np.ndarray:
-    """Counts of both bits for each slot, of each predictor, as 16-bit cells: logit in steps, and how much was seen."""
-    shared, schema = training.sparkSession.sparkContext.broadcast(code), "chunk int, part long, counts binary"
+def all_units(rows: DataFrame) -> DataFrame:
+    """key, before, word, tail, spelled, c of the distinct units of all rows; c: their number in training rows. Stored.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, counts = shared.value, np.zeros((PREDICTORS, 2 << SLOT_BITS), np.uint32)
-        some = False
+    rows: columns text (binary) and held_out.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, u in units(batch.column(0).to_pylist()):
-                some = True
-                for a, b in u.slices():
-                    data, context = u.part(a, b)
-                    at, node, bit = code.bits(data)
-                    times = np.repeat(u.times[a:b].astype(np.uint32), u.length[a:b])[at]
-                    for k, hashed in enumerate(context):
-                        np.add.at(counts[k], (slots(hashed, at, node) << np.uint32(1) | bit).astype(np.int64), times)
-        if some:
-            chunks, part = counts.reshape(-1, 2 << CHUNK_BITS), TaskContext.get().partitionId()
-            for k in np.flatnonzero(chunks.any(axis=1)):
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "part": pa.array([part], pa.int64()), "counts": [_packed(chunks[k])]})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(2 << CHUNK_BITS, np.uint64)
-        for data in group["counts"]:
-            total += _chunk(data)
-        return pd.DataFrame({"chunk": group["chunk"][:1], "part": group["part"][:1] // FAN, "counts": [_packed(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))]})
-
-    def cells(group: pd.DataFrame) -> pd.DataFrame:
-        one = add(group)
-        one["counts"] = [to_cells(_chunk(one["counts"][0])).tobytes()]
-        return one
-
-    parts, rows = training.rdd.getNumPartitions(), training.mapInArrow(count, schema)
-    while parts > FAN:  # no group has more than FAN tables
-        rows = rows.groupBy("chunk", (F.col("part") / FAN).cast("long").alias("its")).applyInPandas(lambda its, group: add(group), schema)
-        parts = -(-parts // FAN)
-    out = np.zeros((PREDICTORS << (SLOT_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint16)
-    for chunk, data in rows.groupBy("chunk").applyInPandas(cells, schema).select("chunk", "counts").toLocalIterator():
-        out[chunk] = np.frombuffer(data, np.uint16)
-    return out.reshape(PREDICTORS, -1)
-
-
-def to_cells(counts: np.ndarray) -> np.ndarray:
-    """High 13 bits: the logit times 256, and 4096; low two bits: 0 nothing seen, 1 one bit alone, 2 both, 3 both and often."""
-    zero, one = counts.reshape(-1, 2).astype(np.float64).T
-    logit = np.clip(np.log((one + 0.15) / (zero + 0.15)), -_TOP, _TOP)
-    both = np.minimum(zero, one) > 0
-    seen = (zero + one > 0).astype(np.uint16) + both + (both & (zero + one > 30))
-    return (np.round(logit * 256) + 4096).astype(np.uint16) << np.uint16(2) | seen
+            texts, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for counted in (True, False):
+                for _, u in units([t for t, h in zip(texts, held, strict=True) if h != counted]):
+                    yield u.rows(counted)
+
+    out = rows.select("text", "held_out").mapInArrow(found, "key long, before long, word long, tail int, spelled binary, c long")
+    return stored(out.groupBy("key", "before", "word", "tail", "spelled").agg(F.sum("c").alias("c")), "units")
+
+
+def short_tables(all_: DataFrame, code: Code) -> tuple[Short, Short, Short]:
+    """Of the last byte, the last three bytes, and words' first bytes (up to two before the one that is predicted)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, length = spelled(batch.column(0))
+            if not len(data):
+                continue
+            times = np.repeat(batch.column(2).to_numpy(), length)
+            place = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
+            for kind, context, own in ((0, three(data, length, batch.column(1).to_numpy()), place >= 0), (1, three(data, length, np.full(len(length), _BLANKS)), place < 3)):
+                keys, at = np.unique((context << 8 | data)[own], return_inverse=True)
+                c = np.bincount(at, times[own], len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"kind": np.full(len(keys), kind, np.int32), "k": keys, "c": c})
+
+    rows = all_.select("spelled", "tail", "c").mapInArrow(found, "kind int, k long, c long").groupBy("kind", "k").agg(F.sum("c").alias("c")).toPandas()
+    kind, keys, c = (rows[x].to_numpy() for x in ("kind", "k", "c"))
+    last, at = np.unique(keys[kind == 0] & 0xFFFF, return_inverse=True)
+    return (Short(last, np.bincount(at, c[kind == 0], len(last)), code), *(Short(keys[kind == k], c[kind == k], code) for k in (0, 1)))
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], group: int, width: int | None = None) -> Iterator[pa.Table]:
+    """Sorted rows in tables of CHUNK_UNITS or more that hold whole groups: equal values, or equal first bytes, of a column."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+
+    def value(batch: pa.RecordBatch, k: int):
+        return batch.column(group)[k].as_py()[:width] if width else batch.column(group)[k].as_py()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= CHUNK_UNITS:
+            ended = value(waiting[-1], waiting[-1].num_rows - 1)
+            a, b = 0, batch.num_rows
+            while a < b:  # the first row of another group; rows of one group stand together
+                m = (a + b) // 2
+                a, b = (m + 1, b) if value(batch, m) == ended else (a, m)
+            if a < batch.num_rows:
+                yield pa.Table.from_batches([*waiting, batch.slice(0, a)])
+                waiting, size, batch = [], 0, batch.slice(a)
+        waiting.append(batch)
+        size += batch.num_rows
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def word_cells(all_: DataFrame, code: Code, start: Short) -> DataFrame:
+    """word, cells: for each bit of a word the cell of the word so far, then all of these without the one occurrence."""
+    shared = all_.sparkSession.sparkContext.broadcast((code, start))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, start = shared.value
+        for rows in in_groups(batches, 1, 3):
+            data, length = spelled(rows.column(1))
+            zero, one = bit_counts(prefixes(data, length, np.zeros(len(length), np.uint64)), data, np.repeat(rows.column(2).to_numpy(), length), code)
+            at, _, bit = code.bits(data)
+            place = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
+            # Contexts of less than three bytes are shared by groups.
+            early = place < 3
+            own = early[at]
+            zero[own], one[own] = start.counts(three(data, length, np.full(len(length), _BLANKS))[early], data[early])
+            bits = np.add.reduceat(code.length[data].astype(np.int64), np.cumsum(length) - length)
+            ends = np.cumsum(bits)
+            full, less = to_cells(zero, one), without_one(zero, one, bit)
+            cells = [full[e - n : e].tobytes() + less[e - n : e].tobytes() for e, n in zip(ends.tolist(), bits.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"word": rows.column(0).combine_chunks(), "cells": pa.array(cells, pa.binary())})
+
+    words = all_.groupBy("word", "spelled").agg(F.sum("c").alias("c"))
+    return words.repartition(F.expr("substring(spelled, 1, 3)")).sortWithinPartitions("spelled").select("word", "spelled", "c").mapInArrow(found, "word long, cells binary")
 
 
 # --- the mix
@@ -277,7 +360,7 @@ class Mixer:
 
     def logits(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         w = self.weights.astype(np.float32)
-        total = w[:, PREDICTORS][gate]
+        total = w[:, PREDICTORS][gate] * np.float32(0.3)
         for k, x in enumerate(inputs):
             total += w[:, k][gate] * x
         return np.clip(total, np.float32(-_TOP), np.float32(_TOP), out=total)
@@ -293,82 +376,129 @@ class Mixer:
         p = np.float32(0.5) / (np.float32(1) + np.exp(-logit)) + np.float32(0.5) * refined
         return np.clip(p, np.float32(1e-4), np.float32(1 - 1e-4), out=p)
 
-    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> None:
-        """Online, in small batches and the order of the bits; then the map, from what the weights give."""
-        for epoch in range(MIX_EPOCHS):
-            for a in range(0, len(bit), MIX_BATCH):
-                own, g = slice(a, a + MIX_BATCH), gate[a : a + MIX_BATCH]
-                x = [*(i[own] for i in inputs), np.full(len(g), 0.3, np.float32)]
-                total = sum(self.weights[g, k] * v for k, v in enumerate(x))
-                error = bit[own] - 1 / (1 + np.exp(-np.clip(total, -_TOP, _TOP)))
-                seen = np.sqrt(np.maximum(1, np.bincount(g, minlength=len(self.weights))))
-                for k, v in enumerate(x):
-                    self.weights[:, k] += MIX_RATE / (1 + epoch) * np.bincount(g, error * v, len(self.weights)) / seen
-        self.weights[:, PREDICTORS] *= 0.3  # its input, from here on, is 1
+    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, times: np.ndarray, rate: float = MIX_RATE) -> np.ndarray:
+        """Online, in small batches and the order of the bits, each so many times. How much each gate has seen."""
+        size = len(self.weights)
+        for a in range(0, len(bit), MIX_BATCH):
+            own, g = slice(a, a + MIX_BATCH), gate[a : a + MIX_BATCH]
+            x = [*(i[own] for i in inputs), np.full(len(g), 0.3, np.float32)]
+            total = sum(self.weights[g, k] * v for k, v in enumerate(x))
+            error = (bit[own] - 1 / (1 + np.exp(-np.clip(total, -_TOP, _TOP)))) * times[own]
+            step = rate * np.sqrt(np.bincount(g, minlength=size)) / np.maximum(1e-9, np.bincount(g, times[own], size))
+            for k, v in enumerate(x):
+                self.weights[:, k] += step * np.bincount(g, error * v, size)
+        return np.bincount(gate, times, size)
+
+    def places(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the map: how often it was met, and how often the bit was a one."""
         near = np.round((self.logits(inputs, gate) + _TOP) * ((MAP_STEPS - 1) / (2 * _TOP))).astype(np.int64)
-        shape, place = self.map.shape, gate * MAP_STEPS + near
-        seen, ones = np.bincount(place, minlength=self.map.size).reshape(shape), np.bincount(place, bit, self.map.size).reshape(shape)
-        self.map = (self.map * 16 + ones) / (16 + seen)
-
-
-class Model:
-    def __init__(self, code: Code, cells: np.ndarray, mixer: Mixer):
-        self.code, self.cells, self.mixer = code, cells, mixer
-
-    def inputs(self, data: np.ndarray, context: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """For each bit: the logits, the gate and the bit."""
-        at, node, bit = self.code.bits(data)
-        inputs, gate = [], np.zeros(len(at), np.int32)
-        for k, hashed in enumerate(context):
-            cell = self.cells[k][slots(hashed, at, node)]
-            inputs.append((cell >> np.uint16(2)).astype(np.float32) * np.float32(1 / 256) - np.float32(16))
-            gate = gate << np.int32(2) | (cell & np.uint16(3))
-        return inputs, gate, bit
-
-    def unit_scores(self, u: Units) -> np.ndarray:
-        out = np.empty(len(u.length))
-        for a, b in u.slices():
-            data, context = u.part(a, b)
-            inputs, gate, bit = self.inputs(data, context)
-            p = self.mixer.probabilities(inputs, gate)
-            value = np.log10(np.where(bit == 1, p, np.float32(1) - p))
-            bits = np.cumsum(self.code.length[data]) - self.code.length[data]
-            out[a:b] = np.add.reduceat(value, bits[u.start[a:b] - u.start[a]], dtype=np.float64)
-        return out
-
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 probability and bytes of each text's stream."""
-        out, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for at, u in units(texts):
-            value = self.unit_scores(u)
-            pieces = np.bincount(u.owner, value[u.unit], len(at))
-            lengths = np.bincount(u.owner, u.length[u.unit], len(at)).astype(np.int64)
-            pieces[u.empty] += value[-1]
-            lengths[u.empty] += 1
-            np.add.at(out, at, pieces)
-            np.add.at(size, at, lengths)
-        return out, size
-
-
-def fit(docs: DataFrame, byte_counts: np.ndarray, id_col: str = "doc_id") -> Model:
-    """docs: training documents with the id and text (binary)."""
-    hashed = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), "text")
-    n = docs.count()
-    last = hashed.select("h").orderBy("h").limit(min(MIX_DOCS, n // 10)).agg(F.max("h")).first()[0]
-    sample = hashed.where(F.col("h") <= last).orderBy("h", "text").limit(MIX_DOCS).collect() if last is not None else []
-    code = Code(byte_counts)
-    rest = hashed.where(F.col("h") > sample[-1]["h"]) if sample else hashed
-    mixer, model = Mixer(), None
-    model = Model(code, bit_tables(rest.select("text"), code), mixer)
-    if sample:
-        found = [model.inputs(*u.part(a, b)) for _, u in units([bytes(r["text"]) for r in sample], distinct=False) for a, b in u.slices()]
-        mixer.learn([np.concatenate([f[0][k] for f in found]) for k in range(PREDICTORS)], *(np.concatenate([f[k] for f in found]) for k in (1, 2)))
-    return model
+        place = gate * MAP_STEPS + near
+        return tuple(np.bincount(place, v, self.map.size).reshape(self.map.shape) for v in (times, times * bit))
+
+
+def to_inputs(cells: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Logits of each predictor, and the gate."""
+    gate = np.zeros(len(cells[0]), np.int32)
+    for cell in cells:
+        gate = gate << np.int32(2) | (cell & np.uint16(3))
+    return [(cell >> np.uint16(2)).astype(np.float32) * np.float32(1 / 256) - np.float32(16) for cell in cells], gate
+
+
+def unit_scores(rows: DataFrame, byte_counts: np.ndarray) -> DataFrame:
+    """key, value: log10 probability of each distinct unit of the rows (text, held_out). Stored."""
+    spark, code = rows.sparkSession, Code(byte_counts)
+    all_ = all_units(rows)
+    last, far, start = short_tables(all_, code)
+    with_words = all_.join(word_cells(all_, code, start), "word").select("key", "before", "tail", "spelled", "c", "cells")
+    shared = spark.sparkContext.broadcast((code, last, far))
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units in chunks for scoring (kind 0), and what this task has learned (kind 1)."""
+        code, last, far = shared.value
+        mixer, random = Mixer(), np.random.default_rng(5)
+        seen, met, ones = np.zeros(len(mixer.weights)), np.zeros_like(mixer.map), np.zeros_like(mixer.map)
+        for rows in in_groups(batches, 1):
+            keys, c = rows.column(0).to_numpy(), rows.column(4).to_numpy()
+            data, length = spelled(rows.column(3))
+            before, tail = rows.column(1).to_numpy().view(np.uint64), rows.column(2).to_numpy()
+            at, _, bit = code.bits(data)
+            bits = np.add.reduceat(code.length[data].astype(np.int64), np.cumsum(length) - length)
+            context = three(data, length, tail)
+            pair = bit_counts(prefixes(data, length, before), data, np.repeat(c, length), code)
+            counts = [last.counts(context & 255, data), far.counts(context, data), pair]
+            both = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint16)
+            begins = 2 * (np.cumsum(bits) - bits)
+            word, word_less = both[spread(begins, bits)], both[spread(begins + bits, bits)]
+            use = np.flatnonzero(c > 0)
+            if len(use):
+                random.shuffle(use)
+                order = spread((np.cumsum(bits) - bits)[use], bits[use])
+                cells = [without_one(zero[order], one[order], bit[order]) for zero, one in counts]
+                cells.insert(2, word_less[order])
+                found = (*to_inputs(cells), bit[order], np.repeat(c[use], bits[use]).astype(np.float64))
+                seen += mixer.learn(*found)
+                more = mixer.places(*found)
+                met += more[0]
+                ones += more[1]
+            chunk = (keys, data, length, tail, word, to_cells(*pair))
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([0], pa.int32()), "data": pa.array([zlib.compress(pickle.dumps(chunk), 1)], pa.binary())})
+        if seen.any():
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([1], pa.int32()), "data": pa.array([zlib.compress(pickle.dumps((mixer.weights, seen, met, ones)), 1)], pa.binary())})
+
+    sorted_ = with_words.repartition("before").sortWithinPartitions("before")
+    chunks = stored(sorted_.mapInArrow(learned, "kind int, data binary"), "chunks")
+    mixer = averaged(pickle.loads(zlib.decompress(r["data"])) for r in chunks.where("kind = 1").select("data").toLocalIterator())
+    fitted = spark.sparkContext.broadcast(mixer)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (code, last, far), mixer = shared.value, fitted.value
+        for batch in batches:
+            for packed in batch.column(0):
+                keys, data, length, tail, word, pair = pickle.loads(zlib.decompress(packed.as_py()))
+                context = three(data, length, tail)
+                inputs, gate = to_inputs([to_cells(*last.counts(context & 255, data)), to_cells(*far.counts(context, data)), word, pair])
+                p, bit = mixer.probabilities(inputs, gate), code.bits(data)[2]
+                value = np.log10(np.where(bit == 1, p, np.float32(1) - p))
+                bits = np.add.reduceat(code.length[data].astype(np.int64), np.cumsum(length) - length)
+                yield pa.RecordBatch.from_pydict({"key": keys, "value": np.add.reduceat(value, np.cumsum(bits) - bits, dtype=np.float64)})
+
+    return stored(chunks.where("kind = 0").select("data").mapInArrow(score, "key long, value double"), "unit_scores")
+
+
+def averaged(parts: Iterator[tuple[np.ndarray, ...]]) -> Mixer:
+    """Of what tasks have learned: weights by what each gate has seen; the map from the counts of all."""
+    out = Mixer()
+    weights, total, met, ones = np.zeros_like(out.weights), np.zeros(len(out.weights)), np.zeros_like(out.map), np.zeros_like(out.map)
+    for own, seen, a, b in parts:
+        weights += own * seen[:, None]
+        total += seen
+        met += a
+        ones += b
+    some = total > 0
+    out.weights[some] = weights[some] / total[some, None]
+    out.map = (out.map * 16 + ones) / (16 + met)
+    return out
 
 
 # --- scores of a table
 
 
+def unit_keys(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of each text's units, and the bytes of its stream."""
+    keys: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in texts]
+    size = np.zeros(len(texts), np.int64)
+    for at, u in units(texts):
+        own, length = u.key[u.unit].view(np.int64), u.length[u.unit]
+        first = np.searchsorted(u.owner, np.arange(len(at) + 1))
+        for k, a, b in zip(at, first[:-1], first[1:], strict=True):
+            keys[k].append(own[a:b])
+            size[k] += int(length[a:b].sum())
+        for k in u.empty:
+            keys[at[k]].append(u.key[-1:].view(np.int64))
+            size[at[k]] += 1
+    return [np.concatenate(k) for k in keys], size
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row of docs."""
     spark = docs.sparkSession
@@ -394,10 +524,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     top = words.where(F.col("c") >= least).toPandas()
     order = np.argsort(top["h"].to_numpy().view(np.uint64))
     base = {"h": top["h"].to_numpy().view(np.uint64)[order], "c": top["c"].to_numpy()[order], "ends": ends, "unit": total + distinct + 1}
-    shared = spark.sparkContext.broadcast((base, fit(own, by_byte, "doc_id")))
+    shared = spark.sparkContext.broadcast(base)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, model = shared.value
+        base = shared.value
         numbers = Numbers()
         numbers.add(base["h"])
         value = np.log10((base["c"] + 1) / base["unit"])
@@ -416,19 +546,20 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
                     known[k] += int(hit.sum())
                     at_base[k] += float(value[own[hit]].sum())
                     rare[k].extend(w.hashes[a:b][~hit].view(np.int64).tolist())
-            result, size = model.scores(texts)
-            columns = [*batch.columns[:3], *map(pa.array, (tokens, known, at_base, result, size)), pa.array(rare, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "tokens", "known", "at_base", "score", "bytes", "rare"])
+            keys, size = unit_keys(texts)
+            columns = [*batch.columns[:3], *map(pa.array, (tokens, known, at_base, size)), pa.array(rare, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "tokens", "known", "at_base", "bytes", "rare", "units"])
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    first = stored(numbered.mapInArrow(score, "row long, doc_id long, held_out boolean, tokens long, known long, at_base double, score double, bytes long, rare array<long>"), "scores")
+    first = stored(numbered.mapInArrow(score, "row long, doc_id long, held_out boolean, tokens long, known long, at_base double, bytes long, rare array<long>, units array<long>"), "scores")
     shared.destroy()  # its rows are written
     unit = float(base["unit"])
     # Words that weren't broadcast: their counts are below least, so that none is frequent.
     rare = first.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
     seen = rare.join(words.where(F.col("c") < least), "h", "left")
     sums = seen.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(unit))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = first.drop("rare").join(sums, "row", "left")
+    own = first.select("row", F.explode("units").alias("key")).join(unit_scores(rows, by_byte), "key").groupBy("row").agg(F.sum("value").alias("score"))
+    out = first.drop("rare", "units").join(sums, "row", "left").join(own, "row")
     return out.select(
         "doc_id", "held_out", F.col("tokens").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("at_base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"),
