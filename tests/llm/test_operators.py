@@ -329,7 +329,7 @@ def test_lm_sees_the_whole_word_before(spark):
     """What follows depends on each single word before: far more of these than classes of words."""
     follows = {f"w{zlib.crc32(str(k).encode())}": ("alpha", "omega")[zlib.crc32(b"%d" % (k * 7)) >> 5 & 1] for k in range(400)}
     other = {"alpha": "omega", "omega": "alpha"}
-    text = lambda swap: " ".join(f"{w} {other[x] if swap else x}" for w, x in follows.items())
+    text = lambda swap: " ".join(f"{w} {other[x] if swap else x} end" for w, x in follows.items())
     docs = spark.createDataFrame([*((k, text(False)) for k in range(12)), (100, text(False)), (101, text(True))], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in lm.scored(docs, training=F.col("doc_id") < 100).collect()}
     assert score[100] - score[101] > 400 * math.log10(4)  # two bits a pair at least
