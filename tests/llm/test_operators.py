@@ -358,6 +358,14 @@ def test_lm_mix_learns_from_all_training_documents(spark, monkeypatch):
     assert (lm.without_one(zero, one, bit) == lm.to_cells(np.array([0.0, 2]), np.array([0.0, 0]))).all()
 
 
+def test_lm_cuts_hide_no_word_before(monkeypatch):
+    text = " ".join(f"word{k}" for k in range(200)).encode()
+    whole = [set(u.key[:-1].tolist()) for _, u in lm.units([text, b"", b"b a"])]
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 50)
+    parts = [set(u.key[:-1].tolist()) for _, u in lm.units([text, b"", b"b a"])]
+    assert len(whole) == 1 and len(parts) > 10 and set.union(*parts) == whole[0]
+
+
 def test_chat(spark):
     hard = ["</s>[INST] ok [/INST]", "", None, "<|turn|>x<|text|>", f"a{chat.MARK}.b{chat.MARK}", " [/INST]", "<s", "[", "plain é", "<<s>s>"]
     turns = [(c, k, role, t, "extra") for c, role in enumerate(("user", "assistant", "system", None, "<|end|>", ""), 1) for k, t in enumerate(hard)] + [(1, 3, "assistant", "tie", "x"), (None, 0, "user", "no id", "x")]

@@ -17,8 +17,7 @@ The base score is that of an add-one unigram model over all training tokens. Cou
 are broadcast; all other words are looked up by a shuffle join with the table of counts, so that the base score is exact.
 
 Null texts count as empty: one token, the end. Without training documents all counts are 0. Rows that repeat an id have scores of
-their own. A null id counts as the text "null" in choosing training documents. Texts above 2 * BLOCK_BYTES are cut at white space, and the
-first word behind a cut has no word before.
+their own. A null id counts as the text "null" in choosing training documents.
 """
 
 from __future__ import annotations
@@ -55,21 +54,28 @@ def stream(text: bytes) -> bytes:
 class Units:
     """The different words of some texts, each with the word before and the byte behind it.
 
-    A word's bits have no other context. texts: pieces of texts in order; last: whether the text ends there. data holds
-    the units end to end; the last unit is an empty text's line end.
+    A word's bits have no other context. texts: pieces of texts in order; last: whether the text ends there; prior: hash and last bytes
+    of the word before the first piece (0: none). data holds the units end to end; the last unit is an empty text's line end.
     """
 
-    def __init__(self, texts: list[bytes], last: list[bool]):
+    def __init__(self, texts: list[bytes], last: list[bool], prior: tuple[int, int] = (0, _BLANKS)):
         w = Words(texts)
         n, sizes = len(w), np.diff(w.first)
         source = np.frombuffer(w.buffer + b"\n", np.uint8)
-        before, tail = np.zeros(n, np.uint64), np.full(n, _BLANKS, np.int32)
-        before[1:] = np.maximum(w.hashes[:-1], np.uint64(1))
-        end = w.ends[:-1] - 1
-        tail[1:] = np.where(w.starts[:-1] < end, source[end - 1], 32).astype(np.int32) << 16 | source[end].astype(np.int32) << 8 | 32
+        end = w.ends - 1
+        before = np.append(np.uint64(prior[0]), np.maximum(w.hashes, np.uint64(1)))
+        tail = np.append(np.int32(prior[1]), np.where(w.starts < end, source[end - 1], 32).astype(np.int32) << 16 | source[end].astype(np.int32) << 8 | 32)
         full = sizes > 0
-        before[w.first[:-1][full]] = 0
-        tail[w.first[:-1][full]] = _BLANKS
+        new, inside = [], prior[0] != 0  # first words of texts; whether the text has had a word
+        for k, has in enumerate(full):
+            if has and not inside:
+                new.append(w.first[k])
+            inside = (inside or has) and not last[k]
+        #: The word before the next piece.
+        self.prior = (int(before[n]), int(tail[n])) if inside else (0, _BLANKS)
+        before[new] = 0
+        tail[new] = _BLANKS
+        before, tail = before[:n], tail[:n]
         final = np.zeros(n, np.uint64)
         final[(w.first[1:] - 1)[full & np.array(last, bool)]] = 1
         self.owner = np.repeat(np.arange(len(texts)), sizes)
@@ -101,10 +107,11 @@ def units(texts: list[bytes]) -> Iterator[tuple[list[int], Units]]:
     parts = list(blocks(texts, BLOCK_BYTES))
     order = [k for at, _ in parts for k in at]
     ends = [k + 1 == len(order) or order[k + 1] != order[k] for k in range(len(order))]
-    done = 0
+    done, prior = 0, (0, _BLANKS)
     for at, some in parts:
-        yield at, Units(some, ends[done : done + len(at)])
-        done += len(at)
+        u = Units(some, ends[done : done + len(at)], prior)
+        yield at, u
+        done, prior = done + len(at), u.prior
 
 
 def spelled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
