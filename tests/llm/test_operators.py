@@ -278,6 +278,21 @@ def test_language_model_of_documents(docs, empty):
     assert np.allclose(model.probabilities([long.encode()]), model.probabilities([("the cat " * 100).encode()]), atol=0.02)
 
 
+def test_language_model_reads_whole_texts(spark):
+    """What stands in front of long texts is the same in all; the language shows behind it."""
+    random_ = random.Random(3)
+    front = "0 licence 1 text 2 of 3 all " * 320
+    words = {"en": "the cat sat on this mat with those dogs there".split(), "fr": "le chat est assis sur un tapis avec ces chiens".split()}
+    say = lambda lang, n: " ".join(random_.choice(words[lang]) for _ in range(n))
+    assert len(front) > 8000
+    rows_ = [(k, front + say(lang, 9000), lang) for k in range(60) for lang in [("en", "fr")[k % 2]]]
+    model = langid.fit(spark.createDataFrame(rows_, "doc_id long, text string, lang string"))
+    tests = [(lang, say(lang, 20)) for lang in ("en", "fr") * 20]
+    p = model.probabilities([langid.normal(t) for _, t in tests])
+    assert [model.labels[k] for k in p.argmax(axis=1)] == [lang for lang, _ in tests]
+    assert all(p.max(axis=1) > model.threshold)
+
+
 def test_lm_scores(docs, empty):
     got = lm.scored(docs, known_words=50).collect()
     train = [t or "" for d, t, *_ in ROWS if zlib.crc32(("null" if d is None else str(d)).encode()) % 7 != 2]

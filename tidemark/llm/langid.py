@@ -4,8 +4,9 @@ Subwords are the runs of two, three and four bytes of the lower-cased text that
 their ends, so that starts and ends of words show). A text is the mean of its subwords' embeddings. As all that is linear,
 the trained embeddings are multiplied with the softmax weights once, and a prediction adds up one short row per subword.
 
-The model learns from a bounded sample: SAMPLE_DOCS labelled rows with the least hashes of their ids, TRAIN_CHARS characters
-of each, of which every fifth is left out of training and calibrates: a temperature makes the mean score the share of right ones,
+The model learns from a bounded sample: SAMPLE_DOCS labelled rows with the least hashes of their ids, SNIPPETS stretches
+of each, spread evenly over the whole text and taken on the executors. Every fifth row is left out of training and calibrates, by its stretches and its whole text
+(scored on the executors too): a temperature makes the mean score the share of right ones,
 and texts whose score is below a threshold that KEEP of the calibration texts pass are rejected. Predictions read whole texts.
 
 A null text, or one without a letter, is "und" with score 0. Without any labelled row to learn from, every text is. Rows with
@@ -14,6 +15,7 @@ a null id or a null label aren't learned from; labels are compared as they are.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,6 @@ from .words import SPACE, blocks
 BUCKETS = 1 << 16
 DIMENSIONS = 12
 SAMPLE_DOCS = 4000
-TRAIN_CHARS = 8_000
 SNIPPET_BYTES, SNIPPETS = 200, 6
 EPOCHS, BATCH, RATE = 4, 128, 2.0
 KEEP = 0.999
@@ -104,11 +105,23 @@ def _snippets(text: bytes) -> list[bytes]:
 def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
     """From (text, label) pairs in a fixed order."""
     rows = [(normal(text), label) for text, label in rows if has_letter(text)]
+    model = learned([(_snippets(text), label) for text, label in rows], seed)
+    if model.labels:
+        held = held_out(rows)
+        calibrate(model, [(_snippets(text), label, len(text)) for text, label in held], model.logits([text for text, _ in held]))
+    return model
+
+
+def held_out(rows: list) -> list:
+    return [r for k, r in enumerate(rows) if k % 5 == 4] or rows
+
+
+def learned(rows: list[tuple[list[bytes], str]], seed: int = SEED) -> Model:
+    """Not calibrated, from the snippets and labels of rows in a fixed order."""
     labels = sorted({label for _, label in rows})
     if not labels:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
-    held = [r for k, r in enumerate(rows) if k % 5 == 4] or rows
-    examples = [(s, labels.index(label)) for k, (text, label) in enumerate(rows) if k % 5 != 4 or len(rows) < 5 for s in _snippets(text)]
+    examples = [(s, labels.index(label)) for k, (snippets, label) in enumerate(rows) if k % 5 != 4 or len(rows) < 5 for s in snippets]
     random = np.random.default_rng(seed)
     embedding = random.normal(0, 0.1, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)
     embedding[BUCKETS] = 0
@@ -138,15 +151,19 @@ def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
             steps += 1
     model = Model(labels, (embedding @ weights).astype(np.float32), bias.astype(np.float64))
     model.table[BUCKETS] = 0
-    # Calibration on the texts left out, whole and in snippets.
-    texts, truth = zip(*[(t, labels.index(y)) for text, y in held for t in {text: 0, **dict.fromkeys(_snippets(text))}], strict=True)
-    logits, truth = model.logits(list(texts)), np.array(truth)
+    return model
+
+
+def calibrate(model: Model, held: list[tuple[list[bytes], str, int]], whole: np.ndarray) -> None:
+    """On rows left out, whole and in snippets: snippets, label and bytes of each, and the logits of the whole texts."""
+    parts = [(s, model.labels.index(y)) for snippets, y, size in held if size > SNIPPET_BYTES for s in dict.fromkeys(snippets)]
+    logits = np.concatenate([whole, model.logits([s for s, _ in parts])]) if parts else whole
+    truth = np.array([model.labels.index(y) for _, y, _ in held] + [y for _, y in parts])
     # The temperature at which the mean score is the (smoothed) share of texts that are right.
     right = ((logits.argmax(axis=1) == truth).sum() + 0.5) / (len(truth) + 1)
     model.temperature = float(min(np.geomspace(0.02, 50, 120), key=lambda t: abs(_softmax(logits / t).max(axis=1).mean() - right)))
     best = _softmax(logits / model.temperature).max(axis=1)
     model.threshold = float(min(0.5, np.quantile(best, 1 - KEEP)))
-    return model
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -158,11 +175,41 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     if learn is not None:
         labelled = labelled.where(learn)
-    short = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, TRAIN_CHARS).alias("text"), F.col(label_col).alias("label"))
-    # Hashes are ranked first, so that few texts but the sample's reach the driver.
-    last = short.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    rows = short.where(F.col("h") <= last).orderBy("h", "id", "label", "text").limit(SAMPLE_DOCS).collect() if last is not None else []
-    return train([(r["text"], r["label"]) for r in rows])
+    rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
+    # Hashes are ranked first, so that few texts but the sample's are looked at.
+    last = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([])
+    rows = rows.where(F.col("h") <= last)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normal(t) if has_letter(t) else None for t in batch.column(3).to_pylist()]
+            snippets = pa.array([None if t is None else _snippets(t) for t in texts], pa.list_(pa.binary()))
+            digest = pa.array([None if t is None else hashlib.md5(t).hexdigest() for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], digest, snippets, pa.array([len(t or b"") for t in texts], pa.int64())], names=["h", "id", "label", "digest", "snippets", "size"])
+
+    found = rows.mapInArrow(short, "h long, id string, label string, digest string, snippets array<binary>, size long")
+    sample = [r for r in found.orderBy("h", "id", "label", "digest").limit(SAMPLE_DOCS).collect() if r["digest"] is not None]
+    model = learned([([bytes(s) for s in r["snippets"]], r["label"]) for r in sample])
+    held = held_out(sample)
+    if not held:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast((model, {(r["h"], r["digest"]) for r in held}))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, wanted = shared.value
+        hashes, done = {h for h, _ in wanted}, set()
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                if h in hashes and has_letter(text := text.as_py()) and (key := (h, hashlib.md5(own := normal(text)).hexdigest())) in wanted - done:
+                    done.add(key)
+                    yield pa.RecordBatch.from_pydict({"h": [key[0]], "digest": [key[1]], "logits": pa.array([model.logits([own])[0]], pa.list_(pa.float64()))})
+
+    whole = {(r["h"], r["digest"]): r["logits"] for r in rows.mapInArrow(scored, "h long, digest string, logits array<double>").collect()}
+    calibrate(model, [([bytes(s) for s in r["snippets"]], r["label"], r["size"]) for r in held], np.array([whole[r["h"], r["digest"]] for r in held]))
+    return model
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
