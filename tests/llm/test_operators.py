@@ -239,6 +239,15 @@ def test_pii(docs, empty):
     assert len(got[next(d for d, t, *_ in ROWS if t and "@" in t)]["base"]) == 4 and got[0]["base"] == [] and rows(pii.with_spans(empty)) == []
 
 
+def test_field_bounds_spans_inside_joined_tokens():
+    field = pii.trained()
+    number = "743-555-3824"
+    for text in (f"ann,{number},x", f"ann,b,{number}", f'{{"name":"ann","tel":"{number}","n":[1,2]}}', f"{'y' * 100}={number}", f"call:[{number}] now", f"mail a.b@c.de/{number} or so", f"f({number})"):
+        assert [(k, text[a:b]) for a, b, k in field.spans(text, pii.base_spans(text))] == [("phone", number)], text
+    for text in ("ann,2024-01-05,12:30:45,$3,500.00", '{"v":[1,22,333],"id":"8f3a","day":"05/06/2024"}'):
+        assert field.spans(text, pii.base_spans(text)) == [], text
+
+
 def test_field_sums_equal_all_segmentations():
     r = np.random.default_rng(3)
     found = [(0, 1, 0, 0, ()), (0, 2, 0, 0, ()), (1, 2, 0, 0, ()), (2, 3, 0, 0, ())]

@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans that these miss.
 
 The base spans follow four patterns, leftmost and non-overlapping for each kind; matches that fail the kind's condition are
-dropped. The field labels the white-space tokens around digits, at-signs and bracketed "at" or "dot" (everywhere
-else no candidate exists, so that "outside" is certain). A candidate is a run of at most MAX_TOKENS tokens without a
-base span, its marks at the ends taken off, and is scored as a whole: by the shape of its groups of digits, separators, checks
+dropped. The field labels the tokens around digits, at-signs and bracketed "at" or "dot" (everywhere
+else no candidate exists, so that "outside" is certain). Tokens end at white space, at marks that no kind has in it (commas, quotes, colons,
+equals signs, ...), at brackets but for those around "at", "dot", a dot or a short number, and at base spans. A candidate is a run of at most
+MAX_TOKENS tokens and MAX_CHARS characters without such a mark or a base span, its marks at the ends taken off, and is scored as a whole: by the shape of its groups of digits, separators, checks
 like Luhn's, and the word before it. Segments exclude one another; dynamic programming over token bounds sums all
 segmentations forwards and backwards, and the best one chooses boundaries and kinds together. A segment of it becomes a span
 if its probability is at least MIN_PROBABILITY.
@@ -87,27 +88,43 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 _TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.IGNORECASE)
-_TOKEN = re.compile(r"\S+")
+_TOKEN = re.compile(r"""(?:[\[({](?:at|dot|\.|[0-9]{1,4})[\])}]|[^\s,"'`:;=|<>{}\[\]()])+""", re.IGNORECASE)
+_MARK = re.compile(r"""[,"'`:;=|<>{}]""")
+_BEGIN = re.compile(r"[\w+(\[]")
 _WORD_AT = re.compile(r"\s*[\[({]\s*(at|dot|\.)\s*[\])}]\s*", re.IGNORECASE)
 _LEFT, _RIGHT = "\"'([{<,;:", "\"')]}>,;:.!?*#%$&"
 
 
+def _tokens(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Tokens outside of base spans, and (start, -1) for each of these."""
+    at = 0
+    for start, end, _ in [*taken, (len(text), len(text), "")]:
+        if start > at:
+            for m in _TOKEN.finditer(text, at, start):
+                a, b = m.span()
+                if a == at > 0:  # what joins it to a base span isn't of it
+                    first = _BEGIN.search(text, a, b)
+                    a = first.start() if first else b
+                if a < b:
+                    yield a, b
+        if start < len(text):
+            yield start, -1
+        at = max(at, end)
+
+
 def regions(text: str, taken: list[tuple[int, int, str]]) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens near a trigger, as spans; tokens that touch a base span end a run."""
+    """Runs of tokens near a trigger, as spans; a base span ends a run, and the rest of a token that it cuts is a token."""
     if not _TRIGGER.search(text):
         return
     run: list[tuple[int, int]] = []
-    quiet, k, before = 0, 0, None
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if any(s < b and a < e for s, e, _ in taken[k : k + 4]):
+    quiet, before = 0, None
+    for a, b in _tokens(text, taken):
+        if b < 0:  # a base span
             if run:
                 yield run
             run, before = [], None
             continue
-        loud = b - a <= MAX_CHARS and bool(_TRIGGER.search(m.group()))
+        loud = b - a <= MAX_CHARS and bool(_TRIGGER.search(text, a, b))
         if run:
             run.append((a, b))
             quiet = 0 if loud else quiet + 1
@@ -157,7 +174,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
     for i in range(len(tokens)):
         before = text[tokens[i - 1][0] : tokens[i - 1][1]] if i else ""
         for j in range(i, min(i + MAX_TOKENS, len(tokens))):
-            if tokens[j][1] - tokens[i][0] > MAX_CHARS:
+            if tokens[j][1] - tokens[i][0] > MAX_CHARS or (i < j and _MARK.search(text, tokens[j - 1][1], tokens[j][0])):
                 break
             a, b = trimmed(text, tokens[i][0], tokens[j][1])
             span = text[a:b]
