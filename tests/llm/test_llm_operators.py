@@ -181,6 +181,55 @@ def test_chains_and_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in near_dedup.grouped(df, near_dedup.Rule(words=3, percent=85)).collect()} == {0}
 
 
+def test_common_counts_and_forest(monkeypatch):
+    monkeypatch.setattr(near_dedup, "SLICE", 7)
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(1, 60, n).astype(np.uint64)) for n in (40, 50, 60, 45, 3)]
+    sets.append(sets[1][:-1])
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = near_dedup.common_counts(sets)
+    assert all(got[i][j] == want[i][j] for i in range(6) for j in range(6) if i != j)
+    copies = [np.append(sets[0], np.uint64(1000 + k)) for k in range(30)]
+    found = near_dedup.forest(np.arange(30), np.arange(30), copies, 85)
+    assert len(found) == 29 and len({x for pair in found for x in pair}) == 30
+    assert near_dedup.forest(np.arange(30), np.zeros(30), copies, 85) == []
+
+
+def test_many_texts_just_below_the_threshold(spark, monkeypatch):
+    """A large group of like texts, few of them linked: components equal brute force, and no stage gives more links than texts."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
+    r = random.Random(6)
+    core = [f"w{k}" for k in range(120)]
+
+    def near(words, changes):
+        words = list(words)
+        for k in r.sample(range(len(words)), changes):
+            words[k] = f"x{r.randrange(10**9)}"
+        return words
+
+    texts = [near(core, r.choice((4, 5, 6, 7))) for _ in range(180)]
+    texts += [near(t, 2) for t in texts[:25]] + [core, near(core, 1)]
+    sets = [{tuple(t[i : i + 3]) for i in range(118)} for t in texts]
+    parent = list(range(len(texts)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    seen = {}
+
+    def noted(df, name, stored=near_dedup.stored):
+        out = stored(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", noted)
+    got = near_dedup.grouped(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), near_dedup.Rule(words=3, percent=85)).collect()
+    assert [r["component_id"] for r in sorted(got)] == [find(k) for k in range(len(texts))] and len({find(k) for k in range(len(texts))}) > 100
+    assert "split" in seen and max(seen["links"]) < len(texts) and seen["rest"][0] <= len(texts) * near_dedup.Rule(words=3, percent=85).bands
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(2)
     pool = r.integers(1, 1 << 62, 900).astype(np.uint64)

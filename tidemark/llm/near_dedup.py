@@ -9,10 +9,11 @@ Documents with equal sets are one class, which its smallest id stands for. Signa
 a band meet in a bucket. Enough bands are used that a pair at the threshold is missed with a probability of MISS at most.
 
 In a bucket nobody is compared with everybody at first: each class is compared with one bucket's smallest one (its hub),
-that which it meets most often in a few bands. Then, in all bands, classes that are not yet in one component with a
-bucket's hub are compared with it. What then still shares a bucket without sharing a component is compared in blocks, and pairs
-come out of these only where sketches of the signatures can't rule them out. So the links that are left out join what is joined anyway. Every link is confirmed on the full
-sets; components come from those links.
+that which it meets most often. Then classes that are not yet in one component with a bucket's hub are compared with it. Pairs that the sizes
+or sketches of the signatures rule out are left out there. What then still shares a bucket without sharing a component is
+compared in blocks, on full sets: groups that buckets join are split by their rarest elements if they are large, and out of a block come only as many
+links as join what its links join (fewer than its sets), so that a large group of like but unlinked texts makes no table of pairs. The
+links that are left out join what is joined anyway. Every link is confirmed on the full sets; components come from those links.
 
 Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id count as one document with several
 texts. Null ids are one id, below all others. Extra columns are ignored; kept_documents() carries them along.
@@ -30,18 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, small_batches, stored, table, text_of
+from .common import drop, join_groups, small_batches, stored, table, text_of
 from .components import components
-from .idfilter import bloom, maybe, without
+from .idfilter import bloom, maybe, maybe_in, without
 from .words import Words, blocks, mix, trim
 
 NULL_ID = -(1 << 63)
 MISS = 1e-6
 #: An estimate from sketches counts as hopeless when it is this many standard errors below the threshold.
 ERRORS = 5.0
-BLOCK_ROWS = 256
-#: Bands that the first comparisons come from.
-FIRST_BANDS = 6
+#: Sets, and elements in all of them, that a block has at most on average; columns of a slice of its incidence matrix.
+BLOCK_ROWS, BLOCK_ELEMENTS, SLICE = 128, 1 << 21, 1 << 12
 STEP_ELEMENTS = 1 << 15
 
 
@@ -193,9 +193,8 @@ def _sizes_fit(a: str, b: str, rule: Rule) -> str:
     return f"100 * least({a}, {b}) >= {rule.percent} * greatest({a}, {b})"
 
 
-def _links(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b; stored) that the full sets confirm, stored: u, v. Texts of other documents are not shuffled."""
-    ids = stored(pairs.select("a").union(pairs.select("b")).distinct(), "ids")
+def _sets(ids: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, elements: the full sets of the documents in ids (doc_id, distinct, stored). Stored. Texts of others are not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
@@ -205,6 +204,17 @@ def _links(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "elements"])
         trim()
 
+    small_batches(docs.sparkSession)
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids))
+    out = stored(own.mapInArrow(run, "doc_id long, elements binary").where("length(elements) > 0").join(ids, "doc_id", "left_semi"), "sets")
+    shared.destroy()
+    return out
+
+
+def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) that the full sets confirm, stored: u, v."""
+
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -214,84 +224,144 @@ def _links(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col:
             out.append(100 * both >= rule.percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    small_batches(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids.toDF("doc_id")))
-    sets = own.mapInArrow(run, "doc_id long, elements binary").where("length(elements) > 0").join(ids.toDF("doc_id"), "doc_id", "left_semi")
-    sets = stored(sets, "sets")
-    shared.destroy()
     left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
     found = pairs.select("a", "b").join(right, "b").join(left, "a").where(linked("set_a", "set_b"))
-    out = stored(found.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "links")
-    drop(sets, ids)
+    return stored(found.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "links")
+
+
+def _labels(rows: DataFrame, parts: DataFrame, name: str = "comp") -> DataFrame:
+    """rows with the smallest class of the component so far, under that name."""
+    return rows.join(parts.toDF("doc_id", name), "doc_id", "left").withColumn(name, F.coalesce(name, "doc_id"))
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of every two sets: a product of their incidence matrix, in slices, over elements that two have."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    elements, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    column = (np.cumsum(several) - 1)[place]
+    keep = several[place]
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for start in range(0, int(several.sum()), SLICE):
+        a, b = np.searchsorted(column, [start, start + SLICE])
+        matrix = np.zeros((len(sets), SLICE), np.float32)
+        matrix[owner[a:b], column[a:b] - start] = 1
+        out += matrix @ matrix.T  # counts below 2 ** 24: exact
+    return out.astype(np.int64)
+
+
+def forest(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different components in a block, as few as join all that its links join."""
+    both, n = common_counts(sets), np.array([len(s) for s in sets])
+    hit = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1) & (comp[:, None] != comp[None, :])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        a, b = root(int(comp[i])), root(int(comp[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    from .common import drop as delete
+def _block_links(dealt: DataFrame, rule: Rule) -> DataFrame:
+    """u, v: a forest of links of each block. dealt: group, i, j, doc_id, comp, elements; a block is one of (group, i, j)."""
+    names = ["group", "i", "j", "doc_id", "comp", "elements"]
 
-    delete(*tables)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
 
+        def done() -> pa.RecordBatch:
+            found = []
+            if len(rows) > 1 and len({c for _, c, _ in rows}) > 1:
+                ids, comp = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:2])
+                found = forest(ids, comp, [np.frombuffer(x, np.uint64) for *_, x in rows], rule.percent)
+            return pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["u", "v"])
 
-def _labels(classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """classes with comp: the smallest class of the component so far."""
-    return classes.join(parts.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        for batch in batches:
+            for *block, doc, comp, elements in zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True):
+                if block != now:
+                    yield done()
+                    now, rows = block, []
+                rows.append((doc, comp, elements))
+        yield done()
+        trim()
 
+    return dealt.select(names).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "u long, v long")
 
-def _rest_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """a, b of different components, not ruled out, within each group. rows: key, i, j, side, doc_id, comp, n_shingles, sketch.
 
-    A group is a block of a bucket (i = j) or two blocks of it (sides 0 and 1, compared across).
+def _split(rows: DataFrame, rule: Rule) -> DataFrame:
+    """rows (doc_id, group, elements) of groups that are too large, with smaller groups: linked sets stay together.
+
+    Elements are ordered by how many sets have them, rarest first. Two linked sets share one of the first n - ceil(p * n) + 1 elements of
+    either's n, as the rest is too little to share. Sets that share such an element, or share it with the same third one, stay in one group.
     """
-    names = ["key", "i", "j", "side", "doc_id", "comp", "n_shingles", "sketch"]
-
-    def compare(group: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, n, side = (np.array(group[c]) for c in ("doc_id", "comp", "n_shingles", "side"))
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(ids), -1)
-        across = group["i"][0] != group["j"][0]
-        found_a, found_b = [], []
-        for k in range(len(ids) - 1):
-            rest = np.arange(k + 1, len(ids))
-            small, large = np.minimum(n[k], n[rest]), np.maximum(n[k], n[rest])
-            ok = (comp[rest] != comp[k]) & (100 * small >= rule.percent * large)
-            if across:
-                ok &= side[rest] != side[k]
-            rest = rest[ok]
-            rest = rest[(sketch[rest] == sketch[k]).mean(axis=1) >= rule.hopeless]
-            found_a.append(np.minimum(ids[rest], ids[k]))
-            found_b.append(np.maximum(ids[rest], ids[k]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
+    spread_ = "transform(sequence(0, length(elements) div 8 - 1), k -> substring(elements, k * 8 + 1, 8))"
+    each = rows.select("doc_id", "group", F.expr(f"explode({spread_})").alias("e"))
+    often = stored(each.groupBy("group", "e").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    shared = each.join(often, ["group", "e"]).groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("shared"))
+    n = F.expr("length(elements) div 8")
+    room = n - F.ceil(n * F.lit(rule.percent / 100) - 1e-9) + 1
+    # Elements of one set alone come first in the order, and take up as much of the room.
+    heads = rows.select("doc_id", n.alias("n"), room.alias("room")).join(shared, "doc_id")
+    heads = heads.withColumn("left", F.col("room") - (F.col("n") - F.size("shared"))).where("left > 0")
+    heads = stored(heads.select("doc_id", "group", F.explode(F.slice("shared", 1, F.col("left").cast("int"))["e"]).alias("e")), "prefixes")
+    hubs = heads.groupBy("group", "e").agg(F.min("doc_id").alias("v"), F.count("*").alias("times")).where("times > 1")
+    edges = heads.join(hubs, ["group", "e"]).select(F.col("doc_id").alias("u"), "v").where("u > v").distinct()
+    parts = components(edges)
+    out = _labels(rows.drop("group"), parts, "group")
+    drop(often)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, {c: [] for c in names}
-        for batch in batches:
-            found = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True):
-                if row[:3] != now:
-                    if len(group["key"]) > 1:
-                        found.append(compare(group))
-                    now, group = row[:3], {c: [] for c in names}
-                for c, value in zip(names, row, strict=True):
-                    group[c].append(value)
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
-        if len(group["key"]) > 1:
-            a, b = compare(group)
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-    return rows.select(names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+def _rest_links(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links among classes that still share a bucket without sharing a component. rows: doc_id, comp, hub, n_shingles for each of their buckets.
+
+    Classes that buckets join, directly or through others, are a group. Large groups are split by their rarest elements. A group is then one block,
+    or, if it is large still, several, of which every two meet. Of a block, as few links come out as join what its links join.
+    """
+    groups = components(rows.select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).where("u <> v").distinct())
+    classes = stored(_labels(rows.select("doc_id", "comp", "n_shingles").distinct(), groups, "group"), "grouped")
+
+    def sized(x: DataFrame) -> DataFrame:
+        per = x.groupBy("group").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        return per.select("group", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("int").alias("g"))
+
+    sizes = stored(sized(classes), "sizes")
+    mine = classes.join(sizes, "group").join(sets, "doc_id")
+    small, large = mine.where("g = 1"), mine.where("g > 1")
+    if sizes.where("g > 1").head(1):
+        again = stored(_split(large.select("doc_id", "group", "elements"), rule).select("doc_id", "group"), "split")
+        named = stored(classes.drop("group").join(again, "doc_id"), "regrouped")
+        small = small.unionByName(named.join(sized(named), "group").join(sets, "doc_id"))
+    own = small.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = own.withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k")})
+    return stored(_block_links(dealt, rule), "links")
 
 
 def grouped(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     all_rows = stored(signed(docs, rule, id_col, text_col), "signed")
     full = all_rows.where("n_shingles > 0")
-    sets = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "classes")
+    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "classes")
     # One row for each class. Its key holds the id, so that no class, however large, meets in one task.
-    heads = full.join(sets.select("set_key", F.col("first").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
-    classes = stored(heads.select("doc_id", "n_shingles", "bands", "sketch"), "heads")
-    seen = classes.select("doc_id", "n_shingles", "sketch")
+    heads = full.join(classes.select("set_key", F.col("first").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
+    heads = stored(heads.select("doc_id", "n_shingles", "bands", "sketch"), "heads")
+    seen = heads.select("doc_id", "n_shingles", "sketch")
+    # Buckets of several classes, and their members, once for all that follows.
+    each = heads.select("doc_id", F.explode("bands").alias("key"))
+    buckets = stored(each.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "buckets")
+    members = stored(each.where(maybe_in(buckets.select("key"))("key")).join(buckets, "key").select("doc_id", "hub"), "members")
+    sets = _sets(stored(members.select("doc_id").distinct(), "ids"), docs, rule, id_col, text_col)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """a, b, less those that sizes or sketches rule out."""
@@ -299,35 +369,32 @@ def grouped(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
         near = pairs.join(right, "b").join(left, "a").where(_sizes_fit("n_a", "n_b", rule))
         return near.where(_alike(rule)("sketch_a", "sketch_b") >= rule.hopeless).select("a", "b")
 
-    # First each class with the hub that it meets most often in a few bands.
-    few = classes.select("doc_id", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("key"))
-    hubs = few.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    met = few.join(hubs, "key").where("doc_id <> hub").groupBy(F.col("doc_id").alias("b"), "hub").agg(F.count("*").alias("times"))
-    first = stored(plausible(met.groupBy("b").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("a"))), "first")
-    links = _links(first, docs, rule, id_col, text_col)
+    # First each class with the hub that it meets most often.
+    met = stored(members.where("doc_id <> hub").groupBy(F.col("doc_id").alias("b"), F.col("hub").alias("a")).agg(F.count("*").alias("times")), "met")
+    first = met.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"))
+    links = _links(plausible(first), sets, rule)
     parts = components(links)
-    # Then, in all bands, only buckets in which components meet: each class with a hub of another component.
-    members = _labels(classes, parts).select("doc_id", "comp", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
-    open_ = stored(_labels(buckets.withColumnRenamed("hub", "doc_id").select("key", "doc_id", "n"), parts).toDF("doc_id", "key", "n", "hub_comp").withColumnRenamed("doc_id", "hub"), "open")
-    pairs = members.join(open_, "key").where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    second = stored(plausible(pairs.join(first, ["a", "b"], "left_anti")), "second")
+    # Then with each hub of another component.
+    comp = stored(_labels(seen.select("doc_id", "n_shingles").join(sets.select("doc_id"), "doc_id", "left_semi"), parts), "labels")
+    apart = met.join(comp.select(F.col("doc_id").alias("b"), F.col("comp").alias("x")), "b").join(comp.select(F.col("doc_id").alias("a"), F.col("comp").alias("y")), "a").where("x <> y")
+    second = stored(plausible(apart.join(first, ["a", "b"], "left_anti").select("a", "b")), "second")
     if second.head(1):
-        links = links.unionByName(_links(second, docs, rule, id_col, text_col))
-        parts = components(links)
-    # Last, classes that still share a bucket, but neither a component nor a comparison with each other.
-    again = _labels(classes, parts).select("doc_id", "comp", F.explode("bands").alias("key"))
-    split = again.join(open_.where("n > 2").select("key", "n"), "key", "left_semi").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
-    meeting = again.join(split.select("key", "n"), "key").join(seen, "doc_id")
-    dealt = meeting.withColumn("g", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
-    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumns({"i": F.least("own", "k"), "j": F.greatest("own", "k"), "side": (F.col("own") > F.col("k")).cast("int")})
-    rest = stored(_rest_pairs(dealt, rule).join(first.unionByName(second), ["a", "b"], "left_anti"), "rest")
-    if rest.head(1):
-        links = links.unionByName(_links(rest, docs, rule, id_col, text_col))
+        links = links.unionByName(_links(second, sets, rule))
         parts = components(links)
-    named = stored(_labels(sets.withColumnRenamed("first", "doc_id"), parts).select("set_key", "rows", F.col("comp").alias("component_id")), "named")
+        comp = stored(_labels(comp.drop("comp"), parts), "labels")
+    # Last, classes that still share a bucket without sharing a component.
+    own = members.join(comp, "doc_id")
+    split = own.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_distinct("doc_id").alias("n")).where("low <> high and n > 2")
+    split = stored(split.select("hub"), "open")
+    if split.head(1):
+        rest = _rest_links(stored(own.join(split, "hub").select("doc_id", "comp", "hub", "n_shingles").distinct(), "rest"), sets, rule)
+        if rest.head(1):
+            links = links.unionByName(rest)
+            parts = components(links)
+    named = stored(_labels(classes.withColumnRenamed("first", "doc_id"), parts).select("set_key", "rows", F.col("comp").alias("component_id")), "named")
     out = join_groups(full.select("set_key", "doc_id", "n_shingles"), named, ["set_key"], "rows", full.count()).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(all_rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    drop(heads, buckets, members, sets, met)
     null = lambda c: F.nullif(F.col(c), F.lit(NULL_ID)).alias(c)
     return out.select(null("doc_id"), "n_shingles", null("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
