@@ -42,6 +42,8 @@ MISS = 1e-6
 ERRORS = 5.0
 #: Sets, and elements in all of them, that a block has at most on average; columns of a slice of its incidence matrix.
 BLOCK_ROWS, BLOCK_ELEMENTS, SLICE = 128, 1 << 21, 1 << 12
+#: Cells of the table that orders elements of large groups, and elements that a task counts at once.
+CELLS, COUNTED = 1 << 21, 1 << 21
 STEP_ELEMENTS = 1 << 15
 
 
@@ -299,30 +301,61 @@ def _block_links(dealt: DataFrame, rule: Rule) -> DataFrame:
     return dealt.select(names).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "u long, v long")
 
 
-def _split(rows: DataFrame, rule: Rule) -> DataFrame:
-    """rows (doc_id, group, elements) of groups that are too large, with smaller groups: linked sets stay together.
+def _levels(rows: DataFrame) -> np.ndarray:
+    """For each cell (the low bits of an element's hash) how often its most frequent element stands in rows, as a logarithm: 0 for once.
 
-    Elements are ordered by how many sets have them, rarest first. Two linked sets share one of the first n - ceil(p * n) + 1 elements of
-    either's n, as the rest is too little to share. Sets that share such an element, or share it with the same third one, stay in one group.
+    At most CELLS cells: where more elements share one, sets share more of their rarest elements, and groups are split less.
     """
-    spread_ = "transform(sequence(0, length(elements) div 8 - 1), k -> substring(elements, k * 8 + 1, 8))"
-    each = rows.select("doc_id", "group", F.expr(f"explode({spread_})").alias("e"))
-    often = stored(each.groupBy("group", "e").agg(F.count("*").alias("times")).where("times > 1"), "often")
-    shared = each.join(often, ["group", "e"]).groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("shared"))
-    n = F.expr("length(elements) div 8")
-    room = n - F.ceil(n * F.lit(rule.percent / 100) - 1e-9) + 1
-    # Elements of one set alone come first in the order, and take up as much of the room.
-    heads = rows.select("doc_id", n.alias("n"), room.alias("room")).join(shared, "doc_id")
-    heads = heads.withColumn("left", F.col("room") - (F.col("n") - F.size("shared"))).where("left > 0")
-    heads = stored(heads.select("doc_id", "group", F.explode(F.slice("shared", 1, F.col("left").cast("int"))["e"]).alias("e")), "prefixes")
-    hubs = heads.groupBy("group", "e").agg(F.min("doc_id").alias("v"), F.count("*").alias("times")).where("times > 1")
-    edges = heads.join(hubs, ["group", "e"]).select(F.col("doc_id").alias("u"), "v").where("u > v").distinct()
-    parts = components(edges)
-    out = _labels(rows.drop("group"), parts, "group")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            waiting += [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            n += sum(map(len, waiting[-batch.num_rows :]))
+            if n > COUNTED:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(waiting), return_counts=True)], names=["e", "times"])
+                waiting, n = [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(waiting), return_counts=True)], names=["e", "times"])
+
+    often = stored(rows.select("elements").mapInArrow(count, "e long, times long").groupBy("e").agg(F.sum("times").alias("times")).where("times > 1"), "often")
+    cells = min(CELLS, 1 << max(10, (16 * often.count()).bit_length()))
+    found = often.groupBy(F.col("e").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.max(F.floor(F.log2("times"))).cast("int").alias("level")).toPandas()
     drop(often)
+    out = np.zeros(cells, np.uint8)
+    out[found["cell"].to_numpy(np.int64)] = found["level"].to_numpy(np.int64)
     return out
 
 
+def first_elements(elements: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """Of a set the first n - ceil(p * n) + 1 elements by level and hash, less those that no other set has."""
+    own = levels[(elements & np.uint64(len(levels) - 1)).astype(np.int64)]
+    order = np.lexsort((elements, own))[: len(elements) - -(-percent * len(elements) // 100) + 1]
+    return elements[order[own[order] > 0]]
+
+
+def _split(rows: DataFrame, rule: Rule) -> DataFrame:
+    """rows (doc_id, group, elements) of groups that are too large, with smaller groups: linked sets stay together.
+
+    Elements are in one order for all sets, by how many sets have them (roughly), rarest first. Two linked sets share one of either's first
+    n - ceil(p * n) + 1 elements, as what follows is too little to share. Sets that share such an element, or share it with the same third one, stay in one group.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_levels(rows))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        for batch in batches:
+            found = [first_elements(np.frombuffer(x, np.uint64), levels, rule.percent) for x in batch.column(2).to_pylist()]
+            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["doc_id", "group", "e"])
+
+    first = stored(rows.select("doc_id", "group", "elements").mapInArrow(heads, "doc_id long, group long, e long"), "prefixes")
+    hubs = first.groupBy("group", "e").agg(F.min("doc_id").alias("v"), F.count("*").alias("times")).where("times > 1").select("group", "e", "v")
+    parts = components(first.join(hubs, ["group", "e"]).select(F.col("doc_id").alias("u"), "v").where("u > v").distinct())
+    drop(first)
+    return _labels(rows.drop("group"), parts, "group")
+
+
 def _rest_links(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links among classes that still share a bucket without sharing a component. rows: doc_id, comp, hub, n_shingles for each of their buckets.
 
