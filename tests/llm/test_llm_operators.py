@@ -138,7 +138,27 @@ def test_plan_is_near_its_bound():
         assert sum(k * t for k, t in found.items()) <= 4096
         for k, t in found.items():
             got[k] += uses * t
-    assert got == h and sum(u for u, _ in p) <= 1.005 * sum(k * n for k, n in h.items()) / 4096 + 1
+    assert got == h and sum(u for u, _ in p) <= 1.001 * sum(k * n for k, n in h.items()) / 4096 + 1
+    assert packing.share_of_program(h) > 0.9
+
+
+@pytest.mark.parametrize("counts", [{4096: 5}, {1: 3}, {4095: 4, 2: 1}, {3000: 7, 2000: 9}, {1366: 100}, {}])
+def test_plan_of_odd_histograms(counts):
+    got = Counter()
+    for uses, found in packing.plan(counts):
+        assert uses > 0 and sum(k * t for k, t in found.items()) <= 4096
+        for k, t in found.items():
+            got[k] += uses * t
+    assert got == counts
+
+
+def test_program_prices_what_is_left():
+    """The knapsack's value for each capacity equals that of a search through all multisets."""
+    lengths, values = np.array([3, 5, 7]), np.array([0.4, 0.5, 0.9])
+    best, _ = packing.knapsack(lengths, values, 20)
+    for c in range(21):
+        each = ((a * 0.4 + b * 0.5 + d * 0.9, c - 3 * a - 5 * b - 7 * d) for a in range(7) for b in range(5) for d in range(3))
+        assert math.isclose(best[c], max(v - packing.WASTE / 20 * free for v, free in each if free >= 0), abs_tol=1e-9)
 
 
 def brute(words, percent):

@@ -5,15 +5,16 @@ capacity and a shorter last one. The histogram of lengths (at most as many rows
 
 A configuration is a multiset of lengths that fits one sequence. The program asks for the fewest sequences that hold
 every length as often as it occurs. It is solved by multiplicative weights: each length has a weight that falls as it is
-covered; a knapsack dynamic program finds the configurations of greatest weight; they are used for a step. The fractional
-solution is rounded down, what is left goes through the program again, and the last rest, in which every configuration
-is wanted less than once, is packed by best-fit decreasing over the histogram. Each step of that uses up a length, so the
-plan's size depends on the capacity, not on the number of documents.
+covered; a knapsack dynamic program prices the room that is left after each choice, and configurations of greatest weight are read from it and
+used for a step. The solution is rounded down, what is left goes through the program again, and the last rest (about a hundredth of the pieces,
+often none) is packed by best-fit decreasing over the histogram. Each step of that uses up a length, so the
+plan's size depends on the capacity, not on the number of documents. share_of_program() tells how many pieces the program places.
 
 Pieces then find their places by rank among the pieces of their length: ranks come from counts per partition
 and length, so that no length, however common, is dealt to one task.
 
-Null texts count as empty, and an empty document is its end id alone. Rows that repeat an id are packed as rows of their own.
+Null texts count as empty, and an empty document is its end id alone. Rows that repeat an id are packed as rows of their own. Very long texts
+are encoded in blocks and cut. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,19 +35,23 @@ from .tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Of the linear program: rounds of solving and rounding down, knapsacks in each, configurations from each knapsack.
-ROUNDS, KNAPSACKS, CONFIGURATIONS = 2, 60, 48
-STEPS, SHARPNESS, NEAR = 6, 6.0, 0.97
+#: Of the linear program: knapsacks in each round, configurations from each knapsack, and the free tokens that one may leave, by round.
+KNAPSACKS, CONFIGURATIONS, ROOM = 30, 1000, (0, 0, 0, 1)
+#: The share of a length's count that one step of a configuration covers; how fast weights fall; what a free token costs; how weights grow with length,
+#: as long pieces have fewer partners.
+STEP, SHARPNESS, WASTE, GROWTH = 0.25, 3.0, 3.0, 1.5
+#: So many pieces at most (a hundredth of all, if that is more) are left to best fit.
+REST = 24
 
 
 def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for each capacity with any number of each length; the index of a length in the best choice (-1: none)."""
+    """Best value for each capacity with any number of each length, where a token left free costs WASTE; the last length's index (-1: a free token)."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     order = np.argsort(lengths)
     ls, vs = lengths[order], values[order]
     fits = np.searchsorted(ls, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c], choice[c] = best[c - 1], -1
+        best[c] = best[c - 1] - WASTE / capacity
         if n := fits[c]:
             total = best[c - ls[:n]] + vs[:n]
             k = int(total.argmax())
@@ -55,39 +60,54 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np
     return best, choice
 
 
-def _read(choice: np.ndarray, lengths: np.ndarray, room: int) -> Counter:
-    found: Counter = Counter()
-    while room > 0:
-        if (k := choice[room]) < 0:
-            room -= 1
-        else:
-            found[int(k)] += 1
-            room -= int(lengths[k])
+def _read(best: np.ndarray, lengths: np.ndarray, values: np.ndarray, left: np.ndarray, first: int, capacity: int) -> dict[int, int]:
+    """The best configuration with a length in it, of lengths of which enough is left; lengths are in order."""
+    found, room = {first: 1}, capacity - int(lengths[first])
+    while n := int(np.searchsorted(lengths, room, side="right")):
+        total = best[room - lengths[:n]] + values[:n]
+        total[left[:n] < 1] = -np.inf
+        for k, t in found.items():
+            if k < n and left[k] < t + 1:
+                total[k] = -np.inf
+        k = int(total.argmax())
+        if total[k] == -np.inf:
+            break
+        found[k] = found.get(k, 0) + 1
+        room -= int(lengths[k])
     return found
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple, float]:
-    """Fractional use of configurations (tuples of (index, times)) that covers counts, or much of them."""
-    covered, used = np.zeros(len(lengths)), defaultdict(float)
-    for _ in range(KNAPSACKS):
-        if (covered >= 1).all():
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, room: int, knapsacks: int = KNAPSACKS) -> dict[tuple, float]:
+    """Use of configurations (tuples of (index, times)), each with at most room free tokens, that covers counts or much of them. lengths: in order.
+
+    A length's weight falls as it is covered. A configuration is used until it has covered STEP of the counts of one of its lengths, but once at
+    least: so a low count isn't spread over more configurations than it has pieces, and rounding down loses less than a use of each.
+    """
+    left, used = counts.astype(float), defaultdict(float)
+    for turn in range(knapsacks):
+        open_ = np.flatnonzero(left >= 1)
+        if not len(open_):
             break
-        values = np.where(covered < 1, np.exp(-SHARPNESS * covered), 1e-9) / counts
-        best, choice = knapsack(lengths, values, capacity)
-        with_each = values + best[capacity - lengths]
-        seen: set[int] = set()
-        for k in np.argsort(-with_each)[: CONFIGURATIONS * 8]:
-            if with_each[k] < NEAR * best[capacity] or len(seen) > 8 * CONFIGURATIONS:
-                break
-            if int(k) in seen or covered[k] >= 1:
+        own = lengths[open_]
+        values = np.exp(SHARPNESS * (left[open_] / counts[open_] - 1)) * (own / capacity) ** GROWTH
+        best = knapsack(own, values, capacity)[0]
+        with_each = values + best[capacity - own]
+        before = left.sum()
+        # Configurations of the greatest weight first; of those of about the same weight, the one with the largest length.
+        order = np.lexsort((-own, -np.round(with_each, 2)))
+        for k in order[:CONFIGURATIONS]:
+            now = left[open_]
+            if now[k] < 1:
+                continue
+            found = _read(best, own, values, now, int(k), capacity)
+            at, times = open_[list(found)], np.array(list(found.values()))
+            if capacity - int((lengths[at] * times).sum()) > room:
                 continue
-            found = _read(choice, lengths, capacity - int(lengths[k]))
-            found[int(k)] += 1
-            at, times = np.array(list(found)), np.array(list(found.values()))
-            step = float((counts[at] / times).min()) / STEPS
-            used[tuple(sorted(found.items()))] += step
-            covered[at] += step * times / counts[at]
-            seen.update(found)
+            step = min(float((left[at] / times).min()), max(1.0, STEP * float((counts[at] / times).min())))
+            used[tuple(sorted(zip(at.tolist(), times.tolist(), strict=True)))] += step
+            left[at] -= step * times
+        if left.sum() == before:
+            break
     return used
 
 
@@ -118,30 +138,39 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Iterator[t
         yield uses, found
 
 
+def share_of_program(histogram: dict[int, int], capacity: int = CAPACITY) -> float:
+    """The share of pieces that configurations of the linear program hold."""
+    placed = sum(uses * sum(found.values()) for uses, found, own in steps_of_plan(histogram, capacity) if own)
+    return placed / max(1, sum(histogram.values()))
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """Configurations (length: times) and how often each is used; together they hold exactly the histogram."""
-    out: list[tuple[int, dict[int, int]]] = []
+    return [(uses, found) for uses, found, _ in steps_of_plan(histogram, capacity)]
+
+
+def steps_of_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int], bool]]:
+    """plan(), and whether each configuration is one of the linear program's (else the rest's, by best fit)."""
+    out: list[tuple[int, dict[int, int], bool]] = []
     items = sorted((length, n) for length, n in histogram.items() if n > 0)
     if not items:
         return out
     lengths, left = np.array([x for x, _ in items]), np.array([n for _, n in items])
-    for _ in range(ROUNDS):
+    for room in ROOM:
         open_ = np.flatnonzero(left > 0)
-        if not len(open_):
+        if left.sum() <= max(REST, sum(histogram.values()) // 100):
             break
-        used, done = solve(lengths[open_], left[open_].astype(float), capacity), 0
-        # Full configurations first: the last ones may find less left than they ask for.
-        waste = lambda found: capacity - sum(int(lengths[open_[k]]) * t for k, t in found)
-        for found, x in sorted(used.items(), key=lambda p: (waste(p[0]), -p[1], p[0])):
-            uses = min([int(x), *(int(left[open_[k]]) // t for k, t in found)])
-            if uses > 0 and waste(found) <= capacity // 256:
+        used, done = solve(lengths[open_], left[open_].astype(float), capacity, room), 0
+        for found, x in sorted(used.items(), key=lambda p: (-p[1], p[0])):
+            uses = min([int(x + 1e-9), *(int(left[open_[k]]) // t for k, t in found)])
+            if uses > 0:
                 done += uses
-                out.append((uses, {int(lengths[open_[k]]): t for k, t in found}))
+                out.append((uses, {int(lengths[open_[k]]): t for k, t in found}, True))
                 for k, t in found:
                     left[open_[k]] -= t * uses
         if not done:
             break
-    out += [(uses, {int(lengths[k]): t for k, t in found.items()}) for uses, found in best_fit(lengths, left, capacity)]
+    out += [(uses, {int(lengths[k]): t for k, t in found.items()}, False) for uses, found in best_fit(lengths, left, capacity)]
     return out
 
 
