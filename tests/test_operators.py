@@ -92,10 +92,32 @@ def test_lowess_equals_pointwise_form():
     assert np.allclose(fit[np.searchsorted(xs, x)], pointwise(x, y, 0.1, 3), atol=1e-9)
 
 
+def test_lowess_of_uneven_points():
+    """Distinct fractions, a dense cluster among few points, and ties as many as neighbours."""
+    r = np.random.default_rng(4)
+    for x in (r.normal(0.45, 0.06, 400), np.append(r.normal(0.4, 0.001, 200), r.uniform(0, 1, 30)), np.repeat([0.1, 0.2, 0.3], [50, 2, 100])):
+        y = np.sin(x * 9) + r.normal(0, 0.1, len(x))
+        xs, fit = smooth.lowess(x, y)
+        assert np.allclose(fit[np.searchsorted(xs, x)], pointwise(x, y, 0.1, 3), atol=1e-9)
+
+
+def test_lowess_of_a_genome():
+    """As many windows as a genome has, nearly all with a fraction of their own: the curve follows what made the points."""
+    r = np.random.default_rng(6)
+    length = r.integers(2500, 5001, 200_000)
+    x = r.binomial(length, r.normal(0.42, 0.06, len(length)).clip(0.1, 0.9)) / length
+    y = 1 + np.sin(x * 9) + r.normal(0, 0.2, len(x))
+    xs, fit = smooth.lowess(x, y)
+    inner = (xs > 0.3) & (xs < 0.55)
+    assert len(xs) > 100_000 and np.abs(fit - 1 - np.sin(xs * 9))[inner].max() < 0.05
+
+
 def test_interpolation_is_clamped(spark):
     curve = spark.createDataFrame([("s", 0.2, 1.0), ("s", 0.4, 3.0)], "sample string, gc double, fit double")
     q = spark.createDataFrame([("s", g, k) for k, g in enumerate((0.1, 0.2, 0.25, 0.4, 0.9, None))] + [("t", 0.3, 6)], "sample string, gc double, k int")
-    assert [round(r["fit"], 9) if r["fit"] is not None else None for r in smooth.interpolated(q, curve).orderBy("k").collect()] == [1.0, 1.0, 1.5, 3.0, 3.0, None, None]
+    for knots in (0, 10):  # by order, and by a broadcast curve
+        assert [round(r["fit"], 9) if r["fit"] is not None else None for r in smooth.interpolated(q, curve, knots).orderBy("k").collect()] == [1.0, 1.0, 1.5, 3.0, 3.0, None, None]
+    assert smooth.interpolated(q, curve.limit(0)).where("fit is not null").count() == 0
 
 
 def matrix_rows(spark, values):

@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,13 +21,13 @@ def shared_folder(spark: SparkSession) -> str | None:
 def reused(df: DataFrame) -> DataFrame:
     """df, computed once: written to the shared folder and read back, which also cuts its lineage short.
 
-    Without a shared folder it is kept in memory or on disk, where blocks that an executor loses are computed again.
+    On a cluster without a shared folder this is an error: what executors keep themselves is lost with them.
     """
     if getattr(df, "_reused", False):
         return df
     spark = df.sparkSession
     if (root := shared_folder(spark)) is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

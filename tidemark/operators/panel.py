@@ -1,12 +1,15 @@
 """Panel of normals: low-rank bias removed from the normals' matrix, and a median and variance for each window.
 
-With rows centred, only the top right singular vectors matter: they are eigenvectors of the samples' Gram matrix, which a
-group-by makes. The driver sees that matrix (samples x samples) alone, and the projection goes back as a broadcast table.
+With rows centred, only the top right singular vectors matter: they are eigenvectors of the samples' Gram matrix, which
+partitions add up by matrix products. The driver sees that matrix (samples x samples) alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,50 +33,78 @@ def row_centred(rows: DataFrame, value: str = "depth") -> DataFrame:
     return rows.withColumn("row_mean", mean).withColumn("off", F.col(value) - F.col("row_mean"))
 
 
-def gram(centred: DataFrame) -> DataFrame:
-    """s1, s2, g: sums over windows of products of two samples' distances. One shuffle by window, products in the map side."""
-    per_window = centred.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("sample", "off"))).alias("cells"))
-    a = per_window.select("cells", F.explode("cells").alias("a"))
-    return a.select(F.col("a.sample").alias("s1"), F.col("a.off").alias("o1"), F.explode("cells").alias("b")).groupBy("s1", F.col("b.sample").alias("s2")).agg(F.sum(F.col("o1") * F.col("b.off")).alias("g"))
+def _by_window(centred: DataFrame) -> DataFrame:
+    """window_id, cells: a window's samples in order, with their distances and the row's mean."""
+    cells = F.sort_array(F.collect_list(F.struct("sample", "off", "row_mean")))
+    return centred.groupBy("window_id").agg(cells.alias("cells"))
+
+
+def gram(windows: DataFrame) -> DataFrame:
+    """s1, s2, g: sums over windows of products of two samples' distances; with the sample "" that is 1 in every window, for means and counts.
+
+    windows: of _by_window(). Each partition adds up matrix products of its batches, and gives samples x samples rows once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            by_samples: dict[tuple, list] = {}
+            for samples, offs in zip(batch["samples"], batch["offs"], strict=True):
+                by_samples.setdefault(("", *samples), []).append((1.0, *offs))
+            for samples, rows in by_samples.items():
+                x = np.array(rows)
+                total[samples] = total.get(samples, 0) + x.T @ x
+        for samples, g in total.items():
+            n = len(samples)
+            yield pd.DataFrame({"s1": np.repeat(samples, n), "s2": np.tile(samples, n), "g": g.ravel()})
+
+    some = windows.select(F.col("cells.sample").alias("samples"), F.col("cells.off").alias("offs"))
+    return some.mapInPandas(run, "s1 string, s2 string, g double").groupBy("s1", "s2").agg(F.sum("g").alias("g"))
+
+
+def _matrix(g: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """Samples, their Gram matrix, sums of their distances, and the number of windows."""
+    pairs = {(r["s1"], r["s2"]): r["g"] for r in g.collect()}
+    samples = sorted({a for a, _ in pairs} - {""})
+    return samples, np.array([[pairs.get((a, b), 0.0) for b in samples] for a in samples]), np.array([pairs["", s] for s in samples]), float(pairs.get(("", ""), 0))
 
 
-def projection(g: DataFrame, k: int) -> tuple[list[str], np.ndarray, float]:
-    """Samples, the projection on the top k right singular vectors, and the share of the sum of squares in them."""
-    rows = g.collect()
-    samples = sorted({r["s1"] for r in rows})
-    at, matrix = {s: i for i, s in enumerate(samples)}, np.zeros((len(samples), len(samples)))
-    for r in rows:
-        matrix[at[r["s1"]], at[r["s2"]]] = r["g"]
-    values, vectors = np.linalg.eigh(matrix)
-    top = vectors[:, ::-1][:, : components_to_remove(len(samples), k)]
-    total = float(values.clip(0).sum())
-    return samples, top @ top.T, float(values.clip(0)[::-1][: top.shape[1]].sum()) / total if total > 0 else 0.0
+def _basis(matrix: np.ndarray, k: int) -> np.ndarray:
+    """The top k right singular vectors, as columns."""
+    return np.linalg.eigh(matrix)[1][:, ::-1][:, : components_to_remove(len(matrix), k)]
 
 
 def explained_variance(rows: DataFrame, k: int = DEFAULT.components, value: str = "depth") -> float:
     """Per cent of the columns' variance that the scores on the removed components have."""
-    centred = reused(row_centred(rows, value))
-    samples, project, _ = projection(gram(centred), k)
-    values, vectors = np.linalg.eigh(project)
-    basis = vectors[:, values > 0.5]
-    pairs = {(r["s1"], r["s2"]): r["g"] for r in gram(centred).collect()}
-    means = {r["sample"]: (r["m"], r["n"]) for r in centred.groupBy("sample").agg(F.avg("off").alias("m"), F.count("*").alias("n")).collect()}
-    n = means[samples[0]][1]
-    mean = np.array([means[s][0] for s in samples])
-    covariance = np.array([[pairs[a, b] for b in samples] for a in samples]) / n - np.outer(mean, mean)
+    samples, matrix, sums, n = _matrix(gram(_by_window(row_centred(rows, value))))
+    basis = _basis(matrix, k)
+    covariance = matrix / n - np.outer(sums / n, sums / n)
     total = float(np.trace(covariance))
     return 100.0 * float(np.trace(basis.T @ covariance @ basis)) / total if total > 0 else 0.0
 
 
 def denoised(rows: DataFrame, k: int = DEFAULT.components, value: str = "depth") -> DataFrame:
-    """sample, window_id, depth, row_mean and denoised, the depth without its share in the top k components."""
-    centred = reused(row_centred(rows, value))
-    samples, project, _ = projection(gram(centred), k)
-    cells = [(samples[i], samples[j], float(project[i, j])) for i in range(len(samples)) for j in range(len(samples))]
-    spark = rows.sparkSession
-    links = spark.createDataFrame(cells, "sample string, other string, p double")
-    bias = centred.select("window_id", F.col("sample"), "off").join(F.broadcast(links), "sample").groupBy("window_id", F.col("other").alias("sample")).agg(F.sum(F.col("off") * F.col("p")).alias("bias"))
-    return centred.join(bias, ["window_id", "sample"]).withColumn("denoised", F.col("off") - F.col("bias") + F.col("row_mean")).drop("off", "bias")
+    """sample, window_id, row_mean, value's column and denoised, the depth without its share in the top k components.
+
+    The vectors (samples x k numbers) are in the plan; a window's scores and the rest are functions of its array of cells.
+    """
+    windows = reused(_by_window(row_centred(rows, value)))
+    samples, matrix, _, _ = _matrix(gram(windows))
+    basis = _basis(matrix, k)
+    names = F.array(*map(F.lit, samples))
+    loads = [F.map_from_arrays(names, F.array(*[F.lit(float(x)) for x in v])) for v in basis.T]
+
+    def score(load):
+        return F.aggregate("cells", F.lit(0.0), lambda total, c: total + c["off"] * load[c["sample"]])
+
+    def rest(c):
+        bias = F.lit(0.0)
+        for j, load in enumerate(loads):
+            bias = bias + F.col(f"score{j}") * load[c["sample"]]
+        return F.struct(c["sample"].alias("sample"), (c["off"] + c["row_mean"]).alias(value), c["row_mean"].alias("row_mean"), (c["off"] - bias + c["row_mean"]).alias("denoised"))
+
+    scored = windows.select("window_id", "cells", *[score(load).alias(f"score{j}") for j, load in enumerate(loads)])
+    return scored.select("window_id", F.explode(F.transform("cells", rest)).alias("c")).select("c.sample", "window_id", *[f"c.{x}" for x in (value, "row_mean", "denoised")])
 
 
 def panel_stats(rows: DataFrame, value: str = "denoised") -> DataFrame:

@@ -1,23 +1,28 @@
 """Robust local regression (LOWESS) of a value on gc content, and correction by it.
 
-Tricube weights vanish at the distance of the k-th nearest point. So the fit at x depends on that distance and
-on sums over points with the same gc alone: local fits run over distinct gc values, not over points, which
-makes millions of windows per sample cheap. Residuals and robustness weights are of points.
+Tricube weights vanish at the distance of the k-th nearest point. The fit at x depends on that distance and on sums over the points
+around. Both come without looking at each point for each x: the k nearest points are a run of the points in order, which a binary search
+finds for all x at once; and the tricube weight is a polynomial of the distance on either side, so that weighted sums are differences of running sums of powers.
+These are taken around centres that are close to x (within half its bandwidth), where powers stay small and nothing cancels. So a
+curve takes time in proportion to its points, however many distinct gc values they have. Residuals and robustness weights are of points.
 
 One sample is one group of the grouped map: windows of one genome, of a bounded number.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_column, clip
+from ..functions.columns import as_column, clip, nan_to_null
 from ..params import DEFAULT
 
-ROWS = 512
+#: Knots of all samples' curves (16 bytes each) up to which they are broadcast.
+BROADCAST_KNOTS = 2_000_000
 
 
 def neighbours(n: int, frac: float) -> int:
@@ -43,33 +48,79 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float = DEFAULT.lowess_frac, pass
 
 
 def _radii(xs: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
-    """Distance to the k-th nearest point from each distinct x."""
-    out = np.empty(len(xs))
-    for i, x in enumerate(xs):
-        near = np.abs(xs - x)
-        order = np.argsort(near, kind="stable")
-        out[i] = near[order[np.searchsorted(np.cumsum(count[order]), k)]]
+    """Distance to the k-th nearest point from each distinct x: the least over runs of k points of the larger distance to their ends."""
+    points = np.repeat(xs, count)
+    low, high = np.zeros(len(xs), np.int64), np.full(len(xs), len(points) - k, np.int64)
+    while (open_ := low < high).any():  # the first run whose end is farther than its start
+        middle = (low + high) // 2
+        far = points[middle + k - 1] - xs >= xs - points[middle]
+        high = np.where(open_ & far, middle, high)
+        low = np.where(open_ & ~far, middle + 1, low)
+    reach = lambda at: np.maximum(np.abs(xs - points[at]), np.abs(points[at + k - 1] - xs))
+    return np.minimum(reach(low), reach(np.maximum(low - 1, 0)))
+
+
+#: Tricube: (1 - u^3)^3 in powers 0, 3, 6, 9 of u; 1 up to NEAR and 0 beyond FAR (as in the usual implementation).
+_TRICUBE = ((0, 1.0), (3, -3.0), (6, 3.0), (9, -1.0))
+NEAR, FAR = 0.001, 0.999
+_POWERS = 12
+
+
+def _moments(sums: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+    """For each t the sums of w (z - t)^r, r < n, over places a to b, from running sums of w z^p."""
+    part = sums[:n, b] - sums[:n, a]
+    back = (-t)[None] ** np.arange(n)[:, None]
+    return np.stack([sum(comb(r, p) * back[r - p] * part[p] for p in range(r + 1)) for r in range(n)])
+
+
+def _running(weights: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, len(z) + 1))
+    np.cumsum(weights * z[None] ** np.arange(n)[:, None], axis=1, out=out[:, 1:])
     return out
 
 
 def _local(xs: np.ndarray, radius: np.ndarray, w: np.ndarray, wy: np.ndarray, plain: np.ndarray) -> np.ndarray:
-    out = np.empty(len(xs))
-    for a in range(0, len(xs), ROWS):
-        x, h = xs[a : a + ROWS, None], radius[a : a + ROWS, None]
-        u = np.abs(xs[None] - x) / np.where(h > 0, h, 1)
-        tricube = np.where(u <= 0.001, 1.0, np.where(u > 0.999, 0.0, (1 - np.minimum(u, 1) ** 3) ** 3))
-        tricube = np.where(h > 0, tricube, (xs[None] == x).astype(float))
-        s0 = (tricube * w).sum(axis=1)
-        safe = np.where(s0 > 0, s0, 1)
-        mean = (tricube * w * xs).sum(axis=1) / safe
-        off = xs[None] - mean[:, None]
-        s2 = (tricube * w * off**2).sum(axis=1) / safe
-        level, slope = (tricube * wy).sum(axis=1) / safe, (tricube * wy * off).sum(axis=1) / safe
-        fit = level + np.where(s2 > 1e-12, (x[:, 0] - mean) * slope / np.where(s2 > 1e-12, s2, 1), 0.0)
-        out[a : a + ROWS] = np.where(s0 > 0, fit, plain[a : a + ROWS])
+    level = np.divide(wy, w, out=plain.copy(), where=w > 0)
+    out = np.where(radius > 0, 0.0, level)  # with no bandwidth only ties count
+    start, own = 0, np.flatnonzero(radius > 0)
+    while start < len(own):
+        first = own[start]
+        end = start + int(np.searchsorted(xs[own[start:]], xs[first] + radius[first] / 2, side="right"))
+        at = own[start:end]
+        out[at] = _block(xs, at, radius[at], w, wy, plain[at])
+        start = end
     return out
 
 
+def _block(xs: np.ndarray, at: np.ndarray, h: np.ndarray, w: np.ndarray, wy: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Fits at places of xs that lie within half a bandwidth of the first."""
+    x, scale, center = xs[at], float(h.max()), float(xs[at].mean())
+    bounds = [np.searchsorted(xs, x + f * h, side="right" if f > 0 else "left") for f in (-FAR, -NEAR, NEAR, FAR)]
+    low, high = int(bounds[0].min()), int(bounds[3].max())
+    z, t, g = (xs[low:high] - center) / scale, (x - center) / scale, h / scale
+    run_w, run_wy = _running(w[low:high], z, _POWERS), _running(wy[low:high], z, _POWERS - 1)
+    left, near, right, end = (b - low for b in bounds)
+    s = np.zeros((3, len(x)))  # of w (z - t)^q
+    v = np.zeros((2, len(x)))  # of w y (z - t)^q
+    for a, b, sign in ((left, near, -1.0), (right, end, 1.0)):
+        m, my = _moments(run_w, a, b, t, _POWERS), _moments(run_wy, a, b, t, _POWERS - 1)
+        for power, c in _TRICUBE:
+            factor = c * (sign / g) ** power
+            for q in range(3):
+                s[q] += factor * m[power + q]
+            for q in range(2):
+                v[q] += factor * my[power + q]
+    s += _moments(run_w, near, right, t, 3)
+    v += _moments(run_wy, near, right, t, 2)
+    some = s[0] > 0
+    s0 = np.where(some, s[0], 1)
+    mean = s[1] / s0
+    s2 = s[2] / s0 - mean**2  # about the mean, in units of the scale
+    slope = v[1] / s0 - mean * (v[0] / s0)
+    fit = v[0] / s0 + np.where(s2 * scale**2 > 1e-12, -mean * slope / np.where(s2 > 0, s2, 1), 0.0)
+    return np.where(some, fit, plain)
+
+
 def lowess_fit(points: DataFrame, frac: float = DEFAULT.lowess_frac, passes: int = DEFAULT.lowess_passes) -> DataFrame:
     """sample, gc, fit, points: the curve of each sample. points: sample, gc, y, no nulls."""
 
@@ -80,11 +131,14 @@ def lowess_fit(points: DataFrame, frac: float = DEFAULT.lowess_frac, passes: int
     return points.select("sample", "gc", "y").groupBy("sample").applyInPandas(run, "sample string, gc double, fit double, points long")
 
 
-def interpolated(queries: DataFrame, curve: DataFrame) -> DataFrame:
+def interpolated(queries: DataFrame, curve: DataFrame, broadcast_knots: int = BROADCAST_KNOTS) -> DataFrame:
     """queries (sample, gc, any more) with fit: linear between knots of the sample's curve, constant beyond its ends, null for null gc.
 
-    Knots and queries are put in order of gc together; each query sees the last knot before it from either side.
+    curve (stored) is broadcast if it has broadcast_knots at most, and looked up where the queries are. Else knots and queries are put in order of gc
+    together, by sample, and each query sees the last knot before it from either side.
     """
+    if curve.count() <= broadcast_knots:
+        return _looked_up(queries, curve)
     rest = [c for c in queries.columns if c not in ("sample", "gc")]
     both = queries.withColumn("knot", F.lit(None).cast("struct<gc:double,fit:double>")).unionByName(curve.select("sample", "gc", F.struct("gc", "fit").alias("knot")), allowMissingColumns=True).withColumn("query", F.col("knot").isNull())
     own = Window.partitionBy("sample")
@@ -97,5 +151,22 @@ def interpolated(queries: DataFrame, curve: DataFrame) -> DataFrame:
     return placed.withColumn("fit", fit).select("sample", "gc", *rest, "fit")
 
 
+def _looked_up(queries: DataFrame, curve: DataFrame) -> DataFrame:
+    knots = curve.select("sample", "gc", "fit").toPandas().sort_values(["sample", "gc"])
+    shared = queries.sparkSession.sparkContext.broadcast({s: (k["gc"].to_numpy(), k["fit"].to_numpy()) for s, k in knots.groupby("sample")})
+
+    @F.pandas_udf("double")
+    def look(sample: pd.Series, gc: pd.Series) -> pd.Series:
+        at, out = gc.to_numpy(np.float64), np.full(len(gc), np.nan)
+        for name, rows in pd.Series(np.arange(len(gc))).groupby(sample.to_numpy()):
+            if name in shared.value:
+                out[rows] = np.interp(at[rows], *shared.value[name])
+        return pd.Series(out).astype("Float64")
+
+    rest = [c for c in queries.columns if c not in ("sample", "gc")]
+    fit = F.when(F.col("gc").isNotNull(), nan_to_null(look("sample", F.coalesce("gc", F.lit(0.0)))))
+    return queries.withColumn("fit", fit).select("sample", "gc", *rest, "fit")
+
+
 def corrected(value: str | Column, fit: str | Column, floor: float = DEFAULT.fit_floor) -> Column:
     return as_column(value) / clip(fit, floor)

@@ -56,12 +56,12 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @_once
 def _mask(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.merge(intervals.concatenated(intervals.widen(fx.targets(spark, d), fx.sizes(spark)), fx.centromeres(spark, d)))
+    return intervals.merge(intervals.concatenated(intervals.widen(fx.targets(spark, d), fx.sizes(spark, d)), fx.centromeres(spark, d)))
 
 
 @_once
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    named = pipelines.define_windows(fx.access(spark, d), fx.targets(spark, d), fx.centromeres(spark, d), fx.sizes(spark))
+    named = pipelines.define_windows(fx.access(spark, d), fx.targets(spark, d), fx.centromeres(spark, d), fx.sizes(spark, d))
     return named.withColumnRenamed("name", "window_id").withColumn("gc_pct", fx.gc())
 
 
@@ -98,6 +98,15 @@ def _tumour(spark: SparkSession, d: str) -> DataFrame:
     return scaling.panel_ratio(scaling.joined_with_panel(_depth(spark, d, [fx.TUMOUR]), _panel(spark, d)))
 
 
+#: What a read pair is known by, in all samples together.
+_KEYS = ["sample", "qname"]
+
+
+@_once
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return fx.reads(spark, d)
+
+
 @_once
 def _tumour_reads(spark: SparkSession, d: str) -> DataFrame:
     return fx.reads(spark, d).where(F.col("sample") == fx.TUMOUR)
@@ -121,13 +130,13 @@ def _track_a(spark: SparkSession, d: str) -> DataFrame:
 
 @_once
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
-    pairs = upscale.paired(_tumour_reads(spark, d).where(~upscale.passes_through()))
-    return upscale.with_scale(pairs, _scales(spark, d)).withColumn("mate", F.when(F.col("complete"), upscale.mate_order()).cast("int"))
+    pairs = upscale.paired(_reads(spark, d).where(~upscale.passes_through()), _KEYS)
+    return upscale.with_scale(pairs, _scales(spark, d), _KEYS).withColumn("mate", F.when(F.col("complete"), upscale.mate_order(_KEYS)).cast("int"))
 
 
 @_once
 def _output(spark: SparkSession, d: str) -> DataFrame:
-    return upscale.upscaled(_tumour_reads(spark, d), _scales(spark, d))
+    return upscale.upscaled(_reads(spark, d), _scales(spark, d), _KEYS)
 
 
 # --- windows
@@ -140,12 +149,12 @@ def make_windows(spark, d):
 
 @_registered('SELECT chrom, start, "end" FROM widened')
 def slop_targets(spark, d):
-    return intervals.widen(fx.targets(spark, d), fx.sizes(spark))
+    return intervals.widen(fx.targets(spark, d), fx.sizes(spark, d))
 
 
 @_registered('SELECT chrom, start, "end" FROM masks ORDER BY chrom, start')
 def concat_masks(spark, d):
-    return intervals.concatenated(intervals.widen(fx.targets(spark, d), fx.sizes(spark)), fx.centromeres(spark, d)).orderBy("chrom", "start")
+    return intervals.concatenated(intervals.widen(fx.targets(spark, d), fx.sizes(spark, d)), fx.centromeres(spark, d)).orderBy("chrom", "start")
 
 
 @_registered('SELECT chrom, start, "end" FROM merged')
@@ -170,7 +179,7 @@ def name_windows(spark, d):
 
 @_registered('SELECT chrom, start, "end", window_id AS name FROM windows')
 def define_windows(spark, d):
-    return pipelines.define_windows(fx.access(spark, d), fx.targets(spark, d), fx.centromeres(spark, d), fx.sizes(spark))
+    return pipelines.define_windows(fx.access(spark, d), fx.targets(spark, d), fx.centromeres(spark, d), fx.sizes(spark, d))
 
 
 @_registered("SELECT 'tiles' AS stage, count(*) AS n FROM tiles UNION ALL SELECT 'mask', count(*) FROM merged UNION ALL SELECT 'fragments', count(*) FROM fragments UNION ALL SELECT 'windows', count(*) FROM windows")
@@ -373,41 +382,41 @@ def condition_scale(spark, d):
     return _rounded(_scales(spark, d))
 
 
-@_registered("SELECT qname, ord, round(own_scale, 6) AS own_scale FROM looked")
+@_registered("SELECT sample, qname, ord, round(own_scale, 6) AS own_scale FROM looked")
 def point_lookup(spark, d):
-    reads = _tumour_reads(spark, d).where(~upscale.passes_through()).withColumn("row", F.struct("qname", "ord"))
-    return _rounded(intervals.point_lookup(reads, _scales(spark, d), "own_scale", 1.0).select("qname", "ord", "own_scale"))
+    reads = _reads(spark, d).where(~upscale.passes_through()).withColumn("row", F.struct(*_KEYS, "ord"))
+    return _rounded(intervals.point_lookup(reads, _scales(spark, d), "own_scale", 1.0).select(*_KEYS, "ord", "own_scale"))
 
 
-@_registered("SELECT qname, ord, pair_no, nth, complete FROM paired")
+@_registered("SELECT sample, qname, ord, pair_no, nth, complete FROM paired")
 def pair_mates(spark, d):
-    pairs = upscale.paired(_tumour_reads(spark, d).where(~upscale.passes_through()))
-    return pairs.select("qname", "ord", F.col("pair_no").cast("long"), F.col("nth").cast("long"), "complete")
+    pairs = upscale.paired(_reads(spark, d).where(~upscale.passes_through()), _KEYS)
+    return pairs.select(*_KEYS, "ord", F.col("pair_no").cast("long"), F.col("nth").cast("long"), "complete")
 
 
-@_registered("SELECT qname, ord, round(scale, 6) AS scale, CASE WHEN complete THEN CAST(mate AS INT) ELSE 0 END AS mate FROM scaled")
+@_registered("SELECT sample, qname, ord, round(scale, 6) AS scale, CASE WHEN complete THEN CAST(mate AS INT) ELSE 0 END AS mate FROM scaled")
 def pair_scale(spark, d):
-    return _rounded(_scaled(spark, d).select("qname", "ord", "scale", F.coalesce("mate", F.lit(0)).alias("mate")))
+    return _rounded(_scaled(spark, d).select(*_KEYS, "ord", "scale", F.coalesce("mate", F.lit(0)).alias("mate")))
 
 
-@_registered("SELECT qname, ord, copies FROM copied")
+@_registered("SELECT sample, qname, ord, copies FROM copied")
 def copy_count(spark, d):
-    return _scaled(spark, d).where("complete").select("qname", "ord", upscale.copy_count("scale", F.concat_ws(":", "qname", "pair_no")).alias("copies"))
+    return _scaled(spark, d).where("complete").select(*_KEYS, "ord", upscale.copy_count("scale", F.concat_ws(":", *_KEYS, "pair_no")).alias("copies"))
 
 
-@_registered("SELECT qname, flag, chrom, pos, ord, copy, mate FROM output WHERE kind = 'pair'")
+@_registered("SELECT sample, qname, flag, chrom, pos, ord, copy, mate FROM output WHERE kind = 'pair'")
 def replicate_pairs(spark, d):
-    return _output(spark, d).where("kind = 'pair'").select("qname", "flag", "chrom", "pos", "ord", "copy", "mate")
+    return _output(spark, d).where("kind = 'pair'").select(*_KEYS, "flag", "chrom", "pos", "ord", "copy", "mate")
 
 
-@_registered("SELECT qname, flag, chrom, pos, ord FROM output WHERE kind = 'passthrough'")
+@_registered("SELECT sample, qname, flag, chrom, pos, ord FROM output WHERE kind = 'passthrough'")
 def passthrough(spark, d):
-    return _output(spark, d).where("kind = 'passthrough'").select("qname", "flag", "chrom", "pos", "ord")
+    return _output(spark, d).where("kind = 'passthrough'").select(*_KEYS, "flag", "chrom", "pos", "ord")
 
 
-@_registered("SELECT qname, flag, chrom, pos, ord FROM output WHERE kind = 'orphan'")
+@_registered("SELECT sample, qname, flag, chrom, pos, ord FROM output WHERE kind = 'orphan'")
 def orphans(spark, d):
-    return _output(spark, d).where("kind = 'orphan'").select("qname", "flag", "chrom", "pos", "ord")
+    return _output(spark, d).where("kind = 'orphan'").select(*_KEYS, "flag", "chrom", "pos", "ord")
 
 
 @_registered("SELECT count(*) FILTER (copy = 0) AS processed, count(*) FILTER (copy = 0) AS kept_reads, count(*) FILTER (copy > 0) AS duplicated_reads FROM output")
@@ -415,9 +424,9 @@ def upscale_stats(spark, d):
     return upscale.upscale_stats(_output(spark, d))
 
 
-@_registered("SELECT kind, qname, flag, chrom, pos, ord, copy FROM output ORDER BY chrom, pos, ord, copy")
+@_registered("SELECT kind, sample, qname, flag, chrom, pos, ord, copy FROM output ORDER BY chrom, pos, ord, copy")
 def coordinate_sort(spark, d):
-    return upscale.coordinate_sorted(_output(spark, d)).select("kind", "qname", "flag", "chrom", "pos", "ord", "copy")
+    return upscale.coordinate_sorted(_output(spark, d)).select("kind", *_KEYS, "flag", "chrom", "pos", "ord", "copy")
 
 
 # --- names

@@ -51,7 +51,7 @@ def _depth(windows: str, samples: str) -> str:
       ON c.sample = s.sample AND c.window_id = w.window_id"""
 
 
-_GC = "(300 + (start * 31 + CASE WHEN chrom = 'chrX' THEN 0 ELSE CAST(substr(chrom, 4) AS BIGINT) END * 17) % 307) / 1000.0::DOUBLE"
+_GC = "(3000 + (start * 31 + CASE WHEN chrom = 'chrX' THEN 0 ELSE CAST(substr(chrom, 4) AS BIGINT) END * 17) % 3067) / 10000.0::DOUBLE"
 _AUTO = "NOT regexp_matches({}, '^(chrX|chrY|chrM|X|Y|MT)')"
 
 
@@ -73,10 +73,12 @@ def _track(source: str, extreme: str) -> str:
 
 
 CTES: dict[str, str] = {
-    "sizes": f"SELECT {_chrom('k')} AS chrom, {L}::BIGINT AS size FROM range(5) t(k)",
-    "access": f'SELECT {_chrom("n_nationkey % 5")} AS chrom, (n_nationkey // 5)::BIGINT * 100000 + 500 AS start, ((n_nationkey // 5)::BIGINT + 1) * 100000 AS "end" FROM nation',
-    "targets": f'SELECT {_chrom("s_suppkey % 5")} AS chrom, (s_suppkey * 7919) % ({L} - 400) AS start, (s_suppkey * 7919) % ({L} - 400) + 120 + (s_suppkey % 7) * 30 AS "end" FROM supplier WHERE s_suppkey < 100',
-    "centromeres": f'SELECT {_chrom("r_regionkey % 5")} AS chrom, 200000 + 1000 * r_regionkey::BIGINT AS start, 215000 + 1000 * r_regionkey::BIGINT AS "end" FROM region',
+    "sets": "SELECT greatest(1, (count(*) + 99) // 100) AS g FROM supplier",
+    "each": "SELECT unnest(range(0, g)) AS i FROM sets",
+    "sizes": f"SELECT {_chrom('k')} AS chrom, {L}::BIGINT AS size FROM (SELECT unnest(range(0, 5 * g)) AS k FROM sets)",
+    "access": f'SELECT {_chrom("(n_nationkey % 5 + 5 * i)")} AS chrom, (n_nationkey // 5)::BIGINT * 100000 + 500 AS start, ((n_nationkey // 5)::BIGINT + 1) * 100000 AS "end" FROM nation, each',
+    "targets": f'SELECT {_chrom("(s_suppkey % 5 + 5 * ((s_suppkey // 100) % g))")} AS chrom, (s_suppkey * 7919) % ({L} - 400) AS start, (s_suppkey * 7919) % ({L} - 400) + 120 + (s_suppkey % 7) * 30 AS "end" FROM supplier, sets',
+    "centromeres": f'SELECT {_chrom("(r_regionkey % 5 + 5 * i)")} AS chrom, 200000 + 1000 * r_regionkey::BIGINT AS start, 215000 + 1000 * r_regionkey::BIGINT AS "end" FROM region, each',
     "tiles": 'SELECT chrom, s AS start, least(s + 5000, "end") AS "end" FROM (SELECT chrom, "end", unnest(range(start, "end", 5000)) AS s FROM access)',
     "widened": 'SELECT t.chrom, greatest(start - 200, 0) AS start, least("end" + 200, size) AS "end" FROM targets t JOIN sizes s ON t.chrom = s.chrom',
     "masks": "SELECT * FROM widened UNION ALL SELECT * FROM centromeres",
@@ -91,8 +93,8 @@ CTES: dict[str, str] = {
     "padded": f"""SELECT chrom || ':' || start || '-' || "end" AS window_id, chrom, start, "end", {_GC} AS gc_pct FROM (SELECT chrom, greatest(start - 1000, 0) AS start, least("end" + 1000, {L}) AS "end" FROM targets)""",
     "reads": f"""SELECT 's' || (l_orderkey % 4) AS sample, CAST(l_orderkey AS VARCHAR) AS qname, flag, chrom, pos, mapq, cigar, pos + CAST(l_quantity AS BIGINT) AS "end",
         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY pos, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS ord
-      FROM (SELECT *, (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 31) % ({L} - 100) AS pos, {_chrom("l_suppkey % 5")} AS chrom, CAST(l_partkey % 61 AS INT) AS mapq, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'M' AS cigar,
-        CAST(CASE WHEN l_partkey % 13 = 0 THEN 1024 WHEN l_partkey % 17 = 0 THEN 256 WHEN l_partkey % 19 = 0 THEN 4 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 THEN 64 ELSE 0 END AS INT) AS flag FROM lineitem)""",
+      FROM (SELECT *, (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 31) % ({L} - 100) AS pos, {_chrom("(l_suppkey % 5 + 5 * ((l_suppkey // 100) % g))")} AS chrom, CAST(l_partkey % 61 AS INT) AS mapq, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'M' AS cigar,
+        CAST(CASE WHEN l_partkey % 13 = 0 THEN 1024 WHEN l_partkey % 17 = 0 THEN 256 WHEN l_partkey % 19 = 0 THEN 4 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 THEN 64 ELSE 0 END AS INT) AS flag FROM lineitem, sets)""",
     "usable": 'SELECT sample, qname, chrom, pos AS start, "end" FROM reads WHERE mapq >= 20 AND flag & 3844 = 0',
     "templates": _merged("usable", "sample, qname, chrom"),
     "depth": _depth("windows", "['s0', 's1', 's2', 's3']"),
@@ -126,15 +128,15 @@ CTES: dict[str, str] = {
     "a_rows": "SELECT t.*, CASE WHEN f.fit IS NULL THEN norm ELSE norm / greatest(f.fit, 1e-4) END / CASE WHEN pon_median <= 0 THEN 1e-4 ELSE pon_median END AS depth_scaled_ratio FROM a_norm t JOIN a_fit f ON t.sample = f.sample AND t.window_id = f.window_id",
     "track_a": _track("a_rows", "depth_scaled_ratio > 20 OR depth_scaled_ratio < 0.05"),
     "scales": 'SELECT chrom, start, "end", least(greatest(CASE WHEN depth_scaled_ratio IS NULL OR depth_scaled_ratio <= 1 OR mask_rejected = 1 THEN 1.0 ELSE depth_scaled_ratio END, 1), 50) AS own_scale FROM track_b',
-    "candidates": "SELECT * FROM reads WHERE sample = 's3' AND flag & 2308 = 0",
+    "candidates": "SELECT * FROM reads WHERE flag & 2308 = 0",
     "looked": 'SELECT r.*, coalesce(min_by(s.own_scale, s.start), 1.0) AS own_scale FROM candidates r LEFT JOIN scales s ON r.chrom = s.chrom AND s.start <= r.pos AND r.pos < s."end" GROUP BY ALL',
-    "paired": "SELECT *, CAST((n - 1) // 2 AS BIGINT) AS pair_no, CAST((n - 1) % 2 AS BIGINT) AS nth, n % 2 = 0 OR n < c AS complete FROM (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY ord) AS n, count(*) OVER (PARTITION BY qname) AS c FROM looked)",
-    "scaled": """SELECT *, CASE WHEN complete THEN avg(own_scale) OVER (PARTITION BY qname, pair_no) ELSE 1.0 END AS scale,
-        CASE WHEN bool_or(nth = 1 AND flag & 64 <> 0) OVER (PARTITION BY qname, pair_no) THEN 2 - nth ELSE nth + 1 END AS mate FROM paired""",
-    "copied": """SELECT *, greatest(1, CAST(floor(scale) AS INT) + CAST(CAST(('0x' || substr(md5(qname || ':' || pair_no || ':42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < scale - floor(scale) AS INT)) AS copies FROM scaled WHERE complete""",
-    "output": """SELECT 'passthrough' AS kind, qname, flag, chrom, pos, ord, 0 AS copy, NULL::INT AS mate FROM reads WHERE sample = 's3' AND flag & 2308 <> 0
-        UNION ALL SELECT 'orphan', qname, flag, chrom, pos, ord, 0, NULL FROM scaled WHERE NOT complete
-        UNION ALL SELECT 'pair', CASE WHEN copy = 0 THEN qname ELSE qname || ':upscale_' || copy END, flag & ~1024, chrom, pos, ord, CAST(copy AS INT), CAST(mate AS INT) FROM (SELECT *, unnest(range(copies)) AS copy FROM copied)""",
+    "paired": "SELECT *, CAST((n - 1) // 2 AS BIGINT) AS pair_no, CAST((n - 1) % 2 AS BIGINT) AS nth, n % 2 = 0 OR n < c AS complete FROM (SELECT *, row_number() OVER (PARTITION BY sample, qname ORDER BY ord) AS n, count(*) OVER (PARTITION BY sample, qname) AS c FROM looked)",
+    "scaled": """SELECT *, CASE WHEN complete THEN avg(own_scale) OVER (PARTITION BY sample, qname, pair_no) ELSE 1.0 END AS scale,
+        CASE WHEN bool_or(nth = 1 AND flag & 64 <> 0) OVER (PARTITION BY sample, qname, pair_no) THEN 2 - nth ELSE nth + 1 END AS mate FROM paired""",
+    "copied": """SELECT *, greatest(1, CAST(floor(scale) AS INT) + CAST(CAST(('0x' || substr(md5(sample || ':' || qname || ':' || pair_no || ':42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < scale - floor(scale) AS INT)) AS copies FROM scaled WHERE complete""",
+    "output": """SELECT 'passthrough' AS kind, sample, qname, flag, chrom, pos, ord, 0 AS copy, NULL::INT AS mate FROM reads WHERE flag & 2308 <> 0
+        UNION ALL SELECT 'orphan', sample, qname, flag, chrom, pos, ord, 0, NULL FROM scaled WHERE NOT complete
+        UNION ALL SELECT 'pair', sample, CASE WHEN copy = 0 THEN qname ELSE qname || ':upscale_' || copy END, flag & ~1024, chrom, pos, ord, CAST(copy AS INT), CAST(mate AS INT) FROM (SELECT *, unnest(range(copies)) AS copy FROM copied)""",
 }
 
 

@@ -94,7 +94,9 @@ def read_track(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alignment_files(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("bam",)) -> DataFrame:
-    """path, sample of the folder's alignment files, in order of path. Two files of one sample are an error."""
+    """path, sample of the folder's alignment files, in order of path. Two files of one sample are an error, and so is a CRAM file where none can be read."""
+    if "cram" not in kinds and (left_out := listed(spark, f"{folder}/*.cram")):
+        raise ValueError(f"CRAM files can't be read, and their samples would be missing: {', '.join(left_out)}")
     paths = [p for kind in kinds for p in listed(spark, f"{folder}/*.{kind}")]
     if not paths:
         raise FileNotFoundError(f"no alignment files in {folder}")
@@ -106,9 +108,11 @@ def alignment_files(spark: SparkSession, folder: str, kinds: tuple[str, ...] = (
 
 def resolved_files(samples: DataFrame, files: DataFrame) -> DataFrame:
     """sample and path: the file named sample.bam, else the first whose name starts with the sample; null if there is none."""
+    # Samples and files meet by every prefix of the file's name, in an equi-join.
     name = F.element_at(F.split("path", "/"), -1)
-    f = files.select("path", name.alias("file"))
-    pairs = samples.select("sample").join(f, F.col("file").startswith(F.col("sample")) & F.col("file").endswith(".bam"), "left")
+    f = files.select("path", name.alias("file")).where(F.col("file").endswith(".bam"))
+    prefixes = f.withColumn("sample", F.explode(F.transform(F.sequence(F.lit(1), F.length("file")), lambda n: F.col("file").substr(F.lit(1), n))))
+    pairs = samples.select("sample").join(prefixes, "sample", "left")
     order = Window.partitionBy("sample").orderBy((F.col("file") == F.concat("sample", F.lit(".bam"))).desc_nulls_last(), "path")
     return pairs.withColumn("n", F.row_number().over(order)).where("n = 1").select("sample", "path")
 
