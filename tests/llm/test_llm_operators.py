@@ -93,6 +93,21 @@ def test_mixing(docs, empty, spark):
     assert rows(mixing.mixed(empty)) == []
 
 
+def test_mix_comes_near_its_targets(spark):
+    """Of the fixed draws a source takes the nearest; columns named like the operator's own don't disturb it."""
+    r = random.Random(12)
+    data = [(k, f"s{r.randrange(6)}", r.randrange(20, 200), "d", "t", "p") for k in range(1500)]
+    df = spark.createDataFrame(data, "doc_id long, source string, size long, docs string, target string, draw string")
+    got = mixing.with_copies(df).collect()
+    assert got[0].__fields__ == ["doc_id", "source", "size", "docs", "draw", "source_size", "target", "copies"] and {x["docs"] for x in got} == {"d"}
+    for s in {x["source"] for x in got}:
+        own = [x for x in got if x["source"] == s]
+        taken = lambda draw: sum(x["size"] * (math.floor(rate) + (int(hashlib.md5(f"{x['doc_id']}:42".encode()).hexdigest()[draw : draw + 13], 16) / 2**52 < rate % 1)) for x in own)  # noqa: E731, B023
+        rate = own[0]["target"] / own[0]["source_size"]
+        off = [abs(taken(k) - own[0]["target"]) for k in range(mixing.DRAWS)]
+        assert abs(sum(x["size"] * x["copies"] for x in own) - own[0]["target"]) == min(off) < 0.03 * own[0]["target"]
+
+
 def test_mixing_many_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     df = spark.createDataFrame([(k, None if k % 5 == 4 else f"s{k % 5}", 10 + k) for k in range(60)], "doc_id long, source string, size long")
@@ -356,6 +371,18 @@ def test_language_model_of_documents(docs, empty):
     assert np.allclose(model.probabilities([long.encode()]), model.probabilities([("the cat " * 100).encode()]), atol=0.02)
 
 
+def test_predictions_keep_columns_of_any_name(spark):
+    model = langid.train([(f"the cat and dog {k}", "en") for k in range(20)] + [(f"le chat et chien {k}", "fr") for k in range(20)])
+    df = spark.createDataFrame([(1, "the dog", "mine", "too")], "doc_id long, text string, __text string, text______ string")
+    (row,) = langid.predicted(df, model).collect()
+    assert (row["__text"], row["text______"], row["lang_pred"]) == ("mine", "too", "en")
+
+
+def test_exact_duplicates_with_maps(spark):
+    df = spark.createDataFrame([(1, "a", {"x": "1"}), (1, "a", {"x": "0"}), (2, "b", {})], "doc_id long, text string, extra map<string,string>")
+    assert sorted((r["doc_id"], r["extra"]) for r in exact_dedup.deduplicate(df).collect()) == [(1, {"x": "0"}), (2, {})]
+
+
 def test_language_model_reads_whole_texts(spark):
     """What stands in front of long texts is the same in all; the language shows behind it."""
     random_ = random.Random(3)
@@ -482,7 +509,8 @@ def test_chat(spark):
 def test_segments_of_a_long_conversation(spark, monkeypatch):
     monkeypatch.setattr(chat, "SEGMENT_CHARS", 50)
     df = spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], f"turn {k} </s>") for k in range(40)], "conv_id long, turn long, role string, text string")
-    assert chat.formatted(df).count() >= 1 and chat.summaries(chat.formatted(df)).first()["n_turns"] == 40
+    assert chat.formatted(df).count() > 1 and chat.summaries(chat.formatted(df)).first()["n_turns"] == 40
+    assert chat.summaries(chat.read_back(chat.formatted(df).repartition(5))).first() == chat.summaries(chat.formatted(df)).first()
 
 
 def test_words_and_cuts():

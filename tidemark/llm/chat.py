@@ -16,7 +16,8 @@ Long conversations are rendered in segments of whole turns, so that no row holds
 segments are parsed in order, by a parser that keeps nothing but its state.
 
 Turns are in order of turn, role, text. Null texts count as empty; a null role is an empty role. A null conversation id is a
-conversation of its own. Rows that repeat are turns of their own.
+conversation of its own. Rows that repeat are turns of their own. An empty table gives no rows. Extra columns, whatever their names, are ignored.
+A conversation's turns are in one task, as its digests need them in order; they stream through it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import stored, table, text_of
 
 MARK = "\u001a"
 OPEN_USER, CLOSE_USER, CLOSE_ASSISTANT = "<s>[INST] ", " [/INST]", " </s>"
@@ -197,9 +198,15 @@ def _summary(rows: list[list]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
 
+def read_back(segments: DataFrame) -> DataFrame:
+    """Stored segments, a conversation's together and in order."""
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
-    return summaries(formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)))
+    output = stored(formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)), "formatted")
+    return summaries(read_back(output))
 
 
 _CONTROLS_SQL = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROLS)

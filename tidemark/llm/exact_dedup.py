@@ -9,7 +9,8 @@ The filter has 16 bits for each row up to max_bits (16 MB at the default), so wh
 more rows than max_bits / 16 more rows of unique texts are shuffled in vain, but results stay the same.
 
 Null texts count as empty. Texts are equal when identical. Of equal texts the row with the largest id stays; of rows that
-repeat both id and text, one. Extra columns are ignored by digests(), and carried along by deduplicate().
+repeat both id and text, one. Very long texts are hashed whole. An empty table gives no rows. Extra columns, of any type and name, are ignored by
+digests(), and carried along by deduplicate().
 """
 
 from __future__ import annotations
@@ -120,9 +121,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     test, some, groups, total = _groups(spark, rows, id_col, max_bits)
     all_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest")).withColumn("id", F.col(f"doc.{id_col}"))
     again = all_rows.where(test("digest"))
-    # One row of each repeated text: its largest id; among rows that repeat that too, the smallest in order of all columns.
+    # One row of each repeated text: its largest id; among rows that repeat that too, the first in order of all columns as text (maps have no order).
     keep = groups.select("digest", F.col(f"last.{id_col}").alias("id"))
-    one = again.join(keep, (again["digest"] == keep["digest"]) & again["id"].eqNullSafe(keep["id"]), "left_semi").groupBy("digest", "id").agg(F.min("doc").alias("doc"))
+    one = again.join(keep, (again["digest"] == keep["digest"]) & again["id"].eqNullSafe(keep["id"]), "left_semi").groupBy("digest", "id").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
     single = again.join(groups.select("digest"), "digest", "left_anti")
     return all_rows.where(~test("digest")).select("doc.*").unionByName(single.select("doc.*")).unionByName(one.select("doc.*"))
 

@@ -10,7 +10,8 @@ of each, spread evenly over the whole text and taken on the executors. Every fif
 and texts whose score is below a threshold that KEEP of the calibration texts pass are rejected. Predictions read whole texts.
 
 A null text, or one without a letter, is "und" with score 0. Without any labelled row to learn from, every text is. Rows with
-a null id or a null label aren't learned from; labels are compared as they are.
+a null id or a null label aren't learned from; labels are compared as they are. Rows that repeat an id or text are rows of their own. Very long texts are
+read in blocks. An empty table gives no rows. Extra columns are carried along by predicted(), or left out by its parameter keep.
 """
 
 from __future__ import annotations
@@ -167,7 +168,8 @@ def calibrate(model: Model, held: list[tuple[list[bytes], str, int]], whole: np.
 
 
 def fold(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary"))
+    """A null id counts as the text "null"."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
 
 
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
@@ -213,7 +215,7 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (all of docs) with lang_pred, score and rejected."""
+    """The columns in keep (all of docs) with lang_pred, score and rejected. Without keep, columns of docs with these names are replaced."""
     shared, columns = docs.sparkSession.sparkContext.broadcast(model), keep if keep is not None else [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     text_at = len(columns)
 
@@ -230,7 +232,8 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[
             yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], pa.array(label), pa.array(score), pa.array(rejected)], names=[*columns, "lang_pred", "score", "rejected"])
 
     small_batches(docs.sparkSession)
-    chosen = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__text"))
+    unused = "text" + "_" * max([0, *map(len, columns)])  # longer than any other name
+    chosen = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias(unused))
     schema = docs.select(*[F.col(f"`{c}`") for c in columns]).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return chosen.mapInArrow(run, schema)
 

@@ -7,7 +7,8 @@ Each task writes shards of its own, under new names, with each content once; whe
 the index says which copy counts (the first in order of shard name and offset). Shards of failed tasks are not in the index, so
 that a lost executor leaves unused files at worst. Texts are never shuffled, only index rows are.
 
-Null and empty texts are one row of samples of 255. Rows that repeat a text or an id share the content and have rows of their own.
+Null and empty texts are one row of samples of 255. Rows that repeat a text or an id share the content and have rows of their own. Very long
+texts are one payload like others. An empty table gives no shards and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

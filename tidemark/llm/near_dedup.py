@@ -16,7 +16,8 @@ links as join what its links join (fewer than its sets), so that a large group o
 links that are left out join what is joined anyway. Every link is confirmed on the full sets; components come from those links.
 
 Null and empty texts have no shingles and are linked with nothing. Rows that repeat an id count as one document with several
-texts. Null ids are one id, below all others. Extra columns are ignored; kept_documents() carries them along.
+texts. Null ids are one id, below all others. Very long texts are hashed in blocks. An empty table gives no rows. Extra columns, whatever their
+names, are ignored; kept_documents() carries them along.
 """
 
 from __future__ import annotations

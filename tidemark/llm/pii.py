@@ -14,7 +14,8 @@ makes (national and spaced phone numbers, grouped cards, defanged addresses, spe
 and other numbers as opposites): documents have no such labels.
 
 Null texts count as empty, and have no spans. Spans count code points, their end is exclusive. Each row stands for
-itself, so that ties and repeated rows have results of their own.
+itself, so that ties and repeated rows have results of their own. Very long texts are searched whole. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ written in order by one task under a name of its own, and a manifest of what the
 count: a lost executor leaves an unused file at worst.
 
 Null texts count as empty: a document of its end id alone. Rows that repeat an id stand side by side, in order of
-text. Null ids come first, as the least id.
+text. Null ids come first, as the least id. Very long texts are encoded in blocks. An empty table gives no files and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
