@@ -8,6 +8,7 @@ linear program; tests compare every stage with a plain one on its own input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, langid, mixing, near_dedup, packing
 from tidemark.llm.common import stored
@@ -18,7 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go (no letter, or a score below the calibrated threshold)."""
     model = langid.fit(docs)
-    return langid.predicted(docs, model).where("not rejected").select(*docs.columns)
+    # Rows travel as one column, so that no name of theirs meets one of the model's.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return langid.predicted(rows, model, keep=["doc"]).where("not rejected").select("doc.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
