@@ -18,7 +18,7 @@ def reads(spark, seed, n):
     return df.repartitionByRange(2, "pos").sortWithinPartitions("pos")
 
 
-def test_all_steps(spark, tmp_path):
+def test_all_steps(spark, tmp_path, capsys):
     p = lambda name: str(tmp_path / name)
     r = random.Random(9)
     (tmp_path / "sizes").write_text(f"chr1\t{SIZE}\n")
@@ -49,6 +49,7 @@ def test_all_steps(spark, tmp_path):
         assert track.count() == len(windows) and track.where("depth_scaled_ratio > 0").count() == len(windows)
     run("upscale", "--tracks_dir", p("out_b"), "--bam_dir", p("tumours"), "--output_dir", p("big"))
     big = bam.read_bam(spark, [p("big/t1.additive_scaled.bam")])
+    assert f"t1: kept 3000 reads, added {big.count() - 3000}\n" in capsys.readouterr().err
     assert big.where(~F.col("qname").contains(":upscale_")).count() == 3000 and (tmp_path / "big/t1.additive_scaled.bam.bai").exists()
     (tmp_path / "normals/n9.cram").write_bytes(b"CRAM")
     with pytest.raises(ValueError, match="CRAM"):

@@ -13,7 +13,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import coverage, matrix, panel
@@ -78,7 +78,9 @@ def upscale(spark: SparkSession, a: argparse.Namespace) -> None:
         with raw.open_input_stream(where, compression=None) as file:
             header, _ = bam.read_header(bam.io.BufferedReader(bam.BlockReader(file), 1 << 20))
         out = pipelines.upscale_reads(bam.read_bam(spark, [path]), tables.read_track(spark, track))
-        bam.write_bam(out, f"{a.output_dir}/{sample}.additive_scaled.bam", header)
+        seen = Observation(f"upscaled {sample}")
+        bam.write_bam(out.observe(seen, F.count_if(F.col("copy") == 0).alias("kept_reads"), F.count_if(F.col("copy") > 0).alias("duplicated_reads")), f"{a.output_dir}/{sample}.additive_scaled.bam", header)
+        print(f"{sample}: kept {seen.get['kept_reads']} reads, added {seen.get['duplicated_reads']}", file=sys.stderr)
 
 
 def parser() -> argparse.ArgumentParser:
