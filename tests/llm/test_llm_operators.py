@@ -66,6 +66,17 @@ def test_exact_groups(docs, empty):
     assert rows(exact_dedup.exact_groups(docs, max_bits=1 << 16)) and rows(exact_dedup.exact_groups(empty)) == [] and rows(exact_dedup.deduplicate(empty)) == []
 
 
+def test_exact_groups_in_slices(spark):
+    df = spark.range(9000).select("id", F.concat(F.lit("t"), F.when(F.col("id") % 3 == 0, F.col("id") % 600).otherwise(F.col("id"))).alias("text")).toDF("doc_id", "text").repartition(3)
+    texts = defaultdict(list)
+    for d, t in df.collect():
+        texts[t].append(d)
+    for bits in (1 << 27, 1 << 16):  # one filter, and four
+        got = exact_dedup.exact_groups(df, max_bits=bits).collect()
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == sorted((d, max(g), len(g), d == max(g)) for g in texts.values() for d in g)
+        assert sorted(tuple(r) for r in exact_dedup.deduplicate(df, max_bits=bits).collect()) == sorted((max(g), t) for t, g in texts.items())
+
+
 def test_mixing(docs, empty, spark):
     sized = docs.select("doc_id", "source", mixing.word_count().alias("size"))
     got = mixing.with_copies(sized).collect()

@@ -33,10 +33,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read back: computed once, and safe from lost executors."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows of df, written to the shared folder (in a folder for each value of by) and read back: computed once, and safe from lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,8 +5,10 @@ and seen again). A text whose counters all reached two may be repeated; any othe
 tests every row against the second bit map: rows of unique texts pass straight through, and only the others are
 shuffled by their digest to find the groups.
 
-The filter has 16 bits for each row up to max_bits (16 MB at the default), so what is broadcast has a fixed bound. With
-more rows than max_bits / 16 more rows of unique texts are shuffled in vain, but results stay the same.
+A filter has 16 bits for each row up to max_bits (16 MB at the default), so what is broadcast has a fixed bound. With more rows
+than that, digests are dealt to slices by eight of their bits (without a shuffle), and each slice has a filter of its own, of
+which one at a time is in memory. With more than SLICES * max_bits / 16 rows (2.1 billion) filters fill up: more rows of unique
+texts are shuffled in vain, but results stay the same. deduplicate() tests its rows with a filter of the repeated digests alone.
 
 Null texts count as empty. Texts are equal when identical. Of equal texts the row with the largest id stays; of rows that
 repeat both id and text, one. Very long texts are hashed whole. An empty table gives no rows. Extra columns, of any type and name, are ignored by
@@ -24,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, join_groups, stored, table, text_of
+from .common import drop, join_groups, scratch, stored, table, text_of
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 27
 CHUNK = 1 << 16
+#: Most slices that digests are dealt to: one for each value of a byte.
+SLICES = 256
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,8 +52,8 @@ def _merge(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return once, twice
 
 
-def repeated_filter(rows: DataFrame, bits: int) -> bytes:
-    """The bit map of counters that reached two, as bytes. rows: the result of digests()."""
+def counting_filter(rows: DataFrame, bits: int, times: int) -> bytes:
+    """The bit map of counters that reached times (1 or 2), as bytes. rows have a column digest."""
     schema = "chunk int, salt int, once binary, twice binary"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,8 +74,8 @@ def repeated_filter(rows: DataFrame, bits: int) -> bytes:
 
     chunks = rows.select("digest").mapInPandas(count, schema).groupBy("chunk", "salt").applyInPandas(merge, schema).groupBy("chunk").applyInPandas(merge, schema)
     out = np.zeros((bits // CHUNK, CHUNK // 8), np.uint8)
-    for chunk, twice in chunks.select("chunk", "twice").toLocalIterator():
-        out[chunk] = np.frombuffer(zlib.decompress(twice), np.uint8)
+    for chunk, reached in chunks.select("chunk", "once" if times == 1 else "twice").toLocalIterator():
+        out[chunk] = np.frombuffer(zlib.decompress(reached), np.uint8)
     return out.tobytes()
 
 
@@ -79,9 +83,10 @@ def filter_bits(n: int, max_bits: int = MAX_BITS) -> int:
     return min(max_bits, max(CHUNK, 1 << max(0, n * BITS_PER_ROW - 1).bit_length()))
 
 
-def possibly_repeated(spark: SparkSession, rows: DataFrame, bits: int):
-    """A column function that tests digests against the broadcast filter."""
-    shared = spark.sparkContext.broadcast(repeated_filter(rows, bits))
+def tester(spark: SparkSession, bitmap: bytes):
+    """A column function that tests digests against a filter, and the broadcast that it reads."""
+    shared = spark.sparkContext.broadcast(bitmap)
+    bits = len(bitmap) * 8
 
     @F.pandas_udf("boolean")
     def test(shas: pd.Series) -> pd.Series:
@@ -90,24 +95,40 @@ def possibly_repeated(spark: SparkSession, rows: DataFrame, bits: int):
         bitmap, at = np.frombuffer(shared.value, np.uint8), _positions(shas, bits)
         return pd.Series((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=1))
 
-    return test
+    return test, shared
+
+
+def _tested(spark: SparkSession, rows: DataFrame, total: int, max_bits: int) -> DataFrame:
+    """rows with again: whether the digest may be repeated (stored, while rows are deleted)."""
+    slices = min(SLICES, 1 << (max(1, -(-total * BITS_PER_ROW // max_bits)) - 1).bit_length())
+    parts = [rows]
+    if slices > 1:
+        # The last byte of the first word takes no part in positions: these are of its low bits.
+        part = F.conv(F.hex(F.substring("digest", 8, 1)), 16, 10).cast("int").bitwiseAND(slices - 1)
+        dealt = stored(rows.withColumn("slice", part), "slices", by="slice")
+        parts = [dealt.where(F.col("slice") == k).drop("slice") for k in range(slices)]
+    path = scratch(spark, "tested")
+    for part in parts:
+        test, shared = tester(spark, counting_filter(part, filter_bits(-(-total // slices), max_bits), 2))
+        out = part.withColumn("again", test("digest"))
+        out.write.mode("append").parquet(path)
+        shared.destroy()
+    drop(rows, *([dealt] if slices > 1 else []))
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def _groups(spark: SparkSession, rows: DataFrame, id_col: str, max_bits: int):
-    """The test, the rows that are shuffled, their groups (stored) and the number of all rows."""
+    """The tested rows, the groups of the repeated ones (both stored) and the number of all rows."""
     total = rows.count()
-    test = possibly_repeated(spark, rows, filter_bits(total, max_bits))
-    some = rows.where(test("digest"))
-    groups = stored(some.groupBy("digest").agg(F.max(F.struct(id_col, "row")).alias("last"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
-    return test, some, groups, total
+    tested = _tested(spark, rows, total, max_bits)
+    groups = tested.where("again").groupBy("digest").agg(F.max(F.struct(id_col, "row")).alias("last"), F.count("*").alias("group_size"))
+    return tested, stored(groups.where("group_size > 1"), "groups"), total
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256."""
     spark, rows = docs.sparkSession, digests(docs, id_col, text_col)
-    test, some, groups, total = _groups(spark, rows, id_col, max_bits)
-    tested = stored(rows.withColumn("again", test("digest")), "tested")
-    drop(rows)
+    tested, groups, total = _groups(spark, rows, id_col, max_bits)
     again = join_groups(tested.where("again"), groups, ["digest"], "group_size", total).select(id_col, F.col(f"last.{id_col}").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "digest")
     # Rows that the filter let through for no reason have no group.
     alone = tested.where("not again").unionByName(tested.where("again").join(groups.select("digest"), "digest", "left_anti"))
@@ -118,7 +139,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """docs without the rows that exact_groups() doesn't keep. Texts that can't be repeated are not shuffled."""
     spark, columns, rows = docs.sparkSession, docs.columns, digests(docs, id_col, text_col)
-    test, some, groups, total = _groups(spark, rows, id_col, max_bits)
+    tested, groups, _ = _groups(spark, rows, id_col, max_bits)
+    drop(tested)
+    test, _ = tester(spark, counting_filter(groups, filter_bits(groups.count(), max_bits), 1))
     all_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.unhex(F.sha2(text_of(text_col), 256)).alias("digest")).withColumn("id", F.col(f"doc.{id_col}"))
     again = all_rows.where(test("digest"))
     # One row of each repeated text: its largest id; among rows that repeat that too, the first in order of all columns as text (maps have no order).
