@@ -529,3 +529,16 @@ def test_words_and_cuts():
     assert [w.word(k) for k in range(len(w))] == [b"aa", b"b", b"c", b"aa"] and w.first.tolist() == [0, 3, 3, 4] and w.hashes[0] == w.hashes[3]
     text = b"ab " * 1000 + b"z" * 500 + b" q"
     assert b"".join(cut(text, 100)) == text and all(len(p) <= 700 for p in cut(text, 100))
+
+
+def test_components_by_stars_and_in_one_task(spark):
+    """Both ways equal plain union-find: random links, a chain, a star, repeated links, no links."""
+    from tidemark.llm.components import components, union_find
+
+    rng = random.Random(11)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2050)]
+    for pairs in (links + links[:20], []):
+        expected = {(u, v) for u, v in union_find(p for p in pairs if p[0] != p[1]).items() if u != v}
+        edges = spark.createDataFrame(pairs, "u long, v long").repartition(5)
+        for task_edges in (-1, 1 << 18):
+            assert sorted(map(tuple, components(edges, task_edges).collect())) == sorted(expected)

@@ -1,7 +1,8 @@
 """Connected components of a graph of longs, spread over the cluster.
 
-Each partition of edges first becomes a forest of stars by union-find. Then large-star and small-star steps alternate, each
-written to the shared folder, until nothing changes: every node then has one edge, to the smallest node of its component.
+Each partition of edges first becomes a forest of stars by union-find. While these hold more than TASK_EDGES edges, large-star and
+small-star steps alternate, each written to the shared folder, until nothing changes: every node then has one edge, to the smallest
+node of its component. No more edges than that are joined by union-find in one task, whose memory they bound, with the same result.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import drop, stored
 
+TASK_EDGES = 1 << 18
+
 
 def union_find(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
     """The smallest member of the component for each node."""
@@ -53,9 +56,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """edges: u, v. The result, stored: u, v, where v is the smallest node of u's component; nodes that are that themselves are left out."""
     now = stored(edges.where("u <> v").mapInPandas(_local, "u long, v long"), "stars")
+    if now.count() <= task_edges:
+        after = stored(now.coalesce(1).mapInPandas(_local, "u long, v long"), "stars")
+        drop(now)
+        return after
     state = None
     while True:
         after = stored(_small_star(_large_star(now)), "stars")
