@@ -66,8 +66,8 @@ class WordEncoder:
         found[missing] = numbers[place]
         counts = np.array([len(x) for x in lists], np.int32)
         flat = np.array([i for x in lists for i in x], self.dtype)
-        self.ids = _room(self.ids, self.used + len(flat))
-        self.starts, self.counts = _room(self.starts, self.numbers.n), _room(self.counts, self.numbers.n)
+        self.ids = room(self.ids, self.used + len(flat))
+        self.starts, self.counts = room(self.starts, self.numbers.n), room(self.counts, self.numbers.n)
         self.ids[self.used : self.used + len(flat)] = flat
         self.starts[numbers] = self.used + np.cumsum(counts) - counts
         self.counts[numbers] = counts
@@ -97,7 +97,7 @@ class WordEncoder:
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
 
-def _room(array: np.ndarray, n: int) -> np.ndarray:
+def room(array: np.ndarray, n: int) -> np.ndarray:
     return array if n <= len(array) else np.concatenate((array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)))
 
 

@@ -45,14 +45,23 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of the bytes."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+
+
 class Words:
     """Of consecutive texts: the bytes, where each word starts and ends, its hash, and the first word of each text."""
 
-    def __init__(self, texts: list[bytes], marks: bool = False):
+    def __init__(self, texts: list[bytes], marks: bool = False, between: np.ndarray = SPACE):
+        """between: for each byte whether it is outside words; a line feed must be."""
         self.buffer = b"\n".join(texts).lower()
         data = np.frombuffer(self.buffer, np.uint8)
         space = np.ones(len(data) + 2, bool)
-        space[1:-1] = SPACE[data]
+        space[1:-1] = between[data]
         word = ~space[1:-1]
         if marks:  # a full stop or comma between a letter or digit and a blank is a word of its own
             stop = np.zeros(len(data) + 2, bool)
@@ -64,10 +73,7 @@ class Words:
         else:
             self.starts = np.flatnonzero(word & space[:-2])
             self.ends = np.flatnonzero(word & space[2:]) + 1
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64) * np.uint64(_BASE))
+        self.hashes = span_hashes(data, self.starts, self.ends)
         bounds = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
         self.first = np.searchsorted(self.starts, bounds)
