@@ -18,17 +18,19 @@ def shared_folder(spark: SparkSession) -> str | None:
     return root
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """df, computed once: written to the shared folder and read back, which also cuts its lineage short.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; on a cluster without one this is an error, as what executors keep themselves is lost with them."""
+    if (root := shared_folder(spark)) is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
-    On a cluster without a shared folder this is an error: what executors keep themselves is lost with them.
-    """
+def reused(df: DataFrame) -> DataFrame:
+    """df, computed once: written to the shared folder and read back, which also cuts its lineage short."""
     if getattr(df, "_reused", False):
         return df
     spark = df.sparkSession
-    if (root := shared_folder(spark)) is None:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._reused = True

@@ -98,12 +98,31 @@ def named(windows: DataFrame) -> DataFrame:
     return windows.select(*KEYS, window_name().alias("name"))
 
 
+def packed_bins(windows: DataFrame, value: str, bin_size: int = DEFAULT.window_size) -> DataFrame:
+    """A row for each bin that windows touch: chrom, bin and windows, an array of (start, end, value) in order.
+
+    A window of which an earlier one (by start, then end) covers all that lies in the bin is nowhere the first there and is left out. Those that stay
+    end at different places of the bin, so that an array has bin_size elements at most, however many windows overlap.
+    """
+    w = _binned(windows.where("end > start").select("chrom", F.col("start").alias("w_start"), F.col("end").alias("w_end"), F.col(value).alias("w_value")), bin_size, "w_start", "w_end")
+    order = Window.partitionBy("chrom", "bin").orderBy("w_start", "w_end", "w_value").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.least(F.col("w_end"), (F.col("bin") + 1) * bin_size)
+    first = w.withColumn("before", F.max(upto).over(order)).where(F.col("before").isNull() | (upto > F.col("before")))
+    return first.groupBy("chrom", "bin").agg(F.sort_array(F.collect_list(F.struct("w_start", "w_end", "w_value"))).alias("windows"))
+
+
+def looked_up(points: DataFrame, bins: DataFrame, value: str, default: float, bin_size: int = DEFAULT.window_size) -> DataFrame:
+    """points (with chrom and pos) with value, by one join with packed_bins; points may be a stream."""
+    own = points.withColumn("bin", F.expr(f"pos div {bin_size}"))
+    packed = bins.select(F.col("chrom").alias("b_chrom"), F.col("bin").alias("b_bin"), "windows")
+    found = own.join(packed, (F.col("chrom") == F.col("b_chrom")) & (F.col("bin") == F.col("b_bin")), "left")
+    at = F.get(F.filter("windows", lambda w: (w["w_start"] <= F.col("pos")) & (F.col("pos") < w["w_end"])), F.lit(0))["w_value"]
+    return found.withColumn(value, F.coalesce(at, F.lit(default))).drop("bin", "b_chrom", "b_bin", "windows")
+
+
 def point_lookup(points: DataFrame, windows: DataFrame, value: str, default: float, bin_size: int = DEFAULT.window_size) -> DataFrame:
     """points with value: that of the first window (by start, then end) with start <= pos < end, else the default.
 
-    points: chrom, pos and a unique column row. Only windows are exploded over bins.
+    points: chrom and pos. They are joined once, with the packed windows of their bin; a point without a place has the default.
     """
-    w = _binned(windows.where("end > start").select("chrom", F.col("start").alias("w_start"), F.col("end").alias("w_end"), F.col(value).alias("w_value")), bin_size, "w_start", "w_end")
-    at = points.where("chrom is not null").select("row", "chrom", "pos", F.expr(f"pos div {bin_size}").alias("bin"))
-    found = at.join(w, ["chrom", "bin"]).where("w_start <= pos and pos < w_end").groupBy("row").agg(F.min_by("w_value", F.struct("w_start", "w_end", "w_value")).alias("found"))
-    return points.join(found, "row", "left").withColumn(value, F.coalesce("found", F.lit(default))).drop("found")
+    return looked_up(points, packed_bins(windows, value, bin_size), value, default, bin_size)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, has_bits, hash_uniform
-from ..functions.reuse import reused
 from ..params import DEFAULT
 from .intervals import point_lookup
 
@@ -40,11 +39,15 @@ def paired(reads: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out.withColumn("pair_no", F.expr("(n - 1) div 2")).withColumn("nth", F.expr("(n - 1) % 2")).withColumn("complete", F.expr("n % 2 = 0 or n < of")).drop("n", "of")
 
 
-def with_scale(reads: DataFrame, track: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Paired reads with own_scale (of the window at the read's start) and scale, the mean of the pair's two."""
-    looked = point_lookup(reads.withColumn("row", F.struct(*(keys or ["qname"]), "ord")), track, "own_scale", 1.0).drop("row")
+def with_own_scale(reads: DataFrame, track: DataFrame) -> DataFrame:
+    """reads with own_scale, that of the window at the read's start. track: chrom, start, end, own_scale."""
+    return point_lookup(reads, track, "own_scale", 1.0)
+
+
+def with_scale(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Paired reads with scale, the mean of the pair's two own scales; 1 for an orphan. It needs no exchange beyond that of paired()."""
     mean = F.avg("own_scale").over(Window.partitionBy(*(keys or ["qname"]), "pair_no"))
-    return looked.withColumn("scale", F.when(F.col("complete"), mean).otherwise(F.lit(1.0)))
+    return pairs.withColumn("scale", F.when(F.col("complete"), mean).otherwise(F.lit(1.0)))
 
 
 def copy_count(scale: str | Column = "scale", key: str | Column = "qname", seed: int = DEFAULT.seed) -> Column:
@@ -60,26 +63,34 @@ def mate_order(keys: list[str] | None = None) -> Column:
     return F.when(F.coalesce(later_first, F.lit(False)), 2 - F.col("nth")).otherwise(F.col("nth") + 1)
 
 
-def replicated(pairs: DataFrame) -> DataFrame:
-    """A row for each copy of a complete pair's record: copy, its name, and flag without the duplicate bit. pairs: with copies."""
-    out = pairs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+def copies_of(rows: DataFrame, key: Column, seed: int = DEFAULT.seed) -> DataFrame:
+    """A row for each copy, with copy. rows: kind and scale.
+
+    Of a pair's record copy 0 keeps its name and the others get one of their own; none has the duplicate bit. Other records stay as they are.
+    """
+    pair = F.col("kind") == "pair"
+    copies = F.when(pair, copy_count("scale", key, seed)).otherwise(F.lit(1))
+    out = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     name = F.when(F.col("copy") == 0, F.col("qname")).otherwise(F.concat("qname", F.lit(":upscale_"), F.col("copy").cast("string")))
-    return out.withColumn("qname", name).withColumn("flag", F.col("flag").bitwiseAND(F.lit(~DUPLICATE)))
+    return out.withColumn("qname", name).withColumn("flag", F.when(pair, F.col("flag").bitwiseAND(F.lit(~DUPLICATE))).otherwise(F.col("flag")))
 
 
-def upscaled(reads: DataFrame, track: DataFrame, keys: list[str] | None = None, seed: int = DEFAULT.seed) -> DataFrame:
+def upscaled(reads: DataFrame, track: DataFrame, keys: list[str] | None = None, seed: int = DEFAULT.seed, draw: str = "pair_no") -> DataFrame:
     """All output records: reads' columns with kind (passthrough, orphan, pair), copy and mate.
 
-    track: chrom, start, end and own_scale (see conditioned_scale).
+    track: chrom, start, end and own_scale (see conditioned_scale). draw: what a pair's random number depends on beside its keys: pair_no, or ord,
+    that of its first record, which a stream knows too.
+
+    reads are read once, and exchanged by name once: a record that passes through is a group of its own there.
     """
     keys = keys or ["qname"]
-    aside = reads.where(passes_through()).withColumns({"kind": F.lit("passthrough"), "copy": F.lit(0), "mate": F.lit(None).cast("int")})
-    pairs = reused(with_scale(paired(reads.where(~passes_through()), keys), track, keys))
-    names = [*reads.columns, "kind", "copy", "mate"]
-    orphans = pairs.where("not complete").withColumns({"kind": F.lit("orphan"), "copy": F.lit(0), "mate": F.lit(None).cast("int")}).select(names)
-    key = F.concat_ws(":", *keys, "pair_no")
-    whole = pairs.where("complete").withColumn("copies", copy_count("scale", key, seed)).withColumn("mate", mate_order(keys).cast("int")).withColumn("kind", F.lit("pair"))
-    return aside.select(names).unionByName(orphans).unionByName(replicated(whole).select(names))
+    own = [*keys, "aside"]
+    rows = with_own_scale(reads.withColumn("aside", F.when(passes_through(), F.struct("ord"))), track)
+    pairs = with_scale(paired(rows, own), own)
+    kind = F.when(F.col("aside").isNotNull(), "passthrough").when(F.col("complete"), "pair").otherwise("orphan")
+    first = F.min("ord").over(Window.partitionBy(*own, "pair_no")) if draw == "ord" else F.col(draw)
+    ready = pairs.withColumn("kind", kind).withColumn("mate", F.when(F.col("kind") == "pair", mate_order(own)).cast("int")).withColumn("drawn", first)
+    return copies_of(ready, F.concat_ws(":", *keys, "drawn"), seed).select(*reads.columns, "kind", "copy", "mate")
 
 
 def upscale_stats(out: DataFrame) -> DataFrame:

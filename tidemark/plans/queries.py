@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_autosome, sample_name, track_sample_name
-from ..functions.reuse import reused
+from ..functions.reuse import new_folder, reused
 from ..operators import coverage, intervals, matrix, panel, scaling, smooth, upscale
+from ..streaming.upscaling import remaining, upscaled_stream
 from . import fixtures as fx
 from . import pipelines
 from .sql import query
@@ -130,8 +131,8 @@ def _track_a(spark: SparkSession, d: str) -> DataFrame:
 
 @_once
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
-    pairs = upscale.paired(_reads(spark, d).where(~upscale.passes_through()), _KEYS)
-    return upscale.with_scale(pairs, _scales(spark, d), _KEYS).withColumn("mate", F.when(F.col("complete"), upscale.mate_order(_KEYS)).cast("int"))
+    reads = upscale.with_own_scale(_reads(spark, d).where(~upscale.passes_through()), _scales(spark, d))
+    return upscale.with_scale(upscale.paired(reads, _KEYS), _KEYS).withColumn("mate", F.when(F.col("complete"), upscale.mate_order(_KEYS)).cast("int"))
 
 
 @_once
@@ -384,8 +385,8 @@ def condition_scale(spark, d):
 
 @_registered("SELECT sample, qname, ord, round(own_scale, 6) AS own_scale FROM looked")
 def point_lookup(spark, d):
-    reads = _reads(spark, d).where(~upscale.passes_through()).withColumn("row", F.struct(*_KEYS, "ord"))
-    return _rounded(intervals.point_lookup(reads, _scales(spark, d), "own_scale", 1.0).select(*_KEYS, "ord", "own_scale"))
+    reads = upscale.with_own_scale(_reads(spark, d).where(~upscale.passes_through()), _scales(spark, d))
+    return _rounded(reads.select(*_KEYS, "ord", "own_scale"))
 
 
 @_registered("SELECT sample, qname, ord, pair_no, nth, complete FROM paired")
@@ -429,6 +430,20 @@ def coordinate_sort(spark, d):
     return upscale.coordinate_sorted(_output(spark, d)).select("kind", *_KEYS, "flag", "chrom", "pos", "ord", "copy")
 
 
+@_registered("SELECT kind, sample, qname, flag, chrom, pos, ord, copy, mate FROM streamed")
+def stream_upscale(spark, d):
+    """The reads as a stream in two deliveries, so that pairs reach over a restart; what waits at the end comes from the state. Nothing is evicted."""
+    reads, folder = _reads(spark, d), new_folder(spark, "stream")
+    spark.createDataFrame([], reads.schema).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(reads.schema).parquet(f"{folder}/in")
+    out = upscaled_stream(stream, _scales(spark, d), _KEYS, limit=1 << 60)
+    for part in ("ord <= 3", "ord > 3"):
+        reads.where(part).write.mode("append").parquet(f"{folder}/in")
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    both = spark.read.schema(out.schema).parquet(f"{folder}/out").unionByName(remaining(spark, f"{folder}/state", reads.schema))
+    return both.select("kind", *_KEYS, "flag", "chrom", "pos", "ord", "copy", "mate")
+
+
 # --- names
 
 

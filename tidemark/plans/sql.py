@@ -134,6 +134,10 @@ CTES: dict[str, str] = {
     "scaled": """SELECT *, CASE WHEN complete THEN avg(own_scale) OVER (PARTITION BY sample, qname, pair_no) ELSE 1.0 END AS scale,
         CASE WHEN bool_or(nth = 1 AND flag & 64 <> 0) OVER (PARTITION BY sample, qname, pair_no) THEN 2 - nth ELSE nth + 1 END AS mate FROM paired""",
     "copied": """SELECT *, greatest(1, CAST(floor(scale) AS INT) + CAST(CAST(('0x' || substr(md5(sample || ':' || qname || ':' || pair_no || ':42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < scale - floor(scale) AS INT)) AS copies FROM scaled WHERE complete""",
+    "drawn": """SELECT *, greatest(1, CAST(floor(scale) AS INT) + CAST(CAST(('0x' || substr(md5(sample || ':' || qname || ':' || min(ord) OVER (PARTITION BY sample, qname, pair_no) || ':42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < scale - floor(scale) AS INT)) AS copies FROM scaled WHERE complete""",
+    "streamed": """SELECT 'passthrough' AS kind, sample, qname, flag, chrom, pos, ord, 0 AS copy, NULL::INT AS mate FROM reads WHERE flag & 2308 <> 0
+        UNION ALL SELECT 'orphan', sample, qname, flag, chrom, pos, ord, 0, NULL FROM scaled WHERE NOT complete
+        UNION ALL SELECT 'pair', sample, CASE WHEN copy = 0 THEN qname ELSE qname || ':upscale_' || copy END, flag & ~1024, chrom, pos, ord, CAST(copy AS INT), CAST(mate AS INT) FROM (SELECT *, unnest(range(copies)) AS copy FROM drawn)""",
     "output": """SELECT 'passthrough' AS kind, sample, qname, flag, chrom, pos, ord, 0 AS copy, NULL::INT AS mate FROM reads WHERE flag & 2308 <> 0
         UNION ALL SELECT 'orphan', sample, qname, flag, chrom, pos, ord, 0, NULL FROM scaled WHERE NOT complete
         UNION ALL SELECT 'pair', sample, CASE WHEN copy = 0 THEN qname ELSE qname || ':upscale_' || copy END, flag & ~1024, chrom, pos, ord, CAST(copy AS INT), CAST(mate AS INT) FROM (SELECT *, unnest(range(copies)) AS copy FROM copied)""",
