@@ -16,6 +16,7 @@ import sys
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.columns import sample_name
 from .operators import coverage, matrix, panel
 from .params import DEFAULT, Params
 from .plans import pipelines
@@ -29,12 +30,10 @@ def _windows_with_gc(spark: SparkSession, bed: str, fasta: str) -> DataFrame:
 
 
 def _reads(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("bam",)) -> tuple[DataFrame, list[str]]:
+    """What depth needs of all files' records, in one scan, and the samples. A file's sample is known by its name, as alignment_files() has it."""
     files = [tuple(r) for r in tables.alignment_files(spark, folder, kinds).collect()]
-    one = [bam.read_bam(spark, [path]).withColumn("sample", F.lit(sample)) for path, sample in files]
-    out = one[0]
-    for more in one[1:]:
-        out = out.unionByName(more)
-    return out, [sample for _, sample in files]
+    reads = bam.read_bam(spark, [path for path, _ in files], ["qname", "flag", "chrom", "pos", "mapq", "cigar", "file"], without=DEFAULT.flag_mask, min_mapq=DEFAULT.min_mapq)
+    return reads.withColumn("sample", sample_name("file")).drop("file"), [sample for _, sample in files]
 
 
 def windows(spark: SparkSession, a: argparse.Namespace) -> None:

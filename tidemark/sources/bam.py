@@ -1,23 +1,33 @@
 """Alignment files: BAM as a Spark data source that reads and writes, SAM text, and sequences from FASTA files.
 
-BAM follows the public SAM specification: BGZF blocks with little-endian records. One file is one partition. Files are opened
-through pyarrow's file systems, so that paths may be URIs. CRAM isn't read.
-
-    spark.dataSource.register(BamSource)
-    spark.read.format("bam").load(path)
-    df.write.format("bam").option("header", text).mode("append").save(path)
+BAM follows the public SAM specification: BGZF blocks with little-endian records. A file is split into ranges of bytes: a task looks for the first
+block in its range, and in that for the first record, which a chain of plausible ones tells; it reads on to the end of the last record that starts
+in its range. Records become Arrow batches: heads, names, bases and qualities by numpy, and only the columns asked for. Conditions on flag, mapq and
+chromosome drop records by their heads. ord is a record's virtual offset. Files are opened through pyarrow's file systems, so that paths may be URIs. CRAM isn't read.
+
+    read_bam(spark, paths, columns), write_bam(reads, path, header)
+    spark.dataSource.register(BamSource); spark.read.format("bam").load(path)
+    df.write.format("bam").option("header", text).mode("append").save(path)  # one process puts the parts together, no index
 """
 
 from __future__ import annotations
 
+import functools
 import gzip
 import io
+import itertools
+import os
+import pickle
+import shutil
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -138,21 +148,6 @@ def _write_tags(text: str | None) -> bytes:
     return b"".join(out)
 
 
-def decode_record(data: bytes, names: list[str], order: int) -> tuple:
-    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
-    at = 32 + l_name
-    name = data[32 : at - 1].decode()
-    cigar = "".join(f"{v >> 4}{OPS[v & 15]}" for v in struct.unpack_from(f"<{n_cigar}I", data, at)) or "*"
-    at += 4 * n_cigar
-    packed = data[at : at + (l_seq + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] or "*"
-    at += len(packed)
-    raw = data[at : at + l_seq]
-    qual = "*" if not raw or raw[0] == 255 else "".join(chr(b + 33) for b in raw)
-    place = lambda k: names[k] if k >= 0 else None
-    return name, flag, place(ref), pos if pos >= 0 else None, mapq, cigar, place(next_ref), next_pos if next_pos >= 0 else None, tlen, seq, qual, _read_tags(data[at + l_seq :]), order
-
-
 def bin_of(start: int, end: int) -> int:
     """The smallest bin of the indexing scheme that holds [start, end)."""
     end -= 1
@@ -186,36 +181,425 @@ def _cigar(text: str) -> list[tuple[int, str]]:
     return out
 
 
-# --- the source
+# --- splits
+
+
+CHUNK = 4 << 20
+#: Records that must follow one another from a place for it to count as the start of one.
+CHAIN = 8
+
+
+def block_size(data: bytes, at: int = 0) -> int | None:
+    """Size of the BGZF block that starts there, from its header (18 bytes at least); None: no block starts there."""
+    if data[at : at + 4] != b"\x1f\x8b\x08\x04" or len(data) < at + 18:
+        return None
+    extra = data[at + 12 : at + 12 + struct.unpack_from("<H", data, at + 10)[0]]
+    k = 0
+    while k + 4 <= len(extra):
+        n = struct.unpack_from("<H", extra, k + 2)[0]
+        if extra[k : k + 2] == b"BC" and n == 2 and k + 6 <= len(extra):
+            return struct.unpack_from("<H", extra, k + 4)[0] + 1
+        k += 4 + n
+    return None
+
+
+def inflated(block: bytes) -> bytes:
+    return zlib.decompress(block[12 + struct.unpack_from("<H", block, 10)[0] : -8], -15)
+
+
+class BlockFile:
+    """Random access to the blocks of an open BGZF file."""
+
+    def __init__(self, file):
+        self.file, self.size = file, file.size()
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(min(n, self.size - at))
+
+    def block(self, at: int) -> tuple[bytes, int] | None:
+        """What the block there holds, and where the next one starts; None at the end."""
+        if at >= self.size:
+            return None
+        head = self._read(at, 1 << 16)
+        if (n := block_size(head)) is None:
+            raise ValueError(f"no block at {at}: the file is damaged, or not BGZF")
+        if len(head) < n:
+            raise ValueError(f"the block at {at} is cut short")
+        return inflated(head[:n]), at + n
+
+    def next_block(self, at: int) -> int:
+        """Where the first block at or behind a place starts: a header that a chain of further ones follows. The file's size, if none does."""
+        start = at
+        while start < self.size:
+            data = self._read(start, 1 << 17)
+            k = data.find(b"\x1f\x8b\x08\x04")
+            while 0 <= k < min(len(data), 1 << 16):
+                if self._chained(start + k):
+                    return start + k
+                k = data.find(b"\x1f\x8b\x08\x04", k + 1)
+            start += 1 << 16
+        return self.size
+
+    def _chained(self, at: int) -> bool:
+        for _ in range(3):
+            if at == self.size:
+                return True
+            n = block_size(self._read(at, 1 << 10))
+            if n is None or at + n > self.size:
+                return False
+            at += n
+        return True
+
+
+class Segments:
+    """Uncompressed bytes of consecutive blocks, and for each place its virtual offset: the block's start in the file << 16 | place in the block."""
+
+    def __init__(self):
+        self.parts, self.length = [], 0
+
+    def add(self, at: int, skip: int, data: bytes) -> None:
+        if data:
+            self.parts.append((at, skip, data))
+            self.length += len(data)
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The bytes; where each part starts in them; its virtual offset."""
+        starts = np.cumsum([0, *(len(d) for *_, d in self.parts)])[:-1]
+        return b"".join(d for *_, d in self.parts), starts, np.array([a << 16 | s for a, s, _ in self.parts], np.int64)
+
+    def drop(self, n: int) -> None:
+        """Leave out the first n bytes."""
+        self.length -= n
+        kept = []
+        for at, skip, data in self.parts:
+            if n < len(data):
+                kept.append((at, skip + n, data[n:]) if n else (at, skip, data))
+                n = 0
+            else:
+                n -= len(data)
+        self.parts = kept
+
+
+def looks_like_record(data: bytes, at: int, n_refs: int) -> int | None:
+    """The record's size with its length, if what stands there can be one (as far as data reaches); else None."""
+    if len(data) < at + 36:
+        return None
+    size, ref, pos, l_name, _, _, n_cigar, _, l_seq, next_ref, next_pos = struct.unpack_from("<iiiBBHHHiii", data, at)
+    if not (-1 <= ref < n_refs and -1 <= next_ref < n_refs and pos >= -1 and next_pos >= -1 and l_name >= 1 and l_seq >= 0):
+        return None
+    if size < 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq:
+        return None
+    name = data[at + 36 : at + 36 + l_name]
+    if len(name) == l_name and (name[-1] != 0 or any(not 33 <= c <= 126 for c in name[:-1])):
+        return None
+    ops = data[at + 36 + l_name : at + 36 + l_name + 4 * n_cigar]
+    return None if any(c & 15 > 8 for c in ops[::4]) else size + 4
+
+
+def first_record(data: bytes, n_refs: int, whole: bool) -> int | None:
+    """Where the first record in data starts: a chain of CHAIN records goes from there, or (whole) one that ends where the file does. None: too little data.
+
+    The first record's chain holds those of all later ones, so that none of these is taken for it.
+    """
+    for start in range(len(data)):
+        at, n = start, 0
+        while n < CHAIN and (size := looks_like_record(data, at, n_refs)) is not None:
+            at, n = at + size, n + 1
+        if n == CHAIN or (whole and n and at == len(data)):
+            return start
+    return None
 
 
 @dataclass
-class _File(InputPartition):
+class _Split(InputPartition):
     path: str
+    start: int
+    end: int
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def split_records(path: str, start: int, end: int) -> Iterator[tuple[list[str], bytes, np.ndarray, np.ndarray]]:
+    """The records that start in a block that starts in [start, end): names of the sequences; bytes; where each record starts in them; its virtual offset.
 
-    def partitions(self) -> list[_File]:
-        return [_File(p) for p in self.paths]
+    A record may reach over blocks, and over the end of the split; it belongs to where it starts.
+    """
+    files, where = open_path(path)
+    with files.open_input_file(where) as raw:
+        file = BlockFile(raw)
+        header = _Virtual(_Raw(raw))
+        _, names = read_header(header)
+        first = header.tell()
+        at = file.next_block(start) if start > first >> 16 else first >> 16
+        own, skip = Segments(), 0
+        if at == first >> 16:
+            skip = first & 0xFFFF
+        else:
+            # Blocks are read until a chain of records tells where the first one starts.
+            look, to, need = Segments(), at, 1 << 17
+            while at < end:
+                while look.length < need and (block := file.block(to)) is not None:
+                    look.add(to, 0, block[0])
+                    to = block[1]
+                data, starts, offsets = look.joined()
+                whole = to >= file.size
+                if (found := first_record(data, len(names), whole)) is not None:
+                    k = int(np.searchsorted(starts, found, side="right")) - 1
+                    at, skip = int(offsets[k]) >> 16, found - int(starts[k])
+                    break
+                if whole:
+                    return
+                need *= 2
+        ended, room = False, CHUNK
+        while not ended:
+            while own.length < room and at < end and (block := file.block(at)) is not None:
+                own.add(at, skip, block[0][skip:])
+                at, skip = block[1], 0
+            ended = at >= min(end, file.size)
+            data, starts, offsets = own.joined()
+            owned = len(data)
+            found, place = [], 0
+            while place < owned:
+                while len(data) < place + 4 or len(data) < place + 4 + struct.unpack_from("<i", data, place)[0]:
+                    if not ended or (block := file.block(at)) is None:
+                        break
+                    data, at = data + block[0], block[1]
+                else:
+                    found.append(place)
+                    place += 4 + struct.unpack_from("<i", data, place)[0]
+                    continue
+                break
+            if ended and place < owned:
+                raise ValueError(f"{path} ends within a record")
+            if found:
+                begins = np.array(found, np.int64)
+                k = np.searchsorted(starts, begins, side="right") - 1
+                yield names, data, begins, offsets[k] + (begins - starts[k])
+            room = CHUNK if found else 2 * room  # a record may be longer than a chunk
+            own.drop(min(place, owned))
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of many spans behind one another, and the bounds of each."""
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    return data[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+
+
+def _strings(values: np.ndarray, bounds: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    bits = None if mask is None else pa.py_buffer(np.packbits(~mask, bitorder="little").tobytes())
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes()), bits).cast(pa.string())
+
+
+_HEAD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("next_ref", "<i4"), ("next_pos", "<i4"), ("tlen", "<i4")])
+_LETTERS = np.array([[ord(BASES[b >> 4]), ord(BASES[b & 15])] for b in range(256)], np.uint8)
+
+
+def decoded(names: list[str], data: bytes, begins: np.ndarray, offsets: np.ndarray, columns: list[str], conditions: Heads, path: str) -> pa.RecordBatch:
+    """A batch of the columns asked for; records that the conditions exclude are dropped before anything else of them is decoded."""
+    raw = np.frombuffer(data, np.uint8)
+    heads = raw[begins[:, None] + np.arange(36)].view(_HEAD).ravel()
+    keep = conditions.keep(heads, names)
+    heads, begins, offsets = heads[keep], begins[keep], offsets[keep]
+    ints = {c: heads[c].astype(np.int64) for c in ("size", "l_name", "n_cigar", "l_seq")}
+    cigar_at = begins + 36 + ints["l_name"]
+    seq_at = cigar_at + 4 * ints["n_cigar"]
+    qual_at = seq_at + (ints["l_seq"] + 1) // 2
+    tags_at = qual_at + ints["l_seq"]
+    sequences = pa.array([*names, None], pa.string())
+
+    def spans(starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def place(column: str) -> pa.Array:
+        at = heads[column].astype(np.int64)
+        return pa.array(at, pa.int64(), mask=at < 0)
+
+    def bases() -> pa.Array:
+        packed, bounds = _gathered(raw, seq_at, (ints["l_seq"] + 1) // 2)
+        letters = _LETTERS[packed].ravel()
+        out, cut = _gathered(letters, 2 * bounds[:-1], ints["l_seq"])
+        return _starred(out, cut, ints["l_seq"] == 0)
+
+    def qualities() -> pa.Array:
+        values, bounds = _gathered(raw, qual_at, ints["l_seq"])
+        missing = ints["l_seq"] == 0
+        some = np.flatnonzero(~missing)
+        missing[some] = values[bounds[some]] == 255
+        return _starred(values + np.uint8(33), bounds, missing)
+
+    make = {
+        "qname": lambda: _strings(*_gathered(raw, begins + 36, ints["l_name"] - 1)),
+        "flag": lambda: pa.array(heads["flag"].astype(np.int32)),
+        "chrom": lambda: sequences.take(pa.array(np.where(heads["ref"] < 0, len(names), heads["ref"]))),
+        "pos": lambda: place("pos"),
+        "mapq": lambda: pa.array(heads["mapq"].astype(np.int32)),
+        "cigar": lambda: pa.array([_cigar_text(c) for c in spans(cigar_at, seq_at)], pa.string()),
+        "rnext": lambda: sequences.take(pa.array(np.where(heads["next_ref"] < 0, len(names), heads["next_ref"]))),
+        "pnext": lambda: place("next_pos"),
+        "tlen": lambda: pa.array(heads["tlen"].astype(np.int32)),
+        "seq": bases,
+        "qual": qualities,
+        "tags": lambda: pa.array([_read_tags(t) for t in spans(tags_at, begins + 4 + ints["size"])], pa.string()),
+        "ord": lambda: pa.array(offsets),
+        "file": lambda: pa.array([path] * len(heads), pa.string()),
+    }
+    return pa.RecordBatch.from_arrays([make[c]() for c in columns], names=columns)
+
+
+def _starred(values: np.ndarray, bounds: np.ndarray, missing: np.ndarray) -> pa.Array:
+    """Strings, with a star for those that are missing."""
+    rows = _strings(values, bounds)
+    return pc.if_else(pa.array(missing), pa.scalar("*"), rows) if missing.any() else rows
+
+
+@functools.lru_cache(1 << 16)
+def _cigar_text(data: bytes) -> str:
+    return "".join(f"{v >> 4}{OPS[v & 15]}" for v in struct.unpack(f"<{len(data) // 4}I", data)) or "*"
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        files, where = open_path(partition.path)
-        with files.open_input_stream(where, compression=None) as raw:
-            file = io.BufferedReader(BlockReader(raw), 1 << 20)
-            _, names = read_header(file)
-            order = 0
-            while head := file.read(4):
-                yield decode_record(file.read(struct.unpack("<i", head)[0]), names, order)
-                order += 1
+
+# --- the source
+
+
+#: Records of a batch.
+BATCH = 1 << 14
+
+
+@dataclass
+class Heads:
+    """Conditions that a record's head tells: no flag bit of without, at least min_mapq, and, if any are named, one of these chromosomes."""
+
+    without: int = 0
+    min_mapq: int = 0
+    chroms: frozenset[str] = frozenset()
+
+    def keep(self, heads: np.ndarray, names: list[str]) -> np.ndarray:
+        out = (heads["flag"] & self.without == 0) & (heads["mapq"] >= self.min_mapq)
+        if self.chroms:
+            out &= np.array([*(n in self.chroms for n in names), False])[np.where(heads["ref"] < 0, len(names), heads["ref"])]
+        return out
+
+
+class _Reader(DataSourceReader):
+    """It has no pushFilters(): in the present version of Spark two plans of one table share what was pushed last, and give wrong rows."""
+
+    def __init__(self, paths: list[str], columns: list[str], split: int, conditions: Heads):
+        self.paths, self.columns, self.split, self.conditions = paths, columns, split, conditions
+
+    def partitions(self) -> list[_Split]:
+        out = []
+        for path in self.paths:
+            files, where = open_path(path)
+            size = files.get_file_info(where).size
+            if size is None:
+                raise FileNotFoundError(path)
+            out += [_Split(path, a, min(a + self.split, size)) for a in range(0, max(size, 1), self.split)]
+        return out
+
+    def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
+        for names, data, begins, offsets in split_records(partition.path, partition.start, partition.end):
+            for a in range(0, len(begins), BATCH):
+                yield decoded(names, data, begins[a : a + BATCH], offsets[a : a + BATCH], self.columns, self.conditions, partition.path)
 
 
 @dataclass
 class _Part(WriterCommitMessage):
     number: int
     path: str
+    size: int
+
+
+class PartIndex:
+    """Bins with chunks, and the linear index, of records in order of place, with virtual offsets from the part's start. Parts merge in their order."""
+
+    def __init__(self, n_refs: int):
+        self.bins, self.linear = [{} for _ in range(n_refs)], [{} for _ in range(n_refs)]
+        self.first = self.last = None
+        self.sorted = True
+
+    def add(self, body: bytes, begin: int, end: int) -> None:
+        """A record (without its length) that starts and ends at those virtual offsets."""
+        ref, pos, l_name, _, number, n_cigar = struct.unpack_from("<iiBBHH", body)
+        if ref < 0 or pos < 0:
+            return
+        if self.last is not None and (ref, pos) < self.last:
+            self.sorted = False
+        self.first, self.last = self.first or (ref, pos), (ref, pos)
+        span = sum(v >> 4 for v in struct.unpack_from(f"<{n_cigar}I", body, 32 + l_name) if OPS[v & 15] in "MDN=X") or 1
+        self._chunk(ref, number, begin, end)
+        for w in range(pos >> 14, (pos + span - 1 >> 14) + 1):
+            self.linear[ref].setdefault(w, begin)
+
+    def _chunk(self, ref: int, number: int, begin: int, end: int) -> None:
+        chunks = self.bins[ref].setdefault(number, [])
+        if chunks and chunks[-1][1] >> 16 == begin >> 16:
+            chunks[-1][1] = end
+        else:
+            chunks.append([begin, end])
+
+    def merge(self, part: PartIndex, shift: int) -> None:
+        """Add the next part, whose first block starts at shift in the whole file."""
+        self.sorted &= part.sorted and (self.last is None or part.first is None or self.last <= part.first)
+        self.first, self.last = self.first or part.first, part.last or self.last
+        for ref, bins in enumerate(part.bins):
+            for number, chunks in bins.items():
+                for begin, end in chunks:
+                    self._chunk(ref, number, begin + (shift << 16), end + (shift << 16))
+        for mine, other in zip(self.linear, part.linear, strict=True):
+            for w, begin in other.items():
+                mine.setdefault(w, begin + (shift << 16))
+
+    def encoded(self) -> bytes:
+        """The bytes of a .bai file."""
+        if not self.sorted:
+            raise ValueError("not in order of place: it can't be indexed")
+        out = [b"BAI\1", struct.pack("<i", len(self.bins))]
+        for by_bin, by_window in zip(self.bins, self.linear, strict=True):
+            out.append(struct.pack("<i", len(by_bin)))
+            for number, chunks in sorted(by_bin.items()):
+                out.append(struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
+            n, seen = max(by_window, default=-1) + 1, 0
+            out.append(struct.pack("<i", n))
+            for w in range(n):
+                seen = by_window.get(w, seen)
+                out.append(struct.pack("<Q", seen))
+        return b"".join(out)
+
+
+def write_part(rows, path: str, header: str, index: bool) -> _Part:
+    """Write a task's records as blocks, and beside them (path.idx) their part of the index, with offsets from the part's start."""
+    from pyspark import TaskContext
+
+    _, names = encode_header(header)
+    place, waiting, size, start = {n: k for k, n in enumerate(names)}, [], 0, 0
+    own = PartIndex(len(names))
+    files, where = open_path(path)
+
+    def flushed(out) -> int:
+        data = b"".join(waiting)
+        pieces = [compressed(data[a : a + BLOCK]) for a in range(0, len(data), BLOCK)]
+        if index:
+            starts = [start, *itertools.accumulate(map(len, pieces), initial=start)][1:]
+            # A place at the very end is the start of the block that comes next.
+            virtual = lambda p: starts[-1] << 16 if p == len(data) else starts[p // BLOCK] << 16 | p % BLOCK
+            at = 0
+            for record in waiting:
+                own.add(record[4:], virtual(at), virtual(at + len(record)))
+                at += len(record)
+        for piece in pieces:
+            out.write(piece)
+        return start + sum(map(len, pieces))
+
+    with files.open_output_stream(where) as out:
+        for row in rows:
+            waiting.append(encode_record(row, place))
+            size += len(waiting[-1])
+            if size >= 1 << 20:
+                start = flushed(out)
+                waiting, size = [], 0
+        start = flushed(out)
+    if index:
+        with files.open_output_stream(f"{where}.idx") as out:
+            out.write(pickle.dumps(own))
+    return _Part(TaskContext.get().partitionId(), path, start)
 
 
 class _Writer(DataSourceWriter):
@@ -225,33 +609,10 @@ class _Writer(DataSourceWriter):
         self.path, self.header = path, header
 
     def write(self, rows) -> _Part:
-        from pyspark import TaskContext
-
-        number, path = TaskContext.get().partitionId(), f"{self.path}.{uuid.uuid4().hex}.part"
-        _, names = encode_header(self.header)
-        place, waiting, size = {n: k for k, n in enumerate(names)}, [], 0
-        files, where = open_path(path)
-        with files.open_output_stream(where) as out:
-            for row in rows:
-                waiting.append(encode_record(row, place))
-                size += len(waiting[-1])
-                if size >= 1 << 20:
-                    out.write(compressed(b"".join(waiting)))
-                    waiting, size = [], 0
-            out.write(compressed(b"".join(waiting)))
-        return _Part(number, path)
+        return write_part(rows, f"{self.path}.{uuid.uuid4().hex}.part", self.header, index=False)
 
     def commit(self, messages) -> None:
-        files, where = open_path(self.path)
-        with files.open_output_stream(where) as out:
-            out.write(compressed(encode_header(self.header)[0]))
-            for m in sorted((m for m in messages if m), key=lambda m: m.number):
-                _, part = open_path(m.path)
-                with files.open_input_stream(part, compression=None) as data:
-                    while piece := data.read(1 << 20):
-                        out.write(piece)
-                files.delete_file(part)
-            out.write(EOF)
+        join_parts(self.path, self.header, sorted((m for m in messages if m), key=lambda m: m.number))
 
     def abort(self, messages) -> None:
         for m in messages:
@@ -260,8 +621,25 @@ class _Writer(DataSourceWriter):
                 files.delete_file(part)
 
 
+def join_parts(path: str, header: str, parts: list[_Part]) -> None:
+    """Stream parts into one file, and delete them."""
+    files, where = open_path(path)
+    with files.open_output_stream(where) as out:
+        out.write(compressed(encode_header(header)[0]))
+        for m in parts:
+            _, part = open_path(m.path)
+            with files.open_input_stream(part, compression=None) as data:
+                while piece := data.read(1 << 20):
+                    out.write(piece)
+            files.delete_file(part)
+        out.write(EOF)
+
+
 class BamSource(DataSource):
-    """Options: path (or paths, comma-separated); to write, header: SAM header lines."""
+    """Options: path (or paths, comma-separated), split (bytes of a file for a task), without, min_mapq, chroms (comma-separated; see Heads).
+
+    To write, header: SAM header lines. A schema of some of the columns, and file, the path, reads no others.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -271,52 +649,33 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options.get("paths", self.options.get("path", "")).split(","))
+        o = self.options
+        conditions = Heads(int(o.get("without", "0")), int(o.get("min_mapq", "0")), frozenset(c for c in o.get("chroms", "").split(",") if c))
+        return _Reader(o.get("paths", o.get("path", "")).split(","), schema.names, int(o.get("split", SPLIT)), conditions)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"], self.options.get("header", ""))
 
 
+#: Bytes of a file for a task.
+SPLIT = 64 << 20
+
+
 def write_index(path: str) -> str:
-    """The .bai file of a BAM file in order of place: bins with chunks, and the linear index. Streams over the file once."""
+    """The .bai file of a BAM file in order of place, by reading it once. write_bam() needs no such pass."""
     files, where = open_path(path)
     with files.open_input_stream(where, compression=None) as raw:
         stream = _Virtual(raw)
         _, names = read_header(stream)
-        bins, linear = [{} for _ in names], [{} for _ in names]
-        last = (-1, -1)
+        own = PartIndex(len(names))
         while True:
             begin = stream.tell()
             head = stream.read(4)
             if not head:
                 break
-            body = stream.read(struct.unpack("<i", head)[0])
-            ref, pos, l_name, _, number, n_cigar = struct.unpack_from("<iiBBHH", body)
-            if ref < 0 or pos < 0:
-                continue
-            if (ref, pos) < last:
-                raise ValueError("not in order of place: it can't be indexed")
-            last = (ref, pos)
-            span = sum(v >> 4 for v in struct.unpack_from(f"<{n_cigar}I", body, 32 + l_name) if OPS[v & 15] in "MDN=X") or 1
-            chunks = bins[ref].setdefault(number, [])
-            if chunks and chunks[-1][1] >> 16 == begin >> 16:
-                chunks[-1][1] = stream.tell()
-            else:
-                chunks.append([begin, stream.tell()])
-            for w in range(pos >> 14, (pos + span - 1 >> 14) + 1):
-                linear[ref].setdefault(w, begin)
-    out = [b"BAI\1", struct.pack("<i", len(names))]
-    for by_bin, by_window in zip(bins, linear, strict=True):
-        out.append(struct.pack("<i", len(by_bin)))
-        for number, chunks in sorted(by_bin.items()):
-            out.append(struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
-        n, seen = max(by_window, default=-1) + 1, 0
-        out.append(struct.pack("<i", n))
-        for w in range(n):
-            seen = by_window.get(w, seen)
-            out.append(struct.pack("<Q", seen))
+            own.add(stream.read(struct.unpack("<i", head)[0]), begin, stream.tell())
     with files.open_output_stream(f"{where}.bai") as file:
-        file.write(b"".join(out))
+        file.write(own.encoded())
     return f"{path}.bai"
 
 
@@ -346,22 +705,79 @@ class _Virtual:
         return out
 
 
-def read_bam(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of BAM files in SCHEMA; ord is their order in the file."""
+def read_bam(spark: SparkSession, paths: list[str], columns: list[str] | None = None, without: int = 0, min_mapq: int = 0, chroms: list[str] | None = None, split: int = SPLIT) -> DataFrame:
+    """Records of BAM files in SCHEMA, or only some columns of it and file (the path); ord orders a file's records.
+
+    without (flag bits that a record must not have), min_mapq and chroms drop records by their heads.
+    """
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("paths", ",".join(paths)).load()
+    kinds = dict(c.split() for c in SCHEMA.split(", ")) | {"file": "string"}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns or COLUMNS)
+    reader = spark.read.format("bam").schema(schema).option("paths", ",".join(paths)).option("split", split)
+    return reader.option("without", without).option("min_mapq", min_mapq).option("chroms", ",".join(chroms or [])).load()
 
 
 def write_bam(reads: DataFrame, path: str, header: str, index: bool = True) -> None:
-    """One BAM file of the rows in the order of their partitions (see coordinate_sorted), and its index."""
+    """One BAM file of the rows in the order of their partitions (see coordinate_sorted), and its index.
+
+    Each task writes its part, and that part's index with offsets of its own. Sizes of the parts give where each belongs; on a file system with
+    plain files (a shared mount) tasks then copy all parts to their places at once, elsewhere one task streams them. The index is the parts' shifted
+    and merged: its size is bounded by the genome's bins. A task that runs twice writes the same bytes to the same place, or a part that no one uses.
+    """
     spark = reads.sparkSession
-    spark.dataSource.register(BamSource)
-    known = dict(reads.dtypes)
-    kinds = dict(c.split() for c in SCHEMA.split(", "))
+    known, kinds = dict(reads.dtypes), dict(c.split() for c in SCHEMA.split(", "))
     full = reads.select(*[F.col(c).cast(k) if c in known else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
-    full.write.format("bam").option("header", header).mode("append").save(path)
-    if index:
-        write_index(path)
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    files, where = open_path(folder)
+    files.create_dir(where, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        part = write_part(rows, f"{folder}/{uuid.uuid4().hex}.part", header, index)
+        yield pa.RecordBatch.from_pydict({"number": pa.array([part.number], pa.int32()), "path": [part.path], "size": pa.array([part.size], pa.int64())})
+
+    # A row for each task, sorted here: ordering them in Spark would write them once more to find ranges.
+    parts = sorted((_Part(*r) for r in full.mapInArrow(write, "number int, path string, size long").collect()), key=lambda p: p.number)
+    head = compressed(encode_header(header)[0])
+    starts = list(itertools.accumulate((p.size for p in parts), initial=len(head)))
+    target = open_path(path)[1]
+    if files.type_name == "local":
+        made = f"{where}/whole"
+        with open(made, "wb") as out:
+            out.write(head)
+            out.seek(starts[-1])
+            out.write(EOF)
+
+        def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    with open(open_path(part)[1], "rb") as data, open(made, "r+b") as out:
+                        out.seek(start)
+                        shutil.copyfileobj(data, out, 1 << 20)
+                yield batch
+
+        if parts:
+            places = spark.createDataFrame([(p.path, s) for p, s in zip(parts, starts, strict=False)], "path string, start long")
+            places.repartition(len(parts)).mapInArrow(copy, "path string, start long").write.format("noop").mode("overwrite").save()
+        os.replace(made, target)
+    else:
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                join_parts(path, header, parts)
+                yield batch
+
+        spark.range(1, numPartitions=1).mapInArrow(stream, "id long").write.format("noop").mode("overwrite").save()
+    try:
+        if index:
+            own = PartIndex(len(encode_header(header)[1]))
+            for part, start in zip(parts, starts, strict=False):
+                with files.open_input_stream(open_path(part.path)[1] + ".idx") as data:
+                    own.merge(pickle.loads(data.read()), start)
+            with files.open_output_stream(f"{target}.bai") as out:
+                out.write(own.encoded())
+    finally:
+        files.delete_dir(where)
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
