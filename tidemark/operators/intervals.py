@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
-from ..functions.reuse import reused
 from ..params import DEFAULT
 
 KEYS = ["chrom", "start", "end"]
+#: Bases of a bin in which islands are made.
+MERGE_BIN = 1 << 20
 
 
 def tile(intervals: DataFrame, size: int = DEFAULT.window_size) -> DataFrame:
@@ -38,9 +39,8 @@ def concatenated(*tables: DataFrame) -> DataFrame:
     return first
 
 
-def merge(intervals: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Overlapping and touching intervals with the same keys become one."""
-    keys = keys or ["chrom"]
+def islands(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Overlapping and touching intervals with the same keys become one. Rows with the same keys meet in one task, in order: for many small groups."""
     order = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = intervals.select(*keys, "start", "end", F.when(F.col("start") <= before, 0).otherwise(1).alias("opens"))
@@ -48,6 +48,32 @@ def merge(intervals: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return island.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def cut(intervals: DataFrame, size: int) -> DataFrame:
+    """The intervals cut at multiples of size, with bin; an empty one stays as it is."""
+    pieces = intervals.withColumn("bin", F.explode(F.sequence(F.expr(f"start div {size}"), F.expr(f"greatest(end - 1, start) div {size}"))))
+    return pieces.withColumns({"start": F.greatest("start", F.col("bin") * size), "end": F.least("end", (F.col("bin") + 1) * size)})
+
+
+def stitched(pieces: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Pieces (with bin, apart within each) that touch over a bound of bins become one.
+
+    Only pieces at a bound can: of each bin two at most, which meet by the keys. All others are a group of their bin.
+    """
+    edge = (F.col("start") <= F.col("bin") * size) | (F.col("end") >= (F.col("bin") + 1) * size)
+    return islands(pieces.withColumn("part", F.when(~edge, F.col("bin"))), [*keys, "part"]).drop("part")
+
+
+def merge(intervals: DataFrame, keys: list[str] | None = None, bin_size: int = MERGE_BIN) -> DataFrame:
+    """Overlapping and touching intervals with the same keys become one, however many a key has.
+
+    Intervals are cut at bins, of which each makes its own islands; those that touch a bin's bounds are stitched. Of intervals with one start the
+    longest counts, which partial aggregation finds before the exchange: a bin gets one row for each of its places at most.
+    """
+    keys = keys or ["chrom"]
+    longest = cut(intervals.select(*keys, "start", "end"), bin_size).groupBy(*keys, "bin", "start").agg(F.max("end").alias("end"))
+    return stitched(islands(longest, [*keys, "bin"]), keys, bin_size)
+
+
 def _binned(table: DataFrame, size: int, start: str, end: str) -> DataFrame:
     bins = F.sequence(F.expr(f"{start} div {size}"), F.expr(f"greatest({end} - 1, {start}) div {size}"))
     return table.withColumn("bin", F.explode(bins))
@@ -67,23 +93,19 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = DEFAULT.wind
 
 
 def subtract(windows: DataFrame, mask: DataFrame, bin_size: int = DEFAULT.window_size) -> DataFrame:
-    """What of each window (a window per row, repeated ones too) no interval of mask covers. mask: merged."""
-    rows = reused(windows.select(*KEYS, F.monotonically_increasing_id().alias("row")).where("end > start"))
-    mask = reused(mask)
-    cuts = overlap_join(rows, mask.select(KEYS), bin_size).groupBy(*KEYS, "row").agg(F.sort_array(F.collect_list(F.struct("r_start", "r_end"))).alias("cuts"))
+    """What of each window (a window per row, repeated ones too) no interval of mask covers. mask: merged.
+
+    Windows and mask are cut at bins and meet once, a bin's mask as one array (of bin_size elements at most); what is left is stitched by window.
+    """
+    rows = cut(windows.select(*KEYS, F.monotonically_increasing_id().alias("row")).where("end > start"), bin_size)
+    cuts = cut(mask.select(*KEYS).where("end > start"), bin_size).groupBy("chrom", "bin").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    own = rows.join(cuts, ["chrom", "bin"], "left")
+    near = F.filter(F.coalesce("cuts", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda c: (c["end"] > F.col("start")) & (c["start"] < F.col("end")))
     # The pieces lie between one cut's end and the next one's start.
-    starts = F.concat(F.array("start"), F.col("cuts.r_end"))
-    ends = F.concat(F.col("cuts.r_start"), F.array("end"))
-    pieces = cuts.select("chrom", F.explode(F.arrays_zip(starts.alias("start"), ends.alias("end"))).alias("p")).select("chrom", "p.start", "p.end").where("end > start")
-    whole = overlap_free(rows, mask, bin_size).select(KEYS)
-    return pieces.unionByName(whole)
-
-
-def overlap_free(windows: DataFrame, mask: DataFrame, bin_size: int = DEFAULT.window_size) -> DataFrame:
-    """The windows that touch no interval of mask."""
-    a = _binned(mask.where("end > start").select("chrom", F.col("start").alias("m_start"), F.col("end").alias("m_end")), bin_size, "m_start", "m_end")
-    touched = _binned(windows, bin_size, "start", "end").join(a, ["chrom", "bin"]).where("m_start < end and start < m_end").select("row").distinct()
-    return windows.join(touched, "row", "left_anti")
+    own = own.withColumn("near", near)
+    pieces = F.arrays_zip(F.concat(F.array("start"), F.col("near.end")).alias("start"), F.concat(F.col("near.start"), F.array("end")).alias("end"))
+    left = own.select("row", "chrom", "bin", F.explode(pieces).alias("p")).select("row", "chrom", "bin", "p.start", "p.end").where("end > start")
+    return stitched(left, ["row", "chrom"], bin_size).select(KEYS)
 
 
 def long_enough(windows: DataFrame, size: int = DEFAULT.window_size, fraction: float = DEFAULT.min_fraction) -> DataFrame:

@@ -15,14 +15,15 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_column, clip, nan_to_null
+from ..functions.columns import as_column, clip
 from ..params import DEFAULT
 
-#: Knots of all samples' curves (16 bytes each) up to which they are broadcast.
-BROADCAST_KNOTS = 2_000_000
+#: Ranges of gc, from 0 to 1, in which queries meet their knots.
+RANGES = 256
 
 
 def neighbours(n: int, frac: float) -> int:
@@ -131,41 +132,42 @@ def lowess_fit(points: DataFrame, frac: float = DEFAULT.lowess_frac, passes: int
     return points.select("sample", "gc", "y").groupBy("sample").applyInPandas(run, "sample string, gc double, fit double, points long")
 
 
-def interpolated(queries: DataFrame, curve: DataFrame, broadcast_knots: int = BROADCAST_KNOTS) -> DataFrame:
+def _dealt(curve: DataFrame, n_ranges: int) -> DataFrame:
+    """The curve's knots by range of gc, with the last knot before the range and the first one behind it, for every range."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("gc")
+        gc, n = group["gc"].to_numpy(), len(group)
+        own = np.clip(np.floor(gc * n_ranges), 0, n_ranges - 1).astype(np.int64)
+        ranges = np.arange(n_ranges)
+        low, high = np.maximum(np.searchsorted(own, ranges) - 1, 0), np.minimum(np.searchsorted(own, ranges, side="right") + 1, n)
+        sizes = high - low
+        at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return group.take(at).append_column("range", pa.array(np.repeat(ranges, sizes).astype(np.int32)))
+
+    return curve.select("sample", "gc", "fit").groupBy("sample").applyInArrow(run, "sample string, gc double, fit double, range int")
+
+
+def interpolated(queries: DataFrame, curve: DataFrame, ranges: int = RANGES) -> DataFrame:
     """queries (sample, gc, any more) with fit: linear between knots of the sample's curve, constant beyond its ends, null for null gc.
 
-    curve (stored) is broadcast if it has broadcast_knots at most, and looked up where the queries are. Else knots and queries are put in order of gc
-    together, by sample, and each query sees the last knot before it from either side.
+    Queries and knots are co-grouped by sample and range of gc; knots at a range's bounds go to both sides, so that a range needs no other. ranges: how many there are between 0 and 1, one at least; what lies outside is in the first or last.
     """
-    if curve.count() <= broadcast_knots:
-        return _looked_up(queries, curve)
-    rest = [c for c in queries.columns if c not in ("sample", "gc")]
-    both = queries.withColumn("knot", F.lit(None).cast("struct<gc:double,fit:double>")).unionByName(curve.select("sample", "gc", F.struct("gc", "fit").alias("knot")), allowMissingColumns=True).withColumn("query", F.col("knot").isNull())
-    own = Window.partitionBy("sample")
-    left = F.last("knot", ignorenulls=True).over(own.orderBy(F.col("gc").asc(), F.col("query").asc()).rowsBetween(Window.unboundedPreceding, 0))
-    right = F.last("knot", ignorenulls=True).over(own.orderBy(F.col("gc").desc(), F.col("query").asc()).rowsBetween(Window.unboundedPreceding, 0))
-    placed = both.withColumn("left", left).withColumn("right", right).where("query")
-    a, b, gc = F.col("left"), F.col("right"), F.col("gc")
-    between = a["fit"] + F.try_divide(gc - a["gc"], b["gc"] - a["gc"]) * (b["fit"] - a["fit"])
-    fit = F.when(gc.isNull(), None).when(a.isNull(), b["fit"]).when(b.isNull() | (b["gc"] == a["gc"]), a["fit"]).otherwise(between)
-    return placed.withColumn("fit", fit).select("sample", "gc", *rest, "fit")
-
-
-def _looked_up(queries: DataFrame, curve: DataFrame) -> DataFrame:
-    knots = curve.select("sample", "gc", "fit").toPandas().sort_values(["sample", "gc"])
-    shared = queries.sparkSession.sparkContext.broadcast({s: (k["gc"].to_numpy(), k["fit"].to_numpy()) for s, k in knots.groupby("sample")})
-
-    @F.pandas_udf("double")
-    def look(sample: pd.Series, gc: pd.Series) -> pd.Series:
-        at, out = gc.to_numpy(np.float64), np.full(len(gc), np.nan)
-        for name, rows in pd.Series(np.arange(len(gc))).groupby(sample.to_numpy()):
-            if name in shared.value:
-                out[rows] = np.interp(at[rows], *shared.value[name])
-        return pd.Series(out).astype("Float64")
-
-    rest = [c for c in queries.columns if c not in ("sample", "gc")]
-    fit = F.when(F.col("gc").isNotNull(), nan_to_null(look("sample", F.coalesce("gc", F.lit(0.0)))))
-    return queries.withColumn("fit", fit).select("sample", "gc", *rest, "fit")
+    ranges = max(1, ranges)
+    names = queries.columns
+    schema = ", ".join([f"`{c}` {t}" for c, t in queries.dtypes] + ["fit double"])
+
+    def run(own: pa.Table, knots: pa.Table) -> pa.Table:
+        fit = np.full(len(own), np.nan)
+        if len(own) and len(knots):
+            knots = knots.sort_by("gc")
+            fit = np.interp(own["gc"].to_numpy(), knots["gc"].to_numpy(), knots["fit"].to_numpy())
+        return own.select(names).append_column("fit", pa.array(fit, mask=np.isnan(fit)))
+
+    gc_range = F.least(F.greatest(F.floor(F.col("gc") * ranges), F.lit(0)), F.lit(ranges - 1)).cast("int")
+    dealt = queries.withColumn("range", F.when(F.col("gc").isNotNull() & ~F.isnan("gc"), gc_range))
+    out = dealt.groupBy("sample", "range").cogroup(_dealt(curve, ranges).groupBy("sample", "range")).applyInArrow(run, schema)
+    return out.select("sample", "gc", *[c for c in names if c not in ("sample", "gc")], "fit")
 
 
 def corrected(value: str | Column, fit: str | Column, floor: float = DEFAULT.fit_floor) -> Column:

@@ -209,7 +209,7 @@ def cigar_blocks(spark, d):
 @_registered('SELECT sample, qname, chrom, start, "end" FROM templates')
 def template_blocks(spark, d):
     blocks = coverage.aligned_blocks(coverage.usable_reads(fx.reads(spark, d)))
-    return intervals.merge(blocks, ["sample", "qname", "chrom"]).select("sample", "qname", "chrom", "start", "end")
+    return intervals.islands(blocks, ["sample", "qname", "chrom"]).select("sample", "qname", "chrom", "start", "end")
 
 
 @_registered("SELECT sample, window_id, round(depth, 6) AS depth FROM depth")
