@@ -132,3 +132,30 @@ def test_region_files(spark, tmp_path):
             f.write(text)
     got = sorted(map(tuple, tables.read_regions(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted([("c", 0, 100, "w", 1.25, "s1"), ("c", 100, 200, "v", None, "s1"), ("c", 0, 100, "c:0-100", 3.5, "s2"), ("d", 5, 9, "d:5-9", 0.0, "s2")], key=str)
+
+
+def test_range_finder_equals_svd(spark, monkeypatch):
+    """Many samples, few components: several passes give the singular vectors; cells that are missing count as 0."""
+    from tidemark.operators import panel
+
+    r = np.random.default_rng(2)
+    m, n, k = 60, 200, 3
+    w = 1 + r.normal(0, 0.02, (n, m)) + sum(2.0**-j * np.outer(r.normal(0, 1, n), r.normal(0, 1, m)) for j in range(k))
+    df = spark.createDataFrame([(f"s{j:02d}", f"w{i:03d}", float(w[i, j])) for i in range(n) for j in range(m)], "sample string, window_id string, depth double").repartition(5)
+    monkeypatch.setattr(panel, "CELLS", 1000)
+    c = w - w.mean(axis=1, keepdims=True)
+    u, s, v = np.linalg.svd(c, full_matrices=False)
+    want = w - (u[:, :k] * s[:k]) @ v[:k]
+    got = np.array([x["denoised"] for x in panel.denoised(df, k).orderBy("window_id", "sample").collect()]).reshape(n, m)
+    assert np.allclose(got, want, atol=1e-8, rtol=0)
+    scores, cov = c @ v[:k].T, np.cov(c.T, bias=True)
+    assert abs(panel.explained_variance(df, k) - 100 * scores.var(axis=0).sum() / np.trace(cov)) < 1e-6
+    holes = df.where("hash(sample, window_id) % 9 <> 0")
+    cells = {(x.window_id, x["sample"]): x.depth for x in holes.collect()}
+    own = np.array([[cells.get((f"w{i:03d}", f"s{j:02d}"), np.nan) for j in range(m)] for i in range(n)])
+    mean = np.nanmean(own, axis=1, keepdims=True)
+    x = np.nan_to_num(own - mean)
+    v = np.linalg.svd(x, full_matrices=False)[2][:k]
+    rest = x - x @ v.T @ v + mean
+    got = panel.denoised(holes, k).collect()
+    assert len(got) == len(cells) and max(abs(y.denoised - rest[int(y.window_id[1:]), int(y["sample"][1:])]) for y in got) < 1e-8

@@ -1,7 +1,7 @@
 """Panel of normals: low-rank bias removed from the normals' matrix, and a median and variance for each window.
 
-With rows centred, only the top right singular vectors matter: they are eigenvectors of the samples' Gram matrix, which
-partitions add up by matrix products. The driver sees that matrix (samples x samples) alone.
+With rows centred, only the top right singular vectors matter. A randomised range finder finds them by passes over the windows, each linear in the
+samples; no matrix of samples by samples is made. The driver sees samples x (components + EXTRA) numbers.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ from ..params import DEFAULT
 
 #: Variances below this are rounding noise.
 NOISE = 1e-18
+#: Random vectors beside the components sought, passes at most, and the relative residual at which the components hold still.
+EXTRA, PASSES, STILL = 10, 40, 1e-11
+#: Numbers of a block's matrix.
+CELLS = 1 << 21
 
 
 def components_to_remove(samples: int, k: int) -> int:
@@ -34,77 +39,107 @@ def row_centred(rows: DataFrame, value: str = "depth") -> DataFrame:
 
 
 def _by_window(centred: DataFrame) -> DataFrame:
-    """window_id, cells: a window's samples in order, with their distances and the row's mean."""
+    """window_id, samples (in order), offs (their distances), row_mean."""
     cells = F.sort_array(F.collect_list(F.struct("sample", "off", "row_mean")))
-    return centred.groupBy("window_id").agg(cells.alias("cells"))
+    return centred.groupBy("window_id").agg(cells.alias("cells")).select("window_id", F.col("cells.sample").alias("samples"), F.col("cells.off").alias("offs"), F.col("cells.row_mean")[0].alias("row_mean"))
 
 
-def gram(windows: DataFrame) -> DataFrame:
-    """s1, s2, g: sums over windows of products of two samples' distances; with the sample "" that is 1 in every window, for means and counts.
+def _sample_names(windows: DataFrame) -> list[str]:
+    return sorted(r[0] for r in windows.select(F.explode("samples")).distinct().collect())
 
-    windows: of _by_window(). Each partition adds up matrix products of its batches, and gives samples x samples rows once.
+
+def _blocks(batch: pa.RecordBatch, names: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a batch as matrices of at most CELLS numbers, missing cells 0: first and last row, matrix, row and column of each cell."""
+    samples, offs = batch.column("samples"), batch.column("offs")
+    bounds = offs.offsets.to_numpy().astype(np.int64)
+    column = pc.index_in(samples.flatten(), value_set=names).to_numpy(zero_copy_only=False)
+    value = offs.flatten().to_numpy(zero_copy_only=False)
+    bounds = bounds - bounds[0]
+    step = max(1, CELLS // len(names))
+    for a in range(0, len(batch), step):
+        b = min(a + step, len(batch))
+        own = slice(bounds[a], bounds[b])
+        row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        matrix = np.zeros((b - a, len(names)))
+        matrix[row, column[own]] = value[own]
+        yield a, b, matrix, row, column[own]
+
+
+def products(windows: DataFrame, names: list[str], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """With X the matrix of windows by samples: X' X vectors, the columns' sums and sums of squares, and the number of windows.
+
+    Each partition adds up products of its blocks, in time linear in the samples, and gives a row for each sample.
     """
+    values, n = pa.array(names, pa.string()), vectors.shape[1]
+    schema = ", ".join(["place int", *(f"v{j} double" for j in range(n + 2))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names) + 1, n + 2))
         for batch in batches:
-            by_samples: dict[tuple, list] = {}
-            for samples, offs in zip(batch["samples"], batch["offs"], strict=True):
-                by_samples.setdefault(("", *samples), []).append((1.0, *offs))
-            for samples, rows in by_samples.items():
-                x = np.array(rows)
-                total[samples] = total.get(samples, 0) + x.T @ x
-        for samples, g in total.items():
-            n = len(samples)
-            yield pd.DataFrame({"s1": np.repeat(samples, n), "s2": np.tile(samples, n), "g": g.ravel()})
-
-    some = windows.select(F.col("cells.sample").alias("samples"), F.col("cells.off").alias("offs"))
-    return some.mapInPandas(run, "s1 string, s2 string, g double").groupBy("s1", "s2").agg(F.sum("g").alias("g"))
+            for a, b, x, _, _ in _blocks(batch, values):
+                total[:-1, :n] += x.T @ (x @ vectors)
+                total[:-1, n] += x.sum(axis=0)
+                total[:-1, n + 1] += (x * x).sum(axis=0)
+                total[-1, 0] += b - a
+        yield pa.RecordBatch.from_pydict({"place": np.arange(len(names) + 1, dtype=np.int32)} | {f"v{j}": total[:, j] for j in range(n + 2)})
 
+    found = windows.select("samples", "offs").mapInArrow(run, schema).groupBy("place").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(n + 2)])
+    out = np.zeros((len(names) + 1, n + 2))
+    for row in found.collect():  # a row for each sample
+        out[row[0]] = row[1:]
+    return out[:-1, :n], out[:-1, n], out[:-1, n + 1], float(out[-1, 0])
 
-def _matrix(g: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
-    """Samples, their Gram matrix, sums of their distances, and the number of windows."""
-    pairs = {(r["s1"], r["s2"]): r["g"] for r in g.collect()}
-    samples = sorted({a for a, _ in pairs} - {""})
-    return samples, np.array([[pairs.get((a, b), 0.0) for b in samples] for a in samples]), np.array([pairs["", s] for s in samples]), float(pairs.get(("", ""), 0))
 
+def top_components(windows: DataFrame, names: list[str], k: int, seed: int = DEFAULT.seed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """The top k right singular vectors, as columns, X' X times them, and the rest of products().
 
-def _basis(matrix: np.ndarray, k: int) -> np.ndarray:
-    """The top k right singular vectors, as columns."""
-    return np.linalg.eigh(matrix)[1][:, ::-1][:, : components_to_remove(len(matrix), k)]
+    A randomised range finder: a random subspace of k + EXTRA vectors is multiplied by X' X and made orthonormal again, a pass over the stored windows
+    each time, until its best k vectors hold still; with no more samples than that it is the whole space, and one pass is exact.
+    """
+    m = len(names)
+    k = components_to_remove(m, k)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, min(m, k + EXTRA))))[0]
+    for _ in range(PASSES):
+        moved, sums, squares, n = products(windows, names, basis)
+        inner = basis.T @ moved
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        turn, values = turn[:, ::-1][:, :k], values[::-1][:k]
+        best, image = basis @ turn, moved @ turn
+        if np.linalg.norm(image - best * values) <= STILL * max(values[0], 1e-300) or basis.shape[1] == m:
+            break
+        basis = np.linalg.qr(moved)[0]
+    return best, image, sums, squares, n
 
 
 def explained_variance(rows: DataFrame, k: int = DEFAULT.components, value: str = "depth") -> float:
     """Per cent of the columns' variance that the scores on the removed components have."""
-    samples, matrix, sums, n = _matrix(gram(_by_window(row_centred(rows, value))))
-    basis = _basis(matrix, k)
-    covariance = matrix / n - np.outer(sums / n, sums / n)
-    total = float(np.trace(covariance))
-    return 100.0 * float(np.trace(basis.T @ covariance @ basis)) / total if total > 0 else 0.0
+    windows = reused(_by_window(row_centred(rows, value)))
+    best, image, sums, squares, n = top_components(windows, _sample_names(windows), k)
+    total = float((squares / n - (sums / n) ** 2).sum())
+    own = float(np.trace(best.T @ image) / n - ((best.T @ sums / n) ** 2).sum())
+    return 100.0 * own / total if total > 0 else 0.0
 
 
 def denoised(rows: DataFrame, k: int = DEFAULT.components, value: str = "depth") -> DataFrame:
     """sample, window_id, row_mean, value's column and denoised, the depth without its share in the top k components.
 
-    The vectors (samples x k numbers) are in the plan; a window's scores and the rest are functions of its array of cells.
+    The vectors (samples x k numbers) go to the tasks, which take each block of windows by two matrix products.
     """
     windows = reused(_by_window(row_centred(rows, value)))
-    samples, matrix, _, _ = _matrix(gram(windows))
-    basis = _basis(matrix, k)
-    names = F.array(*map(F.lit, samples))
-    loads = [F.map_from_arrays(names, F.array(*[F.lit(float(x)) for x in v])) for v in basis.T]
-
-    def score(load):
-        return F.aggregate("cells", F.lit(0.0), lambda total, c: total + c["off"] * load[c["sample"]])
-
-    def rest(c):
-        bias = F.lit(0.0)
-        for j, load in enumerate(loads):
-            bias = bias + F.col(f"score{j}") * load[c["sample"]]
-        return F.struct(c["sample"].alias("sample"), (c["off"] + c["row_mean"]).alias(value), c["row_mean"].alias("row_mean"), (c["off"] - bias + c["row_mean"]).alias("denoised"))
-
-    scored = windows.select("window_id", "cells", *[score(load).alias(f"score{j}") for j, load in enumerate(loads)])
-    return scored.select("window_id", F.explode(F.transform("cells", rest)).alias("c")).select("c.sample", "window_id", *[f"c.{x}" for x in (value, "row_mean", "denoised")])
+    names = _sample_names(windows)
+    best = top_components(windows, names, k)[0]
+    kinds, values = dict(windows.dtypes), pa.array(names, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, x, row, column in _blocks(batch, values):
+                rest = (x - (x @ best) @ best.T)[row, column]
+                mean = batch.column("row_mean").slice(a, b - a).to_numpy()[row]
+                ids = batch.column("window_id").slice(a, b - a).take(pa.array(row))
+                arrays = [values.take(pa.array(column)), ids, pa.array(x[row, column] + mean), pa.array(mean), pa.array(rest + mean)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["sample", "window_id", value, "row_mean", "denoised"])
+
+    return windows.mapInArrow(run, f"sample string, window_id {kinds['window_id']}, `{value}` double, row_mean double, denoised double")
 
 
 def panel_stats(rows: DataFrame, value: str = "denoised") -> DataFrame:
