@@ -150,6 +150,8 @@ def test_range_finder_equals_svd(spark, monkeypatch):
     assert np.allclose(got, want, atol=1e-8, rtol=0)
     scores, cov = c @ v[:k].T, np.cov(c.T, bias=True)
     assert abs(panel.explained_variance(df, k) - 100 * scores.var(axis=0).sum() / np.trace(cov)) < 1e-6
+    nulls = df.withColumn("depth", F.expr("if(hash(sample, window_id) % 9 <> 0, depth, null)"))
+    assert panel.denoised(nulls, k).where("(denoised is null) <> (depth is null)").count() == 0
     holes = df.where("hash(sample, window_id) % 9 <> 0")
     cells = {(x.window_id, x["sample"]): x.depth for x in holes.collect()}
     own = np.array([[cells.get((f"w{i:03d}", f"s{j:02d}"), np.nan) for j in range(m)] for i in range(n)])
@@ -157,5 +159,7 @@ def test_range_finder_equals_svd(spark, monkeypatch):
     x = np.nan_to_num(own - mean)
     v = np.linalg.svd(x, full_matrices=False)[2][:k]
     rest = x - x @ v.T @ v + mean
+    full = {(y.window_id, y["sample"]): y.denoised for y in panel.denoised(nulls, k).collect() if y.denoised is not None}
     got = panel.denoised(holes, k).collect()
+    assert len(full) == len(got) and max(abs(full[y.window_id, y["sample"]] - y.denoised) for y in got) < 1e-8
     assert len(got) == len(cells) and max(abs(y.denoised - rest[int(y.window_id[1:]), int(y["sample"][1:])]) for y in got) < 1e-8

@@ -21,12 +21,13 @@ from .operators import coverage, matrix, panel
 from .params import DEFAULT, Params
 from .plans import pipelines
 from .sources import bam, tables
+from .sources.fasta import read_fasta
 
 
 def _windows_with_gc(spark: SparkSession, bed: str, fasta: str) -> DataFrame:
     rows = tables.read_bed(spark, bed)
     windows = rows.withColumn("window_id", F.coalesce("name", F.concat("chrom", F.lit(":"), F.col("start"), F.lit("-"), F.col("end")))).drop("name")
-    return windows.join(coverage.gc_fraction(windows, bam.read_fasta(spark, fasta), 100_000), "window_id")
+    return windows.join(coverage.gc_fraction(windows, read_fasta(spark, fasta), 100_000), "window_id")
 
 
 def _reads(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("bam",)) -> tuple[DataFrame, list[str]]:

@@ -48,12 +48,14 @@ def _sample_names(windows: DataFrame) -> list[str]:
     return sorted(r[0] for r in windows.select(F.explode("samples")).distinct().collect())
 
 
-def _blocks(batch: pa.RecordBatch, names: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of a batch as matrices of at most CELLS numbers, missing cells 0: first and last row, matrix, row and column of each cell."""
+def _blocks(batch: pa.RecordBatch, names: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a batch as matrices of at most CELLS numbers, missing and null cells 0: first and last row, matrix; row, column and whether it is null, of each cell."""
     samples, offs = batch.column("samples"), batch.column("offs")
     bounds = offs.offsets.to_numpy().astype(np.int64)
     column = pc.index_in(samples.flatten(), value_set=names).to_numpy(zero_copy_only=False)
-    value = offs.flatten().to_numpy(zero_copy_only=False)
+    value = offs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    null = np.isnan(value)
+    value = np.where(null, 0.0, value)
     bounds = bounds - bounds[0]
     step = max(1, CELLS // len(names))
     for a in range(0, len(batch), step):
@@ -62,7 +64,7 @@ def _blocks(batch: pa.RecordBatch, names: pa.Array) -> Iterator[tuple[int, int,
         row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
         matrix = np.zeros((b - a, len(names)))
         matrix[row, column[own]] = value[own]
-        yield a, b, matrix, row, column[own]
+        yield a, b, matrix, row, column[own], null[own]
 
 
 def products(windows: DataFrame, names: list[str], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -76,7 +78,7 @@ def products(windows: DataFrame, names: list[str], vectors: np.ndarray) -> tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names) + 1, n + 2))
         for batch in batches:
-            for a, b, x, _, _ in _blocks(batch, values):
+            for a, b, x, *_ in _blocks(batch, values):
                 total[:-1, :n] += x.T @ (x @ vectors)
                 total[:-1, n] += x.sum(axis=0)
                 total[:-1, n + 1] += (x * x).sum(axis=0)
@@ -123,7 +125,8 @@ def explained_variance(rows: DataFrame, k: int = DEFAULT.components, value: str
 def denoised(rows: DataFrame, k: int = DEFAULT.components, value: str = "depth") -> DataFrame:
     """sample, window_id, row_mean, value's column and denoised, the depth without its share in the top k components.
 
-    The vectors (samples x k numbers) go to the tasks, which take each block of windows by two matrix products.
+    The vectors (samples x k numbers) go to the tasks, which take each block of windows by two matrix products. A null depth stays null and counts as
+    the row's mean elsewhere; a window without any depth has a null mean.
     """
     windows = reused(_by_window(row_centred(rows, value)))
     names = _sample_names(windows)
@@ -132,11 +135,11 @@ def denoised(rows: DataFrame, k: int = DEFAULT.components, value: str = "depth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, x, row, column in _blocks(batch, values):
+            for a, b, x, row, column, null in _blocks(batch, values):
                 rest = (x - (x @ best) @ best.T)[row, column]
-                mean = batch.column("row_mean").slice(a, b - a).to_numpy()[row]
+                mean = batch.column("row_mean").slice(a, b - a).to_numpy(zero_copy_only=False)[row]
                 ids = batch.column("window_id").slice(a, b - a).take(pa.array(row))
-                arrays = [values.take(pa.array(column)), ids, pa.array(x[row, column] + mean), pa.array(mean), pa.array(rest + mean)]
+                arrays = [values.take(pa.array(column)), ids, pa.array(x[row, column] + mean, mask=null), pa.array(mean, mask=np.isnan(mean)), pa.array(rest + mean, mask=null)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["sample", "window_id", value, "row_mean", "denoised"])
 
     return windows.mapInArrow(run, f"sample string, window_id {kinds['window_id']}, `{value}` double, row_mean double, denoised double")

@@ -1,4 +1,4 @@
-"""Alignment files: BAM as a Spark data source that reads and writes, SAM text, and sequences from FASTA files.
+"""Alignment files: BAM as a Spark data source that reads and writes, and SAM text.
 
 BAM follows the public SAM specification: BGZF blocks with little-endian records. A file is split into ranges of bytes: a task looks for the first
 block in its range, and in that for the first record, which a chain of plausible ones tells; it reads on to the end of the last record that starts
@@ -13,12 +13,9 @@ chromosome drop records by their heads. ord is a record's virtual offset. Files
 from __future__ import annotations
 
 import functools
-import gzip
 import io
 import itertools
-import os
 import pickle
-import shutil
 import struct
 import uuid
 import zlib
@@ -32,6 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .fasta import read_fasta  # noqa: F401 - of the same files as alignments
+from .parts import Whole, assemble, joined, open_path
+
 SCHEMA = "qname string, flag int, chrom string, pos long, mapq int, cigar string, rnext string, pnext long, tlen int, seq string, qual string, tags string, ord long"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
@@ -40,13 +40,6 @@ BLOCK = 0xFF00
 _NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
-def open_path(path: str):
-    from pyarrow import fs
-
-    files, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return files, where
-
-
 # --- BGZF
 
 
@@ -207,6 +200,19 @@ def inflated(block: bytes) -> bytes:
     return zlib.decompress(block[12 + struct.unpack_from("<H", block, 10)[0] : -8], -15)
 
 
+class _Raw(io.RawIOBase):
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self.stream.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+
 class BlockFile:
     """Random access to the blocks of an open BGZF file."""
 
@@ -612,7 +618,9 @@ class _Writer(DataSourceWriter):
         return write_part(rows, f"{self.path}.{uuid.uuid4().hex}.part", self.header, index=False)
 
     def commit(self, messages) -> None:
-        join_parts(self.path, self.header, sorted((m for m in messages if m), key=lambda m: m.number))
+        parts = sorted((m for m in messages if m), key=lambda m: m.number)
+        joined(Whole(self.path, compressed(encode_header(self.header)[0]), [(m.path, m.size) for m in parts], EOF))
+        self.abort(messages)
 
     def abort(self, messages) -> None:
         for m in messages:
@@ -621,20 +629,6 @@ class _Writer(DataSourceWriter):
                 files.delete_file(part)
 
 
-def join_parts(path: str, header: str, parts: list[_Part]) -> None:
-    """Stream parts into one file, and delete them."""
-    files, where = open_path(path)
-    with files.open_output_stream(where) as out:
-        out.write(compressed(encode_header(header)[0]))
-        for m in parts:
-            _, part = open_path(m.path)
-            with files.open_input_stream(part, compression=None) as data:
-                while piece := data.read(1 << 20):
-                    out.write(piece)
-            files.delete_file(part)
-        out.write(EOF)
-
-
 class BamSource(DataSource):
     """Options: path (or paths, comma-separated), split (bytes of a file for a task), without, min_mapq, chroms (comma-separated; see Heads).
 
@@ -720,9 +714,8 @@ def read_bam(spark: SparkSession, paths: list[str], columns: list[str] | None =
 def write_bam(reads: DataFrame, path: str, header: str, index: bool = True) -> None:
     """One BAM file of the rows in the order of their partitions (see coordinate_sorted), and its index.
 
-    Each task writes its part, and that part's index with offsets of its own. Sizes of the parts give where each belongs; on a file system with
-    plain files (a shared mount) tasks then copy all parts to their places at once, elsewhere one task streams them. The index is the parts' shifted
-    and merged: its size is bounded by the genome's bins. A task that runs twice writes the same bytes to the same place, or a part that no one uses.
+    Each task writes its part, and that part's index with offsets of its own; a part of a task that runs twice is used once. Parts become one
+    file as assemble() does it. The index is the parts' shifted and merged: its size is bounded by the genome's bins.
     """
     spark = reads.sparkSession
     known, kinds = dict(reads.dtypes), dict(c.split() for c in SCHEMA.split(", "))
@@ -738,43 +731,15 @@ def write_bam(reads: DataFrame, path: str, header: str, index: bool = True) -> N
 
     # A row for each task, sorted here: ordering them in Spark would write them once more to find ranges.
     parts = sorted((_Part(*r) for r in full.mapInArrow(write, "number int, path string, size long").collect()), key=lambda p: p.number)
-    head = compressed(encode_header(header)[0])
-    starts = list(itertools.accumulate((p.size for p in parts), initial=len(head)))
-    target = open_path(path)[1]
-    if files.type_name == "local":
-        made = f"{where}/whole"
-        with open(made, "wb") as out:
-            out.write(head)
-            out.seek(starts[-1])
-            out.write(EOF)
-
-        def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    with open(open_path(part)[1], "rb") as data, open(made, "r+b") as out:
-                        out.seek(start)
-                        shutil.copyfileobj(data, out, 1 << 20)
-                yield batch
-
-        if parts:
-            places = spark.createDataFrame([(p.path, s) for p, s in zip(parts, starts, strict=False)], "path string, start long")
-            places.repartition(len(parts)).mapInArrow(copy, "path string, start long").write.format("noop").mode("overwrite").save()
-        os.replace(made, target)
-    else:
-
-        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                join_parts(path, header, parts)
-                yield batch
-
-        spark.range(1, numPartitions=1).mapInArrow(stream, "id long").write.format("noop").mode("overwrite").save()
+    whole = Whole(path, compressed(encode_header(header)[0]), [(p.path, p.size) for p in parts], EOF)
+    assemble(spark, [whole])
     try:
         if index:
             own = PartIndex(len(encode_header(header)[1]))
-            for part, start in zip(parts, starts, strict=False):
+            for part, start in zip(parts, whole.starts(), strict=False):
                 with files.open_input_stream(open_path(part.path)[1] + ".idx") as data:
                     own.merge(pickle.loads(data.read()), start)
-            with files.open_output_stream(f"{target}.bai") as out:
+            with files.open_output_stream(f"{open_path(path)[1]}.bai") as out:
                 out.write(own.encoded())
     finally:
         files.delete_dir(where)
@@ -795,69 +760,3 @@ def sam_line() -> F.Column:
     place = lambda c: F.coalesce(F.col(c) + 1, F.lit(0)).cast("string")
     fields = [text("qname"), F.col("flag").cast("string"), text("chrom"), place("pos"), F.coalesce("mapq", F.lit(0)).cast("string"), text("cigar"), text("rnext"), place("pnext"), F.coalesce("tlen", F.lit(0)).cast("string"), text("seq"), text("qual")]
     return F.concat_ws("\t", *fields, F.when(F.coalesce("tags", F.lit("")) != "", F.col("tags")))
-
-
-# --- sequences
-
-
-@dataclass
-class _FastaFile(InputPartition):
-    path: str
-
-
-class _FastaReader(DataSourceReader):
-    def __init__(self, path: str, chunk: int):
-        self.path, self.chunk = path, chunk
-
-    def partitions(self) -> list[_FastaFile]:
-        return [_FastaFile(p) for p in self.path.split(",")]
-
-    def read(self, partition: _FastaFile) -> Iterator[tuple]:
-        files, where = open_path(partition.path)
-        with files.open_input_stream(where, compression=None) as raw:
-            data = gzip.open(raw) if where.endswith(".gz") else io.BufferedReader(_Raw(raw), 1 << 20)
-            name, start, waiting = None, 0, ""
-            for line in io.TextIOWrapper(data, "ascii"):
-                if line.startswith(">"):
-                    if waiting:
-                        yield name, start, waiting
-                    name, start, waiting = line[1:].split()[0], 0, ""
-                else:
-                    waiting += line.strip()
-                    while len(waiting) >= self.chunk:
-                        yield name, start, waiting[: self.chunk]
-                        start, waiting = start + self.chunk, waiting[self.chunk :]
-            if waiting:
-                yield name, start, waiting
-
-
-class _Raw(io.RawIOBase):
-    def __init__(self, stream):
-        self.stream = stream
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, into) -> int:
-        data = self.stream.read(len(into))
-        into[: len(data)] = data
-        return len(data)
-
-
-class FastaSource(DataSource):
-    """chrom, start, seq in chunks of at most the option chunk (100,000) bases."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fasta"
-
-    def schema(self) -> str:
-        return "chrom string, start long, seq string"
-
-    def reader(self, schema) -> _FastaReader:
-        return _FastaReader(self.options["path"], int(self.options.get("chunk", "100000")))
-
-
-def read_fasta(spark: SparkSession, path: str, chunk: int = 100_000) -> DataFrame:
-    spark.dataSource.register(FastaSource)
-    return spark.read.format("fasta").option("chunk", chunk).load(path)

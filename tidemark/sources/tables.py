@@ -5,6 +5,8 @@ Missing numbers are blank or nan in files, and null in tables. gz files are read
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.columns import nan_to_null, sample_name, track_sample_name
 from ..operators.matrix import META, pivoted, unpivoted
 from ..operators.scaling import COLUMNS_A, COLUMNS_B
+from .parts import Whole, assemble
 
 PANEL = "window_id string, chrom string, start long, end long, gc_pct double, pon_median double, pon_variance double, is_high_variance int"
 _NUMBERS = {"nanValue": "nan", "positiveInf": "inf", "negativeInf": "-inf"}
@@ -124,22 +127,55 @@ def _text(c: str, kind: str) -> Column:
     return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if kind != "double" else F.coalesce(F.when(F.isnan(F.col(f"`{c}`")), "").otherwise(F.col(f"`{c}`").cast("string")), F.lit(""))
 
 
+def _line(df: DataFrame) -> Column:
+    return F.concat_ws("\t", *[_text(c, t) for c, t in df.dtypes])
+
+
+def _header(columns: list[str]) -> bytes:
+    return ("\t".join(columns) + "\n").encode()
+
+
+def _parts(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """A folder's part files, in their order, with their sizes."""
+    fs, p = _path(spark, f"{folder}/part-*")
+    return sorted((s.getPath().toString(), s.getLen()) for s in (fs.globStatus(p) or []))
+
+
+def _plain(spark: SparkSession, path: str) -> str:
+    """A path as pyarrow's file systems take it."""
+    fs, p = _path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    fs, p = _path(spark, folder)
+    fs.delete(p, True)
+
+
 def write_lines(df: DataFrame, path: str, header: bool = True, order: list[str] | None = None) -> None:
-    """One file at path, under exactly that name, in order. Rows stream through one task; for what a person or tool opens."""
-    spark = df.sparkSession
+    """One file at path, under exactly that name, in order; for what a person or tool opens. Ranges are sorted and written by tasks of their own."""
+    spark, folder = df.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
     lines = df.orderBy(*order) if order else df
-    text = lines.select(F.concat_ws("\t", *[_text(c, t) for c, t in df.dtypes]).alias("value"))
-    fs, target = _path(spark, path)
-    folder = f"{path}.parts"
-    text.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(folder)
-    part = listed(spark, f"{folder}/part-*")[0]
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    out = fs.create(target, True)
-    if header:
-        out.write(bytearray(("\t".join(df.columns) + "\n").encode()))
-    data = fs.open(hadoop(part))
-    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 20, True)
-    fs.delete(hadoop(folder), True)
+    lines.select(_line(df).alias("value")).write.option("lineSep", "\n").text(folder)
+    assemble(spark, [Whole(_plain(spark, path), _header(df.columns) if header else b"", _parts(spark, folder))])
+    _delete(spark, folder)
+
+
+def write_by_sample(df: DataFrame, paths: dict[str, str], order: list[str]) -> None:
+    """A file with a header for each sample, its rows in order, without the column sample: all samples in one job, and their files in another.
+
+    Rows are dealt by ranges of sample and order, so that a large sample takes many tasks. paths: sample -> path, of all samples.
+    """
+    if not paths:
+        return
+    spark, columns = df.sparkSession, [c for c in df.columns if c != "sample"]
+    folder = f"{next(iter(paths.values()))}.parts-{uuid.uuid4().hex}"
+    numbers = {s: k for k, s in enumerate(sorted(paths))}
+    known = spark.createDataFrame(list(numbers.items()), "sample string, number int")
+    rows = df.join(known, "sample").repartitionByRange("number", *order).sortWithinPartitions("number", *order)
+    rows.select("number", _line(df.select(columns)).alias("value")).write.partitionBy("number").option("lineSep", "\n").text(folder)
+    assemble(spark, [Whole(_plain(spark, paths[s]), _header(columns), _parts(spark, f"{folder}/number={k}")) for s, k in numbers.items()])
+    _delete(spark, folder)
 
 
 def write_bed(windows: DataFrame, path: str) -> None:
@@ -160,5 +196,5 @@ def write_tracks(track: DataFrame, folder: str, single_files: bool = True) -> No
     if not single_files:
         track.select("sample", *columns).write.mode("overwrite").partitionBy("sample").option("sep", "\t").option("header", True).csv(folder)
         return
-    for (sample,) in track.select("sample").distinct().orderBy("sample").collect():
-        write_lines(track.where(F.col("sample") == sample).select(columns), f"{folder}/{sample}{TRACK_SUFFIX}", order=["chrom", "start", "end"])
+    samples = [r[0] for r in track.select("sample").distinct().collect()]
+    write_by_sample(track.select("sample", *columns), {s: f"{folder}/{s}{TRACK_SUFFIX}" for s in samples}, ["chrom", "start", "end"])
