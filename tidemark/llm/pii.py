@@ -3,7 +3,8 @@
 The base spans follow four patterns, leftmost and non-overlapping for each kind; matches that fail the kind's condition are
 dropped. The field labels the tokens around digits, at-signs and bracketed "at" or "dot" (everywhere
 else no candidate exists, so that "outside" is certain). Tokens end at white space, at marks that no kind has in it (commas, quotes, colons,
-equals signs, ...), at brackets but for those around "at", "dot", a dot or a short number, and at base spans. A candidate is a run of at most
+equals signs, slashes, ...), at brackets but for those around "at", "dot", a dot or a short number, and at base spans. In a token above MAX_CHARS each digit or sign opens one of MAX_CHARS, behind the one before, so that
+no part of a text is left out. A candidate is a run of at most
 MAX_TOKENS tokens and MAX_CHARS characters without such a mark or a base span, its marks at the ends taken off, and is scored as a whole: by the shape of its groups of digits, separators, checks
 like Luhn's, and the word before it. Segments exclude one another; dynamic programming over token bounds sums all
 segmentations forwards and backwards, and the best one chooses boundaries and kinds together. A segment of it becomes a span
@@ -89,13 +90,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 _TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.IGNORECASE)
-_TOKEN = re.compile(r"""(?:[\[({](?:at|dot|\.|[0-9]{1,4})[\])}]|[^\s,"'`:;=|<>{}\[\]()])+""", re.IGNORECASE)
-_MARK = re.compile(r"""[,"'`:;=|<>{}]""")
+_TOKEN = re.compile(r"""(?:[\[({](?:at|dot|\.|[0-9]{1,4})[\])}]|[^\s,"'`:;=|<>{}\[\]()/?&#~\\])+""", re.IGNORECASE)
+_MARK = re.compile(r"""[,"'`:;=|<>{}/?&#~\\]""")
 _BEGIN = re.compile(r"[\w+(\[]")
 _WORD_AT = re.compile(r"\s*[\[({]\s*(at|dot|\.)\s*[\])}]\s*", re.IGNORECASE)
 _LEFT, _RIGHT = "\"'([{<,;:", "\"')]}>,;:.!?*#%$&"
 
 
+def _short(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The token; of one above MAX_CHARS, what follows each trigger."""
+    if a < b <= a + MAX_CHARS:
+        yield a, b
+        return
+    while t := _TRIGGER.search(text, a, b):
+        a = min(t.start() + MAX_CHARS, b)
+        yield t.start(), a
+
+
 def _tokens(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
     """Tokens outside of base spans, and (start, -1) for each of these."""
     at = 0
@@ -106,8 +117,7 @@ def _tokens(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int,
                 if a == at > 0:  # what joins it to a base span isn't of it
                     first = _BEGIN.search(text, a, b)
                     a = first.start() if first else b
-                if a < b:
-                    yield a, b
+                yield from _short(text, a, b)
         if start < len(text):
             yield start, -1
         at = max(at, end)
@@ -125,7 +135,7 @@ def regions(text: str, taken: list[tuple[int, int, str]]) -> Iterator[list[tuple
                 yield run
             run, before = [], None
             continue
-        loud = b - a <= MAX_CHARS and bool(_TRIGGER.search(text, a, b))
+        loud = bool(_TRIGGER.search(text, a, b))
         if run:
             run.append((a, b))
             quiet = 0 if loud else quiet + 1
