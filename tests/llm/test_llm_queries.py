@@ -3,9 +3,10 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
-from tidemark.llm import pii
+from tidemark.llm import packing, pii
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -52,3 +53,50 @@ def test_numbers_inside_long_tokens(text):
     assert [(k, text[a:b]) for a, b, k in field.spans(text, pii.base_spans(text))] == [("phone", "743-555-3824")]
     for quiet in ("x" * 300, "1" * 500, "on 05/06/2024 at 3/4", "/" * 200):
         assert field.spans(quiet, pii.base_spans(quiet)) == []
+
+
+def histogram(folder):
+    import pyarrow.parquet as pq
+
+    from tidemark.llm.tokens import encoder, tokenizer_path
+
+    out, texts = {}, [(t or "").encode() for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for ids in encoder(tokenizer_path()).encode_all(texts):
+        n = len(ids) + 1
+        while n > 0:
+            out[min(n, 4096)] = out.get(min(n, 4096), 0) + 1
+            n -= 4096
+    return out
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_packing_program_is_near_its_dual_bound(folder):
+    """In fractions, within 1 % of the bound; rounded, as few sequences as the tokens need at least, all of them the program's."""
+    h = histogram(folder)
+    lengths, counts = (np.array(x) for x in zip(*sorted(h.items()), strict=True))
+    used, bound = packing.solve(lengths, counts, 4096, packing.KNAPSACKS[0])
+    value = sum(used.values())
+    assert value <= 1.01 * bound and bound <= value + 1e-6 and bound >= (lengths * counts).sum() / 4096 - 1e-6
+    held = np.zeros(len(lengths))
+    for found, x in used.items():
+        assert sum(int(lengths[k]) * t for k, t in found) <= 4096 and x > 0
+        for k, t in found:
+            held[k] += x * t
+    assert np.allclose(held, counts, atol=1e-6)
+    assert sum(abs(x - round(x)) > 1e-6 for x in used.values()) > len(used) / 2
+    steps = packing.steps_of_plan(h)
+    assert sum(uses for uses, *_ in steps) == -(-int((lengths * counts).sum()) // 4096) and all(own for *_, own in steps)
+
+
+@pytest.mark.parametrize("h", [{7: 1}, {4096: 3}, {3000: 5}, {2049: 4, 2047: 3, 1: 9}, {1: 5000}, {1500: 2, 2600: 2, 100: 1, 4000: 1}])
+def test_small_tables_go_through_the_program(h):
+    steps = packing.steps_of_plan(h)
+    held = {}
+    for uses, found, own in steps:
+        assert own and sum(x * t for x, t in found.items()) <= 4096
+        for x, t in found.items():
+            held[x] = held.get(x, 0) + uses * t
+    assert held == h
+    lengths, counts = (np.array(x) for x in zip(*sorted(h.items()), strict=True))
+    _, bound = packing.solve(lengths, counts, 4096, 4)
+    assert sum(uses for uses, *_ in steps) <= bound + 1.01

@@ -4,11 +4,10 @@ Every document becomes its ids and an end id; only documents above the capacity
 capacity and a shorter last one. The histogram of lengths (at most as many rows as the capacity) is all that the driver sees.
 
 A configuration is a multiset of lengths that fits one sequence. The program asks for the fewest sequences that hold
-every length as often as it occurs. It is solved by multiplicative weights: each length has a weight that falls as it is
-covered; a knapsack dynamic program prices the room that is left after each choice, and configurations of greatest weight are read from it and
-used for a step. The solution is rounded down, what is left goes through the program again, and the last rest (about a hundredth of the pieces,
-often none) is packed by best-fit decreasing over the histogram. Each step of that uses up a length, so the
-plan's size depends on the capacity, not on the number of documents. share_of_program() tells how many pieces the program places.
+every length as often as it occurs. It is solved in fractions by multiplicative weights (see solve()): weights of lengths grow with what of them is not held yet; a knapsack
+dynamic program prices configurations, and those of the greatest price are used for a fraction. Weights give a lower bound too, so that the gap is known. The solution is
+rounded, and what is left goes through the program again. Each pass places at least one sequence; if PASSES are not enough, the rest
+is packed by best-fit decreasing. The plan's size depends on the capacity, not on the number of documents. share_of_program() tells how many pieces the program places.
 
 Pieces then find their places by rank among the pieces of their length: ranks come from counts per partition
 and length, so that no length, however common, is dealt to one task.
@@ -35,23 +34,23 @@ from .tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Of the linear program: knapsacks in each round, configurations from each knapsack, and the free tokens that one may leave, by round.
-KNAPSACKS, CONFIGURATIONS, ROOM = 30, 1000, (0, 0, 0, 1)
+#: Of the linear program: knapsacks that look for full sequences, for the whole histogram and for what rounding leaves of it, and configurations from each.
+KNAPSACKS, CONFIGURATIONS = (24, 8), 4096
 #: The share of a length's count that one step of a configuration covers; how fast weights fall; what a free token costs; how weights grow with length,
 #: as long pieces have fewer partners.
 STEP, SHARPNESS, WASTE, GROWTH = 0.25, 3.0, 3.0, 1.5
-#: So many pieces at most (a hundredth of all, if that is more) are left to best fit.
-REST = 24
+#: Counts below this are none. Times that what is left goes through the program again, at most; what is left then goes to best fit.
+TINY, PASSES = 1e-9, 60
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for each capacity with any number of each length, where a token left free costs WASTE; the last length's index (-1: a free token)."""
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int, waste: float = WASTE) -> tuple[np.ndarray, np.ndarray]:
+    """Best value for each capacity with any number of each length, where a token left free costs waste; the last length's index (-1: a free token)."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     order = np.argsort(lengths)
     ls, vs = lengths[order], values[order]
     fits = np.searchsorted(ls, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c] = best[c - 1] - WASTE / capacity
+        best[c] = best[c - 1] - waste / capacity
         if n := fits[c]:
             total = best[c - ls[:n]] + vs[:n]
             k = int(total.argmax())
@@ -60,14 +59,14 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np
     return best, choice
 
 
-def _read(best: np.ndarray, lengths: np.ndarray, values: np.ndarray, left: np.ndarray, first: int, capacity: int) -> dict[int, int]:
-    """The best configuration with a length in it, of lengths of which enough is left; lengths are in order."""
+def _read(best: np.ndarray, lengths: np.ndarray, values: np.ndarray, most: np.ndarray, first: int, capacity: int) -> dict[int, int]:
+    """The best configuration with a length in it, with at most so many of each; lengths are in order."""
     found, room = {first: 1}, capacity - int(lengths[first])
     while n := int(np.searchsorted(lengths, room, side="right")):
         total = best[room - lengths[:n]] + values[:n]
-        total[left[:n] < 1] = -np.inf
+        total[most[:n] < 1] = -np.inf
         for k, t in found.items():
-            if k < n and left[k] < t + 1:
+            if k < n and most[k] < t + 1:
                 total[k] = -np.inf
         k = int(total.argmax())
         if total[k] == -np.inf:
@@ -77,38 +76,57 @@ def _read(best: np.ndarray, lengths: np.ndarray, values: np.ndarray, left: np.nd
     return found
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, room: int, knapsacks: int = KNAPSACKS) -> dict[tuple, float]:
-    """Use of configurations (tuples of (index, times)), each with at most room free tokens, that covers counts or much of them. lengths: in order.
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, knapsacks: int) -> tuple[dict[tuple, float], float]:
+    """A fractional solution of the program: uses of configurations (tuples of (index, times)) that hold exactly counts; and a lower bound of any solution's sum.
 
-    A length's weight falls as it is covered. A configuration is used until it has covered STEP of the counts of one of its lengths, but once at
-    least: so a low count isn't spread over more configurations than it has pieces, and rounding down loses less than a use of each.
+    A length's weight falls as it is covered. A knapsack over the weighted lengths prices all configurations, and for each length the best one with it is read, those of the
+    greatest price first. One is used until it has covered STEP of the counts of one of its lengths, or until one is covered. The first knapsacks use full sequences only, so that what
+    has no partners now may find them under later weights. Any weights over the best price they allow are a solution of the dual program, which bounds the sum from below.
     """
-    left, used = counts.astype(float), defaultdict(float)
-    for turn in range(knapsacks):
-        open_ = np.flatnonzero(left >= 1)
-        if not len(open_):
-            break
-        own = lengths[open_]
-        values = np.exp(SHARPNESS * (left[open_] / counts[open_] - 1)) * (own / capacity) ** GROWTH
+    n, size = counts.astype(float), lengths / capacity
+    most, left = counts.astype(np.int64), counts.astype(float)
+    used, bound, turn = defaultdict(float), 0.0, 0
+    while len(open_ := np.flatnonzero(left > TINY)):
+        if turn == 0 or turn == knapsacks:
+            prices = size * np.exp(SHARPNESS * left / n)
+            for y in (size, prices):
+                bound = max(bound, float((n * y).sum() / knapsack(lengths, y, capacity, 0.0)[0][capacity]))
+        own, lacking, limits = lengths[open_], left[open_], most[open_]
+        steps = STEP * n[open_]
+        values = np.exp(SHARPNESS * (lacking / n[open_] - 1)) * size[open_] ** GROWTH
         best = knapsack(own, values, capacity)[0]
         with_each = values + best[capacity - own]
-        before = left.sum()
-        # Configurations of the greatest weight first; of those of about the same weight, the one with the largest length.
-        order = np.lexsort((-own, -np.round(with_each, 2)))
-        for k in order[:CONFIGURATIONS]:
-            now = left[open_]
-            if now[k] < 1:
+        any_ = turn >= knapsacks
+        moved = False
+        for k in np.lexsort((-own, -np.round(with_each, 2)))[: None if any_ else CONFIGURATIONS]:
+            if lacking[k] <= TINY:
                 continue
-            found = _read(best, own, values, now, int(k), capacity)
-            at, times = open_[list(found)], np.array(list(found.values()))
-            if capacity - int((lengths[at] * times).sum()) > room:
+            found = _read(best, own, values, np.where(lacking > TINY, limits, 0), int(k), capacity)
+            at, times = np.array(list(found)), np.array(list(found.values()))
+            if not any_ and int((own[at] * times).sum()) < capacity:
                 continue
-            step = min(float((left[at] / times).min()), max(1.0, STEP * float((counts[at] / times).min())))
-            used[tuple(sorted(zip(at.tolist(), times.tolist(), strict=True)))] += step
-            left[at] -= step * times
-        if left.sum() == before:
-            break
-    return used
+            step = float((lacking[at] / times).min())
+            step = step if any_ else min(step, float((steps[at] / times).min()))
+            used[tuple(sorted(zip(open_[at].tolist(), times.tolist(), strict=True)))] += step
+            lacking[at] -= step * times
+            moved = True
+        left[open_] = lacking
+        turn = turn + 1 if moved else max(turn + 1, knapsacks)
+    return used, bound
+
+
+def _rounded(used: dict[tuple, float], lengths: np.ndarray, left: np.ndarray, capacity: int, full: bool) -> Iterator[tuple[int, tuple]]:
+    """Whole uses, the most used configurations first, then those with the largest length: all rounded down, then one more of each for its fraction, as far as left
+    (changed) has the pieces. full: only of full sequences.
+    """
+    order = sorted(((f, x) for f, x in used.items() if not full or sum(int(lengths[k]) * t for k, t in f) == capacity), key=lambda p: (-round(p[1], 6), -p[0][-1][0], p[0]))
+    for share in (lambda x: int(x + TINY), lambda x: int(x % 1 > TINY)):
+        for found, x in order:
+            uses = min([share(x), *(int(left[k]) // t for k, t in found)])
+            if uses > 0:
+                for k, t in found:
+                    left[k] -= t * uses
+                yield uses, found
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Iterator[tuple[int, dict[int, int]]]:
@@ -156,20 +174,17 @@ def steps_of_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     if not items:
         return out
     lengths, left = np.array([x for x, _ in items]), np.array([n for _, n in items])
-    for room in ROOM:
+    full = True
+    for turn in range(PASSES):
         open_ = np.flatnonzero(left > 0)
-        if left.sum() <= max(REST, sum(histogram.values()) // 100):
-            break
-        used, done = solve(lengths[open_], left[open_].astype(float), capacity, room), 0
-        for found, x in sorted(used.items(), key=lambda p: (-p[1], p[0])):
-            uses = min([int(x + 1e-9), *(int(left[open_[k]]) // t for k, t in found)])
-            if uses > 0:
-                done += uses
-                out.append((uses, {int(lengths[open_[k]]): t for k, t in found}, True))
-                for k, t in found:
-                    left[open_[k]] -= t * uses
-        if not done:
+        if not len(open_):
             break
+        rest = left[open_]
+        used, _ = solve(lengths[open_], rest, capacity, KNAPSACKS[turn > 0])
+        found = list(_rounded(used, lengths[open_], rest, capacity, full))
+        out += [(uses, {int(lengths[open_[k]]): t for k, t in one}, True) for uses, one in found]
+        left[open_] = rest
+        full = full and bool(found)  # once none is full, any will do
     out += [(uses, {int(lengths[k]): t for k, t in found.items()}, False) for uses, found in best_fit(lengths, left, capacity)]
     return out
 
