@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import tarfile
+import zlib
 
 import numpy as np
 import pytest
 
-from tidemark.llm import packing, pii
+from tidemark.llm import media, packing, pii
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -100,3 +102,98 @@ def test_small_tables_go_through_the_program(h):
     lengths, counts = (np.array(x) for x in zip(*sorted(h.items()), strict=True))
     _, bound = packing.solve(lengths, counts, 4096, 4)
     assert sum(uses for uses, *_ in steps) <= bound + 1.01
+
+
+def plain_png(data):
+    """Width, height and samples of an 8-bit gray PNG without filters, by the format's description."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, raw, size = 8, b"", None
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert int.from_bytes(data[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+        if kind == b"IHDR":
+            size = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert body[8:] == bytes([8, 0, 0, 0, 0])
+        elif kind == b"IDAT":
+            raw += body
+        at += 12 + n
+    width, height = size
+    rows = zlib.decompress(raw)
+    assert len(rows) == height * (width + 1) and not any(rows[k * (width + 1)] for k in range(height))
+    return width, height, b"".join(rows[k * (width + 1) + 1 : (k + 1) * (width + 1)] for k in range(height))
+
+
+def test_op5_from_its_shards(spark):
+    """Each content once in a shard, found by tarfile; the query's columns from what tarfile and zlib give back."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    index = media.write_media(docs).collect()
+    shards = {}
+    for uri in {r.file for r in index}:
+        with tarfile.open(uri.removeprefix("file:").replace("///", "/")) as tar:
+            shards[uri] = {m.offset_data: (m.name, tar.extractfile(m).read()) for m in tar.getmembers()}
+            assert len({name for name, _ in shards[uri].values()}) == len(shards[uri])
+    stored = {}
+    for r in index:
+        name, data = shards[r.file][r.offset]
+        assert name == f"{bytes(r.digest).hex()}.png" and len(data) == r.length
+        stored[bytes(r.digest)] = data
+    got = {r.doc_id: r for r in media.op5_media_columns(spark, FOLDER).collect()}
+    assert got.keys() == texts.keys()
+    for doc, text in texts.items():
+        padded = text + b"\xff" * (max(576, (len(text) + 575) // 576 * 576) - len(text))
+        r, digest = got[doc], hashlib.sha256(padded).digest()
+        width, height, samples = plain_png(stored[digest])
+        assert samples == padded and (width, height) == (576, len(padded) // 576) == (r.width, r.height)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(padded), digest.hex(), zlib.crc32(padded[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[digest]), hashlib.sha256(stored[digest]).hexdigest())
+        bits, mean, deviation = r.feature.split(":")
+        whole = sum(padded) / len(padded)
+        want = "".join("1" if sum(padded[a:b]) * len(padded) > sum(padded) * (b - a) else "0" for a, b in ((k * len(padded) // 64, (k + 1) * len(padded) // 64) for k in range(64)))
+        assert int(bits, 16) == int(want, 2) and abs(float(mean) - whole) < 1e-4
+        assert abs(float(deviation) - (sum((x - whole) ** 2 for x in padded) / len(padded)) ** 0.5) < 1e-3
+
+
+@pytest.mark.parametrize("name", ["op3_pack_sequences", "op4_near_dedup", "op7_language_id", "op8_token_files", "op9_exact_dedup", "op10_chat_format"])
+def test_queries_cover_their_tables(spark, name):
+    from tidemark.llm import queries
+
+    got = queries.QUERIES[name](spark, FOLDER)
+    if name == "op10_chat_format":
+        conversations = spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id").distinct().count()
+        assert got.count() == conversations + 1 and got.where("conv_id = -7 and n_turns = 2").count() == 1
+        return
+    ids = {r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
+    rows = got.collect()
+    assert {r.doc_id for r in rows} == ids and (name == "op3_pack_sequences" or len(rows) == len(ids))
+    if name == "op3_pack_sequences":
+        used = {}
+        for r in rows:
+            used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for places in used.values():
+            end = 0
+            for offset, length in sorted(places):
+                assert offset == end
+                end += length
+            assert end <= 4096
+        assert len(used) == -(-sum(r.length for r in rows) // 4096)
+    if name == "op4_near_dedup":
+        assert all(r.kept == (r.doc_id == r.component_id) and r.component_id <= r.doc_id for r in rows)
+
+
+def test_pipeline_run(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()}
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 4096
