@@ -49,7 +49,11 @@ def test_all_steps(spark, tmp_path, capsys):
         assert track.count() == len(windows) and track.where("depth_scaled_ratio > 0").count() == len(windows)
     run("upscale", "--tracks_dir", p("out_b"), "--bam_dir", p("tumours"), "--output_dir", p("big"))
     big = bam.read_bam(spark, [p("big/t1.additive_scaled.bam")])
-    assert f"t1: kept 3000 reads, added {big.count() - 3000}\n" in capsys.readouterr().err
+    said = capsys.readouterr().err
+    assert f"t1: kept 3000 reads, added {big.count() - 3000}\n" in said
+    bases = sum(w["end"] - w["start"] for w in windows)
+    for line in (f"windows: windows: {len(windows)} rows, {bases} bases", f"windows: tiles: {SIZE // 5000} rows, {SIZE} bases", "windows: targets with flanks: 10 rows, 7000 bases", f"matrix: cells: {3 * len(windows)} rows, 0 skipped, 0 without_depth", f"panel: windows: {len(windows)} rows, ", f"track-a: rows of all samples: {len(windows)} rows, ", f"track-b: rows of all samples: {len(windows)} rows, "):
+        assert line in said, (line, said)
     assert big.where(~F.col("qname").contains(":upscale_")).count() == 3000 and (tmp_path / "big/t1.additive_scaled.bam.bai").exists()
     (tmp_path / "normals/n9.cram").write_bytes(b"CRAM")
     with pytest.raises(ValueError, match="CRAM"):

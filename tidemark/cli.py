@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import sample_name
+from .functions.counts import Counts
+from .functions.reuse import reused
 from .operators import coverage, matrix, panel
 from .params import DEFAULT, Params
 from .plans import pipelines
@@ -40,30 +42,45 @@ def _reads(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("bam",))
 def windows(spark: SparkSession, a: argparse.Namespace) -> None:
     read = lambda path: tables.read_bed(spark, path)
     params = Params(window_size=a.window_size, flank=a.flank_buffer)
-    tables.write_bed(pipelines.define_windows(read(a.access), read(a.targets), read(a.centromeres), tables.read_sizes(spark, a.chr_sizes), params), a.output_bed)
+    counts = Counts()
+    made = reused(pipelines.define_windows(read(a.access), read(a.targets), read(a.centromeres), tables.read_sizes(spark, a.chr_sizes), params, counts))
+    tables.write_bed(made, a.output_bed)
+    counts.report("windows")
 
 
 def build_matrix(spark: SparkSession, a: argparse.Namespace) -> None:
     own = _windows_with_gc(spark, a.windows_bed, a.reference)
     reads, samples = _reads(spark, a.wgs_bams_dir)
-    tables.write_matrix(pipelines.normal_matrix(reads, own, samples), a.matrix, samples)
+    counts = Counts()
+    rows = counts.stored(pipelines.normal_matrix(reads, own, samples), "cells", skipped=(F.col("status") != "ok").cast("int"), without_depth=(F.col("depth") == 0).cast("int"))
+    tables.write_matrix(rows, a.matrix, samples)
+    counts.report("matrix")
 
 
 def build_panel(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = tables.read_matrix(spark, a.wgs_matrix)
     meta = rows.select(*matrix.META).distinct()
-    tables.write_panel(panel.panel(rows, meta, a.k), a.output)
+    counts = Counts()
+    tables.write_panel(counts.stored(panel.panel(rows, meta, a.k), "windows", high_variance=F.col("is_high_variance")), a.output)
+    counts.report("panel")
+
+
+def _write_tracks(track: DataFrame, folder: str, step: str) -> None:
+    counts = Counts()
+    flags = {c: F.col(c) for c in track.columns if c.startswith("flag_") or c == "mask_rejected"}
+    tables.write_tracks(counts.stored(track, "rows of all samples", **flags), folder)
+    counts.report(step)
 
 
 def track_a(spark: SparkSession, a: argparse.Namespace) -> None:
     reads, samples = _reads(spark, a.wes_dir)
     targets = _windows_with_gc(spark, a.targets, a.reference)
-    tables.write_tracks(pipelines.track_a(reads, targets, tables.read_panel(spark, a.pon_tsv), samples), a.output_dir)
+    _write_tracks(pipelines.track_a(reads, targets, tables.read_panel(spark, a.pon_tsv), samples), a.output_dir, "track-a")
 
 
 def track_b(spark: SparkSession, a: argparse.Namespace) -> None:
     reads, samples = _reads(spark, a.wes_dir)
-    tables.write_tracks(pipelines.track_b(reads, tables.read_panel(spark, a.pon_tsv), samples), a.output_dir)
+    _write_tracks(pipelines.track_b(reads, tables.read_panel(spark, a.pon_tsv), samples), a.output_dir, "track-b")
 
 
 def upscale(spark: SparkSession, a: argparse.Namespace) -> None:

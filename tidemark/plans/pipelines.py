@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.counts import Counts
 from ..operators import coverage, intervals, matrix, panel, scaling, upscale
 from ..params import DEFAULT, Params
 
 
-def define_windows(access: DataFrame, targets: DataFrame, centromeres: DataFrame, sizes: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Off-target windows: chrom, start, end, name."""
-    mask = intervals.merge(intervals.concatenated(intervals.widen(targets, sizes, params.flank), centromeres))
-    left = intervals.subtract(intervals.tile(access, params.window_size), mask, params.window_size)
-    return intervals.named(intervals.long_enough(left, params.window_size, params.min_fraction))
+def define_windows(access: DataFrame, targets: DataFrame, centromeres: DataFrame, sizes: DataFrame, params: Params = DEFAULT, counts: Counts | None = None) -> DataFrame:
+    """Off-target windows: chrom, start, end, name. counts: to watch the stages with."""
+    bases = F.col("end") - F.col("start")
+    seen = (lambda df, name: counts.watch(df, name, bases=bases)) if counts else (lambda df, name: df)
+    mask = seen(intervals.merge(intervals.concatenated(seen(intervals.widen(targets, sizes, params.flank), "targets with flanks"), centromeres)), "merged mask")
+    left = seen(intervals.subtract(seen(intervals.tile(access, params.window_size), "tiles"), mask, params.window_size), "pieces outside the mask")
+    return intervals.named(seen(intervals.long_enough(left, params.window_size, params.min_fraction), "windows"))
 
 
 def normal_matrix(reads: DataFrame, windows: DataFrame, samples: list[str] | None = None, params: Params = DEFAULT, drop_skipped: bool = False, **depth_options) -> DataFrame:
