@@ -163,3 +163,25 @@ def test_range_finder_equals_svd(spark, monkeypatch):
     got = panel.denoised(holes, k).collect()
     assert len(full) == len(got) and max(abs(full[y.window_id, y["sample"]] - y.denoised) for y in got) < 1e-8
     assert len(got) == len(cells) and max(abs(y.denoised - rest[int(y.window_id[1:]), int(y["sample"][1:])]) for y in got) < 1e-8
+
+
+@pytest.mark.parametrize(("enough", "buckets"), [(1 << 16, 4096), (3, 4), (1, 2)])
+def test_exact_quantiles(spark, enough, buckets):
+    """Ties, one value, outliers, negative numbers, nulls and NaN, null keys; refined down to single buckets, or put in order at once."""
+    from tidemark.functions.quantiles import exact_quantiles
+
+    r = np.random.default_rng(4)
+    groups = {"a": r.normal(0, 1, 301), "b": np.repeat(5.0, 50), "c": np.r_[r.integers(0, 4, 200), 1e300, -1e300], "d": np.array([2.5]), "e": np.array([1.0, 2.0]), None: r.exponential(1, 77), "f": np.zeros(0)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("f", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3).persist()
+    for q in (0.5, 0.99, 0.0):
+        got = {x.k: x.out for x in exact_quantiles(df, ["k"], "v", q, "out", enough, buckets).collect()}
+        assert got.keys() == groups.keys() - {"f"}
+        for k, x in got.items():
+            want = float(np.percentile(groups[k], 100 * q))
+            assert abs(x - want) <= 1e-12 * max(1, abs(want)), (k, q)
+    every = np.concatenate(list(groups.values()))
+    assert abs(exact_quantiles(df, [], "v", 0.25, "out", enough, buckets).first()[0] - np.percentile(every, 25)) < 1e-12
+    assert exact_quantiles(df.where("false"), ["k"], "v", 0.5, "out").count() == 0
+    with pytest.raises(ValueError, match="infinite"):
+        exact_quantiles(spark.createDataFrame([("a", float("inf"))], "k string, v double"), ["k"], "v", 0.5, "out")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import sample_name
 from .functions.counts import Counts
-from .functions.reuse import reused
+from .functions.reuse import release, reused
 from .operators import coverage, matrix, panel
 from .params import DEFAULT, Params
 from .plans import pipelines
@@ -127,7 +127,10 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName(f"tidemark {a.step}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    a.run(spark, a)
+    try:
+        a.run(spark, a)
+    finally:
+        release(spark)
 
 
 if __name__ == "__main__":

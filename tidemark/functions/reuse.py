@@ -25,12 +25,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of stored tables that are still there.
+_STORED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this process has stored, when nothing will read them again; how many there were."""
+    n = len(_STORED)
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def reused(df: DataFrame) -> DataFrame:
-    """df, computed once: written to the shared folder and read back, which also cuts its lineage short."""
+    """df, computed once: written to the shared folder and read back, which also cuts its lineage short. release() deletes what was written."""
     if getattr(df, "_reused", False):
         return df
     spark = df.sparkSession
     path = new_folder(spark, "table")
+    _STORED.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._reused = True

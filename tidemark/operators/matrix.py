@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column, is_autosome
+from ..functions.quantiles import exact_quantiles
 from ..functions.reuse import reused
 from ..params import DEFAULT
 from .smooth import corrected, interpolated, lowess_fit
@@ -39,8 +40,8 @@ def with_autosomes(windows: DataFrame, by: str | Column = "window_id", keys: lis
 
 
 def medians(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """sample and the exact median of value over rows with is_auto; nulls are ignored."""
-    return rows.where("is_auto").groupBy("sample").agg(F.median(value).alias(name))
+    """sample and the exact median of value over rows (stored) with is_auto; nulls are ignored, and a sample without a value has no row."""
+    return exact_quantiles(rows.where("is_auto"), ["sample"], value, 0.5, name)
 
 
 def normalized(rows: DataFrame, value: str = "depth") -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.reuse import reused
 from ..params import DEFAULT
 
@@ -154,8 +155,9 @@ def panel_stats(rows: DataFrame, value: str = "denoised") -> DataFrame:
 def with_high_variance(panel: DataFrame, percentile: float = DEFAULT.variance_percentile) -> DataFrame:
     """panel with is_high_variance: 1 where the variance is above (not at) the exact percentile over all windows."""
     panel = reused(panel)
-    limit = panel.agg(F.percentile("pon_variance", F.lit(percentile)).alias("limit"))
-    return panel.join(F.broadcast(limit)).withColumn("is_high_variance", F.coalesce(F.col("pon_variance") > F.col("limit"), F.lit(False)).cast("int")).drop("limit")
+    found = exact_quantiles(panel, [], "pon_variance", percentile, "limit").first()
+    limit = F.lit(found[0] if found else None).cast("double")
+    return panel.withColumn("is_high_variance", F.coalesce(F.col("pon_variance") > limit, F.lit(False)).cast("int"))
 
 
 def panel(matrix: DataFrame, windows: DataFrame, k: int = DEFAULT.components, value: str = "depth") -> DataFrame:

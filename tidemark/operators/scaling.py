@@ -80,7 +80,7 @@ def track_by_panel(depths: DataFrame, panel: DataFrame) -> DataFrame:
 
 def library_scale(on_target: DataFrame) -> DataFrame:
     """sample and the median of on-target autosomal depth; samples with 0 are left out (skipped)."""
-    return medians(with_autosomes(on_target, "chrom", ["sample"]), "depth", "library").where("library > 0")
+    return medians(reused(with_autosomes(on_target, "chrom", ["sample"])), "depth", "library").where("library > 0")
 
 
 def target_ratio(depths: DataFrame, on_target: DataFrame, panel: DataFrame) -> DataFrame:
