@@ -11,9 +11,8 @@ A shard is a run of blocks; numbers are little-endian. A block has
 so that the most frequent 256 ids take one byte and two bits. Decoding looks up the lengths of four ranks for each
 control byte in a table, and gathers. Every block carries its own ranks: a shard is written in one pass.
 
-Documents are dealt to shards by ranges of their ids (whose bounds come from the id column alone), each shard is
-written in order by one task under a name of its own, and a manifest of what the successful tasks wrote says which files
-count: a lost executor leaves an unused file at worst.
+Documents are dealt to tasks by ranges of their ids, of about as many rows each; a task encodes its range in order and writes it as one shard,
+under a name of its own, and a manifest of what the successful tasks wrote says which files count: a lost executor leaves an unused file at worst.
 
 Null texts count as empty: a document of its end id alone. Rows that repeat an id stand side by side, in order of
 text. Null ids come first, as the least id. Very long texts are encoded in blocks. An empty table gives no files and no rows. Extra columns are ignored.
@@ -21,7 +20,6 @@ text. Null ids come first, as the least id. Very long texts are encoded in block
 
 from __future__ import annotations
 
-import itertools
 import struct
 import uuid
 import zlib
@@ -29,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,59 +81,43 @@ def read_blocks(file) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield docs, sizes, by_rank[decode_ranks(control, data, n)]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and ids (the tokenizer's width, as bytes, without the end id)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        for batch in batches:
-            ids = encode.encode_all(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
-
-
 def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards; their manifest: shard (in order of document id), file (URI), docs, ids."""
     spark, path = docs.sparkSession, path or tokenizer_path()
-    n = docs.count()
-    shards = max(1, -(-n // shard_rows))
-    bounds = sorted({b for b in (docs.stat.approxQuantile(id_col, [k / shards for k in range(1, shards)], 1 / (20 * shards)) if shards > 1 else [])})
-    limits, folder, width = spark.sparkContext.broadcast(np.array(bounds)), scratch(spark, "tokens"), "<u2"
-
-    from tokenizers import Tokenizer
-
-    width = "<u4" if Tokenizer.from_file(path).get_vocab_size() > 1 << 16 else "<u2"
-
-    @F.pandas_udf("int")
-    def shard_of(ids):
-        return ids.__class__(np.searchsorted(limits.value, ids.to_numpy(), side="right").astype(np.int32), index=ids.index)
+    shards, folder = max(1, -(-docs.count() // shard_rows)), scratch(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((s, d, np.frombuffer(i, width)) for b in batches for s, d, i in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-        for shard, own in itertools.groupby(rows, lambda r: r[0]):
-            uri = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.tok"
-            files, where = shared_file(uri)
-            files.create_dir(where.rsplit("/", 1)[0], recursive=True)
-            total, n_docs = 0, 0
-            with files.open_output_stream(where) as out:
-                ids, lists, size = [], [], 0
-                for _, doc, some in own:
+        encode, uri = encoder(path), f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
+        out, ids, lists, size, total, n_docs = None, [], [], 0, 0, 0
+
+        def block() -> tuple[int, int]:
+            out.write(encode_block(ids, lists))
+            return total + size, n_docs + len(ids)
+
+        try:
+            for batch in batches:
+                if out is None and batch.num_rows:
+                    files, where = shared_file(uri)
+                    files.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                    out = files.open_output_stream(where)
+                for doc, own in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1).to_pylist()), strict=True):
                     ids.append(doc)
-                    lists.append(np.append(some.astype(np.uint32), np.uint32(end_id)))
+                    lists.append(np.append(own.astype(np.uint32), np.uint32(end_id)))
                     size += len(lists[-1])
                     if size >= BLOCK_IDS:
-                        out.write(encode_block(ids, lists))
-                        total, n_docs, ids, lists, size = total + size, n_docs + len(ids), [], [], 0
-                if ids:
-                    out.write(encode_block(ids, lists))
-                    total, n_docs = total + size, n_docs + len(ids)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [uri], "docs": [n_docs], "ids": [total]})
-
-    rows = tokenized(docs, path, end_id, id_col, text_col).withColumn("shard", shard_of("doc_id"))
-    dealt = rows.select("shard", "doc_id", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+                        total, n_docs = block()
+                        ids, lists, size = [], [], 0
+            if ids:
+                total, n_docs = block()
+        finally:
+            if out is not None:
+                out.close()
+        if n_docs:
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [uri], "docs": [n_docs], "ids": [total]})
+
+    small_batches(spark)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(dealt.mapInArrow(write, "shard int, file string, docs long, ids long"), "manifest")
 
 
