@@ -18,6 +18,7 @@ segments are parsed in order, by a parser that keeps nothing but its state.
 Turns are in order of turn, role, text. Null texts count as empty; a null role is an empty role. A null conversation id is a
 conversation of its own. Rows that repeat are turns of their own. An empty table gives no rows. Extra columns, whatever their names, are ignored.
 A conversation's turns are in one task, as its digests need them in order; they stream through it.
+One very long text is a segment of its own, rendered and parsed whole: a row and its escaped form must fit in a task's memory.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ The base score is that of an add-one unigram model over all training tokens. Cou
 are broadcast; all other words are looked up by a shuffle join with the table of counts, so that the base score is exact.
 
 Null texts count as empty: one token, the end. Without training documents all counts are 0. Rows that repeat an id have scores of
-their own. A null id counts as the text "null" in choosing training documents.
+their own. A null id counts as the text "null" in choosing training documents. Very long texts are read whole, in blocks cut at white space. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
