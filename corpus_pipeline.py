@@ -3,6 +3,10 @@
 run(spark, sf_dir) applies STAGES to documents. Each stage's result is written as Parquet to the shared folder and read
 again as the next one's docs. ORACLE_SQL is None: SQL can't express the learned language model, the signatures or the
 linear program; tests compare every stage with a plain one on its own input.
+
+Null and empty texts have no letter and go in the first stage. Very long texts are kept whole, and only packing cuts them into pieces. Rows that repeat a text or an id:
+one of equal texts stays in the second stage, one of near ones in the third. A null language is no label to learn from; a null source is a source of its own in
+mixing. With an empty table every stage gives no rows. Extra columns travel along to the last stage, which returns pieces.
 """
 
 from __future__ import annotations
