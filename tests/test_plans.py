@@ -185,3 +185,44 @@ def test_exact_quantiles(spark, enough, buckets):
     assert exact_quantiles(df.where("false"), ["k"], "v", 0.5, "out").count() == 0
     with pytest.raises(ValueError, match="infinite"):
         exact_quantiles(spark.createDataFrame([("a", float("inf"))], "k string, v double"), ["k"], "v", 0.5, "out")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_apart_cover_the_same(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice(("c", "d", None)), a, a + r.choice((0, 1, 5, 30))) for a in (r.randrange(200) for _ in range(80))] + [("c", None, 5), ("c", 5, None)]
+    pieces = [tuple(x) for x in intervals.apart(spark.createDataFrame(rows, IV).repartition(3), ["chrom"]).collect()]
+    covered = [(c, p) for c, a, b in pieces for p in range(a, b)]
+    assert len(covered) == len(set(covered)) and set(covered) == {(c, p) for c, a, b in rows if a is not None and b is not None for p in range(a, b)}
+
+
+def test_depth_adds_nothing_up_by_name(spark):
+    """The task that has the reads by name sorts them, and sums only what it sends on."""
+    reads = spark.createDataFrame([("s0", "q", 0, "c", 5, 60, "10M")], "sample string, qname string, flag int, chrom string, pos long, mapq int, cigar string")
+    windows = spark.createDataFrame([("w", "c", 0, 100)], "window_id string, chrom string, start long, end long")
+    depth = coverage.window_depth(reads, windows, ["s0"])
+    assert not any("Aggregate" in x and "qname" in x for x in plan(depth).split("\n")) and depth.first().depth == 0.1
+
+
+def test_blocks_of_single_operations(spark):
+    cigars = ["10M", "7=", "0M", "3M\n", "5X", "5I", "2M2M", "", None, "4S6M", "012M"]
+    reads = spark.createDataFrame([(k, 100, c) for k, c in enumerate(cigars)], "k int, pos long, cigar string")
+    got = sorted(map(tuple, coverage.aligned_blocks(reads).select("k", "start", "end").collect()))
+    assert got == [(0, 100, 110), (1, 100, 107), (2, 100, 100), (3, 100, 103), (4, 100, 105), (6, 100, 102), (6, 102, 104), (9, 100, 106), (10, 100, 112)]
+
+
+def test_partitions_grow_with_the_reads(spark, monkeypatch):
+    from tidemark.functions import reuse
+    from tidemark.plans import queries
+
+    key, seen, before = "spark.sql.shuffle.partitions", [], spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(queries, "reused", lambda df: seen.append(int(spark.conf.get(key))) or reuse.reused(df))
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for rows in (n, n // 50):
+        monkeypatch.setattr(reuse, "TASK_ROWS", rows)
+        seen.clear()
+        queries.QUERIES["matching_samples"](spark, "/root/testdata/sf0.001")
+        assert seen and set(seen) == {int(before) if rows == n else -(-n // rows)} and spark.conf.get(key) == before
+    with pytest.raises(KeyError), reuse.partitions_for(spark, 10**9):
+        raise KeyError
+    assert spark.conf.get(key) == before

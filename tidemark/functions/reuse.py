@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of input for each shuffle partition at most, and the size to which small partitions of a large input are put together.
+TASK_ROWS, TASK_BYTES = 500_000, "16m"
+
+
+@contextmanager
+def partitions_for(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs meanwhile (tables that are stored, streams) has a shuffle partition for each TASK_ROWS rows at least, so that a task's memory doesn't grow with the input."""
+    wanted = {"spark.sql.shuffle.partitions": str(-(-rows // TASK_ROWS)), "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES}
+    before = {k: spark.conf.get(k) for k in wanted}
+    large = rows > TASK_ROWS * int(before["spark.sql.shuffle.partitions"])
+    try:
+        for k, v in wanted.items() if large else ():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items() if large else ():
+            spark.conf.set(k, v)
+
+
 #: Folders of stored tables that are still there.
 _STORED: list[str] = []
 

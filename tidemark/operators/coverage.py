@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import has_bits
 from ..functions.reuse import reused
 from ..params import DEFAULT
-from .intervals import cut, islands, overlap_join
+from .intervals import apart, cut, overlap_join
 
 #: CIGAR operations that take up bases of the chromosome, and those of them that are aligned to it.
 CONSUMING, ALIGNED = "MDN=X", "M=X"
@@ -33,7 +33,9 @@ def aligned_blocks(reads: DataFrame) -> DataFrame:
         one = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.lit(ALIGNED).contains(op["k"]), F.concat(acc["blocks"], one)).otherwise(acc["blocks"]).alias("blocks"))
 
-    blocks = F.explode(F.aggregate(ops, begin, step)["blocks"])
+    # Of a single aligned block there is nothing to be parsed but its length.
+    single = F.array(F.struct(F.col("pos").cast("long").alias("start"), F.expr("pos + cast(substring(cigar, 1, length(cigar) - 1) as long)").alias("end")))
+    blocks = F.explode(F.when(F.col("cigar").rlike("^\\d+[M=X]\\z"), single).otherwise(F.aggregate(ops, begin, step)["blocks"]))
     return reads.withColumn("block", blocks).select(*[c for c in reads.columns if c not in ("start", "end")], "block.start", "block.end")
 
 
@@ -50,7 +52,7 @@ def window_depth(reads: DataFrame, windows: DataFrame, samples: list[str] | None
     windows = reused(windows)
     blocks = aligned_blocks(usable_reads(reads, min_mapq, mask)).select("sample", "qname", "chrom", "start", "end")
     if merge_mates:
-        blocks = islands(blocks, ["sample", "qname", "chrom"])
+        blocks = apart(blocks, ["sample", "qname", "chrom"])
     steps = cut(blocks.select("sample", "chrom", "start", "end").where("end > start"), bin_size)
     at = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step"))))
     places = steps.select("sample", "chrom", "bin", at.alias("e")).groupBy("sample", "chrom", "bin", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step")).where("step <> 0")

@@ -48,6 +48,12 @@ def islands(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return island.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def apart(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """What each interval adds to those before it with the same keys (by start, then end): pieces that overlap nowhere and cover the same places. Nothing is added up, so that a task sorts its rows and keeps no more of them."""
+    before = F.max("end").over(Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    return intervals.select(*keys, F.greatest("start", before).alias("start"), "end").where("end > start")
+
+
 def cut(intervals: DataFrame, size: int) -> DataFrame:
     """The intervals cut at multiples of size, with bin; an empty one stays as it is."""
     pieces = intervals.withColumn("bin", F.explode(F.sequence(F.expr(f"start div {size}"), F.expr(f"greatest(end - 1, start) div {size}"))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_autosome, sample_name, track_sample_name
-from ..functions.reuse import new_folder, reused
+from ..functions.reuse import new_folder, partitions_for, reused
 from ..operators import coverage, intervals, matrix, panel, scaling, smooth, upscale
 from ..streaming.upscaling import remaining, upscaled_stream
 from . import fixtures as fx
@@ -18,17 +18,25 @@ from .sql import query
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Shared tables of the query that is being built.
+#: Shared tables of the query that is being built, and the number of its reads.
 _MADE: dict[tuple, DataFrame] = {}
+_N_READS: dict[str, int] = {}
+
+
+def _n_reads(spark: SparkSession, d: str) -> int:
+    if d not in _N_READS:
+        _N_READS[d] = fx.table(spark, d, "lineitem").count()
+    return _N_READS[d]
 
 
 def _once(make):
-    """Within one query a shared table is made once."""
+    """Within one query a shared table is made once, by as many tasks as the reads need."""
 
-    def run(*args) -> DataFrame:
-        key = (make.__name__, *map(str, args))
+    def run(spark: SparkSession, d: str, *args) -> DataFrame:
+        key = (make.__name__, d, *map(str, args))
         if key not in _MADE:
-            _MADE[key] = reused(make(*args))
+            with partitions_for(spark, _n_reads(spark, d)):
+                _MADE[key] = reused(make(spark, d, *args))
         return _MADE[key]
 
     return run
@@ -38,6 +46,7 @@ def _registered(sql: str | None):
     def add(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             _MADE.clear()
+            _N_READS.clear()
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run
