@@ -151,3 +151,10 @@ def test_lookup_of_piled_windows(spark):
 
     got = intervals.point_lookup(points, w, "v", 1.5, 20).collect()
     assert all(x.v == plain(x.chrom, x.pos) for x in got) and len(got) == 170
+
+
+def test_pairs_need_one_sort(spark, track):
+    """Scales, order and draws of pairs come from neighbours, so that a name's records are sorted once."""
+    reads = spark.createDataFrame(some_reads(5, 30, ["a", "b"]), READS)
+    lines = upscale.upscaled(reads, track, draw="ord")._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert sum("Sort [qname" in x for x in lines) == 1

@@ -6,7 +6,7 @@ whole file in a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, has_bits, hash_uniform
@@ -33,10 +33,20 @@ def paired(reads: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     complete: whether the pair has both records.
     """
-    own = Window.partitionBy(*(keys or ["qname"]))
-    n = F.row_number().over(own.orderBy("ord"))
-    out = reads.withColumn("n", n).withColumn("of", F.count("*").over(own))
-    return out.withColumn("pair_no", F.expr("(n - 1) div 2")).withColumn("nth", F.expr("(n - 1) % 2")).withColumn("complete", F.expr("n % 2 = 0 or n < of")).drop("n", "of")
+    own = in_order(keys)
+    out = reads.withColumns({"n": F.row_number().over(own), "more": F.lead(F.lit(True)).over(own)})
+    return out.withColumn("pair_no", F.expr("(n - 1) div 2")).withColumn("nth", F.expr("(n - 1) % 2")).withColumn("complete", F.expr("n % 2 = 0 or more is not null")).drop("n", "more")
+
+
+def in_order(keys: list[str] | None = None) -> WindowSpec:
+    """A name's records in order. All that concerns pairs looks at neighbours in it, so that a name's records are sorted once."""
+    return Window.partitionBy(*(keys or ["qname"])).orderBy("ord")
+
+
+def of_mate(value: Column, keys: list[str] | None = None) -> Column:
+    """The value of the pair's other record; null for an orphan."""
+    own = in_order(keys)
+    return F.when(F.col("nth") == 1, F.lag(value).over(own)).otherwise(F.lead(value).over(own))
 
 
 def with_own_scale(reads: DataFrame, track: DataFrame) -> DataFrame:
@@ -46,20 +56,22 @@ def with_own_scale(reads: DataFrame, track: DataFrame) -> DataFrame:
 
 def with_scale(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Paired reads with scale, the mean of the pair's two own scales; 1 for an orphan. It needs no exchange beyond that of paired()."""
-    mean = F.avg("own_scale").over(Window.partitionBy(*(keys or ["qname"]), "pair_no"))
+    own, other = F.col("own_scale"), of_mate(F.col("own_scale"), keys)
+    mean = (F.coalesce(own, other) + F.coalesce(other, own)) / 2
     return pairs.withColumn("scale", F.when(F.col("complete"), mean).otherwise(F.lit(1.0)))
 
 
 def copy_count(scale: str | Column = "scale", key: str | Column = "qname", seed: int = DEFAULT.seed) -> Column:
     """floor(scale), plus one with the fraction's probability, by a number hashed from the key; at least 1."""
     s = F.col(scale) if isinstance(scale, str) else scale
-    extra = (hash_uniform(key, seed) < s - F.floor(s)).cast("int")
+    extra = F.when(s > F.floor(s), (hash_uniform(key, seed) < s - F.floor(s)).cast("int")).otherwise(F.lit(0))  # most scales have no fraction
     return F.greatest(F.lit(1), F.floor(s).cast("int") + extra)
 
 
 def mate_order(keys: list[str] | None = None) -> Column:
     """1 or 2: the later record goes first if it is read 1, else the earlier one does."""
-    later_first = F.max(F.when(F.col("nth") == 1, has_bits("flag", FIRST))).over(Window.partitionBy(*(keys or ["qname"]), "pair_no"))
+    first = has_bits("flag", FIRST)
+    later_first = F.when(F.col("nth") == 1, first).otherwise(of_mate(first, keys))
     return F.when(F.coalesce(later_first, F.lit(False)), 2 - F.col("nth")).otherwise(F.col("nth") + 1)
 
 
@@ -88,7 +100,7 @@ def upscaled(reads: DataFrame, track: DataFrame, keys: list[str] | None = None,
     rows = with_own_scale(reads.withColumn("aside", F.when(passes_through(), F.struct("ord"))), track)
     pairs = with_scale(paired(rows, own), own)
     kind = F.when(F.col("aside").isNotNull(), "passthrough").when(F.col("complete"), "pair").otherwise("orphan")
-    first = F.min("ord").over(Window.partitionBy(*own, "pair_no")) if draw == "ord" else F.col(draw)
+    first = F.when(F.col("nth") == 1, of_mate(F.col("ord"), own)).otherwise(F.col("ord")) if draw == "ord" else F.col(draw)
     ready = pairs.withColumn("kind", kind).withColumn("mate", F.when(F.col("kind") == "pair", mate_order(own)).cast("int")).withColumn("drawn", first)
     return copies_of(ready, F.concat_ws(":", *keys, "drawn"), seed).select(*reads.columns, "kind", "copy", "mate")
 

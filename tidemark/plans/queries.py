@@ -75,12 +75,22 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
     return named.withColumnRenamed("name", "window_id").withColumn("gc_pct", fx.gc())
 
 
+_ALL = [*fx.NORMALS, fx.TUMOUR]
+
+
 @_once
-def _depth(spark: SparkSession, d: str, samples: list[str]) -> DataFrame:
+def _made_depth(spark: SparkSession, d: str, samples: list[str]) -> DataFrame:
     reads = fx.reads(spark, d).where(F.col("sample").isin(samples))
     return coverage.window_depth(reads, _windows(spark, d), samples)
 
 
+def _depth(spark: SparkSession, d: str, samples: list[str]) -> DataFrame:
+    """Of a query that needs all samples, all are made at once, in one pass over the reads."""
+    if ("_made_depth", d, str(_ALL)) in _MADE:
+        return _made_depth(spark, d, _ALL).where(F.col("sample").isin(samples))
+    return _made_depth(spark, d, samples)
+
+
 @_once
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
     windows = _windows(spark, d).select("window_id", "gc_pct")
@@ -105,6 +115,7 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
 
 @_once
 def _tumour(spark: SparkSession, d: str) -> DataFrame:
+    _depth(spark, d, _ALL)
     return scaling.panel_ratio(scaling.joined_with_panel(_depth(spark, d, [fx.TUMOUR]), _panel(spark, d)))
 
 
@@ -112,8 +123,8 @@ def _tumour(spark: SparkSession, d: str) -> DataFrame:
 _KEYS = ["sample", "qname"]
 
 
-@_once
 def _reads(spark: SparkSession, d: str) -> DataFrame:
+    """Read once by each query but the stream's, so that they aren't stored."""
     return fx.reads(spark, d)
 
 
@@ -129,6 +140,7 @@ def _scales(spark: SparkSession, d: str) -> DataFrame:
 
 @_once
 def _track_b(spark: SparkSession, d: str) -> DataFrame:
+    _depth(spark, d, _ALL)
     return scaling.track_by_panel(_depth(spark, d, [fx.TUMOUR]), _panel(spark, d))
 
 
@@ -145,8 +157,10 @@ def _scaled(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_once
-def _output(spark: SparkSession, d: str) -> DataFrame:
-    return upscale.upscaled(_reads(spark, d), _scales(spark, d), _KEYS)
+def _output(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
+    """kind: only these records are stored."""
+    out = upscale.upscaled(_reads(spark, d), _scales(spark, d), _KEYS)
+    return out if kind is None else out.where(F.col("kind") == kind)
 
 
 # --- windows
@@ -223,7 +237,7 @@ def template_blocks(spark, d):
 
 @_registered("SELECT sample, window_id, round(depth, 6) AS depth FROM depth")
 def window_depth(spark, d):
-    return _rounded(_depth(spark, d, [*fx.NORMALS, fx.TUMOUR]).select("sample", "window_id", "depth"))
+    return _rounded(_depth(spark, d, _ALL).select("sample", "window_id", "depth"))
 
 
 @_registered("""SELECT window_id, CAST(length(part) - length(regexp_replace(part, '[GCgc]', '', 'g')) AS DOUBLE) / length(part) AS gc_pct FROM (
@@ -328,7 +342,7 @@ def library_scale(spark, d):
 
 @_registered("SELECT sample FROM (SELECT sample, count(*) AS n FROM depth GROUP BY sample) WHERE n = (SELECT count(*) FROM windows)")
 def matching_samples(spark, d):
-    return scaling.matching_samples(_depth(spark, d, [*fx.NORMALS, fx.TUMOUR]), _windows(spark, d))
+    return scaling.matching_samples(_depth(spark, d, _ALL), _windows(spark, d))
 
 
 @_registered("SELECT window_id, round(CASE WHEN pon_median > 0 THEN sqrt(pon_variance) / pon_median ELSE 0 END, 6) AS pon_cv FROM panel")
@@ -416,17 +430,17 @@ def copy_count(spark, d):
 
 @_registered("SELECT sample, qname, flag, chrom, pos, ord, copy, mate FROM output WHERE kind = 'pair'")
 def replicate_pairs(spark, d):
-    return _output(spark, d).where("kind = 'pair'").select(*_KEYS, "flag", "chrom", "pos", "ord", "copy", "mate")
+    return _output(spark, d, "pair").select(*_KEYS, "flag", "chrom", "pos", "ord", "copy", "mate")
 
 
 @_registered("SELECT sample, qname, flag, chrom, pos, ord FROM output WHERE kind = 'passthrough'")
 def passthrough(spark, d):
-    return _output(spark, d).where("kind = 'passthrough'").select(*_KEYS, "flag", "chrom", "pos", "ord")
+    return _output(spark, d, "passthrough").select(*_KEYS, "flag", "chrom", "pos", "ord")
 
 
 @_registered("SELECT sample, qname, flag, chrom, pos, ord FROM output WHERE kind = 'orphan'")
 def orphans(spark, d):
-    return _output(spark, d).where("kind = 'orphan'").select(*_KEYS, "flag", "chrom", "pos", "ord")
+    return _output(spark, d, "orphan").select(*_KEYS, "flag", "chrom", "pos", "ord")
 
 
 @_registered("SELECT count(*) FILTER (copy = 0) AS processed, count(*) FILTER (copy = 0) AS kept_reads, count(*) FILTER (copy > 0) AS duplicated_reads FROM output")
@@ -442,13 +456,15 @@ def coordinate_sort(spark, d):
 @_registered("SELECT kind, sample, qname, flag, chrom, pos, ord, copy, mate FROM streamed")
 def stream_upscale(spark, d):
     """The reads as a stream in two deliveries, so that pairs reach over a restart; what waits at the end comes from the state. Nothing is evicted."""
-    reads, folder = _reads(spark, d), new_folder(spark, "stream")
-    spark.createDataFrame([], reads.schema).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(reads.schema).parquet(f"{folder}/in")
-    out = upscaled_stream(stream, _scales(spark, d), _KEYS, limit=1 << 60)
-    for part in ("ord <= 3", "ord > 3"):
-        reads.where(part).write.mode("append").parquet(f"{folder}/in")
-        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    scales, n = _scales(spark, d), _n_reads(spark, d)
+    with partitions_for(spark, n):
+        reads, folder = reused(_reads(spark, d)), new_folder(spark, "stream")
+        spark.createDataFrame([], reads.schema).write.parquet(f"{folder}/in")
+        stream = spark.readStream.schema(reads.schema).parquet(f"{folder}/in")
+        out = upscaled_stream(stream, scales, _KEYS, limit=1 << 60)
+        for part in ("ord <= 3", "ord > 3"):
+            reads.where(part).write.mode("append").parquet(f"{folder}/in")
+            out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     both = spark.read.schema(out.schema).parquet(f"{folder}/out").unionByName(remaining(spark, f"{folder}/state", reads.schema))
     return both.select("kind", *_KEYS, "flag", "chrom", "pos", "ord", "copy", "mate")
 
