@@ -158,3 +158,21 @@ def test_pairs_need_one_sort(spark, track):
     reads = spark.createDataFrame(some_reads(5, 30, ["a", "b"]), READS)
     lines = upscale.upscaled(reads, track, draw="ord")._jdf.queryExecution().executedPlan().toString().split("\n")
     assert sum("Sort [qname" in x for x in lines) == 1
+
+
+def test_buckets_grow_with_the_reads(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    seen, d = [], "/root/testdata/sf0.001"
+
+    def noted(*args, **options):
+        seen.append(options["buckets"])
+        raise InterruptedError
+
+    monkeypatch.setattr(queries, "upscaled_stream", noted)
+    n = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    for rows, want in ((n, 32), (50, -(-n // 50))):
+        monkeypatch.setattr(queries, "BUCKET_READS", rows)
+        with pytest.raises(InterruptedError):
+            queries.QUERIES["stream_upscale"](spark, d)
+        assert seen.pop() == want

@@ -121,6 +121,8 @@ def _tumour(spark: SparkSession, d: str) -> DataFrame:
 
 #: What a read pair is known by, in all samples together.
 _KEYS = ["sample", "qname"]
+#: Reads of a stream for each bucket of names: a bucket's records of one batch, and those that wait, are in a Python worker at once.
+BUCKET_READS = 20_000
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
@@ -461,7 +463,7 @@ def stream_upscale(spark, d):
         reads, folder = reused(_reads(spark, d)), new_folder(spark, "stream")
         spark.createDataFrame([], reads.schema).write.parquet(f"{folder}/in")
         stream = spark.readStream.schema(reads.schema).parquet(f"{folder}/in")
-        out = upscaled_stream(stream, scales, _KEYS, limit=1 << 60)
+        out = upscaled_stream(stream, scales, _KEYS, limit=1 << 60, buckets=max(32, -(-n // BUCKET_READS)))
         for part in ("ord <= 3", "ord > 3"):
             reads.where(part).write.mode("append").parquet(f"{folder}/in")
             out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
