@@ -542,3 +542,66 @@ def test_components_by_stars_and_in_one_task(spark):
         edges = spark.createDataFrame(pairs, "u long, v long").repartition(5)
         for task_edges in (-1, 1 << 18):
             assert sorted(map(tuple, components(edges, task_edges).collect())) == sorted(expected)
+
+
+def test_lm_parts_give_each_document_the_units_of_its_text(spark):
+    """Dealt in blobs by the word before, counts are those of the texts; what is stored takes less room than the texts' units as rows."""
+    texts = [" ".join(f"{a}{k * j % 7} {b}{k % 5}\t" for j, (a, b) in enumerate((("ab", "x"), ("abcd", "abcde"), ("q", "é")))) for k in range(60)] + ["", "  ", "ab0"]
+    held = [k % 6 == 5 for k in range(len(texts))]
+    rows_ = spark.createDataFrame([(k, bytearray(t, "utf8"), h) for k, (t, h) in enumerate(zip(texts, held, strict=True))], "row long, text binary, held_out boolean")
+    code = lm.Code(np.bincount(np.frombuffer("\n".join(texts).encode(), np.uint8), minlength=256))
+    joined = lm.joined_units(lm.dealt_units(rows_, 3), 3)
+    last, far, start = lm.to_shorts(lm.counted_keys(joined), code)
+    plain = lm.all_units(rows_)
+    for a, b in zip((last, far, start), lm.short_tables(plain, code), strict=True):
+        assert (a.keys == b.keys).all() and (a.zero == b.zero).all() and (a.one == b.one).all()
+    words = lm.word_counts(joined, code, 3)
+    blobs = defaultdict(list)
+    for r in words.collect():
+        blobs[r["part"]].append(bytes(r["data"]))
+    split = [lm.stream(t.encode())[:-1].decode().split() for t in texts]
+    seen = [[(p, w + (" " if k < len(s) - 1 else "\n")) for k, (p, w) in enumerate(zip(["", *s], s))] or [("", "\n")] for s in split]  # noqa: B905
+    counts = defaultdict(lambda: [0, 0])
+    path = lambda byte: list(zip(*(x.tolist() for x in code.bits(np.array([byte], np.uint8))[1:]), strict=True))
+    for units, h in zip(seen, held, strict=True):
+        for p, w in units:
+            for k, byte in enumerate(w.encode()):
+                for node, bit in path(byte):
+                    counts[w.encode()[:k], node][bit] += not h
+                    counts[p, w.encode()[:k], node][bit] += not h
+    got, mine = Counter(), Counter((k, w) for k, units in enumerate(seen) for _, w in units)
+    for part, data in joined.where("kind = 0").select("part", "data").collect():
+        for learning in (True, False):
+            pw = lm.PartWords(blobs[part], code, start, far, learning)
+            u = lm.Chunk(bytes(data), pw, code, last, far, learning)
+            g, at = u.got, np.cumsum(u.bits) - u.bits
+            docs, row, post = np.repeat(np.arange(len(u.c)), g["n_docs"]), np.cumsum(g["rows"].astype(np.int64)), defaultdict(set)
+            for j, d, t in zip(docs, g["docs"], g["times"], strict=True):
+                post[int(j)].add((int(row[d]), int(t)))
+            for j, wi in enumerate(g["wi"].astype(int)):
+                w = bytes(pw.data[pw.start[wi] : pw.start[wi] + pw.length[wi]])
+                if not learning:
+                    for d, t in post[j]:
+                        got[d, w.decode()] += t
+                d = next(iter(post[j]))[0]
+                befores = {p for p, x in seen[d] if x.encode() == w and (p, x) in set(seen[d])}
+                want = [(k, node, bit) for k, byte in enumerate(w) for node, bit in path(byte)]
+                bit = np.array([b for *_, b in want])
+                to = lm.without_one if learning else lambda z, o, _: lm.to_cells(z, o)
+                if learning and not u.c[j]:
+                    continue
+                own = slice(at[j], at[j] + u.bits[j])
+                zero, one = np.array([counts[w[:k], node] for k, node, _ in want], float).T
+                assert (u.cells[2][own] == to(zero, one, bit)).all()
+                pairs = [np.array([counts[p, w[:k], node] for k, node, _ in want], float).T for p in befores]
+                assert any((u.cells[3][own] == to(*x, bit)).all() for x in pairs)
+    assert got == mine
+
+
+def test_lm_stores_units_in_little_room(spark):
+    """What is dealt by the word before takes less room than the texts; a row for each unit took several times theirs."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(400)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, bytearray(t, "utf8"), False) for k, t in enumerate(texts)], "row long, text binary, held_out boolean")
+    joined = lm.joined_units(lm.dealt_units(docs, 4), 4)
+    assert sum(len(x["data"]) for x in joined.collect()) < 2 * sum(map(len, texts))

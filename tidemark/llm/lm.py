@@ -6,7 +6,8 @@ over word bounds), the word so far, and the word so far with the whole word befo
 and what ends it, so that the distinct ones of these units, with their training counts, hold all that the corpus has to say.
 Counts of both bits are exact for every context that occurs, and no two contexts share a count (but for equal 64-bit hashes): those of
 the bytes are in tables that hold the contexts seen, those of words and pairs of words in partitioned tables (words by their first
-three bytes, units by the word before). All grow with the corpus. The predictions' logits are added with weights that a gate chooses by how much each
+three bytes, units by the word before). A unit goes to its part once, in a blob of its block's, with the documents that hold it, and what
+is summed for these there is all that comes back. Of counts only those that words share are sent: a context that one word alone has follows from its count. All grow with the corpus. The predictions' logits are added with weights that a gate chooses by how much each
 context has been seen, and an adaptive map from gate and logit to probability refines the sum; half of each is the result.
 
 Weights and map are learned from all training documents: every training unit is predicted from counts that leave that one
@@ -27,20 +28,24 @@ import heapq
 import math
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table, text_of
-from .words import _VALUES, Numbers, Words, _powers, blocks, mix
+from .common import drop, freed_shuffles, shared_file, small_batches, stored, table, text_of
+from .words import _VALUES, Numbers, Words, _powers, blocks, mix, trim
 
 KNOWN_WORDS = 500_000
 PREDICTORS = 4
 MIX_BATCH, MIX_RATE = 2048, 0.02
-CHUNK_UNITS, BLOCK_BYTES = 30_000, 1 << 20
+CHUNK_UNITS, BLOCK_BYTES = 30_000, 1 << 22
+#: Units are dealt to so many parts (of small tables), or to one for so many bytes of text.
+PARTS, PART_BYTES = 12, 16 << 20
 MAP_STEPS = 33
 HELD_OUT = (7, 2)
 _TOP = 7.9  # the largest logit
@@ -210,10 +215,17 @@ class Short:
         self.zero, self.one = zero.astype(np.uint32), one.astype(np.uint32)
         self.length = code.length[byte].astype(np.int64)
         self.start = np.cumsum(self.length) - self.length
+        #: Cells of each bit, and those without one occurrence of the byte.
+        self.full, self.less = to_cells(zero, one), without_one(zero, one, code.bits(byte)[2])
+
+    def bits_of(self, entry: np.ndarray) -> np.ndarray:
+        return spread(self.start[entry], self.length[entry])
+
+    def places(self, context: np.ndarray, data: np.ndarray) -> np.ndarray:
+        return self.bits_of(np.searchsorted(self.keys, context << 8 | data))
 
     def counts(self, context: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, context << 8 | data)
-        own = spread(self.start[at], self.length[at])
+        own = self.places(context, data)
         return self.zero[own].astype(np.float64), self.one[own].astype(np.float64)
 
 
@@ -268,7 +280,8 @@ def without_one(zero: np.ndarray, one: np.ndarray, bit: np.ndarray) -> np.ndarra
 
 
 def all_units(rows: DataFrame) -> DataFrame:
-    """key, before, word, tail, spelled, c of the distinct units of all rows; c: their number in training rows. Stored.
+    """key, before, word, tail, spelled, c of the distinct units of all rows; c: their number in training rows. Stored. This and word_cells are the plain form of
+    joined_units and word_counts, rows in place of blobs, for comparison in tests.
 
     rows: columns text (binary) and held_out.
     """
@@ -284,6 +297,18 @@ def all_units(rows: DataFrame) -> DataFrame:
     return stored(out.groupBy("key", "before", "word", "tail", "spelled").agg(F.sum("c").alias("c")), "units")
 
 
+def short_keys(data: np.ndarray, length: np.ndarray, tail: np.ndarray, times: np.ndarray, own: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of Short of the bytes at places (in their words) that own chooses, and how often each is met."""
+    place = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
+    some = own(place)
+    keys, at = np.unique((three(data, length, tail)[some] << 8) | data[some], return_inverse=True)
+    return keys, np.bincount(at, np.repeat(times, length)[some], len(keys)).astype(np.int64)
+
+
+def short_rows(kind: int, keys: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"kind": np.full(len(keys), kind, np.int32), "k": keys, "c": c})
+
+
 def short_tables(all_: DataFrame, code: Code) -> tuple[Short, Short, Short]:
     """Of the last byte, the last three bytes, and words' first bytes (up to two before the one that is predicted)."""
 
@@ -292,14 +317,15 @@ def short_tables(all_: DataFrame, code: Code) -> tuple[Short, Short, Short]:
             data, length = spelled(batch.column(0))
             if not len(data):
                 continue
-            times = np.repeat(batch.column(2).to_numpy(), length)
-            place = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
-            for kind, context, own in ((0, three(data, length, batch.column(1).to_numpy()), place >= 0), (1, three(data, length, np.full(len(length), _BLANKS)), place < 3)):
-                keys, at = np.unique((context << 8 | data)[own], return_inverse=True)
-                c = np.bincount(at, times[own], len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"kind": np.full(len(keys), kind, np.int32), "k": keys, "c": c})
+            times = batch.column(2).to_numpy()
+            for kind, tail, own in ((0, batch.column(1).to_numpy(), lambda place: place >= 0), (1, np.full(len(length), _BLANKS), lambda place: place < 3)):
+                yield short_rows(kind, *short_keys(data, length, tail, times, own))
+
+    return to_shorts(all_.select("spelled", "tail", "c").mapInArrow(found, "kind int, k long, c long"), code)
 
-    rows = all_.select("spelled", "tail", "c").mapInArrow(found, "kind int, k long, c long").groupBy("kind", "k").agg(F.sum("c").alias("c")).toPandas()
+
+def to_shorts(counted: DataFrame, code: Code) -> tuple[Short, Short, Short]:
+    rows = counted.groupBy("kind", "k").agg(F.sum("c").alias("c")).toPandas()
     kind, keys, c = (rows[x].to_numpy() for x in ("kind", "k", "c"))
     last, at = np.unique(keys[kind == 0] & 0xFFFF, return_inverse=True)
     return (Short(last, np.bincount(at, c[kind == 0], len(last)), code), *(Short(keys[kind == k], c[kind == k], code) for k in (0, 1)))
@@ -412,65 +438,364 @@ def to_inputs(cells: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [(cell >> np.uint16(2)).astype(np.float32) * np.float32(1 / 256) - np.float32(16) for cell in cells], gate
 
 
-def unit_scores(rows: DataFrame, byte_counts: np.ndarray) -> DataFrame:
-    """key, value: log10 probability of each distinct unit of the rows (text, held_out). Stored."""
+# --- units dealt to parts by the word before
+
+
+def packed(**arrays: np.ndarray | bytes) -> bytes:
+    """The arrays (no negative numbers) in as few bytes as they need."""
+    fit = lambda x: x.astype(np.min_scalar_type(int(x.max()))) if isinstance(x, np.ndarray) and len(x) and x.dtype.kind in "iu" else x
+    return zlib.compress(pickle.dumps({k: fit(v) for k, v in arrays.items()}, 5), 1)
+
+
+def unpacked(data: bytes) -> dict:
+    return pickle.loads(zlib.decompress(data))
+
+
+def steps(sorted_: np.ndarray) -> np.ndarray:
+    """Numbers in order as differences."""
+    return np.diff(sorted_, prepend=sorted_.dtype.type(0))
+
+
+def binaries(data: bytes, length: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(length) + 1, np.int32)
+    np.cumsum(length, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def ranked(words: pa.Array) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """For each word its rank among the distinct ones in order; those, end to end, and their lengths."""
+    coded = words.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    distinct = coded.dictionary.take(order)
+    return rank[coded.indices.to_numpy()], b"".join(distinct.to_pylist()), pc.binary_length(distinct).to_numpy().astype(np.int64)
+
+
+def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["part", "data"])
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Sorted rows (part, data) by part."""
+    part, found = None, []
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if found and k != part:
+                yield part, found
+                found = []
+            part = k
+            found.append(data)
+    if found:
+        yield part, found
+
+
+def to_parts(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows (part, data), each part in one task."""
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part")
+
+
+def dealt_units(rows: DataFrame, parts: int) -> DataFrame:
+    """part, data: of each block of texts the distinct units of each part, with the documents that hold them. A word before is in one part.
+
+    rows: row, text (binary) and held_out. All of a block's columns go as one value, as rows of units would take ten times their room.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, texts, trained = batch.column(0).to_numpy(), batch.column(1).to_pylist(), ~np.array(batch.column(2).to_pylist(), bool)
+            for at, u in units(texts):
+                n, at = len(u.key), np.array(at)
+                pairs, times = np.unique(np.append(u.unit, np.full(len(u.empty), n - 1)) * len(texts) + np.append(at[u.owner], at[u.empty]), return_counts=True)
+                unit, doc = np.divmod(pairs, len(texts))
+                n_docs, c = np.bincount(unit, minlength=n), np.bincount(unit, times * trained[doc], n).astype(np.int64)
+                _, first, word = np.unique(u.word, return_index=True, return_inverse=True)
+                part = (u.before % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((word, u.before, part))
+                order = order[n_docs[order] > 0]
+                bounds, out = np.searchsorted(part[order], np.arange(parts + 1)), []
+                begins = np.cumsum(n_docs) - n_docs
+                for k in np.flatnonzero(np.diff(bounds)):
+                    own = order[bounds[k] : bounds[k + 1]]
+                    words, wi = np.unique(word[own], return_inverse=True)
+                    words = first[words]
+                    heads = np.flatnonzero(np.append(True, u.before[own[1:]] != u.before[own[:-1]]))
+                    posts = spread(begins[own], n_docs[own])
+                    docs, di = np.unique(doc[posts], return_inverse=True)
+                    out.append((int(k), packed(
+                        spelled=u.data[spread(u.start[words], u.length[words])].tobytes(), length=u.length[words], before=u.before[own[heads]], tail=u.tail[own[heads]], n=np.diff(heads, append=len(own)),
+                        wi=wi, c=c[own], n_docs=n_docs[own], rows=steps(row[docs]), docs=di, times=times[posts],
+                    )))
+                yield batch_of(out)
+
+    return rows.select("row", "text", "held_out").mapInArrow(found, "part int, data binary")
+
+
+def joined_blocks(blobs: list[bytes]) -> dict:
+    """Blocks of one part put together: its words in order, units by word before and word, and their documents."""
+    got = [unpacked(b) for b in blobs]
+    cat = lambda name, kind=np.int64: np.concatenate([g[name].astype(kind) for g in got])
+    rank, spelled_, length = ranked(binaries(b"".join(g["spelled"] for g in got), cat("length")))
+    words_before = np.cumsum([0, *(len(g["length"]) for g in got)])
+    wi = rank[np.concatenate([g["wi"].astype(np.int64) + k for g, k in zip(got, words_before, strict=False)])]
+    before, first, bi = np.unique(cat("before", np.uint64), return_index=True, return_inverse=True)
+    unit, at = np.unique(np.repeat(bi, cat("n")) * len(length) + wi, return_inverse=True)
+    n_docs = cat("n_docs")
+    order = np.argsort(np.repeat(at, n_docs), kind="stable")
+    rows = np.concatenate([np.cumsum(g["rows"].astype(np.int64))[g["docs"]] for g in got])[order]
+    group, word = np.divmod(unit, len(length))
+    return {"spelled": spelled_, "length": length, "tail": cat("tail")[first], "group": group, "wi": word, "c": np.bincount(at, cat("c")).astype(np.int64), "n_docs": np.bincount(at, n_docs).astype(np.int64), "rows": rows, "times": cat("times")[order]}
+
+
+def joined_units(dealt: DataFrame, parts: int) -> DataFrame:
+    """kind, part, data: of each part its units in chunks of whole words before (kind 0), its words for each group by first bytes (kind 1; part is the group),
+    and its counts of short contexts (kind 2). Stored."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blobs in by_part(batches):
+            u = joined_blocks(blobs)
+            length, c = u["length"], np.bincount(u["wi"], u["c"], len(u["length"])).astype(np.int64)
+            data, start = np.frombuffer(u["spelled"], np.uint8), np.cumsum(u["length"]) - u["length"]
+            first = sum(np.where(length > k, data[np.minimum(start + k, len(data) - 1)], 0).astype(np.uint64) << np.uint64(8 * k) for k in range(3))
+            group, out = (mix(first) % np.uint64(parts)).astype(np.int64), []
+            for g in np.unique(group):
+                own = np.flatnonzero(group == g)
+                out.append((1, int(g), packed(part=part, wi=steps(own), length=length[own], spelled=data[spread(start[own], length[own])].tobytes(), c=c[own])))
+            # Behind the third byte a word's contexts are its own.
+            blank = np.full(len(length), _BLANKS)
+            keys = [(0, *short_keys(data, length, blank, c, lambda place: place >= 3)), (1, *short_keys(data, length, blank, c, lambda place: place < 3))]
+            for a in range(0, len(u["wi"]), 8 * CHUNK_UNITS):
+                own = slice(a, a + 8 * CHUNK_UNITS)
+                wi = u["wi"][own]
+                some = np.minimum(length[wi], 3)
+                keys.append((0, *short_keys(data[spread(start[wi], some)], some, u["tail"][u["group"][own]], u["c"][own], lambda place: place >= 0)))
+            out.extend((2, part, packed(kind=np.array([kind]), keys=steps(k), c=n)) for kind, k, n in keys)
+            ends, posts = np.cumsum(u["n_docs"]), np.append(0, np.cumsum(u["n_docs"]))
+            heads = np.flatnonzero(np.append(True, np.diff(u["group"]) > 0))
+            a = 0
+            while a < len(ends):
+                k = np.searchsorted(heads, a + CHUNK_UNITS)
+                b = int(heads[k]) if k < len(heads) else len(ends)
+                own, docs = slice(a, b), slice(posts[a], posts[b])
+                rows, di = np.unique(u["rows"][docs], return_inverse=True)
+                groups, gi = np.unique(u["group"][own], return_inverse=True)
+                out.append((0, part, packed(tail=u["tail"][groups], n=np.bincount(gi), wi=u["wi"][own], c=u["c"][own], n_docs=u["n_docs"][own], rows=steps(rows), docs=di, times=u["times"][docs])))
+                a = b
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *batch_of([x[1:] for x in out]).columns], names=["kind", "part", "data"])
+            del u, out
+            trim()
+
+    return stored(to_parts(dealt, parts).mapInArrow(found, "kind int, part int, data binary"), "units")
+
+
+def shared_bytes(data: np.ndarray, start: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """For each word (in order) how many first bytes it has at most in common with a neighbour; -1 without one.
+
+    same: whether a word and the one before are to be compared. None of those is another's beginning.
+    """
+    common = np.full(len(start) + 1, -1)
+    open_ = np.flatnonzero(same)
+    k = 0
+    while len(open_):
+        common[open_] = k
+        open_ = open_[data[start[open_] + k] == data[start[open_ - 1] + k]]
+        k += 1
+    return np.maximum(common[:-1], common[1:])
+
+
+def own_cells(own: np.ndarray, other: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Cells of how often a bit was as it is here, and the other way."""
+    return to_cells(np.where(bit == 1, other, own), np.where(bit == 1, own, other))
+
+
+def lone_cells(c: np.ndarray, bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Cells of bits in contexts that one word alone has, c times. bits: how many each word has."""
+    zero = np.zeros(len(c))
+    cells = np.stack([to_cells(c, zero), to_cells(zero, c)], axis=1).reshape(-1)
+    return cells[np.repeat(2 * np.arange(len(c)), bits) + bit]
+
+
+def word_counts(joined: DataFrame, code: Code, parts: int) -> DataFrame:
+    """part, data: of each part its words with counts of the bits of bytes behind the third that other words share. Stored in a folder for each part."""
+    shared = joined.sparkSession.sparkContext.broadcast(code)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = shared.value
+        for _, blobs in by_part(batches):
+            got = [unpacked(b) for b in blobs]
+            sizes = [len(g["wi"]) for g in got]
+            rank, spelled_, length = ranked(binaries(b"".join(g["spelled"] for g in got), np.concatenate([g["length"].astype(np.int64) for g in got])))
+            c = np.bincount(rank, np.concatenate([g["c"] for g in got]), len(length)).astype(np.int64)
+            data, start = np.frombuffer(spelled_, np.uint8), np.cumsum(length) - length
+            depth = shared_bytes(data, start, np.arange(len(length)) > 0)
+            place = np.arange(len(data)) - np.repeat(start, length)
+            own = (place >= 3) & (place <= np.repeat(depth, length))
+            zero, one = bit_counts(prefixes(data, length, np.zeros(len(length), np.uint64))[own], data[own], np.repeat(c, length)[own], code)
+            bit, bits = code.bits(data[own])[2], np.bincount(np.repeat(np.arange(len(length)), length)[own], code.length[data[own]], len(length)).astype(np.int64)
+            mine, other = np.where(bit == 1, one, zero).astype(np.int64), np.where(bit == 1, zero, one).astype(np.int64)
+            at, out = np.cumsum(bits) - bits, []
+            for g, w in zip(got, np.split(rank, np.cumsum(sizes)[:-1]), strict=True):
+                some = spread(at[w], bits[w])
+                out.append((int(g["part"]), packed(wi=g["wi"], length=g["length"], spelled=g["spelled"], c=c[w], depth=np.maximum(depth[w], 2), mine=mine[some], other=other[some])))
+            yield batch_of(out)
+
+    groups = to_parts(joined.where("kind = 1").select("part", "data"), parts)
+    return stored(to_parts(groups.mapInArrow(found, "part int, data binary"), parts), "words", "part")
+
+
+class PartWords:
+    """A part's words in order: bytes, starts, lengths, and cells of the word so far for each bit (learning: without one occurrence)."""
+
+    def __init__(self, blobs: list[bytes], code: Code, first: Short, far: Short, learning: bool):
+        got = [unpacked(b) for b in blobs]
+        cat = lambda name: np.concatenate([g[name].astype(np.int64) for g in got])
+        at = np.concatenate([np.cumsum(g["wi"].astype(np.int64)) for g in got])
+        order = np.argsort(at)
+        length, c, depth = cat("length"), cat("c"), cat("depth")
+        begins = (np.cumsum(length) - length)[order]
+        data = np.frombuffer(b"".join(g["spelled"] for g in got), np.uint8)
+        mine, other = cat("mine"), cat("other")
+        # Bits whose counts were sent along, in the blobs' order.
+        place = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
+        sent = np.add.reduceat(np.where((place >= 3) & (place <= np.repeat(depth, length)), code.length[data], 0).astype(np.int64), np.cumsum(length) - length)
+        sent_start, sent = (np.cumsum(sent) - sent)[order], sent[order]
+        del place
+        self.length, c, depth = length[order], c[order], depth[order]
+        self.data = data[spread(begins, self.length)]
+        self.start = np.cumsum(self.length) - self.length
+        self.bits = np.add.reduceat(code.length[self.data].astype(np.int64), self.start)
+        self.bit_start = np.cumsum(self.bits) - self.bits
+        made = np.empty(int(self.bits.sum()), np.uint16)
+        for a in range(0, len(c), CHUNK_UNITS):
+            w = slice(a, a + CHUNK_UNITS)
+            at = self.bit_start[a]
+            some, n = self.data[self.start[a] : self.start[a] + self.length[w].sum()], self.length[w]
+            _, _, bit = code.bits(some)
+            place, by_byte = np.arange(len(some)) - np.repeat(np.cumsum(n) - n, n), code.length[some]
+            cells = lone_cells(np.maximum(c[w] - learning, 0), self.bits[w], bit)
+            known = first.places(three(some, n, np.full(len(n), _BLANKS))[place < 3], some[place < 3])
+            cells[np.repeat(place < 3, by_byte)] = (first.less if learning else first.full)[known]
+            middle = np.repeat((place >= 3) & (place <= np.repeat(depth[w], n)), by_byte)
+            own = spread(sent_start[w], sent[w])
+            cells[middle] = own_cells(np.maximum(mine[own] - learning, 0), other[own], bit[middle])
+            made[at : at + len(cells)] = cells
+        self.cells = made
+        #: Entries of the last three bytes, right behind a word's third byte.
+        self.far = np.searchsorted(far.keys, three(self.data, self.length, np.full(len(c), _BLANKS)) << 8 | self.data).astype(np.int32)
+
+
+class Chunk:
+    """Units of whole words before, with the cells of the four contexts of each bit."""
+
+    def __init__(self, packed_: bytes, words: PartWords, code: Code, last: Short, far: Short, learning: bool):
+        g = unpacked(packed_)
+        self.got, self.c = g, g["c"].astype(np.int64)
+        wi, n = g["wi"].astype(np.int64), g["n"].astype(np.int64)
+        self.bits, self.length = words.bits[wi], words.length[wi]
+        length = self.length
+        at = spread(words.start[wi], length)
+        data, start = words.data[at], np.cumsum(length) - length
+        place = np.arange(len(data)) - np.repeat(start, length)
+        _, _, self.bit = code.bits(data)
+        tail, early, n_early = np.repeat(g["tail"].astype(np.int64), n), np.flatnonzero(place < 3), np.minimum(length, 3)
+        entry = words.far[at]
+        entry[early] = np.searchsorted(far.keys, three(data[early], n_early, tail) << 8 | data[early])
+        before = np.append(data[:1], data[:-1]).astype(np.int64)
+        before[start] = tail & 255
+        kind = "less" if learning else "full"
+        cells = [getattr(t, kind)[t.bits_of(x)] for t, x in ((last, np.searchsorted(last.keys, before << 8 | data)), (far, entry))]
+        cells.append(words.cells[spread(words.bit_start[wi], self.bits)])
+        # The word so far with the word before: mostly no other unit has it.
+        group = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+        depth = shared_bytes(data, start, np.append(False, group[1:] == group[:-1]))
+        own = place <= np.repeat(depth, length)
+        pair = lone_cells(np.maximum(self.c - learning, 0), self.bits, self.bit)
+        if own.any():
+            at = np.repeat(own, code.length[data])
+            zero, one = bit_counts(prefixes(data, length, group)[own], data[own], np.repeat(self.c, length)[own], code)
+            pair[at] = without_one(zero, one, self.bit[at]) if learning else to_cells(zero, one)
+        self.cells = [*cells, pair]
+
+
+def document_scores(rows: DataFrame, byte_counts: np.ndarray, size: int) -> DataFrame:
+    """row, score (log10 probability of the text), bytes of its stream. rows: row, text (binary) and held_out; size: bytes of all texts. Stored."""
     spark, code = rows.sparkSession, Code(byte_counts)
-    all_ = all_units(rows)
-    last, far, start = short_tables(all_, code)
-    with_words = all_.join(word_cells(all_, code, start), "word").select("key", "before", "tail", "spelled", "c", "cells")
-    shared = spark.sparkContext.broadcast((code, last, far))
+    parts = max(min(PARTS, 1 + (size >> 18)), -(-size // PART_BYTES))
+    with freed_shuffles(spark):
+        joined = joined_units(dealt_units(rows, parts), parts)
+        last, far, start = to_shorts(counted_keys(joined), code)
+        words = word_counts(joined, code, parts)
+    folders = {int(f.rsplit("/", 2)[1].split("=")[1]): f.rsplit("/", 1)[0] for f in words.inputFiles()}
+    shared, units_ = spark.sparkContext.broadcast((code, last, far, start, folders)), joined.where("kind = 0").select("part", "data")
+
+    def chunks(batches: Iterator[pa.RecordBatch], learning: bool) -> Iterator[Chunk]:
+        code, last, far, start, folders = shared.value
+        part = words = None
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != part:
+                    words = None
+                    fs, path = shared_file(folders[k])
+                    part, words = k, PartWords(pq.read_table(path, columns=["data"], filesystem=fs, partitioning=None).column(0).to_pylist(), code, start, far, learning)
+                yield Chunk(data.as_py(), words, code, last, far, learning)
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units in chunks for scoring (kind 0), and what this task has learned (kind 1)."""
-        code, last, far = shared.value
         mixer, random = Mixer(), np.random.default_rng(5)
         seen, met, ones = np.zeros(len(mixer.weights)), np.zeros_like(mixer.map), np.zeros_like(mixer.map)
-        for rows in in_groups(batches, 1):
-            keys, c = rows.column(0).to_numpy(), rows.column(4).to_numpy()
-            data, length = spelled(rows.column(3))
-            before, tail = rows.column(1).to_numpy().view(np.uint64), rows.column(2).to_numpy()
-            at, _, bit = code.bits(data)
-            bits = np.add.reduceat(code.length[data].astype(np.int64), np.cumsum(length) - length)
-            context = three(data, length, tail)
-            pair = bit_counts(prefixes(data, length, before), data, np.repeat(c, length), code)
-            counts = [last.counts(context & 255, data), far.counts(context, data), pair]
-            both = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint16)
-            begins = 2 * (np.cumsum(bits) - bits)
-            word, word_less = both[spread(begins, bits)], both[spread(begins + bits, bits)]
-            use = np.flatnonzero(c > 0)
+        for u in chunks(batches, True):
+            use = np.flatnonzero(u.c > 0)
             if len(use):
                 random.shuffle(use)
-                order = spread((np.cumsum(bits) - bits)[use], bits[use])
-                cells = [without_one(zero[order], one[order], bit[order]) for zero, one in counts]
-                cells.insert(2, word_less[order])
-                found = (*to_inputs(cells), bit[order], np.repeat(c[use], bits[use]).astype(np.float64))
+                order = spread((np.cumsum(u.bits) - u.bits)[use], u.bits[use])
+                found = (*to_inputs([x[order] for x in u.cells]), u.bit[order], np.repeat(u.c[use], u.bits[use]).astype(np.float64))
                 seen += mixer.learn(*found)
                 more = mixer.places(*found)
                 met += more[0]
                 ones += more[1]
-            chunk = (keys, data, length, tail, word, to_cells(*pair))
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([0], pa.int32()), "data": pa.array([zlib.compress(pickle.dumps(chunk), 1)], pa.binary())})
         if seen.any():
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([1], pa.int32()), "data": pa.array([zlib.compress(pickle.dumps((mixer.weights, seen, met, ones)), 1)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"data": pa.array([zlib.compress(pickle.dumps((mixer.weights, seen, met, ones)), 1)], pa.binary())})
+        trim()
 
-    sorted_ = with_words.repartition("before").sortWithinPartitions("before")
-    chunks = stored(sorted_.mapInArrow(learned, "kind int, data binary"), "chunks")
-    mixer = averaged(pickle.loads(zlib.decompress(r["data"])) for r in chunks.where("kind = 1").select("data").toLocalIterator())
+    tasks = stored(units_.mapInArrow(learned, "data binary"), "learned")
+    mixer = averaged(pickle.loads(zlib.decompress(r["data"])) for r in tasks.toLocalIterator())
     fitted = spark.sparkContext.broadcast(mixer)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (code, last, far), mixer = shared.value, fitted.value
+        mixer, waiting, size = fitted.value, [], 0
+
+        def summed() -> pa.RecordBatch:
+            row, at = np.unique(np.concatenate([w[0] for w in waiting]), return_inverse=True)
+            return pa.RecordBatch.from_pydict({"row": row} | {k: np.bincount(at, np.concatenate([w[j] for w in waiting])).astype(t) for j, (k, t) in enumerate((("score", np.float64), ("bytes", np.int64)), 1)})
+
+        for u in chunks(batches, False):
+            p, g = mixer.probabilities(*to_inputs(u.cells)), u.got
+            value = np.add.reduceat(np.log10(np.where(u.bit == 1, p, np.float32(1) - p)), np.cumsum(u.bits) - u.bits, dtype=np.float64)
+            row = np.cumsum(g["rows"].astype(np.int64))
+            waiting.append((row, *(np.bincount(g["docs"], np.repeat(v, g["n_docs"]) * g["times"], len(row)) for v in (value, u.length))))
+            size += len(row)
+            if size > 1_000_000:
+                yield summed()
+                waiting, size = [], 0
+        if waiting:
+            yield summed()
+        trim()
+
+    with freed_shuffles(spark):
+        out = stored(units_.mapInArrow(score, "row long, score double, bytes long").groupBy("row").agg(F.sum("score").alias("score"), F.sum("bytes").alias("bytes")), "row_scores")
+    drop(joined, words, tasks)
+    return out
+
+
+def counted_keys(joined: DataFrame) -> DataFrame:
+    """kind, k, c as short_tables counts them."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in batch.column(0):
-                keys, data, length, tail, word, pair = pickle.loads(zlib.decompress(packed.as_py()))
-                context = three(data, length, tail)
-                inputs, gate = to_inputs([to_cells(*last.counts(context & 255, data)), to_cells(*far.counts(context, data)), word, pair])
-                p, bit = mixer.probabilities(inputs, gate), code.bits(data)[2]
-                value = np.log10(np.where(bit == 1, p, np.float32(1) - p))
-                bits = np.add.reduceat(code.length[data].astype(np.int64), np.cumsum(length) - length)
-                yield pa.RecordBatch.from_pydict({"key": keys, "value": np.add.reduceat(value, np.cumsum(bits) - bits, dtype=np.float64)})
+            for data in batch.column(0).to_pylist():
+                g = unpacked(data)
+                yield short_rows(int(g["kind"][0]), np.cumsum(g["keys"].astype(np.int64)), g["c"].astype(np.int64))
 
-    return stored(chunks.where("kind = 0").select("data").mapInArrow(score, "key long, value double"), "unit_scores")
+    return joined.where("kind = 2").select("data").mapInArrow(found, "kind int, k long, c long")
 
 
 def averaged(parts: Iterator[tuple[np.ndarray, ...]]) -> Mixer:
@@ -491,30 +816,16 @@ def averaged(parts: Iterator[tuple[np.ndarray, ...]]) -> Mixer:
 # --- scores of a table
 
 
-def unit_keys(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of each text's units, and the bytes of its stream."""
-    keys: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in texts]
-    size = np.zeros(len(texts), np.int64)
-    for at, u in units(texts):
-        own, length = u.key[u.unit].view(np.int64), u.length[u.unit]
-        first = np.searchsorted(u.owner, np.arange(len(at) + 1))
-        for k, a, b in zip(at, first[:-1], first[1:], strict=True):
-            keys[k].append(own[a:b])
-            size[k] += int(length[a:b].sum())
-        for k in u.empty:
-            keys[at[k]].append(u.key[-1:].view(np.int64))
-            size[at[k]] += 1
-    return [np.concatenate(k) for k in keys], size
-
-
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     learn = is_training(id_col) if training is None else training
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"), (~learn).alias("held_out"))
-    own = rows.where("not held_out")
-    counts = token_counts(own.select("text"))
+    # Stored, as a row's number must be the same in each reading.
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text"), "texts")
+    with freed_shuffles(spark):
+        counts = token_counts(rows.where("not held_out").select("text"))
     words = counts.where("kind = 0").select("h", "c")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     by_byte = np.zeros(256, np.int64)
@@ -554,20 +865,20 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
                     known[k] += int(hit.sum())
                     at_base[k] += float(value[own[hit]].sum())
                     rare[k].extend(w.hashes[a:b][~hit].view(np.int64).tolist())
-            keys, size = unit_keys(texts)
-            columns = [*batch.columns[:3], *map(pa.array, (tokens, known, at_base, size)), pa.array(rare, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "tokens", "known", "at_base", "bytes", "rare", "units"])
+            columns = [*batch.columns[:3], *map(pa.array, (tokens, known, at_base)), pa.array(rare, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "tokens", "known", "at_base", "rare"])
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    first = stored(numbered.mapInArrow(score, "row long, doc_id long, held_out boolean, tokens long, known long, at_base double, bytes long, rare array<long>, units array<long>"), "scores")
+    first = stored(rows.mapInArrow(score, "row long, doc_id long, held_out boolean, tokens long, known long, at_base double, rare array<long>"), "scores")
     shared.destroy()  # its rows are written
     unit = float(base["unit"])
     # Words that weren't broadcast: their counts are below least, so that none is frequent.
     rare = first.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
     seen = rare.join(words.where(F.col("c") < least), "h", "left")
     sums = seen.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(unit))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    own = first.select("row", F.explode("units").alias("key")).join(unit_scores(rows, by_byte), "key").groupBy("row").agg(F.sum("value").alias("score"))
-    out = first.drop("rare", "units").join(sums, "row", "left").join(own, "row")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    own = document_scores(rows, by_byte, size)
+    drop(rows)
+    out = first.drop("rare").join(sums, "row", "left").join(own, "row")
     return out.select(
         "doc_id", "held_out", F.col("tokens").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("at_base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"),
