@@ -226,3 +226,17 @@ def test_partitions_grow_with_the_reads(spark, monkeypatch):
     with pytest.raises(KeyError), reuse.partitions_for(spark, 10**9):
         raise KeyError
     assert spark.conf.get(key) == before
+
+
+def test_tasks_are_put_together_to_one_size_however_few_the_rows(spark):
+    """With many shuffle partitions a task would grow with the input up to the session's size."""
+    from tidemark.functions import reuse
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    for own, want in (("64m", reuse.TASK_BYTES), ("1m", "1m")):
+        spark.conf.set(key, own)
+        with reuse.partitions_for(spark, 1):
+            assert spark.conf.get(key) == want
+        assert spark.conf.get(key) == own
+    spark.conf.set(key, before)

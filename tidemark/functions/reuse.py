@@ -31,18 +31,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
 TASK_ROWS, TASK_BYTES = 500_000, "16m"
 
 
+def partitions_of(spark: SparkSession, rows: int) -> int:
+    """The session's shuffle partitions, or one for each TASK_ROWS rows if these are more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 @contextmanager
 def partitions_for(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What runs meanwhile (tables that are stored, streams) has a shuffle partition for each TASK_ROWS rows at least, so that a task's memory doesn't grow with the input."""
-    wanted = {"spark.sql.shuffle.partitions": str(-(-rows // TASK_ROWS)), "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES}
+    """What runs meanwhile (tables that are stored, streams) has a shuffle partition for each TASK_ROWS rows at least, and small ones are put together up to TASK_BYTES
+    at most, however few rows there are: with many partitions tasks would grow with the input up to the session's size. So a task's memory doesn't grow with the input.
+    """
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    wanted = {"spark.sql.shuffle.partitions": str(partitions_of(spark, rows))}
+    in_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if in_bytes(spark.conf.get(size)) > in_bytes(TASK_BYTES):
+        wanted[size] = TASK_BYTES
     before = {k: spark.conf.get(k) for k in wanted}
-    large = rows > TASK_ROWS * int(before["spark.sql.shuffle.partitions"])
     try:
-        for k, v in wanted.items() if large else ():
+        for k, v in wanted.items():
             spark.conf.set(k, v)
         yield
     finally:
-        for k, v in before.items() if large else ():
+        for k, v in before.items():
             spark.conf.set(k, v)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_autosome, sample_name, track_sample_name
-from ..functions.reuse import new_folder, partitions_for, reused
+from ..functions.reuse import new_folder, partitions_for, partitions_of, reused
 from ..operators import coverage, intervals, matrix, panel, scaling, smooth, upscale
 from ..streaming.upscaling import remaining, upscaled_stream
 from . import fixtures as fx
@@ -452,7 +452,7 @@ def upscale_stats(spark, d):
 
 @_registered("SELECT kind, sample, qname, flag, chrom, pos, ord, copy FROM output ORDER BY chrom, pos, ord, copy")
 def coordinate_sort(spark, d):
-    return upscale.coordinate_sorted(_output(spark, d)).select("kind", *_KEYS, "flag", "chrom", "pos", "ord", "copy")
+    return upscale.coordinate_sorted(_output(spark, d), partitions_of(spark, _n_reads(spark, d))).select("kind", *_KEYS, "flag", "chrom", "pos", "ord", "copy")
 
 
 @_registered("SELECT kind, sample, qname, flag, chrom, pos, ord, copy, mate FROM streamed")
