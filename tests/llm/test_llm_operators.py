@@ -605,3 +605,34 @@ def test_lm_stores_units_in_little_room(spark):
     docs = spark.createDataFrame([(k, bytearray(t, "utf8"), False) for k, t in enumerate(texts)], "row long, text binary, held_out boolean")
     joined = lm.joined_units(lm.dealt_units(docs, 4), 4)
     assert sum(len(x["data"]) for x in joined.collect()) < 2 * sum(map(len, texts))
+
+
+def test_lm_spreads_out_the_bits_of_a_piece_at_a_time(spark):
+    """Behind a frequent word stand many; a task keeps a few numbers for each of their bytes, and has the bits of some units alone."""
+    import tracemalloc
+
+    text = " ".join(f"the w{k * 7919 % 100_003}x{k}" for k in range(40_000))
+    docs = spark.createDataFrame([(0, bytearray(text, "utf8"), False)], "row long, text binary, held_out boolean")
+    code = lm.Code(np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256))
+    joined = lm.joined_units(lm.dealt_units(docs, 1), 1)
+    last, far, start = lm.to_shorts(lm.counted_keys(joined), code)
+    pw = lm.PartWords([bytes(r["data"]) for r in lm.word_counts(joined, code, 1).collect()], code, start, far, True)
+    chunks = [bytes(r["data"]) for r in joined.where("kind = 0").collect()]
+    tracemalloc.start()
+    try:
+        n, peak = 0, 0
+        for data in chunks:
+            tracemalloc.reset_peak()
+            u = lm.Chunk(data, pw, code, last, far, True)
+            at, whole = np.cumsum(u.bits) - u.bits, None
+            for own in u.pieces(np.arange(len(u.c))[::-1]):
+                cells, bit = u.part(own)
+                lm.to_inputs(cells)
+                n += len(bit)
+            peak = max(peak, tracemalloc.get_traced_memory()[1])
+            whole, bits, order = u.cells, u.part(np.arange(len(u.c)))[1], lm.spread(at[own], u.bits[own])
+            assert all((a == b[order]).all() for a, b in zip([*cells, bit], [*whole, bits], strict=True))
+    finally:
+        tracemalloc.stop()
+    assert n > 2_000_000
+    assert peak < 60 * n

@@ -44,8 +44,10 @@ KNOWN_WORDS = 500_000
 PREDICTORS = 4
 MIX_BATCH, MIX_RATE = 2048, 0.02
 CHUNK_UNITS, BLOCK_BYTES = 30_000, 1 << 22
-#: Units are dealt to so many parts (of small tables), or to one for so many bytes of text.
-PARTS, PART_BYTES = 12, 16 << 20
+#: Units of a chunk, and words of a part, whose bits are spread out at once, however many a chunk has.
+PIECE_UNITS = 6000
+#: Units are dealt to so many parts (of small tables), or to one for so many bytes of text: about those of the small tables' parts, so that tasks don't grow.
+PARTS, PART_BYTES = 12, 8 << 20
 MAP_STEPS = 33
 HELD_OUT = (7, 2)
 _TOP = 7.9  # the largest logit
@@ -186,22 +188,34 @@ def spread(starts: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
 
-def bit_counts(context: np.ndarray, data: np.ndarray, times: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+class BitCounts:
     """How often each bit of each byte was 0 and 1 in the byte's context, with that byte's bits before it.
 
-    context: a 64-bit hash per byte. All bytes of a context must be given, each so many times.
+    context: a 64-bit hash per byte. All bytes of a context must be given, each so many times. Bits are those of the different bytes of each context;
+    those of the bytes given are looked up.
     """
+
+    def __init__(self, context: np.ndarray, data: np.ndarray, times: np.ndarray, code: Code):
+        #: Of each byte given, which of the different ones it is.
+        _, first, self.entry = np.unique(mix(context + data.astype(np.uint64) * _GOLD), return_index=True, return_inverse=True)
+        counts, byte = np.bincount(self.entry, times), data[first]
+        at, node, bit = code.bits(byte)
+        _, self.place = np.unique(mix(context[first][at] + (node.astype(np.uint64) + np.uint64(1)) * _GOLD), return_inverse=True)
+        self.seen, self.ones = np.bincount(self.place, counts[at]), np.bincount(self.place, counts[at] * bit)
+        self.length = code.length[byte].astype(np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def of(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = self.place[spread(self.start[entry], self.length[entry])]
+        return self.seen[place] - self.ones[place], self.ones[place]
+
+
+def bit_counts(context: np.ndarray, data: np.ndarray, times: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """BitCounts of all bytes given."""
     if not len(data):
         return np.zeros(0), np.zeros(0)
-    _, first, entry = np.unique(mix(context + data.astype(np.uint64) * _GOLD), return_index=True, return_inverse=True)
-    counts, byte = np.bincount(entry, times), data[first]
-    at, node, bit = code.bits(byte)
-    _, place = np.unique(mix(context[first][at] + (node.astype(np.uint64) + np.uint64(1)) * _GOLD), return_inverse=True)
-    seen, ones = np.bincount(place, counts[at]), np.bincount(place, counts[at] * bit)
-    length = code.length[byte].astype(np.int64)
-    own = spread((np.cumsum(length) - length)[entry], length[entry])
-    place = place[own]
-    return seen[place] - ones[place], ones[place]
+    counts = BitCounts(context, data, times, code)
+    return counts.of(counts.entry)
 
 
 class Short:
@@ -648,73 +662,109 @@ class PartWords:
 
     def __init__(self, blobs: list[bytes], code: Code, first: Short, far: Short, learning: bool):
         got = [unpacked(b) for b in blobs]
-        cat = lambda name: np.concatenate([g[name].astype(np.int64) for g in got])
-        at = np.concatenate([np.cumsum(g["wi"].astype(np.int64)) for g in got])
-        order = np.argsort(at)
-        length, c, depth = cat("length"), cat("c"), cat("depth")
-        begins = (np.cumsum(length) - length)[order]
-        data = np.frombuffer(b"".join(g["spelled"] for g in got), np.uint8)
+        cat = lambda name: np.concatenate([g.pop(name) for g in got])
+        order = np.argsort(np.concatenate([np.cumsum(g.pop("wi").astype(np.int64)) for g in got]))
+        length, c, depth = cat("length").astype(np.int64), cat("c").astype(np.int64)[order], cat("depth").astype(np.int64)
+        begins = np.cumsum(length) - length
+        data = np.frombuffer(b"".join(g.pop("spelled") for g in got), np.uint8)
         mine, other = cat("mine"), cat("other")
         # Bits whose counts were sent along, in the blobs' order.
-        place = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
-        sent = np.add.reduceat(np.where((place >= 3) & (place <= np.repeat(depth, length)), code.length[data], 0).astype(np.int64), np.cumsum(length) - length)
-        sent_start, sent = (np.cumsum(sent) - sent)[order], sent[order]
-        del place
-        self.length, c, depth = length[order], c[order], depth[order]
-        self.data = data[spread(begins, self.length)]
+        sent = np.empty(len(length), np.int64)
+        for a in range(0, len(length), PIECE_UNITS):
+            w = slice(a, a + PIECE_UNITS)
+            n = length[w]
+            some = data[begins[a] : begins[a] + n.sum()]
+            place = np.arange(len(some)) - np.repeat(np.cumsum(n) - n, n)
+            sent[w] = np.add.reduceat(np.where((place >= 3) & (place <= np.repeat(depth[w], n)), code.length[some], 0).astype(np.int64), np.cumsum(n) - n)
+        sent_start, sent, depth = (np.cumsum(sent) - sent)[order], sent[order], depth[order]
+        self.length, begins = length[order], begins[order]
         self.start = np.cumsum(self.length) - self.length
-        self.bits = np.add.reduceat(code.length[self.data].astype(np.int64), self.start)
+        self.data, self.bits = np.empty(len(data), np.uint8), np.empty(len(c), np.int64)
+        for a in range(0, len(c), PIECE_UNITS):
+            w = slice(a, a + PIECE_UNITS)
+            n = self.length[w]
+            some = data[spread(begins[w], n)]
+            self.data[self.start[a] : self.start[a] + len(some)] = some
+            self.bits[w] = np.add.reduceat(code.length[some].astype(np.int64), np.cumsum(n) - n)
         self.bit_start = np.cumsum(self.bits) - self.bits
-        made = np.empty(int(self.bits.sum()), np.uint16)
-        for a in range(0, len(c), CHUNK_UNITS):
-            w = slice(a, a + CHUNK_UNITS)
-            at = self.bit_start[a]
-            some, n = self.data[self.start[a] : self.start[a] + self.length[w].sum()], self.length[w]
+        self.cells = np.empty(int(self.bits.sum()), np.uint16)
+        #: Entries of the last three bytes, right behind a word's third byte.
+        self.far = np.empty(len(data), np.int32)
+        for a in range(0, len(c), PIECE_UNITS):
+            w = slice(a, a + PIECE_UNITS)
+            n = self.length[w]
+            at = slice(self.start[a], self.start[a] + n.sum())
+            some, before = self.data[at], three(self.data[at], n, np.full(len(n), _BLANKS))
             _, _, bit = code.bits(some)
             place, by_byte = np.arange(len(some)) - np.repeat(np.cumsum(n) - n, n), code.length[some]
             cells = lone_cells(np.maximum(c[w] - learning, 0), self.bits[w], bit)
-            known = first.places(three(some, n, np.full(len(n), _BLANKS))[place < 3], some[place < 3])
+            known = first.places(before[place < 3], some[place < 3])
             cells[np.repeat(place < 3, by_byte)] = (first.less if learning else first.full)[known]
             middle = np.repeat((place >= 3) & (place <= np.repeat(depth[w], n)), by_byte)
             own = spread(sent_start[w], sent[w])
-            cells[middle] = own_cells(np.maximum(mine[own] - learning, 0), other[own], bit[middle])
-            made[at : at + len(cells)] = cells
-        self.cells = made
-        #: Entries of the last three bytes, right behind a word's third byte.
-        self.far = np.searchsorted(far.keys, three(self.data, self.length, np.full(len(c), _BLANKS)) << 8 | self.data).astype(np.int32)
+            cells[middle] = own_cells(np.maximum(mine[own].astype(np.int64) - learning, 0), other[own].astype(np.int64), bit[middle])
+            self.cells[self.bit_start[a] : self.bit_start[a] + len(cells)] = cells
+            self.far[at] = np.searchsorted(far.keys, before << 8 | some)
 
 
 class Chunk:
-    """Units of whole words before, with the cells of the four contexts of each bit."""
+    """Units of whole words before, with the cells of the four contexts of each bit.
+
+    What is kept has a few numbers for each byte; of its bits, some five times as many, part() makes those of some units.
+    """
 
     def __init__(self, packed_: bytes, words: PartWords, code: Code, last: Short, far: Short, learning: bool):
+        self.words, self.code, self.tables, self.learning = words, code, (last, far), learning
         g = unpacked(packed_)
         self.got, self.c = g, g["c"].astype(np.int64)
-        wi, n = g["wi"].astype(np.int64), g["n"].astype(np.int64)
-        self.bits, self.length = words.bits[wi], words.length[wi]
+        self.wi, n = g["wi"].astype(np.int64), g["n"].astype(np.int64)
+        self.bits, self.length = words.bits[self.wi], words.length[self.wi]
         length = self.length
-        at = spread(words.start[wi], length)
+        at = spread(words.start[self.wi], length)
         data, start = words.data[at], np.cumsum(length) - length
         place = np.arange(len(data)) - np.repeat(start, length)
-        _, _, self.bit = code.bits(data)
         tail, early, n_early = np.repeat(g["tail"].astype(np.int64), n), np.flatnonzero(place < 3), np.minimum(length, 3)
         entry = words.far[at]
         entry[early] = np.searchsorted(far.keys, three(data[early], n_early, tail) << 8 | data[early])
         before = np.append(data[:1], data[:-1]).astype(np.int64)
         before[start] = tail & 255
-        kind = "less" if learning else "full"
-        cells = [getattr(t, kind)[t.bits_of(x)] for t, x in ((last, np.searchsorted(last.keys, before << 8 | data)), (far, entry))]
-        cells.append(words.cells[spread(words.bit_start[wi], self.bits)])
+        #: Of each byte: its entries in the tables of one and three bytes, and in the counts (-1: none but the unit's own).
+        self.data, self.start = data, start
+        self.entries = (np.searchsorted(last.keys, before << 8 | data).astype(np.int32), entry)
         # The word so far with the word before: mostly no other unit has it.
         group = np.repeat(np.arange(len(n), dtype=np.uint64), n)
         depth = shared_bytes(data, start, np.append(False, group[1:] == group[:-1]))
         own = place <= np.repeat(depth, length)
-        pair = lone_cells(np.maximum(self.c - learning, 0), self.bits, self.bit)
+        self.pair = np.full(len(data), -1, np.int32)
         if own.any():
-            at = np.repeat(own, code.length[data])
-            zero, one = bit_counts(prefixes(data, length, group)[own], data[own], np.repeat(self.c, length)[own], code)
-            pair[at] = without_one(zero, one, self.bit[at]) if learning else to_cells(zero, one)
-        self.cells = [*cells, pair]
+            self.counts = BitCounts(prefixes(data, length, group)[own], data[own], np.repeat(self.c, length)[own], code)
+            self.pair[own] = self.counts.entry
+
+    def part(self, units_: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Cells of the four contexts, and the bits, of some of the units, in the order given."""
+        length, bits = self.length[units_], self.bits[units_]
+        at = spread(self.start[units_], length)
+        data = self.data[at]
+        _, _, bit = self.code.bits(data)
+        kind = "less" if self.learning else "full"
+        cells = [getattr(t, kind)[t.bits_of(x[at])] for t, x in zip(self.tables, self.entries, strict=True)]
+        cells.append(self.words.cells[spread(self.words.bit_start[self.wi[units_]], bits)])
+        pair = lone_cells(np.maximum(self.c[units_] - self.learning, 0), bits, bit)
+        entry = self.pair[at]
+        own = entry >= 0
+        if own.any():
+            at = np.repeat(own, self.code.length[data])
+            zero, one = self.counts.of(entry[own])
+            pair[at] = without_one(zero, one, bit[at]) if self.learning else to_cells(zero, one)
+        return [*cells, pair], bit
+
+    def pieces(self, units_: np.ndarray) -> Iterator[np.ndarray]:
+        """The units in pieces of PIECE_UNITS at most."""
+        return (units_[a : a + PIECE_UNITS] for a in range(0, len(units_), PIECE_UNITS))
+
+    @property
+    def cells(self) -> list[np.ndarray]:
+        return self.part(np.arange(len(self.c)))[0]
 
 
 def document_scores(rows: DataFrame, byte_counts: np.ndarray, size: int) -> DataFrame:
@@ -744,10 +794,10 @@ def document_scores(rows: DataFrame, byte_counts: np.ndarray, size: int) -> Data
         seen, met, ones = np.zeros(len(mixer.weights)), np.zeros_like(mixer.map), np.zeros_like(mixer.map)
         for u in chunks(batches, True):
             use = np.flatnonzero(u.c > 0)
-            if len(use):
-                random.shuffle(use)
-                order = spread((np.cumsum(u.bits) - u.bits)[use], u.bits[use])
-                found = (*to_inputs([x[order] for x in u.cells]), u.bit[order], np.repeat(u.c[use], u.bits[use]).astype(np.float64))
+            random.shuffle(use)
+            for own in u.pieces(use):
+                cells, bit = u.part(own)
+                found = (*to_inputs(cells), bit, np.repeat(u.c[own], u.bits[own]).astype(np.float64))
                 seen += mixer.learn(*found)
                 more = mixer.places(*found)
                 met += more[0]
@@ -768,8 +818,11 @@ def document_scores(rows: DataFrame, byte_counts: np.ndarray, size: int) -> Data
             return pa.RecordBatch.from_pydict({"row": row} | {k: np.bincount(at, np.concatenate([w[j] for w in waiting])).astype(t) for j, (k, t) in enumerate((("score", np.float64), ("bytes", np.int64)), 1)})
 
         for u in chunks(batches, False):
-            p, g = mixer.probabilities(*to_inputs(u.cells)), u.got
-            value = np.add.reduceat(np.log10(np.where(u.bit == 1, p, np.float32(1) - p)), np.cumsum(u.bits) - u.bits, dtype=np.float64)
+            g, value = u.got, np.empty(len(u.c))
+            for own in u.pieces(np.arange(len(u.c))):
+                cells, bit = u.part(own)
+                p = mixer.probabilities(*to_inputs(cells))
+                value[own] = np.add.reduceat(np.log10(np.where(bit == 1, p, np.float32(1) - p)), np.cumsum(u.bits[own]) - u.bits[own], dtype=np.float64)
             row = np.cumsum(g["rows"].astype(np.int64))
             waiting.append((row, *(np.bincount(g["docs"], np.repeat(v, g["n_docs"]) * g["times"], len(row)) for v in (value, u.length))))
             size += len(row)
