@@ -240,3 +240,41 @@ def test_tasks_are_put_together_to_one_size_however_few_the_rows(spark):
             assert spark.conf.get(key) == want
         assert spark.conf.get(key) == own
     spark.conf.set(key, before)
+
+
+def test_a_task_of_a_stored_table_has_few_rows(spark):
+    """So few that no sort or hash table of a task outgrows its first page; 500,000 rows did."""
+    from tidemark.functions import reuse
+
+    n = 2_000_000
+    with reuse.partitions_for(spark, n):
+        made = reuse.reused(spark.range(n, numPartitions=2).select(F.sha2(F.col("id").cast("string"), 256).alias("k")).groupBy("k").agg(F.count("*").alias("c")))
+    assert made.count() == n
+    assert made.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 300_000
+
+
+def test_stored_tables_that_grow_with_the_input_are_not_broadcast(spark, monkeypatch):
+    """A small file of windows is many times as large in the memory of each task."""
+    from tidemark.plans import queries
+
+    key, seen, reused = "spark.sql.autoBroadcastJoinThreshold", [], queries.reused
+    before = spark.conf.get(key)
+
+    def noted(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append((spark.conf.get(key), "BroadcastHashJoin" in plan))
+        return reused(df)
+
+    monkeypatch.setattr(queries, "reused", noted)
+    right = spark.range(100_000).select("id", F.lit("w").alias("window_id"))
+    wide = queries._once(lambda spark, d: spark.range(1_000_000).join(right, "id"))
+    monkeypatch.setattr(queries, "_MADE", {})
+    monkeypatch.setattr(queries, "_N_READS", {})
+    assert wide(spark, "/root/testdata/sf0.001").count() == 100_000
+    assert seen == [("256k", False)] and spark.conf.get(key) == before
+    spark.conf.set(key, "-1")
+    try:
+        with queries.partitions_for(spark, 1):
+            assert spark.conf.get(key) == "-1"
+    finally:
+        spark.conf.set(key, before)

@@ -27,25 +27,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows of input for each shuffle partition at most, and the size to which small partitions of a large input are put together.
-TASK_ROWS, TASK_BYTES = 500_000, "16m"
+#: Rows of input for each shuffle partition at most, and the size to which small partitions of a large input are put together: so few that what a task sorts
+#: and adds up stays within the first page (64 MB) of each sort or hash table on any input.
+TASK_ROWS, TASK_BYTES = 200_000, "4m"
+#: Limits of stored tables, where the session's are higher: tables of windows grow with the input, and a broadcast one would be in each task's memory, many times as
+#: large as its file; with more than 200 partitions a task sorts all rows of its split.
+BOUNDS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES, "spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.files.maxPartitionBytes": "32m"}
 
 
-def partitions_of(spark: SparkSession, rows: int) -> int:
-    """The session's shuffle partitions, or one for each TASK_ROWS rows if these are more."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+def partitions_of(spark: SparkSession, rows: int, task_rows: int | None = None) -> int:
+    """The session's shuffle partitions, or one for each task_rows (TASK_ROWS) rows if these are more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (task_rows or TASK_ROWS)))
 
 
 @contextmanager
-def partitions_for(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What runs meanwhile (tables that are stored, streams) has a shuffle partition for each TASK_ROWS rows at least, and small ones are put together up to TASK_BYTES
-    at most, however few rows there are: with many partitions tasks would grow with the input up to the session's size. So a task's memory doesn't grow with the input.
+def partitions_for(spark: SparkSession, rows: int, task_rows: int | None = None) -> Iterator[None]:
+    """What runs meanwhile (tables that are stored, streams) has a shuffle partition for each task_rows (TASK_ROWS) rows at least, small ones are put together up to
+    TASK_BYTES at most, however few rows there are, and the session's BOUNDS hold: with many partitions tasks would grow with the input up to the session's size. So a
+    task's memory doesn't grow with the input.
     """
-    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    wanted = {"spark.sql.shuffle.partitions": str(partitions_of(spark, rows))}
+    wanted = {"spark.sql.shuffle.partitions": str(partitions_of(spark, rows, task_rows))}
     in_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-    if in_bytes(spark.conf.get(size)) > in_bytes(TASK_BYTES):
-        wanted[size] = TASK_BYTES
+    for key, most in BOUNDS.items():
+        own = spark.conf.get(key)
+        if not own.startswith("-") and in_bytes(own) > in_bytes(most):  # -1: no broadcast at all
+            wanted[key] = most
     before = {k: spark.conf.get(k) for k in wanted}
     try:
         for k, v in wanted.items():

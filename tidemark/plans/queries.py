@@ -123,6 +123,8 @@ def _tumour(spark: SparkSession, d: str) -> DataFrame:
 _KEYS = ["sample", "qname"]
 #: Reads of a stream for each bucket of names: a bucket's records of one batch, and those that wait, are in a Python worker at once.
 BUCKET_READS = 20_000
+#: Reads for each state partition of a stream, and for each range of places.
+RANGE_READS = 500_000
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
@@ -452,14 +454,14 @@ def upscale_stats(spark, d):
 
 @_registered("SELECT kind, sample, qname, flag, chrom, pos, ord, copy FROM output ORDER BY chrom, pos, ord, copy")
 def coordinate_sort(spark, d):
-    return upscale.coordinate_sorted(_output(spark, d), partitions_of(spark, _n_reads(spark, d))).select("kind", *_KEYS, "flag", "chrom", "pos", "ord", "copy")
+    return upscale.coordinate_sorted(_output(spark, d), partitions_of(spark, _n_reads(spark, d), RANGE_READS)).select("kind", *_KEYS, "flag", "chrom", "pos", "ord", "copy")
 
 
 @_registered("SELECT kind, sample, qname, flag, chrom, pos, ord, copy, mate FROM streamed")
 def stream_upscale(spark, d):
     """The reads as a stream in two deliveries, so that pairs reach over a restart; what waits at the end comes from the state. Nothing is evicted."""
     scales, n = _scales(spark, d), _n_reads(spark, d)
-    with partitions_for(spark, n):
+    with partitions_for(spark, n, RANGE_READS):
         reads, folder = reused(_reads(spark, d)), new_folder(spark, "stream")
         spark.createDataFrame([], reads.schema).write.parquet(f"{folder}/in")
         stream = spark.readStream.schema(reads.schema).parquet(f"{folder}/in")
