@@ -598,6 +598,44 @@ def test_lm_parts_give_each_document_the_units_of_its_text(spark):
     assert got == mine
 
 
+def test_lm_deals_what_stands_behind_a_frequent_word(spark):
+    """Units behind a frequent word go to all parts, with the counts that they have in one; of a text's start as well."""
+    r = random.Random(4)
+    texts = [" ".join(f"{r.choice(['the', 'the', 'of', 'x'])} {r.choice(['a', 'ab', 'abc', 'q'])}{r.choice(['', 'd', r.randrange(3000)])}" for _ in range(r.randrange(40))) for _ in range(300)]
+    docs = spark.createDataFrame([(k, bytearray(t, "utf8"), k % 6 == 5) for k, t in enumerate(texts)], "row long, text binary, held_out boolean")
+    code = lm.Code(np.bincount(np.frombuffer("\n".join(texts).encode(), np.uint8), minlength=256))
+    training = [t for k, t in enumerate(texts) if k % 6 != 5]
+    c = Counter(h for t in training for h in Words([t.encode()]).hashes.view(np.int64).tolist())
+    total = sum(c.values()) + len(training)
+    words = spark.createDataFrame(list(c.items()), "h long, c long")
+    hot = lm.frequent_before(words, total, len(training), 12)
+    assert {*Words([b"the of"]).hashes.tolist()} < {*hot.tolist()} and (hot[1:] > hot[:-1]).all() and len(hot) < 24
+
+    def cells(hot):
+        joined = lm.joined_units(lm.dealt_units(docs, 12, hot), 12, hot)
+        last, far, start = lm.to_shorts(lm.counted_keys(joined), code)
+        blobs, early, found, sizes = defaultdict(list), lm.part_folders(lm.early_counts(joined, 12)), Counter(), Counter()
+        for r in lm.word_counts(joined, code, 12).collect():
+            blobs[r["part"]].append(bytes(r["data"]))
+        for part, data in joined.where("kind = 0").select("part", "data").collect():
+            for learning in (True, False):
+                pw = lm.PartWords(blobs[part], code, start, far, learning)
+                u = lm.Chunk(bytes(data), pw, code, last, far, learning, lm.part_early(early.get(part)))
+                ends, posts, row = np.cumsum(u.bits), np.cumsum(u.got["n_docs"].astype(int)), np.cumsum(u.got["rows"].astype(int))
+                for k in range(len(u.c)):
+                    own, post = slice(ends[k] - u.bits[k], ends[k]), slice(posts[k] - u.got["n_docs"][k], posts[k])
+                    in_docs = tuple(sorted(zip(row[u.got["docs"][post]].tolist(), u.got["times"][post].tolist(), strict=True)))
+                    w = bytes(pw.data[pw.start[u.wi[k]] : pw.start[u.wi[k]] + pw.length[u.wi[k]]])
+                    if u.c[k] or not learning:
+                        found[learning, w, int(u.c[k]), in_docs, *(x[own].tobytes() for x in u.cells)] += 1
+                sizes[part] += len(u.c)
+        return found, sizes
+
+    (plain, before), (dealt, after) = cells(lm.NO_HASHES), cells(hot)
+    assert plain == dealt and sum(before.values()) == sum(after.values())
+    assert max(before.values()) > 2 * max(after.values()) > 0
+
+
 def test_lm_stores_units_in_little_room(spark):
     """What is dealt by the word before takes less room than the texts; a row for each unit took several times theirs."""
     r = random.Random(3)

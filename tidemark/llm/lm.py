@@ -53,12 +53,23 @@ HELD_OUT = (7, 2)
 _TOP = 7.9  # the largest logit
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BLANKS = 0x202020
+NO_HASHES = np.zeros(0, np.uint64)
 
 
 def stream(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + b"\n"
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in order, where any one of each stands, of each place which it has, and how often each is there."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    at, heads = np.empty(len(x), np.int64), np.flatnonzero(new)
+    at[order] = np.cumsum(new) - 1
+    return x[heads], order[heads], at, np.diff(heads, append=len(x))
+
+
 class Units:
     """The different words of some texts, each with the word before and the byte behind it.
 
@@ -88,7 +99,7 @@ class Units:
         final[(w.first[1:] - 1)[full & np.array(last, bool)]] = 1
         self.owner = np.repeat(np.arange(len(texts)), sizes)
         key = mix(w.hashes + mix(before + np.uint64(3)) + final * _GOLD)
-        own, first, self.unit, self.times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        own, first, self.unit, self.times = distinct(key)
         #: Hashes of the unit, of the word before (0: none) and of the word with its end, and the three bytes before.
         self.key = np.append(own, np.uint64(1))
         self.before, self.tail = np.append(before[first], np.uint64(0)), np.append(tail[first], np.int32(_BLANKS))
@@ -197,7 +208,7 @@ class BitCounts:
 
     def __init__(self, context: np.ndarray, data: np.ndarray, times: np.ndarray, code: Code):
         #: Of each byte given, which of the different ones it is.
-        _, first, self.entry = np.unique(mix(context + data.astype(np.uint64) * _GOLD), return_index=True, return_inverse=True)
+        _, first, self.entry, _ = distinct(mix(context + data.astype(np.uint64) * _GOLD))
         counts, byte = np.bincount(self.entry, times), data[first]
         at, node, bit = code.bits(byte)
         _, self.place = np.unique(mix(context[first][at] + (node.astype(np.uint64) + np.uint64(1)) * _GOLD), return_inverse=True)
@@ -426,15 +437,16 @@ class Mixer:
 
     def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, times: np.ndarray, rate: float = MIX_RATE) -> np.ndarray:
         """Online, in small batches and the order of the bits, each so many times. How much each gate has seen."""
-        size = len(self.weights)
+        size, columns = len(self.weights), self.weights.T.copy()
         for a in range(0, len(bit), MIX_BATCH):
             own, g = slice(a, a + MIX_BATCH), gate[a : a + MIX_BATCH]
             x = [*(i[own] for i in inputs), np.full(len(g), 0.3, np.float32)]
-            total = sum(self.weights[g, k] * v for k, v in enumerate(x))
+            total = sum(w.take(g) * v for w, v in zip(columns, x, strict=True))
             error = (bit[own] - 1 / (1 + np.exp(-np.clip(total, -_TOP, _TOP)))) * times[own]
             step = rate * np.sqrt(np.bincount(g, minlength=size)) / np.maximum(1e-9, np.bincount(g, times[own], size))
             for k, v in enumerate(x):
-                self.weights[:, k] += step * np.bincount(g, error * v, size)
+                columns[k] += step * np.bincount(g, error * v, size)
+        self.weights = columns.T.copy()
         return np.bincount(gate, times, size)
 
     def places(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -455,14 +467,27 @@ def to_inputs(cells: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 # --- units dealt to parts by the word before
 
 
-def packed(**arrays: np.ndarray | bytes) -> bytes:
-    """The arrays (no negative numbers) in as few bytes as they need."""
-    fit = lambda x: x.astype(np.min_scalar_type(int(x.max()))) if isinstance(x, np.ndarray) and len(x) and x.dtype.kind in "iu" else x
-    return zlib.compress(pickle.dumps({k: fit(v) for k, v in arrays.items()}, 5), 1)
+def packed(**arrays: np.ndarray | bytes | int) -> bytes:
+    """The arrays (no negative numbers) in as few bytes as they need: of each all low bytes stand together, then all next ones, and are compressed alone."""
+    codec, out = pa.Codec("zstd", 1), []
+    for name, x in arrays.items():
+        kind, raw = None, x
+        if isinstance(x, np.ndarray):
+            fit = np.ascontiguousarray(x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8))
+            kind, raw = fit.dtype.str, fit.view(np.uint8).reshape(-1, fit.itemsize).T.tobytes()
+        out.append((name, kind, len(raw), codec.compress(raw, asbytes=True)) if isinstance(raw, bytes) else (name, kind, -1, raw))
+    return pickle.dumps(out, 5)
 
 
 def unpacked(data: bytes) -> dict:
-    return pickle.loads(zlib.decompress(data))
+    codec, out = pa.Codec("zstd"), {}
+    for name, kind, size, x in pickle.loads(data):
+        raw = codec.decompress(x, size, asbytes=True) if size >= 0 else x
+        if kind is not None:
+            width = np.dtype(kind).itemsize
+            raw = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+        out[name] = raw
+    return out
 
 
 def steps(sorted_: np.ndarray) -> np.ndarray:
@@ -504,13 +529,46 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes
         yield part, found
 
 
+def first_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The first three bytes of each word as a number; 0 behind its end."""
+    return sum(np.where(length > k, data[np.minimum(start + k, len(data) - 1)], 0).astype(np.uint64) << np.uint64(8 * k) for k in range(3))
+
+
+def ranks_in(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each value its place in the sorted distinct ones, from 1; 0 without one."""
+    if not len(sorted_):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return np.where(sorted_[at] == values, at + 1, 0)
+
+
+def frequent_before(words: DataFrame, total: int, ends: int, parts: int) -> np.ndarray:
+    """Hashes of words that stand before more units than half a part should have, in order (0: none, as in front of a text). There are fewer than 2 * parts.
+
+    words: h, c of all training words; total: their tokens with ends.
+    """
+    least = total // (2 * parts)
+    found = [r["h"] for r in words.where(F.col("c") > least).select("h").collect()] + [0] * (ends > least)
+    return np.unique(np.array(found, np.int64).view(np.uint64))
+
+
+def early_keys(rank: np.ndarray, data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each byte a number of the frequent word before, the bytes before it in its word, and itself. rank: of each word; data: at most its first three bytes."""
+    start = np.cumsum(length) - length
+    place = np.arange(len(data)) - np.repeat(start, length)
+    padded = np.concatenate([np.zeros(2, np.int64), data.astype(np.int64)])
+    before = np.where(place > 0, padded[1:-1], 0) | np.where(place > 1, padded[:-2] << 8, 0)
+    return np.repeat(rank.astype(np.int64), length) << 26 | place << 24 | before << 8 | data
+
+
 def to_parts(rows: DataFrame, parts: int) -> DataFrame:
     """Rows (part, data), each part in one task."""
     return rows.repartitionById(parts, "part").sortWithinPartitions("part")
 
 
-def dealt_units(rows: DataFrame, parts: int) -> DataFrame:
-    """part, data: of each block of texts the distinct units of each part, with the documents that hold them. A word before is in one part.
+def dealt_units(rows: DataFrame, parts: int, hot: np.ndarray = NO_HASHES) -> DataFrame:
+    """part, data: of each block of texts the distinct units of each part, with the documents that hold them. A word before is in one part;
+    what stands behind a frequent one (hot, its hashes in order) is dealt by its first three bytes as well.
 
     rows: row, text (binary) and held_out. All of a block's columns go as one value, as rows of units would take ten times their room.
     """
@@ -523,8 +581,9 @@ def dealt_units(rows: DataFrame, parts: int) -> DataFrame:
                 pairs, times = np.unique(np.append(u.unit, np.full(len(u.empty), n - 1)) * len(texts) + np.append(at[u.owner], at[u.empty]), return_counts=True)
                 unit, doc = np.divmod(pairs, len(texts))
                 n_docs, c = np.bincount(unit, minlength=n), np.bincount(unit, times * trained[doc], n).astype(np.int64)
-                _, first, word = np.unique(u.word, return_index=True, return_inverse=True)
-                part = (u.before % np.uint64(parts)).astype(np.int64)
+                _, first, word, _ = distinct(u.word)
+                by = np.where(ranks_in(hot, u.before) > 0, mix(u.before + mix(first_bytes(u.data, u.start, u.length) + np.uint64(5))), u.before)
+                part = (by % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((word, u.before, part))
                 order = order[n_docs[order] > 0]
                 bounds, out = np.searchsorted(part[order], np.arange(parts + 1)), []
@@ -552,38 +611,49 @@ def joined_blocks(blobs: list[bytes]) -> dict:
     rank, spelled_, length = ranked(binaries(b"".join(g["spelled"] for g in got), cat("length")))
     words_before = np.cumsum([0, *(len(g["length"]) for g in got)])
     wi = rank[np.concatenate([g["wi"].astype(np.int64) + k for g, k in zip(got, words_before, strict=False)])]
-    before, first, bi = np.unique(cat("before", np.uint64), return_index=True, return_inverse=True)
+    before, first, bi, _ = distinct(cat("before", np.uint64))
     unit, at = np.unique(np.repeat(bi, cat("n")) * len(length) + wi, return_inverse=True)
-    n_docs = cat("n_docs")
-    order = np.argsort(np.repeat(at, n_docs), kind="stable")
-    rows = np.concatenate([np.cumsum(g["rows"].astype(np.int64))[g["docs"]] for g in got])[order]
+    n_docs, c = cat("n_docs"), np.bincount(at, cat("c")).astype(np.int64)
+    # Of documents there may be many more than units: their numbers here, in few bytes, stand for their rows.
+    row = np.concatenate([np.cumsum(g["rows"].astype(np.int64)) for g in got])
+    docs = np.concatenate([g["docs"].astype(np.int32) + np.int32(k) for g, k in zip(got, np.cumsum([0, *(len(g["rows"]) for g in got)]), strict=False)])
+    times, tail = cat("times", np.int32), cat("tail")[first]
+    del got, bi, wi
+    order = np.argsort(np.repeat(at.astype(np.int32), n_docs), kind="stable")
+    docs, times = docs[order], times[order]
     group, word = np.divmod(unit, len(length))
-    return {"spelled": spelled_, "length": length, "tail": cat("tail")[first], "group": group, "wi": word, "c": np.bincount(at, cat("c")).astype(np.int64), "n_docs": np.bincount(at, n_docs).astype(np.int64), "rows": rows, "times": cat("times")[order]}
+    return {"spelled": spelled_, "length": length, "before": before, "tail": tail, "group": group, "wi": word, "c": c, "n_docs": np.bincount(at, n_docs).astype(np.int64), "row": row, "docs": docs, "times": times}
 
 
-def joined_units(dealt: DataFrame, parts: int) -> DataFrame:
+def joined_units(dealt: DataFrame, parts: int, hot: np.ndarray = NO_HASHES) -> DataFrame:
     """kind, part, data: of each part its units in chunks of whole words before (kind 0), its words for each group by first bytes (kind 1; part is the group),
-    and its counts of short contexts (kind 2). Stored."""
+    its counts of short contexts (kind 2), and of the first three bytes behind frequent words (kind 3). Stored."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blobs in by_part(batches):
             u = joined_blocks(blobs)
             length, c = u["length"], np.bincount(u["wi"], u["c"], len(u["length"])).astype(np.int64)
             data, start = np.frombuffer(u["spelled"], np.uint8), np.cumsum(u["length"]) - u["length"]
-            first = sum(np.where(length > k, data[np.minimum(start + k, len(data) - 1)], 0).astype(np.uint64) << np.uint64(8 * k) for k in range(3))
-            group, out = (mix(first) % np.uint64(parts)).astype(np.int64), []
+            group, out = (mix(first_bytes(data, start, length)) % np.uint64(parts)).astype(np.int64), []
             for g in np.unique(group):
                 own = np.flatnonzero(group == g)
                 out.append((1, int(g), packed(part=part, wi=steps(own), length=length[own], spelled=data[spread(start[own], length[own])].tobytes(), c=c[own])))
             # Behind the third byte a word's contexts are its own.
             blank = np.full(len(length), _BLANKS)
             keys = [(0, *short_keys(data, length, blank, c, lambda place: place >= 3)), (1, *short_keys(data, length, blank, c, lambda place: place < 3))]
+            rank, early = ranks_in(hot, u["before"]), []
             for a in range(0, len(u["wi"]), 8 * CHUNK_UNITS):
                 own = slice(a, a + 8 * CHUNK_UNITS)
-                wi = u["wi"][own]
+                wi, group = u["wi"][own], u["group"][own]
                 some = np.minimum(length[wi], 3)
-                keys.append((0, *short_keys(data[spread(start[wi], some)], some, u["tail"][u["group"][own]], u["c"][own], lambda place: place >= 0)))
+                begun = data[spread(start[wi], some)]
+                keys.append((0, *short_keys(begun, some, u["tail"][group], u["c"][own], lambda place: place >= 0)))
+                k = np.repeat(rank[group] > 0, some)
+                if k.any():
+                    found_, at = np.unique(early_keys(rank[group], begun, some)[k], return_inverse=True)
+                    early.append((found_, np.bincount(at, np.repeat(u["c"][own], some)[k]).astype(np.int64)))
             out.extend((2, part, packed(kind=np.array([kind]), keys=steps(k), c=n)) for kind, k, n in keys)
+            out.extend((3, part, packed(keys=steps(k), c=n)) for k, n in early)
             ends, posts = np.cumsum(u["n_docs"]), np.append(0, np.cumsum(u["n_docs"]))
             heads = np.flatnonzero(np.append(True, np.diff(u["group"]) > 0))
             a = 0
@@ -591,9 +661,9 @@ def joined_units(dealt: DataFrame, parts: int) -> DataFrame:
                 k = np.searchsorted(heads, a + CHUNK_UNITS)
                 b = int(heads[k]) if k < len(heads) else len(ends)
                 own, docs = slice(a, b), slice(posts[a], posts[b])
-                rows, di = np.unique(u["rows"][docs], return_inverse=True)
+                rows, di = np.unique(u["row"][u["docs"][docs]], return_inverse=True)
                 groups, gi = np.unique(u["group"][own], return_inverse=True)
-                out.append((0, part, packed(tail=u["tail"][groups], n=np.bincount(gi), wi=u["wi"][own], c=u["c"][own], n_docs=u["n_docs"][own], rows=steps(rows), docs=di, times=u["times"][docs])))
+                out.append((0, part, packed(tail=u["tail"][groups], rank=rank[groups], n=np.bincount(gi), wi=u["wi"][own], c=u["c"][own], n_docs=u["n_docs"][own], rows=steps(rows), docs=di, times=u["times"][docs])))
                 a = b
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *batch_of([x[1:] for x in out]).columns], names=["kind", "part", "data"])
             del u, out
@@ -657,6 +727,23 @@ def word_counts(joined: DataFrame, code: Code, parts: int) -> DataFrame:
     return stored(to_parts(groups.mapInArrow(found, "part int, data binary"), parts), "words", "part")
 
 
+def early_counts(joined: DataFrame, parts: int) -> DataFrame:
+    """part, k, c: of all parts together the counts of the first three bytes behind frequent words, to each part in whose units their contexts are. Stored in a folder for each part."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                g = unpacked(data)
+                yield pa.RecordBatch.from_pydict({"part": np.full(len(g["keys"]), part, np.int32), "k": np.cumsum(g["keys"].astype(np.int64)), "c": g["c"].astype(np.int64)})
+
+    rows = stored(joined.where("kind = 3").select("part", "data").mapInArrow(found, "part int, k long, c long"), "early")
+    context = F.shiftright("k", 8).alias("context")
+    sums = rows.groupBy("k").agg(F.sum("c").alias("c")).select("k", "c", context)
+    out = stored(rows.select("part", context).distinct().join(sums, "context").select("part", "k", "c").repartitionById(parts, "part"), "early_sums", "part")
+    drop(rows)
+    return out
+
+
 class PartWords:
     """A part's words in order: bytes, starts, lengths, and cells of the word so far for each bit (learning: without one occurrence)."""
 
@@ -713,7 +800,8 @@ class Chunk:
     What is kept has a few numbers for each byte; of its bits, some five times as many, part() makes those of some units.
     """
 
-    def __init__(self, packed_: bytes, words: PartWords, code: Code, last: Short, far: Short, learning: bool):
+    def __init__(self, packed_: bytes, words: PartWords, code: Code, last: Short, far: Short, learning: bool, early: tuple[np.ndarray, np.ndarray] | None = None):
+        """early: keys and counts of the first three bytes behind frequent words, in order."""
         self.words, self.code, self.tables, self.learning = words, code, (last, far), learning
         g = unpacked(packed_)
         self.got, self.c = g, g["c"].astype(np.int64)
@@ -723,9 +811,9 @@ class Chunk:
         at = spread(words.start[self.wi], length)
         data, start = words.data[at], np.cumsum(length) - length
         place = np.arange(len(data)) - np.repeat(start, length)
-        tail, early, n_early = np.repeat(g["tail"].astype(np.int64), n), np.flatnonzero(place < 3), np.minimum(length, 3)
+        tail, begun, n_early = np.repeat(g["tail"].astype(np.int64), n), np.flatnonzero(place < 3), np.minimum(length, 3)
         entry = words.far[at]
-        entry[early] = np.searchsorted(far.keys, three(data[early], n_early, tail) << 8 | data[early])
+        entry[begun] = np.searchsorted(far.keys, three(data[begun], n_early, tail) << 8 | data[begun])
         before = np.append(data[:1], data[:-1]).astype(np.int64)
         before[start] = tail & 255
         #: Of each byte: its entries in the tables of one and three bytes, and in the counts (-1: none but the unit's own).
@@ -734,11 +822,23 @@ class Chunk:
         # The word so far with the word before: mostly no other unit has it.
         group = np.repeat(np.arange(len(n), dtype=np.uint64), n)
         depth = shared_bytes(data, start, np.append(False, group[1:] == group[:-1]))
+        rank = np.repeat(g["rank"].astype(np.int64), n)
+        frequent = rank[np.repeat(np.arange(len(length)), n_early)] > 0
         own = place <= np.repeat(depth, length)
+        # The first bytes behind a frequent word have others in other parts.
+        own[begun[frequent]] = False
+        keys, c = (x[:0] for x in early or (NO_HASHES.view(np.int64),) * 2)
+        if frequent.any():
+            some = np.isin(early[0] >> 26, g["rank"][g["rank"] > 0])
+            keys, c = early[0][some], early[1][some]
         self.pair = np.full(len(data), -1, np.int32)
-        if own.any():
-            self.counts = BitCounts(prefixes(data, length, group)[own], data[own], np.repeat(self.c, length)[own], code)
-            self.pair[own] = self.counts.entry
+        if own.any() or len(keys):
+            context = np.append(prefixes(data, length, group)[own], mix((keys >> 8).astype(np.uint64) + np.uint64(7)))
+            self.counts = BitCounts(context, np.append(data[own], (keys & 255).astype(np.uint8)), np.append(np.repeat(self.c, length)[own], c), code)
+            found = self.counts.entry[np.count_nonzero(own) :]
+            self.pair[own] = self.counts.entry[: np.count_nonzero(own)]
+            if len(keys):
+                self.pair[begun[frequent]] = found[np.searchsorted(keys, early_keys(rank, data[begun], n_early)[frequent])]
 
     def part(self, units_: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Cells of the four contexts, and the bits, of some of the units, in the order given."""
@@ -767,27 +867,50 @@ class Chunk:
         return self.part(np.arange(len(self.c)))[0]
 
 
-def document_scores(rows: DataFrame, byte_counts: np.ndarray, size: int) -> DataFrame:
-    """row, score (log10 probability of the text), bytes of its stream. rows: row, text (binary) and held_out; size: bytes of all texts. Stored."""
+def part_folders(table_: DataFrame) -> dict[int, str]:
+    return {int(f.rsplit("/", 2)[1].split("=")[1]): f.rsplit("/", 1)[0] for f in table_.inputFiles()}
+
+
+def part_table(folder: str, columns: list[str]) -> pa.Table:
+    fs, path = shared_file(folder)
+    return pq.read_table(path, columns=columns, filesystem=fs, partitioning=None)
+
+
+def part_early(folder: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Keys and counts of the first three bytes behind frequent words, in order."""
+    if folder is None:
+        return None
+    keys, c = (x.to_numpy() for x in part_table(folder, ["k", "c"]).columns)
+    order = np.argsort(keys)
+    return keys[order], c[order]
+
+
+def document_scores(rows: DataFrame, byte_counts: np.ndarray, size: int, counts: DataFrame, total: int) -> DataFrame:
+    """row, score (log10 probability of the text), bytes of its stream. Stored. rows, which must be stored, are deleted when they are dealt.
+
+    rows: row, text (binary) and held_out; size: bytes of all texts; counts: h, c of training words; total: their tokens with ends.
+    """
     spark, code = rows.sparkSession, Code(byte_counts)
     parts = max(min(PARTS, 1 + (size >> 18)), -(-size // PART_BYTES))
+    hot = frequent_before(counts, total, int(byte_counts[10]), parts)
     with freed_shuffles(spark):
-        joined = joined_units(dealt_units(rows, parts), parts)
+        joined = joined_units(dealt_units(rows, parts, hot), parts, hot)
+        drop(rows)  # the disk's fullest moment follows
         last, far, start = to_shorts(counted_keys(joined), code)
         words = word_counts(joined, code, parts)
-    folders = {int(f.rsplit("/", 2)[1].split("=")[1]): f.rsplit("/", 1)[0] for f in words.inputFiles()}
-    shared, units_ = spark.sparkContext.broadcast((code, last, far, start, folders)), joined.where("kind = 0").select("part", "data")
+        early = early_counts(joined, parts) if len(hot) else None
+    folders, early_folders = part_folders(words), part_folders(early) if len(hot) else {}
+    shared, units_ = spark.sparkContext.broadcast((code, last, far, start, folders, early_folders)), joined.where("kind = 0").select("part", "data")
 
     def chunks(batches: Iterator[pa.RecordBatch], learning: bool) -> Iterator[Chunk]:
-        code, last, far, start, folders = shared.value
-        part = words = None
+        code, last, far, start, folders, early_folders = shared.value
+        part = words = early = None
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if k != part:
-                    words = None
-                    fs, path = shared_file(folders[k])
-                    part, words = k, PartWords(pq.read_table(path, columns=["data"], filesystem=fs, partitioning=None).column(0).to_pylist(), code, start, far, learning)
-                yield Chunk(data.as_py(), words, code, last, far, learning)
+                    words = early = None
+                    part, words, early = k, PartWords(part_table(folders[k], ["data"]).column(0).to_pylist(), code, start, far, learning), part_early(early_folders.get(k))
+                yield Chunk(data.as_py(), words, code, last, far, learning, early)
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, random = Mixer(), np.random.default_rng(5)
@@ -835,7 +958,7 @@ def document_scores(rows: DataFrame, byte_counts: np.ndarray, size: int) -> Data
 
     with freed_shuffles(spark):
         out = stored(units_.mapInArrow(score, "row long, score double, bytes long").groupBy("row").agg(F.sum("score").alias("score"), F.sum("bytes").alias("bytes")), "row_scores")
-    drop(joined, words, tasks)
+    drop(joined, words, tasks, *([early] if len(hot) else []))
     return out
 
 
@@ -929,8 +1052,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     seen = rare.join(words.where(F.col("c") < least), "h", "left")
     sums = seen.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(unit))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    own = document_scores(rows, by_byte, size)
-    drop(rows)
+    own = document_scores(rows, by_byte, size, words, total)
     out = first.drop("rare").join(sums, "row", "left").join(own, "row")
     return out.select(
         "doc_id", "held_out", F.col("tokens").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
